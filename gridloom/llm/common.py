@@ -10,6 +10,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a batch that goes to Python, so that long texts don't add up in a task.
+BATCH_BYTES = "4m"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Bounds the session's Arrow batches by bytes; rows alone would let long texts fill a worker's memory."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """A column name that ``df`` does not have."""
     taken = {c.lower() for c in df.columns}

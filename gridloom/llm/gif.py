@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.common import small_batches
+
 WIDTH, LINES = 96, 96
 FULL = 4096
 #: Red, green and blue each cut into four: 64 colour bins.
@@ -289,7 +291,7 @@ def _batches(batches, make, names):
 
 def as_gif(rows: DataFrame, id_col: str, payload_col: str, delay_ms: int = 100) -> DataFrame:
     """(id, media): each payload as a GIF."""
-    source = rows.select(F.col(id_col).alias("id"), F.col(payload_col).alias("payload"))
+    source = small_batches(rows).select(F.col(id_col).alias("id"), F.col(payload_col).alias("payload"))
 
     def run(batches):
         yield from _batches(batches, lambda x: (write_gif(x or b"", delay_ms),), [("media", pa.binary())])
@@ -312,7 +314,7 @@ def _decoded(media: bytes | None) -> tuple:
 
 def decode_gif(rows: DataFrame, id_col: str, media_col: str) -> DataFrame:
     """(id, media, frames, histogram, samples) of stored GIFs."""
-    source = rows.select(F.col(id_col).alias("id"), F.col(media_col).alias("media"))
+    source = small_batches(rows).select(F.col(id_col).alias("id"), F.col(media_col).alias("media"))
     kinds = [("media", pa.binary()), ("frames", pa.list_(FRAME)), ("histogram", pa.list_(pa.int32())), ("samples", pa.binary())]
 
     def run(batches):

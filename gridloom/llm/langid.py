@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import bounded_sample, fold_of
+from gridloom.llm.common import bounded_sample, fold_of, small_batches
 
 UNKNOWN = "und"
 SIZES = (3, 4)
@@ -143,7 +143,7 @@ def fit_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def language(docs: DataFrame, text: Column, model: LanguageModel | None) -> Column:
     """text -> struct<lang, score, rejected>."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages
+    shared = small_batches(docs).sparkSession.sparkContext.broadcast(model)  # buckets x languages
 
     def run(texts: pa.Array) -> pa.Array:
         model, n = shared.value, len(texts)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import bounded_sample
+from gridloom.llm.common import bounded_sample, small_batches
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 FEATURES = (
@@ -169,7 +169,7 @@ def fit_quality_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id"
 
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("good"))
     known = bounded_sample(known, "doc_id", rows).select(F.col("doc_id").alias("id"), "good")
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id")
+    picked = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id")
     found = picked.select("id", "good", F.arrow_udf(features, "array<double>")("text").alias("x")).collect()
     found = sorted(found, key=lambda r: (r["id"] * 0x9E3779B97F4A7C15 % (1 << 64), r["x"]))[: 2 * rows]
     if not found:
@@ -179,7 +179,7 @@ def fit_quality_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id"
 
 def quality(docs: DataFrame, text: Column, model: Trees | None, least_words: int = 50, most_repeats: int = 50) -> Column:
     """text -> struct of the base counts, base_failed, score and kept."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # nodes of some sixty small trees
+    shared = small_batches(docs).sparkSession.sparkContext.broadcast(model)  # nodes of some sixty small trees
 
     def run(texts: pa.Array) -> pa.Array:
         base, x = _columns(texts)

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.session import saved
+from gridloom.llm.common import free_name, small_batches
 from gridloom.operators.graph import star_components
 
 BLOCKS, WIDTH = 4, 16
@@ -300,17 +301,19 @@ def fingerprint_components(prints: DataFrame, bits: int = 4) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 4, bits: int = 4) -> DataFrame:
     """(doc_id, fp, component_id) for every row."""
-    prints = saved(docs.select(F.col(id_col).alias("doc_id"), simhash(F.col(text_col), words_per_shingle).alias("fp")), "simhash-prints")
+    prints = saved(small_batches(docs).select(F.col(id_col).alias("doc_id"), simhash(F.col(text_col), words_per_shingle).alias("fp")), "simhash-prints")
     return prints.join(fingerprint_components(prints, bits), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, words_per_shingle: int = 4, bits: int = 4) -> DataFrame:
     """The documents whose doc_id is the least of their component; repeated rows of that id leave one."""
-    prints = saved(docs.withColumn("__fp", simhash(F.col("text"), words_per_shingle)), "simhash-documents")
-    ids = prints.select("doc_id", F.col("__fp").alias("fp"))
-    components = fingerprint_components(ids, bits).withColumnsRenamed({"fp": "__fp", "component_id": "__component"})
-    kept = prints.join(components, "__fp").where(F.col("doc_id").eqNullSafe(F.col("__component")))
-    light = ids.withColumnRenamed("fp", "__fp").join(components, "__fp").where(F.col("doc_id").eqNullSafe(F.col("__component")))
-    if light.groupBy("__component").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["__component"])
+    own, component = free_name(docs, "fp"), free_name(docs, "component_id")
+    prints = saved(small_batches(docs).withColumn(own, simhash(F.col("text"), words_per_shingle)), "simhash-documents")
+    ids = prints.select("doc_id", F.col(own).alias("fp"))
+    components = saved(fingerprint_components(ids, bits).withColumnsRenamed({"fp": own, "component_id": component}), "simhash-components")
+    first = F.col("doc_id").eqNullSafe(F.col(component))
+    kept = prints.join(components, own).where(first)
+    light = ids.withColumnRenamed("fp", own).join(components, own).where(first)
+    if light.groupBy(component).count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates([component])
     return kept.select(*docs.columns)

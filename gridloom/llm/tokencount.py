@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.llm.common import BATCH_BYTES
+
 RULES = ("majority", "first", "last", "split")
 RESULT = "array<struct<section:int,char_start:bigint,char_end:bigint,n_tokens:double,n_crossing:bigint>>"
 ARROW = pa.list_(pa.struct([("section", pa.int32()), ("char_start", pa.int64()), ("char_end", pa.int64()), ("n_tokens", pa.float64()), ("n_crossing", pa.int64())]))
@@ -76,6 +78,7 @@ class TokenCounter:
             raise ValueError(f"rule must be one of {RULES}")
         with open(path, "rb") as f:
             data = f.read()
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
         self._parts = hashlib.sha256(data).hexdigest(), spark.sparkContext.broadcast(data), pattern  # under a megabyte
         self.rule = rule
 

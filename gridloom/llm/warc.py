@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions.session import saved, scratch_path
+from gridloom.llm.common import small_batches
 
 SKIPPABLE = 0x184D2A5D
 #: Records that a dictionary is trained on: spread evenly over the archive.
@@ -150,7 +151,7 @@ def write_archives(kinds: DataFrame, folder: str, date: str, archive_bytes: int
             f.write(data)
         return pa.RecordBatch.from_pydict({"path": [path], "records": pa.array([len(records)], pa.int64()), "bytes": pa.array([len(data)], pa.int64())})
 
-    return saved(kinds.mapInArrow(write, "path string, records bigint, bytes bigint"), "warc-list")
+    return saved(small_batches(kinds).mapInArrow(write, "path string, records bigint, bytes bigint"), "warc-list")
 
 
 FIELD = re.compile(rb"^([A-Za-z-]+): ?(.*)$", re.M)
