@@ -220,8 +220,8 @@ def apply_name_reviews(suggestions: DataFrame, parks: DataFrame, decisions: Data
     )
     open_ = (F.col("status") == "pending") & F.col("_d").isNotNull() & (F.col("reviewer_id") != F.col("user_id"))
     status = F.when(open_ & F.col("approve") & (F.col("_now") == F.col("original_name")), "approved").when(open_ & ~F.col("approve"), "rejected").when(open_, "stale").otherwise(F.col("status"))
-    done = rows.withColumn("status", status)
-    names = done.where(open_ & (F.col("status") == "approved")).groupBy(F.col("park_id").alias("id")).agg(F.min_by("proposed_name", "_d").alias("_name"))
+    done = rows.withColumn("_open", open_).withColumn("status", status)
+    names = done.where("_open and status = 'approved'").groupBy(F.col("park_id").alias("id")).agg(F.min_by("proposed_name", "_d").alias("_name"))
     renamed = parks.join(names, "id", "left").withColumn("name", F.coalesce("_name", "name")).withColumn("name_status", F.when(F.col("_name").isNotNull(), "community").otherwise(F.col("name_status")))
     return done.select(*suggestions.columns), renamed.select(*parks.columns)
 

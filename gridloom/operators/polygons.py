@@ -18,7 +18,13 @@ from gridloom.functions.text import text
 from gridloom.operators.graph import star_components
 from gridloom.operators.spatial import self_pairs
 
-POLYS = "array<array<array<array<double>>>>"
+
+
+def _struct(**kinds: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in kinds.items()])
+
+
+NUMBER, FLAG = T.DoubleType(), T.BooleanType()
 TOUCH_M = 0.5
 
 
@@ -102,7 +108,7 @@ def surface_point(polys) -> tuple[float, float] | None:
     return best[1] if best else None
 
 
-@F.pandas_udf("lon double, lat double")
+@F.pandas_udf(_struct(lon=NUMBER, lat=NUMBER))
 def point_on_surface(polys: pd.Series) -> pd.DataFrame:
     """polys -> struct<lon, lat>; null fields where there is none."""
     found = [surface_point(p) if p is not None and len(p) else None for p in polys]
@@ -164,12 +170,14 @@ def relation_of(a, b, samples: int = 30) -> dict:
     }
 
 
-RELATION = "intersects boolean, crossing boolean, touches boolean, boundary_gap_m double, overlap_fraction_a double, overlap_fraction_b double, a_within_b boolean, b_within_a boolean"
+RELATION = _struct(
+    intersects=FLAG, crossing=FLAG, touches=FLAG, boundary_gap_m=NUMBER, overlap_fraction_a=NUMBER, overlap_fraction_b=NUMBER, a_within_b=FLAG, b_within_a=FLAG
+)
 
 
 @F.pandas_udf(RELATION)
 def polygon_relation(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([relation_of(x, y) for x, y in zip(a, b)], columns=[f.name for f in T._parse_datatype_string(RELATION)])
+    return pd.DataFrame([relation_of(x, y) for x, y in zip(a, b)], columns=RELATION.names)
 
 
 def pair_evidence(records: DataFrame, reach_m: float = 3000, gap_m: float = 1000) -> DataFrame:
@@ -191,7 +199,7 @@ def effective_distance(point_m: Column, source_polys: Column, park_polys: Column
     return F.struct(d.alias("distance_m"), relation.alias("relation"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(NUMBER)
 def point_polygon_m(lon: pd.Series, lat: pd.Series, polys: pd.Series) -> pd.Series:
     """Metres from a point to a polygon, 0 inside."""
 
@@ -216,7 +224,7 @@ def shape_of(polys_of_members) -> dict:
     return {"area_m2": area, "max_extent_m": extent, "compactness": area / extent**2 if extent else 1.0, "mean_width_m": area / extent if extent else 0.0}
 
 
-@F.pandas_udf("area_m2 double, max_extent_m double, compactness double, mean_width_m double")
+@F.pandas_udf(_struct(area_m2=NUMBER, max_extent_m=NUMBER, compactness=NUMBER, mean_width_m=NUMBER))
 def _shapes(members: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([shape_of(m) for m in members])
 
