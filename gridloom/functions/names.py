@@ -15,6 +15,11 @@ def rounded(c: Column, digits: int) -> Column:
     return F.floor(c * 10**digits + 0.5) / 10**digits
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def similarity(a: Column, b: Column) -> Column:
     """1 - edits / longer length; 0 if either is empty."""
     longest = F.greatest(F.length(a), F.length(b))
@@ -59,21 +64,30 @@ def _number(word: Column) -> Column:
 def parse_name(c) -> Column:
     """struct<key, words, core, plain_core, numbers, generic, placeholder> of a name."""
     c = text(c)
-    words = tokens(c, expand=True)
-    core = F.filter(words, lambda t: ~_weak(t))
-    plain_core = F.array_join(F.filter(tokens(c), lambda t: ~_weak(t)), "")
-    own = F.filter(core, lambda t: ~_near_weak(t))
-    placeholder = is_placeholder(c)
-    return F.struct(
+    parts = F.struct(
         name_key(c).alias("key"),
-        words.alias("words"),
-        core.alias("core"),
-        plain_core.alias("plain_core"),
-        F.array_sort(F.filter(words, _number)).alias("numbers"),
-        ((F.size(own) == 0) | (plain_core == "")).alias("generic"),
-        (placeholder | ((F.size(own) > 0) & F.forall(own, _number))).alias("placeholder"),
+        tokens(c, expand=True).alias("words"),
+        F.array_join(F.filter(tokens(c), lambda t: ~_weak(t)), "").alias("plain_core"),
+        is_placeholder(c).alias("placeholder"),
     )
 
+    def finished(p: Column) -> Column:
+        core = F.filter(p["words"], lambda t: ~_weak(t))
+        return let(
+            F.filter(core, lambda t: ~_near_weak(t)),
+            lambda own: F.struct(
+                p["key"].alias("key"),
+                p["words"].alias("words"),
+                core.alias("core"),
+                p["plain_core"].alias("plain_core"),
+                F.array_sort(F.filter(p["words"], _number)).alias("numbers"),
+                ((F.size(own) == 0) | (p["plain_core"] == "")).alias("generic"),
+                (p["placeholder"] | ((F.size(own) > 0) & F.forall(own, _number))).alias("placeholder"),
+            ),
+        )
+
+    return let(parts, finished)
+
 
 def name_evidence(a: Column, b: Column) -> Column:
     """Strong evidence for parsed names: struct<kind, similarity>; null kind if there is none."""
@@ -87,17 +101,19 @@ def name_evidence(a: Column, b: Column) -> Column:
     return F.struct(kind.alias("kind"), F.when(kind.isNotNull(), s).alias("similarity"))
 
 
-def _kind(a: Column, b: Column, core_a: Column, core_b: Column) -> Column:
-    key_a, key_b = F.array_join(a, ""), F.array_join(b, "")
-    s = rounded(similarity(key_a, key_b), 3)
-    fewer, more = F.when(F.size(core_a) <= F.size(core_b), core_a).otherwise(core_b), F.when(F.size(core_a) <= F.size(core_b), core_b).otherwise(core_a)
-    both = (F.size(core_a) > 0) & (F.size(core_b) > 0)
-    dice = F.when(both, 2 * matched_count(core_a, core_b) / (F.size(core_a) + F.size(core_b))).otherwise(0.0)
+def _kind(p: Column) -> Column:
+    """Kind of relationship of words and cores (fields wa, wb, ca, cb, ka, kb, s)."""
+    small = F.size(p["ca"]) <= F.size(p["cb"])
+    both = (F.size(p["ca"]) > 0) & (F.size(p["cb"]) > 0)
+    ordered = F.struct(F.when(small, p["ca"]).otherwise(p["cb"]).alias("fewer"), F.when(small, p["cb"]).otherwise(p["ca"]).alias("more"))
+    contained = let(ordered, lambda o: (F.size(o["fewer"]) >= 2) & (matched_count(o["fewer"], o["more"]) == F.size(o["fewer"])))
+    least = F.least(F.size(p["ca"]), F.size(p["cb"]))
+    dice = 2 * matched_count(p["ca"], p["cb"]) / (F.size(p["ca"]) + F.size(p["cb"]))
     return (
-        F.when(key_a == key_b, "exact_normalized_name")
-        .when(both & (F.array_join(core_a, "") == F.array_join(core_b, "")), "core_equal")
-        .when((F.size(fewer) >= 2) & (matched_count(fewer, more) == F.size(fewer)), "core_contained")
-        .when((s >= STRONG) | ((F.size(fewer) >= 2) & (dice >= 0.85)), "high_similarity")
+        F.when(p["ka"] == p["kb"], "exact_normalized_name")
+        .when(both & (F.array_join(p["ca"], "") == F.array_join(p["cb"], "")), "core_equal")
+        .when(contained, "core_contained")
+        .when((p["s"] >= STRONG) | ((least >= 2) & (dice >= 0.85)), "high_similarity")
     )
 
 
@@ -108,30 +124,40 @@ def numeric_conflict(a: Column, b: Column) -> Column:
 
 def name_relationship(a: Column, b: Column, common: Column | None = None) -> Column:
     """struct of flags for two parsed names. ``common``: words too common here to set a place apart."""
-    silent = a["generic"] | b["generic"] | a["placeholder"] | b["placeholder"]
-    differs = a["numbers"] != b["numbers"]
+    common = F.array().cast("array<string>") if common is None else common
 
-    def strip(words: Column) -> Column:
-        return F.when(differs, F.filter(words, lambda t: ~_number(t))).otherwise(words)
+    def compared(d: Column) -> Column:
+        def strip(words: Column) -> Column:
+            return F.when(d, F.filter(words, lambda t: ~_number(t))).otherwise(words)
 
-    wa, wb, ca, cb = strip(a["words"]), strip(b["words"]), strip(a["core"]), strip(b["core"])
-    found = _kind(wa, wb, ca, cb)
-    kind = F.when(~silent & ~differs, found)
-    common = F.array().cast("array<string>") if common is None else common
+        parts = F.struct(*(strip(side[field]).alias(name) for name, side, field in (("wa", a, "words"), ("wb", b, "words"), ("ca", a, "core"), ("cb", b, "core"))), d.alias("differs"))
+        keyed = let(parts, lambda p: F.struct(*(p[f].alias(f) for f in ("wa", "wb", "ca", "cb", "differs")), F.array_join(p["wa"], "").alias("ka"), F.array_join(p["wb"], "").alias("kb")))
+        scored = let(keyed, lambda p: F.struct(*(p[f].alias(f) for f in ("ca", "cb", "differs", "ka", "kb")), rounded(similarity(p["ka"], p["kb"]), 3).alias("s")))
+        return let(scored, lambda p: F.struct(_kind(p).alias("found"), p["s"].alias("s"), p["differs"].alias("differs")))
 
     def telling(words: Column) -> Column:
         return F.filter(words, lambda t: (F.length(t) >= 4) & ~F.array_contains(common, t))
 
     shares = F.exists(telling(a["core"]), lambda t: F.exists(telling(b["core"]), lambda u: token_match(t, u)))
-    return F.struct(
-        kind.alias("kind"),
-        F.coalesce(kind == "exact_normalized_name", F.lit(False)).alias("exact_normalized_name"),
-        F.coalesce(kind.isin("core_equal", "core_contained"), F.lit(False)).alias("distinctive_core_name_match"),
-        F.coalesce(kind == "high_similarity", F.lit(False)).alias("high_name_similarity"),
-        F.when(silent, 0.0).otherwise(rounded(similarity(F.array_join(wa, ""), F.array_join(wb, "")), 3)).alias("similarity"),
-        (~silent & differs & found.isNotNull()).alias("numeric_conflict"),
-        (~silent & ~differs & found.isNull() & shares).alias("shares_distinctive_token"),
-    )
+
+    def flags(r: Column) -> Column:
+        kind = F.when(~r["differs"], r["found"])
+        return F.struct(
+            kind.alias("kind"),
+            F.coalesce(kind == "exact_normalized_name", F.lit(False)).alias("exact_normalized_name"),
+            F.coalesce(kind.isin("core_equal", "core_contained"), F.lit(False)).alias("distinctive_core_name_match"),
+            F.coalesce(kind == "high_similarity", F.lit(False)).alias("high_name_similarity"),
+            r["s"].alias("similarity"),
+            (r["differs"] & r["found"].isNotNull()).alias("numeric_conflict"),
+            (~r["differs"] & r["found"].isNull() & shares).alias("shares_distinctive_token"),
+        )
+
+    nothing = F.struct(
+        F.lit(None).cast("string").alias("kind"), *(F.lit(False).alias(n) for n in ("exact_normalized_name", "distinctive_core_name_match", "high_name_similarity")),
+        F.lit(0.0).alias("similarity"), F.lit(False).alias("numeric_conflict"), F.lit(False).alias("shares_distinctive_token"),
+    )
+    silent = a["generic"] | b["generic"] | a["placeholder"] | b["placeholder"]
+    return F.when(silent, nothing).otherwise(let(compared(a["numbers"] != b["numbers"]), flags))
 
 
 def has_evidence(relationship: Column) -> Column:

@@ -6,6 +6,8 @@ Arrow-batched pandas functions on rows that joins have already narrowed down.
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -108,13 +110,20 @@ def surface_point(polys) -> tuple[float, float] | None:
     return best[1] if best else None
 
 
+# Polygons go to Python as JSON text: rings nest too deep for nulls to pass through Arrow safely.
+
+
 @F.pandas_udf(_struct(lon=NUMBER, lat=NUMBER))
-def point_on_surface(polys: pd.Series) -> pd.DataFrame:
-    """polys -> struct<lon, lat>; null fields where there is none."""
-    found = [surface_point(p) if p is not None and len(p) else None for p in polys]
+def _surface(polys: pd.Series) -> pd.DataFrame:
+    found = [surface_point(json.loads(p)) if p is not None else None for p in polys]
     return pd.DataFrame([f or (None, None) for f in found], columns=["lon", "lat"])
 
 
+def point_on_surface(polys) -> Column:
+    """polys -> struct<lon, lat>; null fields where there is none."""
+    return _surface(F.to_json(text(polys)))
+
+
 def _segments(parts, lat0: float) -> np.ndarray:
     k = np.array([LON_M * np.cos(np.radians(lat0)), LAT_M])
     return np.concatenate([np.concatenate([r[:-1] * k, r[1:] * k], axis=1) for part in parts for r in part])
@@ -176,8 +185,14 @@ RELATION = _struct(
 
 
 @F.pandas_udf(RELATION)
-def polygon_relation(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([relation_of(x, y) for x, y in zip(a, b)], columns=RELATION.names)
+def _relation(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    none = dict.fromkeys(RELATION.names)
+    return pd.DataFrame([relation_of(json.loads(x), json.loads(y)) if x is not None and y is not None else none for x, y in zip(a, b)], columns=RELATION.names)
+
+
+def polygon_relation(a, b) -> Column:
+    """struct of ``relation_of`` for two polygon columns; null fields if either is null."""
+    return _relation(F.to_json(text(a)), F.to_json(text(b)))
 
 
 def pair_evidence(records: DataFrame, reach_m: float = 3000, gap_m: float = 1000) -> DataFrame:
@@ -200,9 +215,7 @@ def effective_distance(point_m: Column, source_polys: Column, park_polys: Column
 
 
 @F.pandas_udf(NUMBER)
-def point_polygon_m(lon: pd.Series, lat: pd.Series, polys: pd.Series) -> pd.Series:
-    """Metres from a point to a polygon, 0 inside."""
-
+def _point_polygon(lon: pd.Series, lat: pd.Series, polys: pd.Series) -> pd.Series:
     def one(x, y, p):
         parts = _parts(p)
         if inside(np.array([[x, y]]), parts)[0]:
@@ -210,7 +223,12 @@ def point_polygon_m(lon: pd.Series, lat: pd.Series, polys: pd.Series) -> pd.Seri
         k = np.array([LON_M * np.cos(np.radians(y)), LAT_M])
         return _point_gap(np.array([[x, y]]) * k, _segments(parts, y))
 
-    return pd.Series([one(x, y, p) if p is not None else None for x, y, p in zip(lon, lat, polys)], dtype="float64")
+    return pd.Series([one(x, y, json.loads(p)) if p is not None else None for x, y, p in zip(lon, lat, polys)], dtype="float64")
+
+
+def point_polygon_m(lon, lat, polys) -> Column:
+    """Metres from a point to a polygon, 0 inside; null without a polygon."""
+    return _point_polygon(text(lon), text(lat), F.to_json(text(polys)))
 
 
 def shape_of(polys_of_members) -> dict:
@@ -226,14 +244,14 @@ def shape_of(polys_of_members) -> dict:
 
 @F.pandas_udf(_struct(area_m2=NUMBER, max_extent_m=NUMBER, compactness=NUMBER, mean_width_m=NUMBER))
 def _shapes(members: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([shape_of(m) for m in members])
+    return pd.DataFrame([shape_of(json.loads(m)) for m in members])
 
 
 def shape_metrics(records: DataFrame, key: str = "component", linear_below: float = 0.01, path_width_m: float = 8) -> DataFrame:
     """(component, area_m2, max_extent_m, compactness, mean_width_m, linear, path_like) of clusters of polygons; a cluster
     is one physical park, so its polygons fit a row."""
     groups = records.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("id", "polys"))).alias("m"))
-    shaped = groups.select(key, _shapes(F.col("m.polys")).alias("s")).select(key, "s.*")
+    shaped = groups.select(key, _shapes(F.to_json(F.col("m.polys"))).alias("s")).select(key, "s.*")
     linear = F.col("compactness") < linear_below
     return shaped.withColumn("linear", linear).withColumn("path_like", linear & (F.col("mean_width_m") < path_width_m))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.ids import det_uuid
 from gridloom.functions.names import has_evidence, name_relationship, parse_name, rounded
 from gridloom.functions.rules import NON_PARK, district_match
+from gridloom.functions.session import saved
 from gridloom.functions.text import has_park_word
 from gridloom.operators.polygons import effective_distance, point_polygon_m, polygon_relation
 from gridloom.operators.spatial import within_radius
@@ -30,36 +31,34 @@ def review_candidates(records: DataFrame, registry: DataFrame, common: DataFrame
     city, district, latitude, longitude, polys, tier2_m); parks: (id, name, city, district, latitude, longitude, polys,
     source_refs). ``common``: (token) of ``tables.common_tokens``, a bounded vocabulary."""
     words = F.array().cast("array<string>")
-    records = records.withColumn("parsed", parse_name("name"))
-    registry = registry.withColumn("parsed", parse_name("name"))
+    records = saved(records.withColumn("parsed", parse_name("name")), "review-records")
+    registry = saved(registry.withColumn("parsed", parse_name("name")), "review-parks")
     if common is not None:
         records = records.crossJoin(F.broadcast(common.agg(F.collect_set("token").alias("common"))))
         words = F.col("a.common")
     pairs = within_radius(records, registry, t.reach_m, ["city"])
     own = F.exists("b.source_refs", lambda r: (r["source_code"] == F.col("a.source_code")) & (r["external_id"] == F.col("a.external_id")))
     pairs = pairs.where(~F.coalesce(own, F.lit(False)))
-    both = F.col("a.polys").isNotNull() & F.col("b.polys").isNotNull()
-    gap = F.when(both, polygon_relation(F.when(both, F.col("a.polys")).otherwise(F.lit(SQUARE)), F.when(both, F.col("b.polys")).otherwise(F.lit(SQUARE)))["boundary_gap_m"])
+    gap = polygon_relation("a.polys", "b.polys")["boundary_gap_m"]
     to_source = point_polygon_m("b.longitude", "b.latitude", "a.polys")
     to_park = point_polygon_m("a.longitude", "a.latitude", "b.polys")
     e = effective_distance(F.col("distance_m"), F.col("a.polys"), F.col("b.polys"), gap, to_source, to_park, t.adjacent_m)
     rows = pairs.withColumn("e", e).where(F.col("e.distance_m") <= t.extended_m)
     rel = name_relationship(F.col("a.parsed"), F.col("b.parsed"), words)
     rows = rows.withColumn("rel", rel).withColumn("district", district_match("a.district", "b.district"))
+    rows = saved(rows.select(
+        F.struct("a.key", "a.tier2_m", "a.source_code").alias("a"), F.struct("b.id", "b.source_refs", F.col("b.parsed.generic").alias("generic")).alias("b"), "e", "rel", "district",
+    ), "review-pairs")
     strong = has_evidence(F.col("rel"))
     near = F.col("e.relation").isin("OVERLAP", "ADJACENT") | (F.col("e.distance_m") <= F.col("a.tier2_m")) | strong
     return rows.select(
         F.col("a.key").alias("key"), F.col("b.id").alias("park_id"), F.col("e.distance_m").alias("distance_m"), F.col("e.relation").alias("relation"),
         "rel", "district", strong.alias("strong"), ((F.col("district") != "DISTRICT_CONFLICT") & near).alias("plausible"),
-        F.col("b.parsed.generic").alias("park_generic"), F.coalesce(F.array_contains(F.col("b.source_refs.source_code"), F.col("a.source_code")), F.lit(False)).alias("same_source"),
+        F.col("b.generic").alias("park_generic"), F.coalesce(F.array_contains(F.col("b.source_refs.source_code"), F.col("a.source_code")), F.lit(False)).alias("same_source"),
         F.col("a.tier2_m").alias("tier2_m"),
     )
 
 
-#: A unit square, for rows without a polygon: relations need one on either side.
-SQUARE = [[[[0.0, 0.0], [1.0, 0.0], [1.0, 1.0], [0.0, 1.0], [0.0, 0.0]]]]
-
-
 def review_evidence(records: DataFrame, candidates: DataFrame, clusters: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     """One row of flags a record. ``clusters``: (key, component, size, ambiguous)."""
     any_ = lambda c, name: F.coalesce(F.bool_or(c), F.lit(False)).alias(name)
@@ -77,7 +76,7 @@ def review_evidence(records: DataFrame, candidates: DataFrame, clusters: DataFra
     joined = named.join(flags, "key", "left").join(clusters.select("key", "component", F.col("size").alias("cluster_size"), "ambiguous"), "key", "left")
     filled = joined.na.fill(False).na.fill(0, ["plausible"]).withColumn("cluster_size", F.coalesce("cluster_size", F.lit(1))).withColumn("component", F.coalesce("component", "key"))
     near = F.col("nearest_m")
-    return (
+    marked = (
         filled.withColumn("very_close", F.coalesce(near <= t.very_close_m, F.lit(False)))
         .withColumn("primary_radius", F.coalesce(near <= F.col("tier2_m"), F.lit(False)))
         .withColumn("extended_radius", F.coalesce((near > F.col("tier2_m")) & (near <= t.extended_m), F.lit(False)))
@@ -85,6 +84,7 @@ def review_evidence(records: DataFrame, candidates: DataFrame, clusters: DataFra
         .withColumn("multiple_plausible", F.col("plausible") > 1)
         .withColumn("within_source_duplicate", F.col("cluster_size") >= 2)
     )
+    return saved(marked, "review-evidence")
 
 
 def record_targets(evidence: DataFrame, candidates: DataFrame, rivals: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
