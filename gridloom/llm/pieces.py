@@ -17,18 +17,19 @@ import codecs
 import hashlib
 import re
 from array import array
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.llm.common import BATCH_BYTES
+
 SPACE = "▁"
 NORMAL, CONTROL, USER, UNUSED, BYTE = 1, 3, 4, 5, 6
 #: Words kept with their ids in each worker, in each of two generations; a word in use moves to the younger one.
-WORDS_KEPT = 400_000
-PAIRS_KEPT = 2_000_000
+WORDS_KEPT = 250_000
+PAIRS_KEPT = 500_000
 
 
 def _one_by_one(error):
@@ -163,9 +164,15 @@ class _Words(dict):
         return ids
 
 
-@lru_cache(maxsize=2)
-def _table(digest: str, get) -> PieceTable:
-    return PieceTable(get.value)
+#: The model in use, by its digest; one at a time.
+_tables: dict[str, PieceTable] = {}
+
+
+def _table(digest: str, model) -> PieceTable:
+    if digest not in _tables:
+        _tables.clear()
+        _tables[digest] = PieceTable(model.value)
+    return _tables[digest]
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -181,6 +188,7 @@ class PieceCodec:
     def __init__(self, spark: SparkSession, model_path: str):
         with open(model_path, "rb") as f:
             model = f.read()
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
         self._key = hashlib.sha256(model).hexdigest()
         self._model = spark.sparkContext.broadcast(model)  # half a megabyte, whatever the data
 

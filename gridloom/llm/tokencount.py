@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +32,21 @@ RESULT = "array<struct<section:int,char_start:bigint,char_end:bigint,n_tokens:do
 ARROW = pa.list_(pa.struct([("section", pa.int32()), ("char_start", pa.int64()), ("char_end", pa.int64()), ("n_tokens", pa.float64()), ("n_crossing", pa.int64())]))
 
 
-@lru_cache(maxsize=2)
-def _encoder(digest: str, get, pattern: str):
+#: The encoder in use and its token lengths, by digest and pattern; one at a time.
+_encoders: dict[tuple, tuple] = {}
+
+
+def _encoder(digest: str, data, pattern: str):
+    if (digest, pattern) not in _encoders:
+        _encoders.clear()
+        _encoders[digest, pattern] = _built(data.value, pattern)
+    return _encoders[digest, pattern]
+
+
+def _built(data: bytes, pattern: str):
     import tiktoken
 
-    ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in get.value.splitlines() if x)}
+    ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in data.splitlines() if x)}
     lengths = np.zeros(max(ranks.values()) + 1, np.int64)
     for token, i in ranks.items():
         lengths[i] = len(token)
