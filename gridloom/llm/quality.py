@@ -91,7 +91,7 @@ class Trees:
         return 1 / (1 + np.exp(-(self.base + self.value[at].sum(axis=1))))
 
 
-def grow(x: np.ndarray, y: np.ndarray, decreasing: list[int], trees: int = 60, depth: int = 3, rate: float = 0.2, bins: int = 32, least: float = 5.0, ridge: float = 1.0) -> Trees:
+def grow(x: np.ndarray, y: np.ndarray, decreasing: list[int], trees: int = 60, depth: int = 3, rate: float = 0.2, bins: int = 32, least: float = 1.0, ridge: float = 1.0) -> Trees:
     """Logistic boosting with a sign constraint on the features ``decreasing``."""
     edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(x.shape[1])]
     binned = np.stack([np.searchsorted(e, x[:, f], "left") for f, e in enumerate(edges)], axis=1)
