@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.functions.session import saved
 from gridloom.operators.activity import rekey_activity, rekey_favorites
 from gridloom.plans.registry import upsert_parks, upsert_refs
 
@@ -88,7 +89,7 @@ def apply_release(tables: dict[str, DataFrame], frames: dict[str, DataFrame], fi
     if bad.limit(1).count():
         raise ValueError(f"invalid bundle: {[tuple(r) for r in bad.limit(5).collect()]}")
     history = tables["events"].select("park_id").union(tables["observations"].select("park_id"))
-    only = classify_registry_only(tables["parks"], frames, history, fixtures)
+    only = saved(classify_registry_only(tables["parks"], frames, history, fixtures), "registry-only")
     stop = ["UNKNOWN"] if acknowledged else ["UNKNOWN", "SOURCE_WITHDRAWN_WITH_HISTORY"]
     stopped = only.where(F.col("kind").isin(stop))
     if stopped.limit(1).count():
