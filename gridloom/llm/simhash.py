@@ -291,12 +291,16 @@ def fingerprint_links(prints: DataFrame, bits: int = 4, shard_limit: int = 200_0
 
 
 def fingerprint_components(prints: DataFrame, bits: int = 4) -> DataFrame:
-    """(fp, component_id) for a stored table (doc_id, fp): component_id is the least doc_id reachable by links."""
+    """(fp, root, component_id) for a stored table (doc_id, fp): component_id is the least doc_id reachable by links (null
+    if all are null, and shared by components that have rows of one id); root, the least fingerprint, tells components
+    apart."""
     classes = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-classes")
     nodes = star_components(fingerprint_links(classes, bits))
     least = nodes.join(classes, nodes["node"] == classes["fp"]).groupBy("component").agg(F.min("first_id").alias("least_id"))
-    linked = nodes.join(least, "component").select(F.col("node").alias("fp"), "least_id")
-    return classes.join(linked, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"))
+    linked = nodes.join(least, "component").select(F.col("node").alias("fp"), "component", "least_id")
+    return classes.join(linked, "fp", "left").select(
+        "fp", F.coalesce("component", "fp").alias("root"), F.coalesce("least_id", "first_id").alias("component_id")
+    )
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 4, bits: int = 4) -> DataFrame:
@@ -306,14 +310,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one_of_each(docs: DataFrame, words_per_shingle: int = 4, bits: int = 4) -> DataFrame:
-    """The documents whose doc_id is the least of their component; repeated rows of that id leave one."""
-    own, component = free_name(docs, "fp"), free_name(docs, "component_id")
+    """One row of each component, of its least doc_id (null if the component has no other). Components that share an id,
+    or have none, each keep their row."""
+    own, component, root = free_name(docs, "fp"), free_name(docs, "component_id"), free_name(docs, "root")
     prints = saved(small_batches(docs).withColumn(own, simhash(F.col("text"), words_per_shingle)), "simhash-documents")
     ids = prints.select("doc_id", F.col(own).alias("fp"))
-    components = saved(fingerprint_components(ids, bits).withColumnsRenamed({"fp": own, "component_id": component}), "simhash-components")
+    components = saved(fingerprint_components(ids, bits).withColumnsRenamed({"fp": own, "component_id": component, "root": root}), "simhash-components")
     first = F.col("doc_id").eqNullSafe(F.col(component))
     kept = prints.join(components, own).where(first)
     light = ids.withColumnRenamed("fp", own).join(components, own).where(first)
-    if light.groupBy(component).count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates([component])
+    if light.groupBy(root).count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates([root])
     return kept.select(*docs.columns)

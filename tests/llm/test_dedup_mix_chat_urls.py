@@ -114,6 +114,15 @@ def test_keep_one(spark):
     assert alone["component_id"] is None
 
 
+def test_keep_one_of_components_that_share_an_id(spark):
+    texts = ["one two three four five six seven eight nine ten", "completely different words here in this text", "a third text that resembles neither of the others at all"]
+    unnamed = [(None, texts[0]), (None, texts[1]), (None, texts[1].upper())]
+    repeated = [(7, texts[0]), (7, texts[1]), (7, texts[1]), (8, texts[2]), (9, texts[2])]
+    for rows, want in ((unnamed, [(None, texts[0]), (None, texts[1])]), (repeated, [(7, texts[0]), (7, texts[1]), (8, texts[2])])):
+        kept = simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert sorted((r["doc_id"], r["text"].lower()) for r in kept.collect()) == sorted(want)
+
+
 def test_poisson_counts_follow_the_distribution(spark):
     import math
 
