@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -63,18 +65,36 @@ def accept(history: list[tuple[float, str]], arrivals: list[tuple[float, str]],
 SCHEMA = "user_id string, id string, point_id string, at double, reason string"
 
 
+DAY_US = 86_400_000_000
+
+
 def rate_limited_batch(events: DataFrame, per_day: int = 50, per_hour: int = 20, cooldown_s: float = 1800) -> DataFrame:
-    """The table form: a fold over each user's events in order of (time, id)."""
+    """The table form: a fold over each user's events in order of (time, id). Events come row by row in order, and only the
+    accepted ones of the last day are held. A user is cut where no event came for over 24 hours: nothing before counts
+    there, so the parts are folded in tasks of their own. A stretch without such a gap is one task's, however long."""
     rows = events.select(F.col("user_id").cast("string").alias("user_id"), F.col("id").cast("string").alias("id"), F.col("point_id").cast("string").alias("point_id"), F.unix_micros(F.col("at").cast("timestamp")).alias("us"))
-    log = F.array_sort(F.collect_list(F.struct("us", "id", "point_id")))
+    rows = rows.withColumn("day", F.expr(f"us div {DAY_US}"))
+    # gaps lie between days that have events, so a user's window has a row a day
+    days = rows.groupBy("user_id", "day").agg(F.min("us").alias("first"), F.max("us").alias("last"))
+    order = Window.partitionBy("user_id").orderBy("day")
+    cut = days.withColumn("cut", F.coalesce((F.col("first") - F.lag("last").over(order) > DAY_US).cast("int"), F.lit(0)))
+    parts = cut.select(F.col("user_id").alias("_user"), F.col("day").alias("_day"), F.sum("cut").over(order).alias("part"))
+    rows = rows.join(parts, F.col("user_id").eqNullSafe(F.col("_user")) & F.col("day").eqNullSafe(F.col("_day")))
 
     def run(batches):
-        for pdf in batches:
-            for user, entries in zip(pdf["user_id"], pdf["log"]):
-                _, reasons = accept([], [(e["us"] / 1e6, e["point_id"]) for e in entries], per_day, per_hour, cooldown_s)
-                yield pd.DataFrame({"user_id": user, "id": [e["id"] for e in entries], "point_id": [e["point_id"] for e in entries], "at": [e["us"] / 1e6 for e in entries], "reason": pd.array(reasons, dtype="object")})
-
-    return rows.groupBy("user_id").agg(log.alias("log")).mapInPandas(run, SCHEMA)
+        now, history = None, []
+        for batch in batches:
+            users, parts, points, us = (batch.column(c).to_pylist() for c in ("user_id", "part", "point_id", "us"))
+            at, told = [x / 1e6 for x in us], []
+            for key, some in groupby(zip(users, parts, at, points), key=lambda r: r[:2]):
+                if key != now:
+                    now, history = key, []
+                history, reasons = accept(history, [r[2:] for r in some], per_day, per_hour, cooldown_s)
+                told += reasons
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("user_id", "id", "point_id")), pa.array(at, pa.float64()), pa.array(told, pa.string())], ["user_id", "id", "point_id", "at", "reason"])
+
+    rows = rows.select("user_id", "part", "us", "id", "point_id").repartition("user_id", "part")
+    return rows.sortWithinPartitions("user_id", "part", "us", "id", "point_id").mapInArrow(run, SCHEMA)
 
 
 def rate_limited(stream: DataFrame, per_day: int = 50, per_hour: int = 20, cooldown_s: float = 1800) -> DataFrame:

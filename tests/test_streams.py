@@ -57,6 +57,26 @@ def test_rate_limits_batch_and_stream(spark, tmp_path):
     assert set(ordered) == set(want) and {k for k, v in ordered.items() if v is None}
 
 
+def test_a_hot_user_is_cut_at_gaps(spark):
+    r = random.Random(5)
+    hot = [T0 + dt.timedelta(days=3 * k, minutes=r.randrange(2000)) for k in range(12) for _ in range(40)]
+    exact = [T0 + dt.timedelta(days=k, microseconds=k // 3) for k in range(6)]  # gaps of 24 hours and of a microsecond more
+    data = [(str(i), u, f"p{r.randrange(2)}", at) for i, (u, at) in enumerate([("hot", t) for t in hot] + [("exact", t) for t in exact] + [(None, t) for t in exact])]
+    df = spark.createDataFrame(data, "id string, user_id string, point_id string, at timestamp")
+    want = by_hand([(at.replace(tzinfo=dt.timezone.utc).timestamp(), i, u, p) for i, u, p, at in data], 12, 4, 1800)
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.execution.arrow.maxRecordsPerBatch": "7"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = E.rate_limited_batch(df, 12, 4, 1800).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(got) == len(data) and {x["id"]: x["reason"] for x in got} == want
+    assert len({x["task"] for x in got if x["user_id"] == "hot"}) > 1
+
+
 def test_repeats_and_bounds(spark, tmp_path):
     data = rows(10)
     late = ("99", "u1", "p1", "k1", 50, 0, T0 - dt.timedelta(days=100), T0, "published")
