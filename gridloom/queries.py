@@ -17,7 +17,7 @@ from gridloom.operators import tables as T
 from gridloom.operators.polygons import connected_components
 from gridloom.plans import ingest as I
 from gridloom.plans import readiness, registry, serials
-from gridloom.sources.sinks import boundary_tiles
+from gridloom.sources.sinks import tile_features, tile_list
 from gridloom.streaming.events import rate_limited_batch
 
 QUERIES: dict = {}
@@ -424,7 +424,7 @@ def dataset_states(spark: SparkSession, d: str) -> DataFrame:
 def tiles(spark: SparkSession, d: str) -> DataFrame:
     x, y = F.col("longitude"), F.col("latitude")
     ring = F.array(*(F.array(x + a * 1e-4, y + b * 1e-4) for a, b in ((0, 0), (1, 0), (1, 1), (0, 1), (0, 0))))
-    return boundary_tiles(V.parks(spark, d).withColumn("polys", F.array(F.array(ring)))).select("tile", "boundaries")
+    return tile_list(tile_features(V.parks(spark, d).withColumn("polys", F.array(F.array(ring))))).select("tile", "boundaries")
 
 
 @query()

@@ -4,34 +4,93 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.geo import tile_key
+from gridloom.functions.session import saved
 from gridloom.operators.polygons import clean_geometry
 
 
-def boundary_tiles(parks: DataFrame) -> DataFrame:
-    """(tile, boundaries, bytes, content_hash, collection): a FeatureCollection as JSON for each quarter degree, ids in
-    order. ``parks``: (id, osm_id, latitude, longitude, polys); polygons that don't clean are left out. A tile is a bounded
-    area, so its collection fits a row."""
+HEAD, TAIL = '{"type":"FeatureCollection","features":[', "]}"
+
+
+def tile_features(parks: DataFrame) -> DataFrame:
+    """(tile, id, feature): a GeoJSON feature for each park. ``parks``: (id, osm_id, latitude, longitude, polys); polygons
+    that don't clean are left out."""
     rows = parks.withColumn("polys", clean_geometry("polys")).where("polys is not null").withColumn("tile", tile_key("latitude", "longitude"))
     geometry = F.when(F.size("polys") == 1, F.concat(F.lit('{"type":"Polygon","coordinates":'), F.to_json(F.get("polys", F.lit(0))), F.lit("}"))).otherwise(
         F.concat(F.lit('{"type":"MultiPolygon","coordinates":'), F.to_json("polys"), F.lit("}"))
     )
     head = F.to_json(F.struct("id", "osm_id"))
-    feature = F.concat(F.lit('{"type":"Feature","properties":'), head, F.lit(',"geometry":'), geometry, F.lit("}"))
-    tiles = rows.select("tile", F.struct("id", feature.alias("f")).alias("x")).groupBy("tile").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    text = F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join("xs.f", ","), F.lit("]}"))
-    tiles = tiles.select("tile", F.size("xs").alias("boundaries"), text.alias("collection"))
-    return tiles.select("tile", "boundaries", F.octet_length("collection").alias("bytes"), F.substring(F.sha2("collection", 256), 1, 12).alias("content_hash"), "collection")
-
-
-def write_boundary_tiles(parks: DataFrame, path: str) -> DataFrame:
-    """Writes a text partition for each tile and returns the list (tile, boundaries, bytes, content_hash)."""
-    tiles = boundary_tiles(parks)
-    tiles.select(F.concat_ws("-", "tile", "content_hash").alias("tile"), F.col("collection").alias("value")).repartition("tile").write.partitionBy("tile").text(path)
-    return tiles.drop("collection")
+    return rows.select("tile", "id", F.concat(F.lit('{"type":"Feature","properties":'), head, F.lit(',"geometry":'), geometry, F.lit("}")).alias("feature"))
+
+
+def tile_list(features: DataFrame) -> DataFrame:
+    """(tile, boundaries, bytes, content_hash) of ``tile_features``, by partial aggregates. ``bytes``: of the tile as one
+    FeatureCollection. Features are hashed, grouped by the first two bytes of their hash, each group's sorted hashes are
+    hashed, and so are a tile's 65,536 groups' hashes."""
+    hashed = features.select("tile", F.sha2("feature", 256).alias("h"), F.octet_length("feature").alias("b"))
+    groups = hashed.groupBy("tile", F.substring("h", 1, 4).alias("g")).agg(F.count(F.lit(1)).alias("n"), F.sum("b").alias("b"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("gh"))
+    sums = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", "gh"))), lambda x: x["gh"]), ""), 256)
+    frame = len(HEAD) + len(TAIL) - 1
+    return groups.groupBy("tile").agg(F.sum("n").alias("boundaries"), (F.sum("b") + F.sum("n") + frame).alias("bytes"), F.substring(sums, 1, 12).alias("content_hash"))
+
+
+def _collections(features: DataFrame, most_bytes: int) -> DataFrame:
+    """(tile, part, collection) of features in order of tile and id: documents of ``most_bytes`` at most, or of one feature."""
+
+    def run(batches):
+        tile, held, size, part = None, [], 0, TaskContext.get().partitionId() << 33
+
+        def told():
+            text = HEAD + ",".join(held) + TAIL
+            return pa.RecordBatch.from_arrays([pa.array([tile], pa.string()), pa.array([part], pa.int64()), pa.array([text], pa.string())], ["tile", "part", "collection"])
+
+        for batch in batches:
+            for t, f in zip(batch.column("tile").to_pylist(), batch.column("feature").to_pylist()):
+                n = len(f.encode()) + 1
+                if held and (t != tile or size + n > most_bytes):
+                    yield told()
+                    held, size, part = [], 0, part + 1
+                if not held:
+                    size = len(HEAD) + len(TAIL) - 1
+                tile, size = t, size + n
+                held.append(f)
+        if held:
+            yield told()
+
+    return features.mapInArrow(run, "tile string, part bigint, collection string")
+
+
+def _tiles(parks: DataFrame, most_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """The tile list and the documents of all tiles."""
+    features = saved(tile_features(parks), "tile-features")
+    told = saved(tile_list(features), "tile-list")
+    # a row a tile: a million quarter degrees at most, whatever the parks
+    sized = features.join(F.broadcast(told.select("tile", (F.col("bytes") > most_bytes).alias("large"))), "tile")
+    small = sized.where(~F.col("large")).repartition("tile").sortWithinPartitions("tile", "id", "feature")
+    large = sized.where("large").repartitionByRange("tile", "id").sortWithinPartitions("tile", "id", "feature")
+    return told, _collections(small, most_bytes).union(_collections(large, most_bytes))
+
+
+def boundary_tiles(parks: DataFrame, most_bytes: int = 16 << 20) -> DataFrame:
+    """(tile, boundaries, bytes, content_hash, part, collection): a FeatureCollection as JSON for each quarter degree, ids
+    in order; ``parks`` as for ``tile_features``. A tile of over ``most_bytes`` has several rows, each a FeatureCollection of
+    its own whose ids follow those of lesser ``part``; boundaries, bytes and hash are the whole tile's."""
+    told, documents = _tiles(parks, most_bytes)
+    return documents.join(F.broadcast(told), "tile").select("tile", "boundaries", "bytes", "content_hash", "part", "collection")
+
+
+def write_boundary_tiles(parks: DataFrame, path: str, most_bytes: int = 16 << 20) -> DataFrame:
+    """Writes a text partition for each tile, a document of ``boundary_tiles`` a line, and returns the list (tile,
+    boundaries, bytes, content_hash)."""
+    told, documents = _tiles(parks, most_bytes)
+    named = documents.join(F.broadcast(told), "tile").select(F.concat_ws("-", "tile", "content_hash").alias("tile"), F.col("collection").alias("value"))
+    named.write.partitionBy("tile").text(path)
+    return told
 
 
 def tiles_of_viewport(south: float, north: float, west: float, east: float) -> list[str]:

@@ -72,3 +72,25 @@ def test_tiles(spark, tmp_path):
     seen = {r["id"]: r["selected"] for r in S.visible_boundaries(df, 41.0, 41.1, 29.0, 29.1, "d").collect()}
     assert seen == {"a": False, "b": False, "c": False, "d": True}
     assert df.select(F.count("id")).first()[0] == 4
+
+
+def test_a_large_tile_is_several_documents(spark, tmp_path):
+    rows = [(f"{i:03}", f"way/{i}", 41.05, 29.05, [SQUARE]) for i in range(40)] + [("x", "way/ş", 38.0, 27.0, [SQUARE])]
+    df = spark.createDataFrame(rows, "id string, osm_id string, latitude double, longitude double, polys array<array<array<array<double>>>>").repartition(4)
+    whole = {r["tile"]: r for r in S.boundary_tiles(df).collect()}
+    assert all(r["bytes"] == len(r["collection"].encode()) for r in whole.values()) and len(whole) == 2
+    parts = sorted(S.boundary_tiles(df, 1000).where("tile = '116-164'").collect(), key=lambda r: r["part"])
+    assert len(parts) > 5 and max(len(r["collection"].encode()) for r in parts) <= 1000
+    ids = [f["properties"]["id"] for r in parts for f in json.loads(r["collection"])["features"]]
+    assert ids == [f"{i:03}" for i in range(40)] and {r["boundaries"] for r in parts} == {40}
+    told = S.write_boundary_tiles(df, str(tmp_path / "t"), 1000).collect()
+    assert {(r["tile"], r["content_hash"]) for r in told} == {(r["tile"], r["content_hash"]) for r in whole.values()}
+    lines = spark.read.text(str(tmp_path / "t")).collect()
+    assert sorted(f["properties"]["id"] for r in lines for f in json.loads(r["value"])["features"]) == [*ids, "x"]
+
+
+def test_tile_query_gathers_no_features(spark, data):
+    from gridloom.queries import QUERIES
+
+    plan = QUERIES["tiles"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
