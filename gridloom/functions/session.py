@@ -1,7 +1,11 @@
-"""Where a job may put intermediate data."""
+"""Where a job may put intermediate data.
+
+Intermediate tables lie below ``spark.checkpoint.dir`` until ``discard`` removes them, or whoever owns that folder does.
+"""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,12 +13,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one where that is unset (local runs, tests)."""
+    """The shared folder of ``spark.checkpoint.dir``. Where that is unset, a temporary one, if driver and executors are one
+    process (local runs, tests); an error on a cluster, whose machines would not see it."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current is None:
         wanted = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(wanted or "file://" + tempfile.mkdtemp(prefix="gridloom-checkpoint-"))
+        if not wanted:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+            wanted = "file://" + tempfile.mkdtemp(prefix="gridloom-checkpoint-")
+        context.setCheckpointDir(wanted)
         current = context.getCheckpointDir()
     return current
 
@@ -24,9 +33,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: cuts lineage and survives lost executors."""
+def saved_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` written as Parquet to the shared folder and read again, and its path."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again: cuts lineage and survives lost executors."""
+    return saved_at(df, name)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a table of ``saved_at`` that no unfinished DataFrame reads."""
+    if not path.startswith(checkpoint_root(spark).rstrip("/") + "/"):
+        raise ValueError(f"{path} is no intermediate table")
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
