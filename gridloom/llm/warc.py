@@ -6,17 +6,23 @@ the row with the largest page id, and revisits of it. Tasks write below the shar
 attempt and return what they wrote; readers open the files that the finished tasks returned, so a repeated or killed
 attempt leaves files that nobody reads.
 
+Which payloads repeat is found on digests and lengths alone. Payloads are written where they were read: the table of
+repeated digests goes to them if it is small, and only a large one makes rows move, by digest and a salt, so that copies
+of one payload spread over tasks.
+
 Defined results: null html is the empty payload; null ids are less than all others, and several rows with the largest id
-are all responses, as a record doesn't revisit itself; line breaks in a url are percent-encoded. Archives are cut at
-``archive_bytes`` of records, so a task holds one archive; a longer record is an archive of its own. If too few records
-come together to train a dictionary, their own bytes serve as one. An empty table writes no archive. Columns other than
-those named are not read, so names cannot clash.
+are all responses, as a record doesn't revisit itself; line breaks in a url are percent-encoded. Ids may be whole numbers
+or strings. Archives are cut at ``archive_bytes`` of records, so a task holds one archive; a longer record is an archive of
+its own. If too few records come together to train a dictionary, their own bytes serve as one. An empty table writes no
+archive. Columns other than those named are not read, so names cannot clash. Archives are the result: they stay in the
+shared folder until the caller removes them.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import re
 import struct
 import uuid
@@ -31,18 +37,29 @@ from gridloom.llm.common import small_batches
 SKIPPABLE = 0x184D2A5D
 #: Records that a dictionary is trained on: spread evenly over the archive.
 TRAINING_BYTES = 2 << 20
+#: A dictionary has at most so many bytes, and at most an eighth of its archive's.
 DICTIONARY_BYTES = 32 << 10
+#: Repeated digests up to which their table is broadcast (under 100 bytes each).
+BROADCAST_DIGESTS = 100_000
+SALTS = 16
+#: Bytes of archives that a task reads, one archive after the other, once all cores have some.
+READ_BYTES = 64 << 20
 
 
-def record_kinds(pages: DataFrame, revisit_from: int = 1000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def record_kinds(pages: DataFrame, revisit_from: int = 1000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_digests: int = BROADCAST_DIGESTS) -> DataFrame:
     """(page_id, url, payload, digest, record_type, refers_to)."""
-    rows = pages.select(
-        F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload")
-    ).withColumn("digest", F.sha1("payload"))
-    long = rows.where(F.octet_length("payload") >= revisit_from)
-    first = long.groupBy("digest").agg(F.max("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload")).withColumn("digest", F.sha1("payload"))
+    long = rows.where(F.octet_length("payload") >= revisit_from).select("page_id", "digest")
+    first = long.groupBy("digest").agg(F.max("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1 and first_id is not null")
+    first = saved(first.select("digest", "first_id"), "warc-repeated")
+    if first.limit(broadcast_digests + 1).count() <= broadcast_digests:
+        joined = rows.join(F.broadcast(first), "digest", "left")
+    else:
+        spread = first.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn("__salt", (F.monotonically_increasing_id() % SALTS).cast("int")).join(spread, ["digest", "__salt"], "left")
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    return rows.join(first, "digest", "left").select(
+    return joined.select(
         "page_id", "url", "payload", "digest",
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
         F.when(revisit, F.col("first_id")).alias("refers_to"),
@@ -61,10 +78,10 @@ def record_bytes(page_id, url: str | None, payload: bytes, digest: str, kind: st
     head = [
         "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {_urn(page_id)}", f"WARC-Date: {date}", f"WARC-Target-URI: {target}",
         "Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}",
-        f"Page-Id: {'' if page_id is None else page_id}",
+        f"Page-Id: {json.dumps(page_id)}",
     ]
     if kind == "revisit":
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_urn(refers_to)}", f"Refers-To-Page: {refers_to}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_urn(refers_to)}", f"Refers-To-Page: {json.dumps(refers_to)}"]
     return "\r\n".join([*head, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
 
 
@@ -74,11 +91,11 @@ def build_dictionary(records: list[bytes]):
 
     total = sum(map(len, records))
     step = max(1, -(-total // TRAINING_BYTES))
-    chosen = records[::step]
+    chosen, size = records[::step], max(256, min(DICTIONARY_BYTES, total // 8))
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, chosen, k=256, d=8, level=3)
+        return zstandard.train_dictionary(size, chosen, k=256, d=8, level=3)
     except zstandard.ZstdError:
-        raw = b"".join(chosen)[:DICTIONARY_BYTES]
+        raw = b"".join(chosen)[:size]
         return zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if len(raw) >= 8 else None
 
 
@@ -169,20 +186,21 @@ def parse_record(record: bytes) -> dict:
     if not revisit and (hashlib.sha1(payload).hexdigest() != digest or len(payload) != int(told["content-length"])):
         raise ValueError(f"damaged payload in {fields['warc-record-id']}")
     return {
-        "page_id": int(fields["page-id"]) if fields["page-id"] else None,
+        "page_id": json.loads(fields["page-id"]),
         "url": fields["warc-target-uri"],
         "payload": None if revisit else payload,
         "payload_bytes": int(told["content-length"]),
         "payload_digest": digest,
         "record_type": fields["warc-type"],
-        "refers_to": int(fields["refers-to-page"]) if revisit else None,
+        "refers_to": json.loads(fields["refers-to-page"]) if revisit else None,
     }
 
 
-def read_archives(archives: DataFrame) -> DataFrame:
-    """The records of the listed archives (column ``path``), payloads verified against their digests."""
-    spark = archives.sparkSession
-    kinds = {"page_id": pa.int64(), "url": pa.string(), "payload": pa.binary(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64()}
+def read_archives(archives: DataFrame, id_type: str = "bigint") -> DataFrame:
+    """The records of the listed archives (columns ``path`` and ``bytes``), payloads verified against their digests.
+    ``id_type``: bigint or string, as the ids were."""
+    ids = {"bigint": pa.int64(), "string": pa.string()}[id_type]
+    kinds = {"page_id": ids, "url": pa.string(), "payload": pa.binary(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": ids}
 
     def read(batches):
         for batch in batches:
@@ -200,8 +218,10 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, pa.schema(kinds.items()))
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    schema = "page_id bigint, url string, payload binary, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
+    sums = archives.agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("b")).first()
+    cores = archives.sparkSession.sparkContext.defaultParallelism
+    parts = max(1, min(sums["n"], max(cores, -(-(sums["b"] or 0) // READ_BYTES))))
+    schema = f"page_id {id_type}, url string, payload binary, payload_bytes bigint, payload_digest string, record_type string, refers_to {id_type}"
     return archives.select("path").repartition(parts).mapInArrow(read, schema)
 
 

@@ -116,6 +116,12 @@ def test_round_trip(spark):
     assert found == [(0, "revisit", 5, 1000), (1, "revisit", 5, 1000), (3, "revisit", 5, 1000), (4, "response", None, 0), (5, "response", None, 1000), (5, "response", None, 1000), (6, "response", None, 5), (7, "response", None, 5), (8, "response", None, 1000)]
     assert all(r["payload_digest"] == hashlib.sha1(long.encode()).hexdigest() for r in back if r["page_id"] in (1, 5))
     assert warc.read_archives(warc.archive_pages(spark, pages.where("false"))).count() == 0
+    # more repeated digests than may be broadcast, and ids that are strings
+    salted = warc.read_archives(warc.archive_pages(spark, pages, broadcast_digests=0)).collect()
+    assert sorted(map(str, salted)) == sorted(map(str, back))
+    named = pages.withColumn("page_id", F.concat(F.lit('"\r\n'), F.col("page_id").cast("string")))
+    told = warc.read_archives(warc.archive_pages(spark, named), "string").collect()
+    assert sorted((r["page_id"] or "", r["refers_to"] or "") for r in told) == sorted((f'"\r\n{r["page_id"]}' if r["page_id"] else "", f'"\r\n{r["refers_to"]}' if r["refers_to"] else "") for r in back)
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
