@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.functions.geo import LAT_M, LON_M, bbox, ring_area
+from gridloom.functions.session import checkpoint_root
 from gridloom.functions.names import has_evidence, name_relationship, parse_name
 from gridloom.functions.text import text
 from gridloom.operators.graph import star_components
@@ -203,7 +204,9 @@ def pair_evidence(records: DataFrame, reach_m: float = 3000, gap_m: float = 1000
     evidence = has_evidence(name_relationship(F.col("a.parsed"), F.col("b.parsed")))
     same_generic = F.col("a.parsed.key") == F.col("b.parsed.key")
     district = F.coalesce(F.nullif("a.district", F.lit("")) == F.nullif("b.district", F.lit("")), F.lit(True))
-    return pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), "r.*", (evidence | same_generic).alias("name_evidence"), district.alias("same_district"))
+    # named apart first: an alias a or b would hide the structs
+    told = pairs.select(F.col("a.id").alias("_a"), F.col("b.id").alias("_b"), "r.*", (evidence | same_generic).alias("name_evidence"), district.alias("same_district"))
+    return told.withColumnsRenamed({"_a": "a", "_b": "b"})
 
 
 def effective_distance(point_m: Column, source_polys: Column, park_polys: Column, gap: Column, to_source: Column, to_park: Column, adjacent_m: float = 15) -> Column:
@@ -280,9 +283,9 @@ def classify_edges(pairs: DataFrame, strict: DataFrame, link_m: float = 20, stri
 
 
 def connected_components(vertices: DataFrame, edges: DataFrame, id_col: str = "id") -> DataFrame:
-    """(id, component) for every vertex; component is the least id of it."""
-    found = star_components(edges.select("a", "b"))
-    return vertices.select(id_col).join(found, F.col(id_col) == F.col("node"), "left").select(id_col, F.coalesce("component", id_col).alias("component"))
+    """(id, component) for every vertex; component is the least id of it. The id column may have any name."""
+    found = star_components(edges.select("a", "b")).toDF("__node", "__component")
+    return vertices.select(id_col).join(found, F.col(id_col) == F.col("__node"), "left").select(id_col, F.coalesce("__component", id_col).alias("component"))
 
 
 def component_groups(components: DataFrame, edges: DataFrame) -> DataFrame:
@@ -338,19 +341,18 @@ def nearest_other_component(pairs: DataFrame, components: DataFrame) -> DataFram
     return ends.groupBy("id").agg(F.min("boundary_gap_m").alias("gap_m"))
 
 
-def flatten_aliases(aliases: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """(retired_id, survivor_id) with every chain followed to its end; an error on a cycle. Chains halve each round."""
+def flatten_aliases(aliases: DataFrame) -> DataFrame:
+    """(retired_id, survivor_id) with every chain followed to its end; an error on a cycle. Followed stretches double each
+    round, so one that is still followed when it is longer than the table has come back to itself."""
+    checkpoint_root(aliases.sparkSession)
     flat = aliases.select("retired_id", "survivor_id").checkpoint()
-    for _ in range(max_rounds):
-        nxt = flat.select(F.col("retired_id").alias("survivor_id"), F.col("survivor_id").alias("_next"))
-        joined = flat.join(nxt, "survivor_id", "left")
-        if joined.where("_next = retired_id or survivor_id = retired_id").limit(1).count():
-            raise ValueError("alias cycle")
-        moving = joined.where("_next is not null").limit(1).count()
-        flat = joined.select("retired_id", F.coalesce("_next", "survivor_id").alias("survivor_id")).checkpoint()
-        if not moving:
+    for _ in range(flat.count().bit_length() + 1):
+        onward = flat.select(F.col("retired_id").alias("survivor_id"), F.col("survivor_id").alias("_next"))
+        joined = flat.join(onward, "survivor_id", "left").select("retired_id", F.coalesce("_next", "survivor_id").alias("survivor_id"), F.col("_next").isNotNull().alias("moves")).checkpoint()
+        flat = joined.select("retired_id", "survivor_id")
+        if not joined.where("moves").limit(1).count():
             return flat
-    raise ValueError("alias cycle or a chain beyond the limit")
+    raise ValueError("alias cycle")
 
 
 def audit_connectivity(clusters: DataFrame, edges: DataFrame) -> DataFrame:

@@ -143,7 +143,8 @@ def cross_resource_duplicates(records: DataFrame, close_m: float = 30, strong_m:
     reasons = F.array_compact(F.array(
         F.when(F.col("distance_m") <= close_m, "very_close"), F.when(strong, "strong_name_nearby"), F.when(inside, "point_inside_other_polygon"),
     ))
-    return pairs.select(F.col("a.key").alias("a"), F.col("b.key").alias("b"), "distance_m", reasons.alias("reasons")).where("size(reasons) > 0")
+    told = pairs.select(F.col("a.key").alias("_a"), F.col("b.key").alias("_b"), "distance_m", reasons.alias("reasons")).where("size(reasons) > 0")
+    return told.withColumnsRenamed({"_a": "a", "_b": "b"})
 
 
 def duplicate_guard(candidates: DataFrame, metres: float, id_col: str = "external_id") -> DataFrame:

@@ -16,6 +16,7 @@ POLY = "array<array<array<array<double>>>>"
 
 
 def box(x, y, w, h):
+    x, y = float(x), float(y)
     return [[[[x, y], [x + w, y], [x + w, y + h], [x, y + h], [x, y]]]]
 
 
@@ -103,7 +104,7 @@ def test_aliases(spark):
     flat = P.flatten_aliases(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("x", "y")], "retired_id string, survivor_id string"))
     assert dict(map(tuple, flat.select("retired_id", "survivor_id").collect())) == {"a": "d", "b": "d", "c": "d", "x": "y"}
     with pytest.raises(ValueError):
-        P.flatten_aliases(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "retired_id string, survivor_id string"))
+        P.flatten_aliases(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "a")], "retired_id string, survivor_id string"))
 
 
 def test_shapes(spark):
