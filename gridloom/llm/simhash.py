@@ -2,12 +2,16 @@
 
 Fingerprints of 64 bits are cut into four blocks of 16. Two fingerprints that differ in at most ``4 * r + 3`` bits
 differ in at most ``r`` bits of some block, so linked pairs lie within radius ``r`` in the Hamming metric of a block.
-Each block has a vantage-point tree over its values: a node's vantage value sends values within the median distance to
-one side and the others to the other side; a leaf is a shard. Every fingerprint is filed in one shard a block, and also
-asks the shards beyond a boundary that its ball overlaps, found by descending with the triangle bounds. Inside a shard
+Each block has a vantage-point tree over the values that the fingerprints have there, weighed by how many have them: a
+node's vantage value sends values within the median distance to one side and the others to the other side, until a leaf
+has few fingerprints or one value. So depth follows the data. A leaf is a shard. Every fingerprint is filed in one shard a
+block, and also asks the later shards that its ball overlaps, found by descending with the triangle bounds. Inside a shard
 all pairs are compared exactly over the 64 bits, by a bounded matrix or, when the shard is large, through the values of
-the three other blocks (to which the same argument applies). A shard returns a spanning forest of its links, not pairs;
-components of the forest are those of all links.
+the three other blocks: a pair that is near in the shard's block differs in at most ``bits // 3`` bits of one of these.
+A shard returns a spanning forest of its links, not pairs; components of the forest are those of all links.
+
+Trees are built from a histogram of block values (4 x 65,536 counts at most, whatever the data), the only thing that the
+driver sees of the fingerprints.
 
 Defined results: equal fingerprints are one class, so copies cost one row; null and wordless texts have fingerprint
 zero and are linked like any other; rows with a null id take part and get the component's least non-null id (null if
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.session import saved
 from gridloom.llm.common import free_name, small_batches
-from gridloom.operators.graph import star_components
+from gridloom.operators.graph import hot_limit, join_counted, star_components
 
 BLOCKS, WIDTH = 4, 16
 VALUES = 1 << WIDTH
@@ -35,6 +39,10 @@ VALUES = 1 << WIDTH
 CHUNK = 1 << 15
 #: Comparisons made at a time, and up to which a shard is compared by a matrix.
 CELLS = 1 << 22
+#: Fingerprints of a leaf: a 256th of all, but no fewer and no more than these.
+LEAF = (2_000, 200_000)
+#: Dropped rows up to which their keys are broadcast (some 60 bytes each).
+BROADCAST_ROWS = 500_000
 
 
 def fingerprint_of(raw: bytes, words_per_shingle: int = 4, seed: int = 42) -> int:
@@ -73,48 +81,56 @@ def simhash(text: Column, words_per_shingle: int = 4, seed: int = 42) -> Column:
 
 
 class BlockTree:
-    """Vantage-point tree over the 2^16 values of a block. ``home``: the leaf of each value. ``asked``: for each value,
-    the later leaves that hold a value within the radius (the earlier ones ask back)."""
+    """Vantage-point tree over the values of a block and how many fingerprints have each. ``home``: the leaf of a value.
+    ``asked``: for each value, the later leaves that hold a value within the radius (the earlier ones ask back).
+    ``sizes``: fingerprints of each leaf."""
 
-    def __init__(self, radius: int, leaf_values: int = 64, seed: int = 7):
+    def __init__(self, values: np.ndarray, counts: np.ndarray, radius: int, leaf: int, seed: int = 7):
         rng = np.random.default_rng(seed)
-        everything = np.arange(VALUES, dtype=np.uint32)
-        self.home = np.zeros(VALUES, np.int32)
-        visits: list[tuple[np.ndarray, int]] = []
-        self.leaves = 0
-        stack = [(everything, everything)]  # the node's own values; the values whose ball may reach it
+        weight = np.zeros(VALUES, np.int64)
+        weight[values] = counts
+        self.home, sizes = np.zeros(VALUES, np.int32), []
+        masks = _masks(radius)
+        visits: list[tuple[np.ndarray, int]] = [(np.zeros(0, np.int64), 0)]
+        stack = [(values, values)] if len(values) else []  # the node's own values; the values whose ball may reach it
         while stack:
             own, asking = stack.pop()
-            if len(own) <= leaf_values:
-                self.home[own] = self.leaves
-                near = np.bitwise_count(asking[:, None] ^ own[None, :]).min(axis=1) <= radius
-                visits.append((asking[near], self.leaves))
-                self.leaves += 1
+            size = int(weight[own].sum())
+            if size <= leaf or len(own) == 1:
+                self.home[own] = len(sizes)
+                member = np.zeros(VALUES, bool)
+                member[own] = True
+                visits.append((asking[member[asking[:, None] ^ masks].any(axis=1)], len(sizes)))
+                sizes.append(size)
                 continue
             vantage = own[rng.integers(len(own))]
             distance = np.bitwise_count(own ^ vantage)
-            cut = int(np.median(distance))
+            spread = np.cumsum(np.bincount(distance, weight[own]))
+            cut = int(np.searchsorted(spread, spread[-1] / 2))
             if not (distance > cut).any():
-                cut -= 1
+                cut = int(distance.max()) - 1
             ask = np.bitwise_count(asking ^ vantage).astype(np.int64)
             stack.append((own[distance > cut], asking[ask + radius > cut]))
             stack.append((own[distance <= cut], asking[ask - radius <= cut]))
-        values = np.concatenate([v for v, _ in visits])
+        found = np.concatenate([v for v, _ in visits])
         leaves = np.concatenate([np.full(len(v), n, np.int32) for v, n in visits])
-        later = leaves > self.home[values]
-        values, leaves = values[later], leaves[later]
-        order = np.argsort(values, kind="stable")
-        self.asked = leaves[order]
-        self.start = np.concatenate(([0], np.cumsum(np.bincount(values, minlength=VALUES))))
+        later = leaves > self.home[found]
+        found, leaves = found[later], leaves[later]
+        self.asked = leaves[np.argsort(found, kind="stable")]
+        self.start = np.concatenate(([0], np.cumsum(np.bincount(found, minlength=VALUES))))
+        self.sizes = np.array(sizes, np.int64)
 
     def asks(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index into ``values`` and leaf of every question."""
         return _ranges(self.start[values], self.start[values + 1], self.asked)
 
 
-@lru_cache(maxsize=4)
-def tree(radius: int) -> BlockTree:
-    return BlockTree(radius)
+def block_trees(slots: np.ndarray, counts: np.ndarray, bits: int, leaf: int | None = None) -> list[BlockTree]:
+    """The trees of a histogram: ``slots`` are block * 65,536 + value."""
+    if leaf is None:
+        leaf = int(np.clip(counts.sum() // BLOCKS // 256, *LEAF))
+    own = [slots >> WIDTH == b for b in range(BLOCKS)]
+    return [BlockTree(slots[o] & (VALUES - 1), counts[o], bits // BLOCKS, leaf) for o in own]
 
 
 def _ranges(low: np.ndarray, high: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,16 +152,17 @@ def _masks(radius: int) -> np.ndarray:
 
 
 class Shard:
-    """The fingerprints filed in a shard, and the forest of their links."""
+    """The fingerprints filed in a shard of a block, and the forest of their links."""
 
-    def __init__(self, filed: np.ndarray, bits: int):
-        self.filed, self.bits, self.radius = filed, bits, bits // BLOCKS
+    def __init__(self, filed: np.ndarray, bits: int, block: int):
+        self.filed, self.bits = filed, bits
         self.parent = list(range(len(filed)))
-        self.index: list[tuple[np.ndarray, np.ndarray]] = []
+        self.index: list[tuple[int, np.ndarray, np.ndarray]] = []
         if len(filed) > 4096:
             for b in range(BLOCKS):
-                v = _block(filed, b)
-                self.index.append((np.argsort(v, kind="stable"), np.concatenate(([0], np.cumsum(np.bincount(v, minlength=VALUES))))))
+                if b != block:
+                    v = _block(filed, b)
+                    self.index.append((b, np.argsort(v, kind="stable"), np.concatenate(([0], np.cumsum(np.bincount(v, minlength=VALUES))))))
 
     def root(self, i: int) -> int:
         parent = self.parent
@@ -162,9 +179,9 @@ class Shard:
                 q, h = np.nonzero(np.bitwise_count(asking[at : at + step, None] ^ self.filed[None, :]) <= self.bits)
                 yield q + at, h
             return
-        for b, (order, start) in enumerate(self.index):  # one block is near by the shard; so is one of the others
+        for b, order, start in self.index:
             values = _block(asking, b)
-            for mask in _masks(self.radius):
+            for mask in _masks(self.bits // (BLOCKS - 1)):
                 low, high = start[values ^ mask], start[(values ^ mask) + 1]
                 at, total = 0, np.cumsum(high - low)
                 while at < len(asking):
@@ -200,17 +217,18 @@ class Shard:
         return np.stack([self.filed[other], self.filed[roots[other]]])
 
 
-def _filing(prints: np.ndarray, bits: int, splits: dict[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Shard, role (0 filed, 1 asking) and fingerprint of every row of ``prints``. A shard over the size limit is cut
-    into parts: a fingerprint is filed in one part by its hash and asks the later parts; a question goes to all."""
-    t = tree(bits // BLOCKS)
-    for b in range(BLOCKS):
+def _filing(prints: np.ndarray, trees: list[BlockTree], splits: dict[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Shard, role (0 filed, 1 asking) and fingerprint of every row of ``prints``. A shard over the size limit (of one
+    value) is cut into parts: a fingerprint is filed in one part by its hash and asks the later parts; a question goes to
+    all."""
+    first = 0
+    for b, t in enumerate(trees):
         values = _block(prints, b)
         rows = [(t.home[values].astype(np.int64), 0, prints)]
         q, leaf = t.asks(values)
         rows.append((leaf.astype(np.int64), 1, prints[q]))
         for leaf, role, p in rows:
-            shard = leaf + b * t.leaves
+            shard = leaf + first
             cut = np.isin(shard, list(splits)) if splits else np.zeros(len(shard), bool)
             yield shard[~cut] << 20, np.full((~cut).sum(), role, np.int8), p[~cut]
             for s in np.unique(shard[cut]).tolist():
@@ -221,34 +239,45 @@ def _filing(prints: np.ndarray, bits: int, splits: dict[int, int]) -> Iterator[t
                         yield np.full((home == k).sum(), (s << 20) + k), np.zeros((home == k).sum(), np.int8), own[home == k]
                     asks = own[home < k] if role == 0 else own
                     yield np.full(len(asks), (s << 20) + k), np.ones(len(asks), np.int8), asks
+        first += len(t.sizes)
 
 
-def fingerprint_links(prints: DataFrame, bits: int = 4, shard_limit: int = 200_000) -> DataFrame:
+def fingerprint_links(prints: DataFrame, bits: int = 4, shard_limit: int = 200_000, leaf: int | None = None) -> DataFrame:
     """Links (a, b) between the distinct fingerprints in column ``fp`` that differ in 1 to ``bits`` bits: a spanning
-    forest of every component. ``shard_limit``: fingerprints filed in one task; larger shards are cut into parts."""
+    forest of every component. ``shard_limit``: fingerprints filed in one task; larger shards are cut into parts.
+    ``leaf``: fingerprints up to which a tree's node is a leaf, by default as ``LEAF`` says."""
 
     def count(batches):
-        t = tree(bits // BLOCKS)
-        total = np.zeros(BLOCKS * t.leaves, np.int64)
+        total = np.zeros(BLOCKS * VALUES, np.int64)
         for batch in batches:
             p = batch.column(0).to_numpy().view(np.uint64)
             for b in range(BLOCKS):
-                total[b * t.leaves : (b + 1) * t.leaves] += np.bincount(t.home[_block(p, b)], minlength=t.leaves)
+                total[b * VALUES : (b + 1) * VALUES] += np.bincount(_block(p, b), minlength=VALUES)
         some = np.nonzero(total)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["shard", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["slot", "n"])
 
     prints = prints.select("fp")
-    sizes = prints.mapInArrow(count, "shard bigint, n bigint").groupBy("shard").agg(F.sum("n").alias("n"))
-    # as many rows at most as the four trees have leaves, whatever the data
-    splits = {r["shard"]: -(-r["n"] // shard_limit) for r in sizes.where(F.col("n") > shard_limit).collect()}
+    # as many rows at most as the four blocks have values, whatever the data
+    histogram = prints.mapInArrow(count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).orderBy("slot").toArrow()
+    trees = block_trees(histogram["slot"].to_numpy(), histogram["n"].to_numpy(), bits, leaf)
+    sizes = np.concatenate([t.sizes for t in trees])
+    splits = {int(s): -(-int(sizes[s]) // shard_limit) for s in np.nonzero(sizes > shard_limit)[0]}
+    ends = np.cumsum([len(t.sizes) for t in trees])
+    shared = prints.sparkSession.sparkContext.broadcast((trees, splits))  # some megabytes at most, see above
 
     def file(batches):
+        trees, splits = shared.value
         for batch in batches:
             p = batch.column(0).to_numpy().view(np.uint64)
             for at in range(0, len(p), 4096):
-                for shard, role, own in _filing(p[at : at + 4096], bits, splits):
+                for shard, role, own in _filing(p[at : at + 4096], trees, splits):
                     yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(role), pa.array(own.view(np.int64))], ["shard", "role", "fp"])
 
+    def whole(filed, shard):
+        made = Shard(np.concatenate(filed), bits, int(np.searchsorted(ends, shard >> 20, "right")))
+        made.join_filed()
+        return made
+
     def search(batches):
         filed: list[np.ndarray] = []
         shard, now = None, -1
@@ -260,21 +289,19 @@ def fingerprint_links(prints: DataFrame, bits: int = 4, shard_limit: int = 200_0
                 if a == b:
                     continue
                 if s[a] != now:
-                    yield from done(shard, filed)
+                    yield from done(shard, filed, now)
                     filed, shard, now = [], None, s[a]
                 if role[a] == 0:
                     filed.append(p[a:b])
                 elif filed or shard:
                     if shard is None:
-                        shard, filed = Shard(np.concatenate(filed), bits), []
-                        shard.join_filed()
+                        shard, filed = whole(filed, now), []
                     yield from told(shard.links(p[a:b]))
-        yield from done(shard, filed)
+        yield from done(shard, filed, now)
 
-    def done(shard, filed):
+    def done(shard, filed, now):
         if shard is None and filed:
-            shard = Shard(np.concatenate(filed), bits)
-            shard.join_filed()
+            shard = whole(filed, now)
         if shard is not None:
             yield from told(shard.forest())
 
@@ -291,34 +318,52 @@ def fingerprint_links(prints: DataFrame, bits: int = 4, shard_limit: int = 200_0
 
 
 def fingerprint_components(prints: DataFrame, bits: int = 4) -> DataFrame:
-    """(fp, root, component_id) for a stored table (doc_id, fp): component_id is the least doc_id reachable by links (null
-    if all are null, and shared by components that have rows of one id); root, the least fingerprint, tells components
-    apart."""
-    classes = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-classes")
+    """(fp, n, root, component_id), stored, for a stored table (doc_id, fp): n rows have the fingerprint; component_id is
+    the least doc_id reachable by links (null if all are null, and shared by components that have rows of one id); root, the
+    least fingerprint, tells components apart."""
+    classes = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")), "simhash-classes")
     nodes = star_components(fingerprint_links(classes, bits))
-    least = nodes.join(classes, nodes["node"] == classes["fp"]).groupBy("component").agg(F.min("first_id").alias("least_id"))
-    linked = nodes.join(least, "component").select(F.col("node").alias("fp"), "component", "least_id")
-    return classes.join(linked, "fp", "left").select(
-        "fp", F.coalesce("component", "fp").alias("root"), F.coalesce("least_id", "first_id").alias("component_id")
-    )
+    members = nodes.join(classes.select("fp", "first_id"), nodes["node"] == classes["fp"]).select("fp", "first_id", "component")
+    least = members.groupBy("component").agg(F.min("first_id").alias("least_id"), F.count(F.lit(1)).alias("n"))
+    linked = join_counted(members, least, "component", hot_limit(nodes.count())).select("fp", "component", "least_id")
+    return saved(classes.join(linked, "fp", "left").select(
+        "fp", "n", F.coalesce("component", "fp").alias("root"), F.coalesce("least_id", "first_id").alias("component_id")
+    ), "simhash-components")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 4, bits: int = 4) -> DataFrame:
     """(doc_id, fp, component_id) for every row."""
     prints = saved(small_batches(docs).select(F.col(id_col).alias("doc_id"), simhash(F.col(text_col), words_per_shingle).alias("fp")), "simhash-prints")
-    return prints.join(fingerprint_components(prints, bits), "fp").select("doc_id", "fp", "component_id")
+    return join_counted(prints, fingerprint_components(prints, bits), "fp", hot_limit(prints.count())).select("doc_id", "fp", "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, words_per_shingle: int = 4, bits: int = 4) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, words_per_shingle: int = 4, bits: int = 4, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row of each component, of its least doc_id (null if the component has no other). Components that share an id,
-    or have none, each keep their row."""
-    own, component, root = free_name(docs, "fp"), free_name(docs, "component_id"), free_name(docs, "root")
-    prints = saved(small_batches(docs).withColumn(own, simhash(F.col("text"), words_per_shingle)), "simhash-documents")
-    ids = prints.select("doc_id", F.col(own).alias("fp"))
-    components = saved(fingerprint_components(ids, bits).withColumnsRenamed({"fp": own, "component_id": component, "root": root}), "simhash-components")
-    first = F.col("doc_id").eqNullSafe(F.col(component))
-    kept = prints.join(components, own).where(first)
-    light = ids.withColumnRenamed("fp", own).join(components, own).where(first)
-    if light.groupBy(root).count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates([root])
+    or have none, each keep their row.
+
+    Decided on (doc_id, hash of the text) alone; texts stay where they are unless more rows go than may be broadcast."""
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    prints = saved(small_batches(docs).select("doc_id", key.alias("h"), simhash(F.col("text"), words_per_shingle).alias("fp")), "simhash-prints")
+    found = join_counted(prints, fingerprint_components(prints.select("doc_id", "fp"), bits), "fp", hot_limit(prints.count()))
+    pairs = found.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("times"), F.first("root").alias("root"), F.first("component_id").alias("component_id"))
+    pairs = saved(pairs, "simhash-pairs")
+    least = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    keepers = pairs.where(least).groupBy("root").agg(F.min("h").alias("keeper"))
+    judged = saved(pairs.select("doc_id", "h", "times", "root", least.alias("least")).join(keepers.withColumnRenamed("root", "_root"), (F.col("root") == F.col("_root")) & F.col("least"), "left"), "simhash-judged")
+    stays = F.col("least") & (F.col("h") == F.col("keeper"))
+    own, number = free_name(docs, "h"), free_name(docs, "n")
+    hashed = docs.withColumn(own, key)
+
+    def matched(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        small = keys.limit(broadcast_rows + 1).count() <= broadcast_rows
+        k = keys.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"))
+        return rows.join(F.broadcast(k) if small else k, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col(own) == F.col("__h")), how)
+
+    # a row that comes once is let through; of those that come several times, one is picked
+    repeated = judged.where(stays & (F.col("times") > 1)).select("doc_id", "h")
+    kept = matched(hashed, judged.where(~F.coalesce(stays & (F.col("times") == 1), F.lit(False))).select("doc_id", "h"), "left_anti")
+    if repeated.limit(1).count():
+        row = F.struct(*hashed.columns)
+        some = matched(hashed, repeated, "left_semi").groupBy(F.col("doc_id").alias("__id"), F.col(own).alias("__h")).agg(F.min_by(row, F.xxhash64(row)).alias(number)).select(f"{number}.*")
+        kept = kept.unionByName(some)
     return kept.select(*docs.columns)

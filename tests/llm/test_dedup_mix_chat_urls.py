@@ -44,8 +44,8 @@ def test_query_against_brute_force(spark, data):
         assert (r["fingerprint"], r["component_id"]) == (f"{prints[r['doc_id']]:016x}", component[r["doc_id"]])
 
 
-@pytest.mark.parametrize("bits,limit", [(4, 200_000), (4, 7), (3, 5), (7, 50)])
-def test_planted_links(spark, bits, limit, monkeypatch):
+@pytest.mark.parametrize("bits,limit,leaf", [(4, 200_000, None), (4, 3, 1), (3, 5, 9), (7, 50, 20)])
+def test_planted_links(spark, bits, limit, leaf):
     r = random.Random(bits * limit)
     prints = set()
     for _ in range(60):
@@ -58,7 +58,7 @@ def test_planted_links(spark, bits, limit, monkeypatch):
     prints |= {0, 1, (1 << 64) - 1}
     signed = [(i, int(np.array([p], np.uint64).view(np.int64)[0])) for i, p in enumerate(sorted(prints))]
     df = spark.createDataFrame(signed, "doc_id long, fp long")
-    links = simhash.fingerprint_links(df, bits, limit).collect()
+    links = simhash.fingerprint_links(df, bits, limit, leaf).collect()
     own = {f: i for i, f in signed}
     parent = {i: i for i, _ in signed}
 
@@ -82,8 +82,8 @@ def test_large_shards_are_searched_exactly():
     filed = np.unique(np.concatenate([base, base ^ flips[:, 0] ^ flips[:, 1], base ^ flips[:, 2]]))
     block = np.uint64(0xFFFF)
     filed = np.unique(filed & ~block)  # one block near, as in a shard
-    large, small = simhash.Shard(filed, 4), simhash.Shard(filed[:4000], 4)
-    assert large.index and not small.index
+    large, small = simhash.Shard(filed, 4, 0), simhash.Shard(filed[:4000], 4, 0)
+    assert len(large.index) == 3 and not small.index
     want = set()
     for at in range(0, len(filed), 256):
         q, h = np.nonzero(np.bitwise_count(filed[at : at + 256, None] ^ filed[None]) <= 4)
@@ -92,23 +92,26 @@ def test_large_shards_are_searched_exactly():
     assert got == want
 
 
-def test_tree_finds_every_neighbour():
-    t = simhash.tree(1)
-    r = random.Random(0)
-    for _ in range(300):
-        v = r.randrange(1 << 16)
-        for w in [v] + [v ^ 1 << b for b in range(16)]:
-            a, b = t.home[v], t.home[w]
-            q, leaf = t.asks(np.array([v, w]))
-            assert a == b or (b in leaf[q == 0] if a < b else a in leaf[q == 1])
+@pytest.mark.parametrize("radius,leaf", [(1, 1), (1, 40), (2, 300)])
+def test_tree_finds_every_neighbour(radius, leaf):
+    rng = np.random.default_rng(leaf)
+    values = np.unique(np.concatenate([rng.integers(0, 1 << 16, 3000), 0xABC ^ (1 << np.arange(16)), [0, 0xFFFF]]))
+    counts = rng.integers(1, 50, len(values))
+    t = simhash.BlockTree(values, counts, radius, leaf)
+    assert t.sizes.sum() == counts.sum() and (t.sizes <= max(leaf, 49)).all()
+    present, near = set(values.tolist()), [m for m in range(1 << 16) if m.bit_count() <= radius]
+    for v in values[:: max(1, len(values) // 200)].tolist():
+        leaves = {int(t.home[v ^ m]) for m in near if v ^ m in present}
+        assert set(t.asks(np.array([v]))[1].tolist()) == {x for x in leaves if x > t.home[v]}
 
 
 def test_keep_one(spark):
     text = "one two three four five six seven eight nine ten"
     rows = [(3, text, 0), (1, text, 0), (1, text, 0), (2, "completely different words here in this text", 0), (None, text, 0), (4, None, 0), (5, "", 0), (6, text.upper(), 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, fp int")
-    kept = simhash.keep_one_of_each(df)
-    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 4]
+    for limit in (0, 100):
+        kept = simhash.keep_one_of_each(df, broadcast_rows=limit)
+        assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 4]
     assert simhash.near_duplicates(df.where("false")).count() == 0
     alone = simhash.near_duplicates(df.where("doc_id is null")).first()
     assert alone["component_id"] is None
