@@ -33,8 +33,9 @@ def fold_of(id_col: Column, folds: int = 4) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % folds
 
 
-def bounded_sample(df: DataFrame, id_col: str, rows: int) -> DataFrame:
-    """At most about ``rows`` rows (all rows of the ids with the least hashes), read in two passes so that only ids are
-    ranked. The bound on ids makes the broadcast safe."""
-    ids = df.select(F.col(id_col).alias("__id")).distinct().orderBy(F.xxhash64("__id", F.lit(17)), "__id").limit(rows)
-    return df.join(F.broadcast(ids), F.col(id_col) == F.col("__id"), "left_semi")
+def bounded_sample(df: DataFrame, rows: int) -> DataFrame:
+    """At most ``rows`` different rows, those with the least hashes, with their hash as ``__h``. Read in two passes, so that
+    only hashes are ranked and broadcast; equal rows count once, however often they come."""
+    keyed = df.withColumn("__h", F.xxhash64(*df.columns))
+    chosen = keyed.select("__h").distinct().orderBy(F.xxhash64("__h", F.lit(17)), "__h").limit(rows)
+    return keyed.join(F.broadcast(chosen), "__h").dropDuplicates(["__h"])

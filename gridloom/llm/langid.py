@@ -44,6 +44,11 @@ def _subwords(raw: np.ndarray, size: int) -> np.ndarray:
     return (key * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
 
 
+def softmax(z: np.ndarray) -> np.ndarray:
+    z = np.exp(z - z.max(axis=1, keepdims=True))
+    return z / z.sum(axis=1, keepdims=True)
+
+
 @dataclass
 class LanguageModel:
     labels: list[str]
@@ -54,6 +59,10 @@ class LanguageModel:
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Probabilities of the texts that lie in ``data`` (bytes) between ``offsets``."""
+        return softmax(self.mean_logits(data, offsets) / self.temperature)
+
+    def mean_logits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """What the softmax is taken of, but for the temperature."""
         texts = len(offsets) - 1
         total = np.zeros((texts, len(self.labels)))
         seen = np.zeros(texts, np.int64)
@@ -74,9 +83,7 @@ class LanguageModel:
                     over = edges[1:] - k - low
                     rows[over[(over >= 0) & (over < high - low)]] = 0
                 total[first + full] += np.add.reduceat(rows, starts, axis=0, dtype=np.float64)
-        z = (total / np.maximum(seen, 1)[:, None] + self.bias) / self.temperature
-        z = np.exp(z - z.max(axis=1, keepdims=True))
-        return z / z.sum(axis=1, keepdims=True)
+        return total / np.maximum(seen, 1)[:, None] + self.bias
 
 
 def _has_letter(raw: bytes) -> bool:
@@ -118,10 +125,9 @@ def train(texts: list[str], langs: list[str], dimensions: int = 16, epochs: int
     kept = [i for i in range(len(raws)) if i % 4 == 3] if len(raws) >= 8 else fit
     data = np.concatenate([raws[i] for i in kept]) if kept else np.zeros(0, np.uint8)
     offsets = np.concatenate(([0], np.cumsum([len(raws[i]) for i in kept]))).astype(np.int64)
-    best = None
+    best, z = None, model.mean_logits(data, offsets)
     for t in np.geomspace(0.05, 4, 24):
-        model.temperature = float(t)
-        p = model.scores(data, offsets)
+        p = softmax(z / t)
         loss = -np.log(np.maximum(p[np.arange(len(kept)), target[kept]], 1e-12)).mean()
         if best is None or loss < best[0]:
             best = loss, float(t), p
@@ -136,8 +142,7 @@ def fit_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(
         (fold_of(F.col("id")) != held_out) & F.col("lang").isNotNull() & (F.length("text").between(1, max_chars))
     )
-    found = bounded_sample(known, "id", rows).select("id", "text", "lang").collect()
-    found = sorted(found, key=lambda r: (r["id"] * 0x9E3779B97F4A7C15 % (1 << 64), r["lang"], r["text"]))[: 2 * rows]
+    found = sorted(bounded_sample(known, rows).select("text", "lang", "__h").collect(), key=lambda r: r["__h"])
     return train([r["text"] for r in found], [r["lang"] for r in found], **options)
 
 

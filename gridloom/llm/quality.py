@@ -168,10 +168,10 @@ def fit_quality_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id"
         return pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
 
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("good"))
-    known = bounded_sample(known, "doc_id", rows).select(F.col("doc_id").alias("id"), "good")
+    known = known.select(F.col("doc_id").alias("id"), "good").orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").limit(rows)
     picked = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id")
-    found = picked.select("id", "good", F.arrow_udf(features, "array<double>")("text").alias("x")).collect()
-    found = sorted(found, key=lambda r: (r["id"] * 0x9E3779B97F4A7C15 % (1 << 64), r["x"]))[: 2 * rows]
+    found = bounded_sample(picked, rows).select("good", "__h", F.arrow_udf(features, "array<double>")("text").alias("x")).collect()
+    found = sorted(found, key=lambda r: r["__h"])
     if not found:
         return None
     return train(np.array([r["x"] for r in found]), np.array([float(r["good"] > 0) for r in found]), good_loss)
