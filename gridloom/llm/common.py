@@ -35,7 +35,8 @@ def fold_of(id_col: Column, folds: int = 4) -> Column:
 
 def bounded_sample(df: DataFrame, rows: int) -> DataFrame:
     """At most ``rows`` different rows, those with the least hashes, with their hash as ``__h``. Read in two passes, so that
-    only hashes are ranked and broadcast; equal rows count once, however often they come."""
+    only hashes are ranked and broadcast. Equal rows share a hash: callers keep one of each by ``dropDuplicates(["__h"])``
+    once a row is as small as it gets."""
     keyed = df.withColumn("__h", F.xxhash64(*df.columns))
     chosen = keyed.select("__h").distinct().orderBy(F.xxhash64("__h", F.lit(17)), "__h").limit(rows)
-    return keyed.join(F.broadcast(chosen), "__h").dropDuplicates(["__h"])
+    return keyed.join(F.broadcast(chosen), "__h")

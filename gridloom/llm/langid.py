@@ -142,7 +142,7 @@ def fit_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(
         (fold_of(F.col("id")) != held_out) & F.col("lang").isNotNull() & (F.length("text").between(1, max_chars))
     )
-    found = sorted(bounded_sample(known, rows).select("text", "lang", "__h").collect(), key=lambda r: r["__h"])
+    found = sorted(bounded_sample(known, rows).select("text", "lang", "__h").dropDuplicates(["__h"]).collect(), key=lambda r: r["__h"])
     return train([r["text"] for r in found], [r["lang"] for r in found], **options)
 
 

@@ -349,8 +349,10 @@ def keep_one_of_each(docs: DataFrame, words_per_shingle: int = 4, bits: int = 4,
     pairs = saved(pairs, "simhash-pairs")
     least = F.col("doc_id").eqNullSafe(F.col("component_id"))
     keepers = pairs.where(least).groupBy("root").agg(F.min("h").alias("keeper"))
-    judged = saved(pairs.select("doc_id", "h", "times", "root", least.alias("least")).join(keepers.withColumnRenamed("root", "_root"), (F.col("root") == F.col("_root")) & F.col("least"), "left"), "simhash-judged")
-    stays = F.col("least") & (F.col("h") == F.col("keeper"))
+    # only rows of the least id can stay, so a large component doesn't gather at its root
+    first = pairs.where(least).join(keepers, "root").select("doc_id", "h", "times", (F.col("h") == F.col("keeper")).alias("stays"))
+    judged = saved(first.unionByName(pairs.where(~least).select("doc_id", "h", "times", F.lit(False).alias("stays"))), "simhash-judged")
+    stays = F.col("stays")
     own, number = free_name(docs, "h"), free_name(docs, "n")
     hashed = docs.withColumn(own, key)
 
@@ -361,7 +363,7 @@ def keep_one_of_each(docs: DataFrame, words_per_shingle: int = 4, bits: int = 4,
 
     # a row that comes once is let through; of those that come several times, one is picked
     repeated = judged.where(stays & (F.col("times") > 1)).select("doc_id", "h")
-    kept = matched(hashed, judged.where(~F.coalesce(stays & (F.col("times") == 1), F.lit(False))).select("doc_id", "h"), "left_anti")
+    kept = matched(hashed, judged.where(~(stays & (F.col("times") == 1))).select("doc_id", "h"), "left_anti")
     if repeated.limit(1).count():
         row = F.struct(*hashed.columns)
         some = matched(hashed, repeated, "left_semi").groupBy(F.col("doc_id").alias("__id"), F.col(own).alias("__h")).agg(F.min_by(row, F.xxhash64(row)).alias(number)).select(f"{number}.*")
