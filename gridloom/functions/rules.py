@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gridloom.functions.geo import cosine_m
-from gridloom.functions.text import UNNAMED, clean, has_park_word, is_generic, name_key, text, turkish_lower
+from gridloom.functions.text import UNNAMED, clean, has_park_word, name_key, plain, text, turkish_lower
 
 FOODS = ("dry", "wet", "other")
 # Source-side words for features that are no parks.
@@ -70,39 +70,46 @@ def location_error(lat, lon, point_lat, point_lon, most_m: float = 200) -> Colum
     )
 
 
-def name_proposal_error(proposed, current, evidence, generic: tuple[str, ...] = (UNNAMED, "Park", "Yeşil Alan")) -> Column:
-    p = clean(proposed)
+# Plain forms of labels that are no name.
+LABELS = ("isimsiz park", "park alani", "park")
+
+
+def name_proposal_error(proposed, current, evidence) -> Column:
+    p, told = clean(proposed), F.trim(text(evidence))
     return when_first(
         (~F.length(p).between(3, 120), "length"),
         (~F.regexp_like(p, F.lit(r"\p{L}")), "no_letter"),
-        (F.regexp_like(text(proposed), F.lit(r"[\p{Cntrl}<>]|(?i)https?:|www\.")), "forbidden_text"),
-        (is_generic(p, generic), "generic"),
-        (~F.length(clean(evidence)).between(10, 600), "evidence"),
-        (name_key(p) == name_key(current), "unchanged"),
+        (F.regexp_like(text(proposed), F.lit(r"[\p{Cntrl}<>]|(?i)https?://|www\.")), "forbidden_text"),
+        (plain(p).isin(*LABELS), "generic"),
+        (told.isNull() | ~F.length(told).between(10, 600), "evidence"),
+        (F.lower(p) == F.lower(text(current)), "unchanged"),
     )
 
 
-def park_status(last_at, bowl_status, bowl_at, now: Column) -> Column:
-    """check if a bowl was reported empty in the last day; unknown without records; old after a week; else recent."""
-    last_at, bowl_at = text(last_at), text(bowl_at)
-    empty = (text(bowl_status) == "empty") & (bowl_at > now - F.expr("interval 24 hours"))
-    return when_first((empty, "check"), (last_at.isNull(), "unknown"), (last_at < now - F.expr("interval 7 days"), "old"), (F.lit(True), "recent"))
+def park_status(last_fed_at, food_status, water_status, observed_at, now: Column) -> Column:
+    """check if either bowl was seen empty in the last 24 hours; unknown if nobody ever gave food; old if that was over a
+    week ago; else recent. Water given doesn't count."""
+    fed, seen = text(last_fed_at), text(observed_at)
+    empty = (seen > now - F.expr("interval 24 hours")) & ((text(food_status) == "empty") | (text(water_status) == "empty"))
+    return when_first((empty, "check"), (fed.isNull(), "unknown"), (fed < now - F.expr("interval 7 days"), "old"), (F.lit(True), "recent"))
 
 
-def needs(kind: str, last_water_at, status) -> Column:
-    """Screen filters: ``water`` (none given), ``check`` (status), anything else shows all."""
+def needs(kind: str, last_water_at, water_status, status) -> Column:
+    """Screen filters: ``water`` (never given, or the bowl seen empty), ``check`` (old, unknown or check); else all."""
     if kind == "water":
-        return text(last_water_at).isNull()
-    return (text(status) == "check") if kind == "check" else F.lit(True)
+        return text(last_water_at).isNull() | F.coalesce(text(water_status) == "empty", F.lit(False))
+    return text(status).isin("old", "unknown", "check") if kind == "check" else F.lit(True)
 
 
 def age_label(ts, now: Column) -> Column:
-    minutes = F.floor((F.unix_timestamp(now) - F.unix_timestamp(text(ts))) / 60)
+    ts, now = text(ts).cast("timestamp"), now.cast("timestamp")
+    minutes = F.greatest(F.lit(0), F.floor((F.unix_micros(now) - F.unix_micros(ts)) / 60_000_000))
+    # The texts of ages.
     return (
-        F.when(minutes < 60, F.format_string("%d min", minutes))
-        .when(minutes < 24 * 60, F.format_string("%d h", F.floor(minutes / 60)))
-        .otherwise(F.format_string("%d d", F.floor(minutes / (24 * 60))))
-    )
+        F.when(ts.isNull(), "Henüz kayıt yok").when(minutes < 1, "Az önce").when(minutes < 60, F.format_string("%d dk önce", minutes))
+        .when(minutes < 24 * 60, F.format_string("%d saat önce", F.floor(minutes / 60)))
+        .otherwise(F.format_string("%d gün önce", F.floor(minutes / (24 * 60))))
+    )
 
 
 def distance_label(km) -> Column:
@@ -112,19 +119,26 @@ def distance_label(km) -> Column:
 
 def short_code(c) -> Column:
     """The first ten characters of an id without dashes, in capitals."""
-    return F.upper(F.substring(F.regexp_replace(text(c), "-", ""), 1, 10))
+    return F.upper(F.substring(F.regexp_replace(text(c).cast("string"), "-", ""), 1, 10))
+
+
+def is_unnamed(name) -> Column:
+    return (F.trim(F.coalesce(text(name), F.lit(""))) == "") | (text(name) == UNNAMED)
 
 
-def display_name(name, code) -> Column:
-    return F.when(is_generic(name), F.concat(F.lit(UNNAMED + " · "), text(code))).otherwise(clean(name))
+def display_name(name, id_col) -> Column:
+    return F.when(is_unnamed(name), F.concat(F.lit("Park alanı · "), short_code(id_col))).otherwise(text(name))
 
 
-def place_label(district, city) -> Column:
-    return F.concat_ws(", ", F.nullif(clean(district), F.lit("")), F.nullif(clean(city), F.lit("")))
+def place_label(address, district, city) -> Column:
+    """The filled ones of address, district and city; the country if none is."""
+    parts = F.filter(F.array(text(address), text(district), text(city)), lambda x: F.coalesce(x, F.lit("")) != "")
+    return F.when(F.size(parts) == 0, "Türkiye").otherwise(F.array_join(parts, " · "))
 
 
 def source_link(osm_id, url) -> Column:
-    return F.coalesce(F.nullif(clean(url), F.lit("")), F.when(text(osm_id).isNotNull(), F.concat(F.lit("https://www.openstreetmap.org/"), text(osm_id))))
+    own = F.when(F.coalesce(text(osm_id), F.lit("")) != "", F.concat(F.lit("https://www.openstreetmap.org/"), text(osm_id)))
+    return F.coalesce(F.nullif(text(url), F.lit("")), own, F.lit(""))
 
 
 def only_source(refs, code: str) -> Column:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.geo import haversine_m, in_viewport
-from gridloom.functions.rules import location_error, park_status
+from gridloom.functions.rules import display_name, is_unnamed, location_error, needs, park_status, place_label, source_link
 from gridloom.functions.text import matches_query
+from gridloom.operators.tables import fold_in_order
 
 
 def _last(holds: Column, *fields: str) -> Column:
@@ -67,7 +67,7 @@ def feed_page(events: DataFrame, before: tuple | None = None, park_id=None, view
     return page.orderBy(F.desc("occurred_at"), F.desc("id")).limit(size)
 
 
-def with_names(rows: DataFrame, profiles: DataFrame, default: str = "Anonim") -> DataFrame:
+def with_names(rows: DataFrame, profiles: DataFrame, default: str = "Hayvansever") -> DataFrame:
     return rows.join(profiles.select("user_id", "display_name"), "user_id", "left").withColumn("display_name", F.coalesce("display_name", F.lit(default)))
 
 
@@ -76,10 +76,49 @@ def hide_blocked(events: DataFrame, blocked: DataFrame, viewer) -> DataFrame:
     return events.join(own, "user_id", "left_anti")
 
 
-def visible_cases(cases: DataFrame, viewer=None) -> DataFrame:
-    """Cases neither hidden nor resolved; hidden ones stay visible to who reported them."""
-    own = F.coalesce(F.col("reporter_user_id") == viewer, F.lit(False)) if viewer is not None else F.lit(False)
-    return cases.where((F.col("hidden_at").isNull() | own) & (F.col("status") != "resolved"))
+def visible_events(events: DataFrame, parks: DataFrame) -> DataFrame:
+    """Published events of active parks."""
+    return events.where("status = 'published'").join(parks.where("active").select(F.col("id").alias("park_id")), "park_id", "left_semi")
+
+
+def visible_cases(cases: DataFrame, moderator: bool = False) -> DataFrame:
+    """Cases that aren't resolved; hidden ones are for moderators only."""
+    shown = F.lit(True) if moderator else F.col("hidden_at").isNull()
+    return cases.where(shown & (F.col("status") != "resolved"))
+
+
+def explore_filter(summaries: DataFrame, kind: str, favorites: DataFrame | None = None) -> DataFrame:
+    """Park summaries (with last_water_at, water_status, state) of a screen filter: all, water, check, or favorites, which
+    takes the viewer's (park_id)."""
+    if kind == "favorites":
+        return summaries.join(favorites.select(F.col("park_id").alias("id")).distinct(), "id", "left_semi")
+    return summaries.where(needs(kind, "last_water_at", "water_status", "state"))
+
+
+def present(parks: DataFrame) -> DataFrame:
+    """Parks as shown: name, name_status, name_source, name_source_url filled in, and ``place`` (PRJ-4)."""
+    missing = F.coalesce(F.col("name_status") == "missing", F.lit(False)) | is_unnamed("name")
+    url = F.when(F.col("name_status") == "community", "").otherwise(source_link("osm_id", "name_source_url"))
+    shown = {
+        "name": F.when(missing, display_name(F.lit(""), "id")).otherwise(F.col("name")), "name_status": F.when(missing, "missing").otherwise(F.coalesce("name_status", F.lit("source"))),
+        "name_source": F.coalesce(F.nullif("name_source", F.lit("")), F.lit("OpenStreetMap")), "name_source_url": url, "place": place_label("address_label", "district", "city"),
+    }
+    return parks.select(*(c for c in parks.columns if c not in shown), *(v.alias(k) for k, v in shown.items()))
+
+
+# Label and colour of a park's state on the map, icons of cases and vets.
+STATE_LABELS = {"check": ("Boş kap bildirildi", "#C17840"), "unknown": ("Kayıt bekliyor", "#7B8790"), "old": ("Kayıt güncel değil", "#B57B3A"), "recent": ("Yakın zamanda kayıt var", "#2D7660")}
+UNCLAIMED, CLAIMED, VET = "🚨", "🙋", "🏥"
+
+
+def map_rows(df: DataFrame, kind: str) -> DataFrame:
+    """What a map needs of ``parks`` (with ``state``), ``cases`` or ``vets``, and nothing else (PRJ-7)."""
+    at = ["id", "latitude", "longitude"]
+    if kind == "parks":
+        pick = lambda k: F.coalesce(*(F.when(F.col("state") == s, v[k]) for s, v in STATE_LABELS.items()))
+        return df.select(*at, "name", pick(1).alias("color"), pick(0).alias("status"))
+    icon = F.lit(VET) if kind == "vets" else F.when(F.col("status").isin("reported", "verifying"), UNCLAIMED).otherwise(CLAIMED)
+    return df.select(*at, icon.alias("icon"))
 
 
 def post_points(feedings: DataFrame, observations: DataFrame) -> DataFrame:
@@ -101,7 +140,7 @@ def points_of(ledger: DataFrame, users: DataFrame) -> DataFrame:
     return users.join(sums, "user_id", "left").select("user_id", F.coalesce("points", F.lit(0)).alias("points"))
 
 
-def leaderboard(ledger: DataFrame, profiles: DataFrame | None = None, limit: int = 20) -> DataFrame:
+def leaderboard(ledger: DataFrame, profiles: DataFrame | None = None, limit: int = 10) -> DataFrame:
     """The most points, ties by user; the limit is clamped to 1-100."""
     top = ledger.groupBy("user_id").agg(F.sum("points").alias("points")).orderBy(F.desc("points"), "user_id").limit(max(1, min(100, limit)))
     return top if profiles is None else with_names(top, profiles)
@@ -111,13 +150,14 @@ def newest(df: DataFrame, holds: Column, time: str, n: int) -> DataFrame:
     return df.where(holds).orderBy(F.desc(time), F.desc("id")).limit(n)
 
 
-def suggestion_queue(suggestions: DataFrame, viewer=None, park_id=None, n: int = 100) -> DataFrame:
-    rows = suggestions
+def suggestion_queue(suggestions: DataFrame, parks: DataFrame, viewer=None, park_id=None, n: int = 100) -> DataFrame:
+    """Suggestions for active parks: pending first, the newest first, then by id descending. ``viewer``: only their own."""
+    rows = suggestions.join(parks.where("active").select(F.col("id").alias("park_id"), F.col("name").alias("park_name")), "park_id")
     if viewer is not None:
         rows = rows.where(F.col("user_id") == viewer)
     if park_id is not None:
         rows = rows.where(F.col("park_id") == park_id)
-    return rows.orderBy((F.col("status") != "pending"), F.desc("created_at"), "id").limit(n)
+    return rows.orderBy((F.col("status") != "pending"), F.desc("created_at"), F.desc("id")).limit(n)
 
 
 def verify_location(events: DataFrame, points: DataFrame, most_m: float = 200) -> DataFrame:
@@ -138,7 +178,8 @@ def resolve_ids(ids: DataFrame, parks: DataFrame, aliases: DataFrame, tombstones
     )
     status = F.when(F.col("survivor_id").isNotNull(), "alias").when(F.col("_kind").isNotNull(), F.concat(F.lit("tombstone_"), "_kind"))
     status = status.when(F.col("_active"), "live").when(~F.col("_active"), "inactive").otherwise("not_found")
-    return found.select("id", status.alias("status"), F.coalesce("survivor_id", F.when(F.col("_active"), F.col("id"))).alias("survivor_id"))
+    own = F.when(F.col("_active") & F.col("_kind").isNull(), F.col("id"))
+    return found.select("id", status.alias("status"), F.coalesce("survivor_id", own).alias("survivor_id"))
 
 
 def favorite_view(favorites: DataFrame, resolved: DataFrame) -> DataFrame:
@@ -212,59 +253,100 @@ def apply_decisions(targets: DataFrame, reports: DataFrame, decisions: DataFrame
     return hidden.select(*targets.columns), resolved.select(*reports.columns)
 
 
-def apply_name_reviews(suggestions: DataFrame, parks: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Decided suggestions (id, approve, reviewer_id): approved only while the park has the name that was seen, and not
-    by the author. Returns (suggestions, parks)."""
-    rows = suggestions.join(decisions.withColumnRenamed("id", "_d").alias("d"), F.col("id") == F.col("_d"), "left").join(
-        parks.select(F.col("id").alias("_p"), F.col("name").alias("_now")), F.col("park_id") == F.col("_p"), "left"
-    )
-    open_ = (F.col("status") == "pending") & F.col("_d").isNotNull() & (F.col("reviewer_id") != F.col("user_id"))
-    status = F.when(open_ & F.col("approve") & (F.col("_now") == F.col("original_name")), "approved").when(open_ & ~F.col("approve"), "rejected").when(open_, "stale").otherwise(F.col("status"))
-    done = rows.withColumn("_open", open_).withColumn("status", status)
-    names = done.where("_open and status = 'approved'").groupBy(F.col("park_id").alias("id")).agg(F.min_by("proposed_name", "_d").alias("_name"))
-    renamed = parks.join(names, "id", "left").withColumn("name", F.coalesce("_name", "name")).withColumn("name_status", F.when(F.col("_name").isNotNull(), "community").otherwise(F.col("name_status")))
-    return done.select(*suggestions.columns), renamed.select(*parks.columns)
-
-
-# The states of a case in the order of its steps.
-CASE_STEPS = ["claimed", "en_route", "on_site", "at_vet", "resolved"]
-
-
-def fold_case(status: str, volunteer, vet, commands) -> tuple:
-    """State of a case after commands (kind, actor, argument) in order, and how many were refused."""
-    refused = 0
-    for kind, actor, argument in commands:
-        if kind == "claim" and (status in ("reported", "verifying") or (status != "resolved" and volunteer is None)):
-            volunteer, status = actor, status if status in CASE_STEPS else "claimed"
-        elif kind == "advance" and volunteer == actor and argument in CASE_STEPS and status in CASE_STEPS and CASE_STEPS.index(argument) == CASE_STEPS.index(status) + 1:
-            status = argument
-        elif kind == "assign_vet" and volunteer == actor and status == "at_vet":
-            vet = argument
-        elif kind == "abandon" and volunteer == actor and status != "resolved":
-            volunteer = None
-        else:
-            refused += 1
-    return status, volunteer, vet, refused
-
-
-def fold_cases(cases: DataFrame, commands: DataFrame) -> DataFrame:
-    """(id, status, assigned_volunteer_id, assigned_vet_id, refused) after each case's commands (case_id, at, seq, kind,
-    actor, argument) in order of (at, seq). Hidden cases take none."""
-    log = F.array_sort(F.collect_list(F.struct("at", "seq", "kind", "actor", "argument")))
-    logs = commands.groupBy(F.col("case_id").alias("id")).agg(log.alias("log"))
-    rows = cases.where("hidden_at is null").join(logs, "id").select("id", "status", "assigned_volunteer_id", "assigned_vet_id", "log")
-
-    def run(batches):
-        for pdf in batches:
-            out = [fold_case(s, v, t, [(c["kind"], c["actor"], c["argument"]) for c in log]) for s, v, t, log in zip(pdf["status"], pdf["assigned_volunteer_id"], pdf["assigned_vet_id"], pdf["log"])]
-            yield pd.DataFrame({"id": pdf["id"], **{n: [o[k] for o in out] for k, n in enumerate(("status", "assigned_volunteer_id", "assigned_vet_id", "refused"))}})
-
-    return rows.mapInPandas(run, "id string, status string, assigned_volunteer_id string, assigned_vet_id string, refused long")
+REVIEWED = "id string, park_id string, outcome string, name string, note string, reviewer_id string, at timestamp"
+
+
+def name_decisions(suggestions: DataFrame, parks: DataFrame, decisions: DataFrame) -> DataFrame:
+    """(id, park_id, outcome, ...) of every decision (id, at, accept, note, reviewer_id), a park's in order of (at, id):
+    approved, rejected, or why it is refused: note, park, reviewed, own, renamed. An approval renames the park at once, so
+    one of two for the same name is refused."""
+    seen = suggestions.select("id", "park_id", "user_id", "original_name", "proposed_name", "status")
+    rows = decisions.select("id", "at", "accept", F.trim("note").alias("note"), "reviewer_id").join(seen, "id")
+    rows = rows.join(parks.select(F.col("id").alias("park_id"), F.col("name").alias("now"), "active"), "park_id", "left")
+
+    def step(state, r):
+        name, done = state or (r["now"], set())
+        outcome = "approved" if r["accept"] else "rejected"
+        if r["accept"] is None or not 10 <= len(r["note"] or "") <= 600:
+            outcome = "note"
+        elif not r["active"]:
+            outcome = "park"
+        elif r["status"] != "pending" or r["id"] in done:
+            outcome = "reviewed"
+        elif r["user_id"] == r["reviewer_id"]:
+            outcome = "own"
+        elif r["accept"] and name != r["original_name"]:
+            outcome = "renamed"
+        if outcome in ("approved", "rejected"):
+            done.add(r["id"])
+            name = r["proposed_name"] if r["accept"] else name
+        return (name, done), {"id": r["id"], "park_id": r["park_id"], "outcome": outcome, "name": r["proposed_name"], "note": r["note"], "reviewer_id": r["reviewer_id"], "at": r["at"]}
+
+    return fold_in_order(rows, ["park_id"], ["at", "id"], step, REVIEWED)
+
+
+def apply_name_reviews(suggestions: DataFrame, parks: DataFrame, decided: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Suggestions and parks after ``name_decisions`` (stored by the caller): refused decisions change nothing."""
+    took = decided.where("outcome in ('approved', 'rejected')").select("id", F.col("outcome").alias("_o"), F.col("note").alias("_n"), F.col("reviewer_id").alias("_r"), F.col("at").alias("_at"))
+    new = {"status": "_o", "review_note": "_n", "reviewed_by": "_r", "reviewed_at": "_at"}
+    rows = suggestions.join(took, "id", "left")
+    told = rows.select(*(F.coalesce(F.col(new[c]), F.col(c)).alias(c) if c in new else F.col(c) for c in suggestions.columns))
+    names = decided.where("outcome = 'approved'").groupBy(F.col("park_id").alias("id")).agg(F.max_by("name", F.struct("at", "id")).alias("_name"))
+    # What a reviewed name's source is called.
+    fresh = {"name": F.col("_name"), "name_status": F.lit("community"), "name_source": F.lit("Topluluk incelemesi"), "name_source_url": F.lit("")}
+    renamed = parks.join(names, "id", "left").select(*(F.when(F.col("_name").isNotNull(), fresh[c]).otherwise(F.col(c)).alias(c) if c in fresh else F.col(c) for c in parks.columns))
+    return told, renamed
+
+
+# The states of a case in the order of its steps; the first two have no volunteer yet.
+CASE_STATES = ["reported", "verifying", "claimed", "en_route", "at_vet", "treating", "resolved"]
+
+
+def case_step(state: tuple, c: dict) -> tuple[tuple, bool]:
+    """(status, volunteer, vet) after a command, and whether it was taken. A claim takes a case without a volunteer at its
+    status; steps go one by one, by the volunteer or a moderator; a vet comes with the step to the vet only and must be
+    active. A repeat of what is done is taken and changes nothing."""
+    status, volunteer, vet = state
+    if c["hidden"]:
+        return state, False
+    own = volunteer is not None and volunteer == c["actor"]
+    if c["kind"] == "claim":
+        if volunteer is None and status in CASE_STATES[:-1]:
+            return ("claimed" if status in CASE_STATES[:2] else status, c["actor"], vet), True
+        return state, own and status in CASE_STATES[2:-1]
+    if c["kind"] != "advance" or c["target"] not in CASE_STATES[3:] or (c["vet_id"] is not None and c["target"] != "at_vet"):
+        return state, False
+    allowed = own or bool(c["moderator"])
+    if allowed and status == CASE_STATES[CASE_STATES.index(c["target"]) - 1]:
+        if c["vet_id"] is not None and not c["vet_active"]:
+            return state, False
+        return (c["target"], volunteer, c["vet_id"] if c["vet_id"] is not None else vet), True
+    return state, allowed and status == c["target"]
+
+
+def fold_cases(cases: DataFrame, commands: DataFrame, vets: DataFrame) -> DataFrame:
+    """(id, status, assigned_volunteer_id, assigned_vet_id, refused) of every case after its commands (case_id, at, seq,
+    kind, actor, moderator, target, vet_id) in order of (at, seq); ids are strings. Hidden cases take none."""
+    start = cases.select(F.col("id").alias("case_id"), "status", "assigned_volunteer_id", "assigned_vet_id", F.col("hidden_at").isNotNull().alias("hidden"))
+    known = vets.where("active").select(F.col("id").alias("vet_id")).distinct().withColumn("vet_active", F.lit(True))
+    rows = commands.join(start, "case_id").join(known, "vet_id", "left")
+
+    def step(state, r):
+        state, taken = case_step(state or (r["status"], r["assigned_volunteer_id"], r["assigned_vet_id"]), r)
+        return state, {"case_id": r["case_id"], "at": r["at"], "seq": r["seq"], "status": state[0], "volunteer": state[1], "vet": state[2], "taken": taken}
+
+    kinds = dict(commands.dtypes)
+    told = fold_in_order(rows, ["case_id"], ["at", "seq"], step, f"case_id string, at {kinds['at']}, seq {kinds['seq']}, status string, volunteer string, vet string, taken boolean")
+    last = told.groupBy(F.col("case_id").alias("id")).agg(F.max_by(F.struct("status", "volunteer", "vet"), F.struct("at", "seq")).alias("l"), F.count_if(~F.col("taken")).alias("refused"))
+    done = F.col("l").isNotNull()
+    return cases.join(last, "id", "left").select(
+        "id", F.when(done, F.col("l.status")).otherwise(F.col("status")).alias("status"), F.when(done, F.col("l.volunteer")).otherwise(F.col("assigned_volunteer_id")).alias("assigned_volunteer_id"),
+        F.when(done, F.col("l.vet")).otherwise(F.col("assigned_vet_id")).alias("assigned_vet_id"), F.coalesce("refused", F.lit(0)).alias("refused"),
+    )
 
 
 def summary_status(summaries: DataFrame, now: Column) -> DataFrame:
-    """Park summaries with ``state`` (PRJ-5)."""
-    last = F.greatest("last_food_at", "last_water_at")
-    bowl = F.when((F.col("observation.food_status") == "empty") | (F.col("observation.water_status") == "empty"), "empty") if "observation" in summaries.columns else F.lit(None).cast("string")
-    at = F.col("observation.observed_at") if "observation" in summaries.columns else F.lit(None).cast("timestamp")
-    return summaries.withColumn("state", park_status(last, bowl, at, now))
+    """Park summaries with food_status, water_status, observed_at and ``state`` (PRJ-5)."""
+    o = lambda c, t: F.col(f"observation.{c}") if "observation" in summaries.columns else F.lit(None).cast(t)
+    rows = summaries.withColumn("food_status", F.coalesce(o("food_status", "string"), F.lit("unknown"))).withColumn("water_status", F.coalesce(o("water_status", "string"), F.lit("unknown"))).withColumn("observed_at", o("observed_at", "timestamp"))
+    return rows.withColumn("state", park_status("last_food_at", "food_status", "water_status", "observed_at", now)).drop("observation")

@@ -92,11 +92,23 @@ def extended_guard(candidates: DataFrame, registry: DataFrame, source_code: str,
 
 
 def near_duplicates(df: DataFrame, metres: float = 30, id_col: str = "id") -> DataFrame:
-    """Rows that lie within the radius of a row with the same, not empty, name key; both are returned once."""
-    keyed = df.withColumn("_key", name_key("name")).where("_key <> ''")
-    pairs = self_pairs(keyed, metres, id_col, ["_key"])
-    both = pairs.select(F.explode(F.array(f"a.{id_col}", f"b.{id_col}")).alias(id_col)).distinct()
-    return df.join(both, id_col, "left_semi")
+    """Rows that lie within the radius of a row with the same, not empty, name key; both are returned once. Rows of one
+    place and key count as one in the distance join, so a crowd at a place makes no pairs."""
+    keyed = df.withColumn("_key", name_key("name")).where("_key <> ''").withColumn("_place", F.xxhash64("_key", "latitude", "longitude"))
+    places = keyed.groupBy("_place").agg(F.first("_key").alias("_key"), F.first("latitude").alias("latitude"), F.first("longitude").alias("longitude"), F.count(F.lit(1)).alias("n"))
+    pairs = self_pairs(places, metres, "_place", ["_key"])
+    both = pairs.select(F.explode(F.array("a._place", "b._place")).alias("_place")).union(places.where(F.expr("n > 1") & in_bounds("latitude", "longitude", WORLD)).select("_place")).distinct()
+    return keyed.join(both, "_place", "left_semi").select(*df.columns)
+
+
+def proximity_edges(df: DataFrame, metres: float, id_col: str = "id") -> DataFrame:
+    """Edges (a, b) with the components of all pairs within a radius: rows of one place hang on its least id, and pairs are
+    made of places only."""
+    rows = df.select(id_col, "latitude", "longitude").where(in_bounds("latitude", "longitude", WORLD))
+    places = rows.groupBy("latitude", "longitude").agg(F.min(id_col).alias("_least"))
+    stars = rows.join(places, ["latitude", "longitude"]).where(F.col(id_col) != F.col("_least")).select(F.col("_least").alias("a"), F.col(id_col).alias("b"))
+    pairs = self_pairs(places, metres, "_least")
+    return stars.unionByName(pairs.select(F.col("a._least").alias("a"), F.col("b._least").alias("b")))
 
 
 def possible_duplicates(registry: DataFrame, metres: float = 40) -> DataFrame:

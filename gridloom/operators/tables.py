@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,7 +111,7 @@ def pending(inputs: DataFrame, done: DataFrame, key: str) -> DataFrame:
 
 def stratified_sample(df: DataFrame, stratum: str, key: str, each: int, total: int, seed: int = 42) -> DataFrame:
     """Up to ``each`` rows of every stratum in hash order, topped up to ``total`` with the next ones."""
-    draw = F.xxhash64(F.col(key), F.lit(seed))
+    draw = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
     w = Window.partitionBy(stratum).orderBy("_draw", key)
     ranked = df.withColumn("_draw", draw).withColumn("_rank", F.row_number().over(w))
     order = [F.when(F.col("_rank") <= each, 0).otherwise(1), "_draw", key]
@@ -189,3 +191,32 @@ def map_clusters(parks: DataFrame, zooms: list[int], radius_px: int = 62, select
     y = (0.5 - F.log((1 + s) / (1 - s)) / (4 * 3.141592653589793)) * size
     cells = rest.withColumn("cx", F.floor(x / radius_px)).withColumn("cy", F.floor(y / radius_px))
     return cells.groupBy("zoom", "cx", "cy").agg(F.count(F.lit(1)).alias("n"), F.avg("latitude").alias("latitude"), F.avg("longitude").alias("longitude"))
+
+
+def top_groups(df: DataFrame, key: str, n: int = 15) -> DataFrame:
+    """(key, n): the largest groups, ties by key (TOP-7)."""
+    return count_by(df, key).orderBy(F.desc("n"), key).limit(n)
+
+
+def fold_in_order(df: DataFrame, keys: list[str], order: list[str], step: Callable, schema: str) -> DataFrame:
+    """A row of ``schema`` for each row of ``df``: ``step(state, row)`` gives (state, row out), rows of equal keys in order,
+    state None at the first. Rows stream through, so a key of any size needs the memory of its state alone."""
+
+    def run(batches):
+        names, now, state, begun = None, None, None, False
+        for batch in batches:
+            told = []
+            for row in batch.to_pylist():
+                key = tuple(row[k] for k in keys)
+                if not begun or key != now:
+                    now, state, begun = key, None, True
+                state, out = step(state, row)
+                told.append(out)
+            if told:
+                names = names or list(told[0])
+                yield pa.RecordBatch.from_arrays([pa.array([t[n] for t in told], types[n]) for n in names], names)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    types = {f.name: f.type for f in to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)}
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gridloom import views as V
 from gridloom.functions.ids import decode_serial, det_uuid, encode_serial
 from gridloom.functions.names import name_evidence, name_relationship
-from gridloom.functions.rules import feeding_error, park_status
+from gridloom.functions.rules import feeding_error
 from gridloom.functions.text import core_key, fold, has_park_word, name_key, turkish_title
 from gridloom.operators import activity as A
 from gridloom.operators import regions as R
@@ -17,35 +17,10 @@ from gridloom.operators import tables as T
 from gridloom.operators.polygons import connected_components
 from gridloom.plans import ingest as I
 from gridloom.plans import readiness, registry, serials
+from gridloom.registered import KEY, NEAR, NOW, ORACLE_SQL, QUERIES, H, metres, query, tenths
 from gridloom.sources.sinks import tile_features, tile_list
 from gridloom.streaming.events import rate_limited_batch
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def metres(c) -> F.Column:
-    return F.floor(F.col(c) * 10 + 0.5).cast("long")
-
-
-def tenths(sql: str) -> str:
-    return f"cast(floor({sql} * 10 + 0.5) as bigint)"
-
-
-H = V.haversine_sql
-KEY = V.key_sql
-NOW = "2024-01-20 00:00:00"
-
 # --- activity ---------------------------------------------------------------------------------------------------------
 
 SUMMARY = """f as (select park_id, count(*) as records,
@@ -119,15 +94,14 @@ def feeding_errors(spark: SparkSession, d: str) -> DataFrame:
     return f.select("id", feeding_error(F.lit(NOW).cast("timestamp")).alias("error"))
 
 
-@query(V.heads("parks", "feedings", "observations") + f""", l as (select park_id, max(occurred_at) as t from feedings where status = 'published' group by 1),
-o as (select park_id, arg_max(struct_pack(s := food_status, t := observed_at), struct_pack(t := observed_at, i := id)) as o from observations group by 1)
-select parks.id, case when o.o.s = 'empty' and o.o.t > timestamp '2024-01-30 12:00:00' - interval 24 hours then 'check' when l.t is null then 'unknown' when l.t < timestamp '2024-01-30 12:00:00' - interval 7 days then 'old' else 'recent' end as state
+@query(V.heads("parks", "feedings", "observations") + f""", l as (select park_id, max(occurred_at) as t from feedings where status = 'published' and food_grams > 0 group by 1),
+o as (select park_id, arg_max(struct_pack(f := food_status, w := water_status, t := observed_at), struct_pack(t := observed_at, i := id)) as o from observations group by 1)
+select parks.id, case when o.o.t > timestamp '2024-01-30 12:00:00' - interval 24 hours and (o.o.f = 'empty' or o.o.w = 'empty') then 'check'
+  when l.t is null then 'unknown' when l.t < timestamp '2024-01-30 12:00:00' - interval 7 days then 'old' else 'recent' end as state
 from parks left join l on l.park_id = parks.id left join o on o.park_id = parks.id""")
 def park_states(spark: SparkSession, d: str) -> DataFrame:
-    last = V.feedings(spark, d).where("status = 'published'").groupBy(F.col("park_id").alias("id")).agg(F.max("occurred_at").alias("last_at"))
-    bowl = T.latest_per(V.observations(spark, d), "park_id", "observed_at", "id").select(F.col("park_id").alias("id"), "food_status", "observed_at")
-    j = V.parks(spark, d).select("id").join(last, "id", "left").join(bowl, "id", "left")
-    return j.select("id", park_status("last_at", "food_status", "observed_at", F.lit("2024-01-30 12:00:00").cast("timestamp")).alias("state"))
+    summaries = A.park_summaries(V.parks(spark, d).select("id"), V.feedings(spark, d), V.observations(spark, d))
+    return A.summary_status(summaries, F.lit("2024-01-30 12:00:00").cast("timestamp")).select("id", "state")
 
 
 def _lifecycle(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -140,7 +114,7 @@ LIFECYCLE = """aliases as (select id as retired_id, id - 1 as survivor_id from p
 
 
 @query(V.heads("parks", "feedings") + f""", {LIFECYCLE} select i.id, case when a.retired_id is not null then 'alias' when t.retired_id is not null then 'tombstone_non_park' when p.active then 'live' when p.id is not null then 'inactive' else 'not_found' end as status,
-  coalesce(a.survivor_id, case when p.active then p.id end) as survivor_id
+  coalesce(a.survivor_id, case when p.active and t.retired_id is null then p.id end) as survivor_id
 from (select distinct id from feedings) i left join aliases a on a.retired_id = i.id left join tombs t on t.retired_id = i.id left join parks p on p.id = i.id""")
 def resolved_ids(spark: SparkSession, d: str) -> DataFrame:
     return A.resolve_ids(V.feedings(spark, d), V.parks(spark, d), *_lifecycle(spark, d))
@@ -206,9 +180,6 @@ def common_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 # --- distance joins ---------------------------------------------------------------------------------------------------
 
-NEAR = f"a.latitude between b.latitude - 0.01 and b.latitude + 0.01 and a.longitude between b.longitude - 0.01 and b.longitude + 0.01"
-
-
 @query(V.heads("parks", "source") + f""" select a.id as source_id, b.id as park_id, {tenths(H('a', 'b'))} as dm, {KEY('a.name')} = {KEY('b.name')} as same_name from source a join parks b on {NEAR} where {H('a', 'b')} <= 150""")
 def within_radius(spark: SparkSession, d: str) -> DataFrame:
     pairs = S.within_radius(V.source(spark, d), V.parks(spark, d), 150)
@@ -253,10 +224,10 @@ def _edit(a: str, b: str) -> str:
 
 
 @query(V.heads("parks", "source") + f""", p as (select a.id as source_id, b.id as park_id, {KEY('a.name')} as ka, {KEY('b.name')} as kb, regexp_replace({KEY('a.name')}, 'parki$', '') as ca, regexp_replace({KEY('b.name')}, 'parki$', '') as cb
-  from source a join parks b on {NEAR} where {H('a', 'b')} <= 400 and b.id % 5 <> 0)
-select source_id, park_id, case when ka = kb then 'exact_normalized_name' when ca = cb then 'same_core_name' when {_edit('ka', 'kb')} >= 0.88 then 'high_similarity' end as kind from p""")
+  from source a join parks b on {NEAR} where {H('a', 'b')} <= 400)
+select source_id, park_id, case when ca in ('', 'isimsizpark') or cb in ('', 'isimsizpark') then null when ka = kb then 'exact_normalized_name' when ca = cb then 'same_core_name' when {_edit('ka', 'kb')} >= 0.88 then 'high_similarity' end as kind from p""")
 def name_evidences(spark: SparkSession, d: str) -> DataFrame:
-    pairs = S.within_radius(S.with_parsed(V.source(spark, d)), S.with_parsed(V.parks(spark, d).where("id % 5 <> 0")), 400)
+    pairs = S.within_radius(S.with_parsed(V.source(spark, d)), S.with_parsed(V.parks(spark, d)), 400)
     return pairs.select(F.col("a.id").alias("source_id"), F.col("b.id").alias("park_id"), name_evidence(F.col("a.parsed"), F.col("b.parsed"))["kind"].alias("kind"))
 
 
@@ -272,8 +243,7 @@ reach(id, r) as (select id, id from parks union select reach.id, e.b from reach
 select id, min(r) as component from reach group by id""")
 def park_components(spark: SparkSession, d: str) -> DataFrame:
     p = V.parks(spark, d)
-    pairs = S.self_pairs(p.select("id", "latitude", "longitude"), 400)
-    return connected_components(p, pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")))
+    return connected_components(p, S.proximity_edges(p, 400))
 
 
 @query(V.heads("parks") + """, z as (select unnest([10, 13, 16]) as zoom), c as (select z.zoom, cast(floor((longitude / 360 + 0.5) * pow(2e0, zoom) * 256 / 62) as bigint) as cx,
@@ -367,9 +337,9 @@ union all select external_id, 'MATCHED', null from source where id in (select si
 union all select external_id, 'NEW', null from source where id not in (select sid from u)""")
 def ingested(spark: SparkSession, d: str) -> DataFrame:
     """One province around everything, so that all records pass to the matching rules."""
-    box = [(0.0, 0.0, 1.0, 0.0), (1.0, 0.0, 1.0, 1.0), (1.0, 1.0, 0.0, 1.0), (0.0, 1.0, 0.0, 0.0)]
+    box = [(0.0, 0.0, 20.0, 0.0), (20.0, 0.0, 20.0, 8.0), (20.0, 8.0, 0.0, 8.0), (0.0, 8.0, 0.0, 0.0)]
     e = F.explode(F.array(*(F.struct(*(F.lit(v).alias(n) for v, n in zip(b, ("ax", "ay", "bx", "by")))) for b in box)))
-    province = V.table(spark, d, "nation").where("n_nationkey = 0").select(e.alias("e")).select(F.lit("P").alias("region"), *((F.lit(o) + F.col(f"e.{c}")).alias(n) for o, c, n in ((26.5, "ax", "x1"), (37.5, "ay", "y1"), (26.5, "bx", "x2"), (37.5, "by", "y2"))))
+    province = V.table(spark, d, "nation").where("n_nationkey = 0").select(e.alias("e")).select(F.lit("P").alias("region"), *((F.lit(o) + F.col(f"e.{c}")).alias(n) for o, c, n in ((25.0, "ax", "x1"), (35.0, "ay", "y1"), (25.0, "bx", "x2"), (35.0, "by", "y2"))))
     parks = V.parks(spark, d).withColumn("city", F.lit("P")).withColumn("source_refs", F.array().cast(f"array<{registry.REF}>"))
     cfg = I.SourceConfig("src", "Source", "https://example.org/d", "ns", "P", tiers_m=(100, 300), extended_m=None)
     return I.ingest(V.source(spark, d), parks, province, cfg).select("external_id", "outcome", "reason")
@@ -431,3 +401,6 @@ def tiles(spark: SparkSession, d: str) -> DataFrame:
 def sampled_parks(spark: SparkSession, d: str) -> DataFrame:
     """A reproducible stratified draw in hash order; tested for its quotas."""
     return T.stratified_sample(V.parks(spark, d), "city", "id", 5, 150).select("id", "city")
+
+
+from gridloom import queries_jobs  # noqa: E402, F401 (registers the queries of jobs and rules)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gridloom.functions.rules import feeding_error, location_error
-from gridloom.operators.activity import event_summaries
+from gridloom.operators.activity import event_summaries, leaderboard
 
 
 def dedupe_stream(stream: DataFrame, delay: str = "90 days", time: str = "occurred_at") -> DataFrame:
@@ -116,17 +116,24 @@ def rate_limited(stream: DataFrame, per_day: int = 50, per_hour: int = 20, coold
     return rows.groupBy("user_id").applyInPandasWithState(run, SCHEMA, "times array<double>, points array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def live_summaries(stream: DataFrame, store: str, checkpoint: str):
+#: Folders that a store's events are dealt to by park, so that a batch reads those of its parks only.
+BUCKETS = 256
+
+
+def live_summaries(stream: DataFrame, store: str, checkpoint: str, buckets: int = BUCKETS):
     """Keeps a table of events at ``store`` and rebuilds the summaries of the parks a batch touches below
-    ``store``/summaries/<batch>; a replayed batch writes the same folders again."""
+    ``store``/summaries/<batch>, from those parks' buckets alone; a replayed batch writes the same folders again."""
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{store}/events/batch={number}")
-        touched = batch.select("park_id").distinct()
-        known = spark.read.parquet(f"{store}/events").where(F.col("batch") <= number).drop("batch")
-        latest = known.groupBy("id").agg(F.max_by(F.struct(*known.columns), F.col("received_at")).alias("r")).select("r.*")
-        event_summaries(latest.join(touched, "park_id", "left_semi")).write.mode("overwrite").parquet(f"{store}/summaries/batch={number}")
+        bucket = F.pmod(F.xxhash64("park_id"), F.lit(buckets)).cast("int")
+        batch.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/events/batch={number}")
+        touched = batch.select("park_id", bucket.alias("bucket")).distinct()
+        folders = [r["bucket"] for r in touched.select("bucket").distinct().collect()]  # ``buckets`` at most
+        known = spark.read.parquet(f"{store}/events").where(F.col("bucket").isin(folders) & (F.col("batch") <= number)).drop("batch", "bucket")
+        own = known.join(touched.select("park_id"), "park_id", "left_semi")
+        latest = own.groupBy("id").agg(F.max_by(F.struct(*own.columns), F.col("received_at")).alias("r")).select("r.*")
+        event_summaries(latest).write.mode("overwrite").parquet(f"{store}/summaries/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
@@ -142,3 +149,44 @@ def live_points(stream: DataFrame) -> DataFrame:
     """Points of each user from a stream of ledger rows (user_id, points); hidden events come as rows of negative points.
     Complete or update mode."""
     return stream.groupBy("user_id").agg(F.sum("points").alias("points"))
+
+
+CHANGES = "user_id string, source_id string, points bigint"
+
+
+def point_changes(stream: DataFrame, points: int = 10, keep_days: int = 90) -> DataFrame:
+    """(user_id, source_id, points): what each arrival of an event (id, user_id, status, received_at) adds to its user's
+    points or takes back. An event counts while its latest status is published; a repeat changes nothing. State is one
+    number an event, kept for ``keep_days`` after its last arrival."""
+    rows = stream.select(F.col("id").cast("string").alias("id"), F.col("user_id").cast("string").alias("user_id"), "status", F.unix_micros(F.col("received_at").cast("timestamp")).alias("us"))
+
+    def run(key, batches: Iterator[pd.DataFrame], state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        new = pd.concat(list(batches)).sort_values("us")
+        counted, last = state.get if state.exists else (0, -1)
+        latest = new.iloc[-1]
+        now = counted if latest["us"] < last else points * int(latest["status"] == "published")
+        state.update((now, max(last, int(latest["us"]))))
+        state.setTimeoutDuration(keep_days * 86_400_000)
+        if now != counted:
+            yield pd.DataFrame({"user_id": [latest["user_id"]], "source_id": [key[0]], "points": [now - counted]})
+
+    return rows.groupBy("id").applyInPandasWithState(run, CHANGES, "counted bigint, last bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def live_leaderboard(stream: DataFrame, store: str, checkpoint: str):
+    """Keeps the sums of ``point_changes`` by user below ``store``/points/batch=<n>; a replayed batch writes its folder
+    again. Hidden events are taken back by their own arrival."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.groupBy("user_id").agg(F.sum("points").alias("points")).write.mode("overwrite").parquet(f"{store}/points/batch={number}")
+
+    return point_changes(stream).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
+def current_leaderboard(spark, store: str, profiles: DataFrame | None = None, limit: int = 10) -> DataFrame:
+    """The leaderboard of a store of ``live_leaderboard``; users back at no points are left out."""
+    sums = spark.read.parquet(f"{store}/points").groupBy("user_id").agg(F.sum("points").alias("points")).where("points <> 0")
+    return leaderboard(sums, profiles, limit)

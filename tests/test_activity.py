@@ -12,19 +12,32 @@ AT = dt.datetime(2026, 9, 1, 12)
 FEED = "id string, user_id string, food_type string, food_grams double, water_ml double, note string, photo_path string, occurred_at timestamp"
 
 
-@pytest.mark.parametrize("food,water,photo,hours,error", [
+FEEDINGS = [
     (100.0, 0.0, True, -1, None), (0.0, 250.0, True, -1, None), (0.0, 0.0, True, -1, "nothing_given"), (1.5, 0.0, True, -1, "food_grams"), (-1.0, 0.0, True, -1, "food_grams"),
     (float("nan"), 0.0, True, -1, "food_grams"), (10.0, 0.0, False, -1, "photo_path"), (10.0, 0.0, True, 1, "in_the_future"), (10.0, 0.0, True, -24 * 91, "too_old"),
-])
-def test_feeding_rules(spark, food, water, photo, hours, error):
-    row = ("e", "u", "dry", food, water, None, "u/e.jpg" if photo else None, NOW + dt.timedelta(hours=hours))
-    assert spark.createDataFrame([row], FEED).select(feeding_error(F.lit(AT))).first()[0] == error
+]
+
+
+def test_feeding_rules(spark):
+    rows = [("e", "u", "dry", food, water, None, "u/e.jpg" if photo else None, NOW + dt.timedelta(hours=hours)) for food, water, photo, hours, _ in FEEDINGS]
+    assert [r[0] for r in spark.createDataFrame(rows, FEED).coalesce(1).select(feeding_error(F.lit(AT))).collect()] == [e for *_, e in FEEDINGS]
 
 
 def test_status(spark):
-    rows = [(None, None, None), (NOW - dt.timedelta(days=8), None, None), (NOW, "empty", NOW - dt.timedelta(hours=1)), (NOW, "empty", NOW - dt.timedelta(hours=25))]
-    df = spark.createDataFrame(rows, "last timestamp, bowl string, at timestamp")
-    assert [r[0] for r in df.select(park_status("last", "bowl", "at", F.lit(AT))).collect()] == ["unknown", "old", "check", "recent"]
+    ago = lambda **k: NOW - dt.timedelta(**k)
+    rows = [
+        (None, None, None, None, "unknown"), (ago(days=8), None, None, None, "old"), (NOW, "empty", "full", ago(hours=1), "check"), (NOW, "full", "empty", ago(hours=1), "check"),
+        (NOW, "empty", "empty", ago(hours=24), "recent"), (ago(days=7), "full", "full", NOW, "recent"), (None, "full", "unknown", NOW, "unknown"),
+    ]
+    df = spark.createDataFrame(rows, "fed timestamp, food string, water string, at timestamp, want string").coalesce(1)
+    assert [r[0] for r in df.select(park_status("fed", "food", "water", "at", F.lit(AT))).collect()] == [r[-1] for r in rows]
+
+
+def test_screen_filters(spark):
+    df = spark.createDataFrame([("a", None, "full", "recent"), ("b", NOW, "empty", "old"), ("c", NOW, None, "unknown"), ("d", NOW, "full", "check")], "id string, last_water_at timestamp, water_status string, state string")
+    fav = spark.createDataFrame([("c",), ("c",)], "park_id string")
+    found = {k: sorted(r["id"] for r in A.explore_filter(df, k, fav).collect()) for k in ("all", "water", "check", "favorites")}
+    assert found == {"all": ["a", "b", "c", "d"], "water": ["a", "b"], "check": ["b", "c", "d"], "favorites": ["c"]}
 
 
 def test_late_event_counts_but_does_not_replace(spark):
@@ -58,7 +71,7 @@ def test_location_check(spark):
 
 
 def test_name_proposals(spark):
-    rows = [("Gazi Parkı", "Park", "a good sign there"), ("12", "Park", "a good sign there"), ("123", "Park", "a good sign there"), ("http://x.yz", "Park", "a good sign there"), ("Park", "x", "a good sign there"), ("Gazi Parkı", "gazi parki", "a good sign there"), ("Gazi Parkı", "Park", "short")]
+    rows = [("Gazi Parkı", "Park", "a good sign there"), ("12", "Park", "a good sign there"), ("123", "Park", "a good sign there"), ("http://x.yz", "Park", "a good sign there"), ("PARK  ALANI", "x", "a good sign there"), ("Gazi Park", "gazi park", "a good sign there"), ("Gazi Parkı", "Park", "short")]
     df = spark.createDataFrame(rows, "p string, c string, e string")
     assert [r[0] for r in df.select(name_proposal_error("p", "c", "e")).collect()] == [None, "length", "no_letter", "forbidden_text", "generic", "unchanged", "evidence"]
 
@@ -99,20 +112,34 @@ def test_moderation(spark):
 
 
 def test_name_reviews(spark):
-    s = spark.createDataFrame([("s1", "p1", "a", "Park", "Gazi", "pending"), ("s2", "p2", "a", "Old", "New", "pending"), ("s3", "p1", "b", "Park", "X", "pending")], "id string, park_id string, user_id string, original_name string, proposed_name string, status string")
-    p = spark.createDataFrame([("p1", "Park", "missing"), ("p2", "Changed", "source")], "id string, name string, name_status string")
-    d = spark.createDataFrame([("s1", True, "m"), ("s2", True, "m"), ("s3", True, "b")], "id string, approve boolean, reviewer_id string")
-    found, parks = A.apply_name_reviews(s, p, d)
-    assert {(r["id"], r["status"]) for r in found.collect()} == {("s1", "approved"), ("s2", "stale"), ("s3", "pending")}
-    assert {tuple(r) for r in parks.collect()} == {("p1", "Gazi", "community"), ("p2", "Changed", "source")}
+    kind = "id string, park_id string, user_id string, original_name string, proposed_name string, status string, review_note string, reviewed_by string"
+    s = spark.createDataFrame([(*r, "pending", "", None) for r in [("s1", "p1", "a", "Park", "Gazi"), ("s2", "p2", "a", "Old", "New"), ("s3", "p1", "b", "Park", "X"), ("s4", "p1", "c", "Gazi", "Gazi II"), ("s5", "p3", "a", "Off", "On"), ("s6", "p2", "a", "Old", "No")]], kind)
+    p = spark.createDataFrame([("p1", "Park", "missing", True), ("p2", "Changed", "source", True), ("p3", "Off", "source", False)], "id string, name string, name_status string, active boolean")
+    said = [("s1", 1, True, "m"), ("s3", 2, True, "m"), ("s4", 3, True, "m"), ("s1", 4, False, "m"), ("s2", 1, True, "m"), ("s5", 1, True, "m"), ("s6", 1, True, "a"), ("s6", 2, False, "m"), ("s6", 0, True, "m")]
+    d = spark.createDataFrame([(i, NOW + dt.timedelta(minutes=m), ok, "" if m == 0 else " seen on site ", who) for i, m, ok, who in said], "id string, at timestamp, accept boolean, note string, reviewer_id string")
+    decided = A.name_decisions(s, p, d).cache()
+    assert {(r["id"], r["outcome"]) for r in decided.collect()} == {("s1", "approved"), ("s3", "renamed"), ("s4", "approved"), ("s1", "reviewed"), ("s2", "renamed"), ("s5", "park"), ("s6", "own"), ("s6", "rejected"), ("s6", "note")}
+    found, parks = A.apply_name_reviews(s, p, decided)
+    assert {(r["id"], r["status"], r["review_note"], r["reviewed_by"]) for r in found.collect() if r["status"] != "pending"} == {("s1", "approved", "seen on site", "m"), ("s4", "approved", "seen on site", "m"), ("s6", "rejected", "seen on site", "m")}
+    assert {tuple(r) for r in parks.collect()} == {("p1", "Gazi II", "community", True), ("p2", "Changed", "source", True), ("p3", "Off", "source", False)}
 
 
 def test_cases(spark):
-    cases = spark.createDataFrame([("c1", "reported", None, None, None), ("c2", "on_site", None, None, None), ("c3", "resolved", "v", None, None)], "id string, status string, assigned_volunteer_id string, assigned_vet_id string, hidden_at timestamp")
-    steps = [("c1", "claim", "v", None), ("c1", "claim", "w", None), ("c1", "advance", "v", "on_site"), ("c1", "advance", "v", "en_route"), ("c1", "assign_vet", "v", "x"), ("c2", "claim", "w", None), ("c3", "claim", "w", None)]
-    log = spark.createDataFrame([(c, 0, i, k, a, g) for i, (c, k, a, g) in enumerate(steps)], "case_id string, at int, seq int, kind string, actor string, argument string")
-    found = {r["id"]: tuple(r)[1:] for r in A.fold_cases(cases, log).collect()}
-    assert found == {"c1": ("en_route", "v", None, 3), "c2": ("on_site", "w", None, 0), "c3": ("resolved", "v", None, 1)}
+    """The first claimant wins, repeats are taken, an orphan keeps its status, steps don't skip, hidden cases take none."""
+    cases = [("c1", "reported", None, None), ("c2", "verifying", None, None), ("c3", "resolved", "v", None), ("c4", "at_vet", None, None), ("c5", "reported", None, NOW), ("c6", "en_route", "v", None), ("c7", "claimed", "w", None)]
+    steps = [
+        ("c1", "claim", "v"), ("c1", "claim", "w"), ("c1", "claim", "v"), ("c1", "advance", "v", "at_vet"), ("c1", "advance", "w", "en_route"), ("c1", "advance", "v", "en_route"), ("c1", "advance", "v", "en_route"),
+        ("c1", "advance", "v", "at_vet", "x"), ("c1", "advance", "v", "at_vet", "y"), ("c1", "advance", "v", "treating", "x"), ("c1", "advance", "m", "treating"), ("c1", "advance", "v", "resolved"), ("c1", "claim", "v"),
+        ("c2", "claim", "v"), ("c2", "advance", "v", "claimed"), ("c3", "claim", "v"), ("c4", "claim", "w"), ("c5", "claim", "v"), ("c6", "claim", "w"), ("c6", "advance", "v", "at_vet", "off"), ("c6", "advance", "v", "resolved"),
+    ]
+    log = [(c, 0, i, k, a, a == "m", *(rest + [None, None])[:2]) for i, (c, k, a, *rest) in enumerate(steps)]
+    vets = spark.createDataFrame([("x", True), ("y", True), ("off", False)], "id string, active boolean")
+    df = spark.createDataFrame([(i, st, v, None, h) for i, st, v, h in cases], "id string, status string, assigned_volunteer_id string, assigned_vet_id string, hidden_at timestamp")
+    commands = spark.createDataFrame(log, "case_id string, at int, seq int, kind string, actor string, moderator boolean, target string, vet_id string")
+    found = {r["id"]: tuple(r)[1:] for r in A.fold_cases(df, commands, vets).collect()}
+    assert found == {
+        "c1": ("resolved", "v", "x", 5), "c2": ("claimed", "v", None, 1), "c3": ("resolved", "v", None, 1), "c4": ("at_vet", "w", None, 0), "c5": ("reported", None, None, 1), "c6": ("en_route", "v", None, 3), "c7": ("claimed", "w", None, 0),
+    }
 
 
 def test_windows(spark):

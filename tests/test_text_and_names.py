@@ -88,3 +88,18 @@ def test_ids(spark):
     assert one(spark, encode_serial("p", "r", "s"), p=u, r=u, s="  ") is None
     assert one(spark, encode_serial("p", "r", "s"), p="x", r=u, s="1") is None
     assert one(spark, decode_serial("c"), c="nonsense") is None
+
+
+def test_sql_functions_equal_the_columns(spark):
+    from gridloom.functions import geo, ids, names, sql, text
+
+    assert "gl_fold" in sql.register(spark, "gl_")
+    df = spark.createDataFrame([("  İSTANBUL  Çocuk Parkı 1 ",), ("Ağaç-lı Otopark",), ("",), (None,), ("IŞIK parkları",)], "n string")
+    pairs = {
+        "gl_fold(n)": text.fold("n"), "gl_name_key(n)": text.name_key("n"), "gl_core_key(n)": text.core_key("n"), "gl_has_park_word(n)": text.has_park_word("n"),
+        "gl_det_uuid(n)": ids.det_uuid("n"), "gl_name_similarity(n, 'park')": names.similarity(F.col("n"), F.lit("park")),
+        "gl_haversine_m(38.0D, 27.0D, 38.1D, 27.2D)": geo.haversine_m(F.lit(38.0), F.lit(27.0), F.lit(38.1), F.lit(27.2)), "gl_cosine_m(38.0D, 27.0D, 38.1D, 27.2D)": geo.cosine_m(F.lit(38.0), F.lit(27.0), F.lit(38.1), F.lit(27.2)),
+    }
+    for row in df.select(*(F.struct(F.expr(k).alias("a"), c.alias("b")).alias(f"c{i}") for i, (k, c) in enumerate(pairs.items()))).collect():
+        for got, call in zip(row, pairs):
+            assert got["a"] == pytest.approx(got["b"]), call
