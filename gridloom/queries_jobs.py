@@ -23,7 +23,9 @@ from gridloom.registered import KEY, NEAR, ORACLE_SQL, H, metres, query, tenths
 from gridloom.sources import readers
 
 AT = "2024-01-30 12:00:00"
-NO_REFS = F.array().cast(f"array<{G.REF}>")
+def no_refs() -> Column:
+    return F.array().cast(f"array<{G.REF}>")
+
 
 
 def s(c) -> Column:
@@ -378,7 +380,7 @@ def _registry(spark: SparkSession, d: str) -> DataFrame:
     own = k % 3 == 0
     return V.parks(spark, d).select(
         s(k).alias("id"), F.when(own, None).otherwise(F.col("osm_id")).alias("osm_id"), "name", "city", "district", "latitude", "longitude", "active",
-        F.when(own, F.array(ref(tag("s", k % 2), s(k)))).otherwise(NO_REFS).cast(f"array<{G.REF}>").alias("source_refs"),
+        F.when(own, F.array(ref(tag("s", k % 2), s(k)))).otherwise(no_refs()).cast(f"array<{G.REF}>").alias("source_refs"),
     )
 
 
@@ -391,7 +393,7 @@ select code as source_code, count(distinct case when strong then id end) as stro
   count(distinct case when m <= 30 and other = code then id end) as same_source_30 from p group by code""")
 def near_duplicate_counts(spark: SparkSession, d: str) -> DataFrame:
     k, at = F.col("id"), ["name", "latitude", "longitude"]
-    p = V.parks(spark, d).select(tag("p", k).alias("id"), *at, "osm_id", NO_REFS.alias("source_refs"))
+    p = V.parks(spark, d).select(tag("p", k).alias("id"), *at, "osm_id", no_refs().alias("source_refs"))
     m = V.source(spark, d).select(tag("m", k).alias("id"), *at, F.lit(None).cast("string").alias("osm_id"), F.array(ref(tag("s", k % 2), F.col("external_id"))).alias("source_refs"))
     return S.near_duplicate_audit(p.union(m))
 
@@ -406,7 +408,7 @@ def guarded_duplicates(spark: SparkSession, d: str) -> DataFrame:
 select external_id, arg_min(park_id, struct_pack(m := m, i := park_id)) as park_id from p group by 1""")
 def guarded_matches(spark: SparkSession, d: str) -> DataFrame:
     a = V.source(spark, d).withColumn("city", F.lit("P")).withColumn("district", tag("D", F.col("id") % 7))
-    b = V.parks(spark, d).withColumn("city", F.lit("P")).withColumn("source_refs", NO_REFS)
+    b = V.parks(spark, d).withColumn("city", F.lit("P")).withColumn("source_refs", no_refs())
     return S.extended_guard(a, b, "src").select("a.external_id", F.col("b.id").alias("park_id"))
 
 
@@ -591,7 +593,7 @@ def restored_activity(spark: SparkSession, d: str) -> DataFrame:
 def identity_conflicts(spark: SparkSession, d: str) -> DataFrame:
     r, k = _registry(spark, d), F.col("id").cast("int")
     other = r.where(k % 8 == 1).withColumn("id", tag("n", "id"))
-    return G.identity_conflicts(other.union(r.where(k % 8 == 2).withColumn("osm_id", tag("way/", "id")).withColumn("source_refs", NO_REFS)), r)
+    return G.identity_conflicts(other.union(r.where(k % 8 == 2).withColumn("osm_id", tag("way/", "id")).withColumn("source_refs", no_refs())), r)
 
 
 @query(V.heads("parks") + f""", {REGISTRY} select id, case when k % 10 = 5 and k % 4 < 2 then 'Kalan Ad' else name end as name, case when code is null then 0 else 1 end as refs from registry where k % 19 <> 3 or osm_id is null""")
@@ -642,7 +644,7 @@ def audited_registry(spark: SparkSession, d: str) -> DataFrame:
 @query(V.heads("parks", "source") + f""", {REGISTRY} select id, case when code is null then 0 else 1 end + (select count(*) from source s where s.id % 100 = k and s.id % 2 = 0) as refs from registry union all select 'n' || id, 0 from source where id % 2 = 1""")
 def merged_registry(spark: SparkSession, d: str) -> DataFrame:
     refs = _refs(spark, d).where("cast(external_id as int) % 2 = 0").select(F.col("park_id").alias("id"), F.lit("new").alias("source_code"), "external_id", "source_url")
-    fresh = V.source(spark, d).where("id % 2 = 1").select(tag("n", "id").alias("id"), "name", "latitude", "longitude", NO_REFS.alias("source_refs"))
+    fresh = V.source(spark, d).where("id % 2 = 1").select(tag("n", "id").alias("id"), "name", "latitude", "longitude", no_refs().alias("source_refs"))
     return G.merge(_registry(spark, d), refs, fresh).select("id", F.size("source_refs").cast("long").alias("refs"))
 
 
@@ -858,7 +860,7 @@ def _records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
-    p = V.parks(spark, d).select(s("id").alias("id"), "name", F.lit("P").alias("city"), "district", "latitude", "longitude", F.lit(None).cast("array<array<array<array<double>>>>").alias("polys"), NO_REFS.alias("source_refs"))
+    p = V.parks(spark, d).select(s("id").alias("id"), "name", F.lit("P").alias("city"), "district", "latitude", "longitude", F.lit(None).cast("array<array<array<array<double>>>>").alias("polys"), no_refs().alias("source_refs"))
     return B.review_candidates(_records(spark, d), p)
 
 
