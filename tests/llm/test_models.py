@@ -123,3 +123,33 @@ def test_language_edges(spark):
     assert langid.fit_language_model(nothing) is None
     assert {r["l"]["lang"] for r in nothing.select(langid.language(df, F.col("text"), None).alias("l")).collect()} == {"und"}
     assert df.where("false").select(langid.language(df, F.col("text"), model)).count() == 0
+
+
+def test_language_query_against_brute_force(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    model, texts = langid.fit_language_model(docs), {r["doc_id"]: r["text"] for r in docs.collect()}
+    rows = queries.op7_language_id(spark, data).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(texts)
+    for r in rows:
+        p = scores_by_hand(model, texts[r["doc_id"]])
+        assert r["lang_pred"] == model.labels[int(p.argmax())] and r["score"] == pytest.approx(p.max(), abs=2e-6)
+
+
+def test_quality_verdicts_against_brute_force(spark, data):
+    docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    trees, texts = quality.fit_quality_model(docs, labels), {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in queries.op6_quality_rules(spark, data).collect():
+        score = walk(trees, quality.statistics(texts[r["doc_id"]].encode())[1])
+        assert r["kept"] == (not r["base_failed"] and score >= trees.threshold)
+
+
+def test_ids_of_any_type_and_clashing_names(spark):
+    """One id on many rows and string ids; samples stay bounded."""
+    rows = [("x", f"the quick brown fox {i} " * 5, "en", i % 2) for i in range(60)] + [(f"d{i}", f"le petit chat noir {i} " * 5, "fr", 1) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, lang string, kept int").union(spark.createDataFrame(rows[:9] * 3, "doc_id string, text string, lang string, kept int"))
+    model = langid.fit_language_model(df, rows=40)
+    assert model is not None and set(model.labels) <= {"en", "fr"}
+    labels = df.select("doc_id", (F.col("kept") + 0).alias("quality"))
+    trees = quality.fit_quality_model(df, labels, rows=50)
+    judged = df.withColumn("score", F.lit(1)).withColumn("q", quality.quality(df, F.col("text"), trees))
+    assert judged.count() == df.count() and judged.where("q.n_words is null").count() == 0

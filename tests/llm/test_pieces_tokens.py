@@ -1,3 +1,5 @@
+import base64
+import hashlib
 import random
 
 import numpy as np
@@ -6,6 +8,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
+from gridloom.llm import queries
 from gridloom.llm.pieces import PieceCodec, PieceTable
 from gridloom.llm.tokencount import TokenCounter, attribute, token_spans
 
@@ -93,3 +96,57 @@ def test_spans_of_split_characters():
     raw = "é".encode()
     assert [x.tolist() for x in token_spans(raw, np.array([1, 1]))] == [[0, 0], [1, 1]]
     assert attribute(np.array([0]), np.array([4]), np.array([0, 2, 4]), "majority")[0].tolist() == [1, 0]
+
+
+def texts_of(spark, data):
+    return {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+
+
+def test_piece_query_against_the_library(pair, spark, data):
+    texts, library = texts_of(spark, data), pair[1]
+    rows = queries.op2_sentencepiece(spark, data).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(texts)
+    for r in rows:
+        ids = library.encode(texts[r["doc_id"]])
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert r["decoded_sha256"] == hashlib.sha256(library.decode(ids).encode()).hexdigest()
+
+
+def attributed_by_hand(text, encoding):
+    """Tokens of each line, token by token and character by character; a crossing token goes to the line with most of it."""
+    line_of, line = [], 0
+    for c in text:
+        line_of.append(line)
+        line += c == "\n"
+    at, counts, byte_of = 0, [0] * (text.count("\n") + 1), [i for i, c in enumerate(text) for _ in c.encode()]
+    for token in encoding.encode_ordinary(text):
+        size = len(encoding.decode_single_token_bytes(token))
+        lines = [line_of[i] for i in range(byte_of[at], byte_of[at + size - 1] + 1)]
+        counts[max(sorted(set(lines)), key=lines.count)] += 1
+        at += size
+    return counts
+
+
+def test_token_query_against_brute_force(spark, data):
+    import tiktoken
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in f.read().splitlines() if x)}
+    encoding = tiktoken.Encoding("test", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts, found = texts_of(spark, data), {}
+    for r in queries.op4_token_attribution(spark, data).collect():
+        found.setdefault(r["doc_id"], {})[r["section"]] = (r["char_start"], r["char_end"], r["n_tokens"])
+    assert set(found) == set(texts)
+    for i, text in texts.items():
+        own = [found[i][k] for k in range(len(found[i]))]
+        assert len(own) == text.count("\n") + 1 and all(text[a:b].find("\n") in (-1, b - a - 1) for a, b, _ in own)
+        assert "".join(text[a:b] for a, b, _ in own) == text
+        assert [n for *_, n in own] == attributed_by_hand(text, encoding)
+
+
+def test_token_counts_of_odd_tables(spark):
+    counter = TokenCounter(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    df = spark.createDataFrame([(1, "a\nb", 5), (1, "a\nb", 5), (None, None, 6)], "id int, text string, n_tokens int")
+    rows = [r["s"] for r in df.withColumn("s", counter.by_section(F.col("text"))).collect()]
+    assert rows[0] == rows[1] and len(rows[0]) == 2 and [(s["char_start"], s["char_end"], s["n_tokens"]) for s in rows[2]] == [(0, 0, 0.0)]
+    assert df.where("false").select(counter.by_section(F.col("text"))).count() == 0
