@@ -1,20 +1,22 @@
 """SimHash near-duplicates with vantage-point trees.
 
-Fingerprints of 64 bits are cut into four blocks of 16. Two fingerprints that differ in at most ``4 * r + 3`` bits
-differ in at most ``r`` bits of some block, so linked pairs lie within radius ``r`` in the Hamming metric of a block.
+Fingerprints of 64 bits, or of several such words, are cut into blocks of 16. Two fingerprints link if they differ in at
+most ``bits`` bits, and in at most ``radius`` of some block. With 64 bits and a radius of ``bits // 4`` the second follows
+from the first. Wider fingerprints take more distant pairs at a radius of one bit: with 128 bits, 24 of which differ, a
+block is that close by chance in one pair of four thousand, but one of eight blocks is in nine similar pairs of ten.
 Each block has a vantage-point tree over the values that the fingerprints have there, weighed by how many have them: a
 node's vantage value sends values within the median distance to one side and the others to the other side, until a leaf
 has few fingerprints or one value. So depth follows the data. A leaf is a shard. Every fingerprint is filed in one shard a
 block, and also asks the later shards that its ball overlaps, found by descending with the triangle bounds. Inside a shard
-all pairs are compared exactly over the 64 bits, by a bounded matrix or, when the shard is large, through the values of
-the three other blocks: a pair that is near in the shard's block differs in at most ``bits // 3`` bits of one of these.
-A shard returns a spanning forest of its links, not pairs; components of the forest are those of all links.
+all pairs are compared exactly over all bits, by a bounded matrix or, when the shard is large, through block values: for
+64 bits those of the three other blocks, of which a linked pair differs in at most ``bits // 3`` bits of one, else those
+of the shard's block. A shard returns a spanning forest of its links, not pairs; components of the forest are those of all links.
 
-Trees are built from a histogram of block values (4 x 65,536 counts at most, whatever the data), the only thing that the
-driver sees of the fingerprints.
+Trees are built from a histogram of block values (65,536 counts a block at most, whatever the data), the only thing that
+the driver sees of the fingerprints.
 
 Defined results: equal fingerprints are one class, so copies cost one row; null and wordless texts have fingerprint
-zero and are linked like any other; rows with a null id take part and get the component's least non-null id (null if
+zero (of several words: that of the empty shingle) and are linked like any other; rows with a null id take part and get the component's least non-null id (null if
 there is none); repeated rows and ids each get a row; an empty table gives an empty table. Other columns are not read
 and stay out of the result, so their names cannot clash.
 """
@@ -22,6 +24,7 @@ and stay out of the result, so their names cannot clash.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -33,6 +36,7 @@ from gridloom.functions.session import saved
 from gridloom.llm.common import free_name, small_batches
 from gridloom.operators.graph import hot_limit, join_counted, star_components
 
+#: Blocks of a word of 64 bits, and the bits of a block.
 BLOCKS, WIDTH = 4, 16
 VALUES = 1 << WIDTH
 #: Shingles turned into bits at a time.
@@ -45,39 +49,92 @@ LEAF = (2_000, 200_000)
 BROADCAST_ROWS = 500_000
 
 
-def fingerprint_of(raw: bytes, words_per_shingle: int = 4, seed: int = 42) -> int:
-    """Unsigned SimHash of a UTF-8 text: majority of the bits of its shingles' XXH64."""
+@dataclass(frozen=True)
+class Fingerprint:
+    """What is hashed, and into how many words of 64 bits. ``distinct``: a shingle counts once, however often it comes."""
+
+    words_per_shingle: int = 4
+    words: int = 1
+    distinct: bool = False
+    seed: int = 42
+
+    @property
+    def kind(self) -> str:
+        return _kind(self.words)
+
+
+#: Texts that share some four fifths of their five-word shingles: such fingerprints, this many bits and this radius.
+SIMILAR = {"how": Fingerprint(words_per_shingle=5, words=2, distinct=True), "bits": 24, "radius": 1}
+
+
+def _kind(words: int) -> str:
+    """Type of a fingerprint column."""
+    return "bigint" if words == 1 else "binary"
+
+
+def _prints(column: pa.Array, words: int) -> np.ndarray:
+    """Fingerprints of a column as rows of unsigned words."""
+    if words == 1:
+        return column.to_numpy().view(np.uint64)[:, None]
+    return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, words)
+
+
+def _column(prints: np.ndarray) -> pa.Array:
+    """Inverse of ``_prints``."""
+    n, words = prints.shape
+    flat = np.ascontiguousarray(prints)
+    if words == 1:
+        return pa.array(flat[:, 0].view(np.int64), pa.int64())
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * words), n, [None, pa.py_buffer(flat.tobytes())]).cast(pa.binary())
+
+
+def _more_words(hashes: np.ndarray, words: int) -> np.ndarray:
+    """``words`` hashes from each hash: itself, then others by the SplitMix64 generator."""
+    out = [hashes]
+    for k in range(1, words):
+        x = hashes + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out.append(x ^ (x >> np.uint64(31)))
+    return np.stack(out, axis=1)
+
+
+def fingerprint_of(raw: bytes, how: Fingerprint = Fingerprint()) -> np.ndarray:
+    """SimHash of a UTF-8 text as unsigned words: majority of the bits of its shingles' XXH64."""
     import xxhash
 
     words = raw.lower().split()  # bytes: A-Z only, and the six ASCII white spaces
     if not words:
-        return 0
+        if how.words == 1:
+            return np.zeros(1, np.uint64)
+        words = [b""]
     line = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    k = words_per_shingle - 1
+    k = how.words_per_shingle - 1
     if len(words) > k:
         starts, ends = starts[: len(starts) - k], ends[k:]
     else:
         starts, ends = starts[:1], ends[-1:]
-    digest = xxhash.xxh64_intdigest
-    counts = np.zeros(64, np.int64)
-    for at in range(0, len(starts), CHUNK):
-        pairs = zip(starts[at : at + CHUNK].tolist(), ends[at : at + CHUNK].tolist())
-        hashes = np.array([digest(line[a:b], seed) for a, b in pairs], "<u8")
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(starts), bitorder="little").view("<u8")[0])
+    digest, seed = xxhash.xxh64_intdigest, how.seed
+    hashes = np.fromiter((digest(line[a:b], seed) for a, b in zip(starts.tolist(), ends.tolist())), "<u8", len(starts))
+    if how.distinct:
+        hashes = np.unique(hashes)
+    counts = np.zeros(64 * how.words, np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        several = _more_words(hashes[at : at + CHUNK], how.words)
+        counts += np.unpackbits(several.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")
 
 
-def simhash(text: Column, words_per_shingle: int = 4, seed: int = 42) -> Column:
-    """text -> bigint whose 64 bits are the fingerprint."""
+def simhash(text: Column, how: Fingerprint = Fingerprint()) -> Column:
+    """text -> fingerprint: a bigint of its 64 bits or, of several words, their bytes, the least first."""
 
     def run(texts: pa.Array) -> pa.Array:
-        found = [fingerprint_of(x or b"", words_per_shingle, seed) for x in texts.cast(pa.binary()).to_pylist()]
-        return pa.array(np.array(found, np.uint64).view(np.int64), pa.int64())
+        found = [fingerprint_of(x or b"", how) for x in texts.cast(pa.binary()).to_pylist()]
+        return _column(np.array(found, np.uint64).reshape(-1, how.words))
 
-    return F.arrow_udf(run, "bigint")(text)
+    return F.arrow_udf(run, how.kind)(text)
 
 
 class BlockTree:
@@ -125,12 +182,12 @@ class BlockTree:
         return _ranges(self.start[values], self.start[values + 1], self.asked)
 
 
-def block_trees(slots: np.ndarray, counts: np.ndarray, bits: int, leaf: int | None = None) -> list[BlockTree]:
+def block_trees(slots: np.ndarray, counts: np.ndarray, blocks: int, radius: int, leaf: int | None = None) -> list[BlockTree]:
     """The trees of a histogram: ``slots`` are block * 65,536 + value."""
     if leaf is None:
-        leaf = int(np.clip(counts.sum() // BLOCKS // 256, *LEAF))
-    own = [slots >> WIDTH == b for b in range(BLOCKS)]
-    return [BlockTree(slots[o] & (VALUES - 1), counts[o], bits // BLOCKS, leaf) for o in own]
+        leaf = int(np.clip(counts.sum() // blocks // 256, *LEAF))
+    own = [slots >> WIDTH == b for b in range(blocks)]
+    return [BlockTree(slots[o] & (VALUES - 1), counts[o], radius, leaf) for o in own]
 
 
 def _ranges(low: np.ndarray, high: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,7 +199,7 @@ def _ranges(low: np.ndarray, high: np.ndarray, of: np.ndarray) -> tuple[np.ndarr
 
 
 def _block(prints: np.ndarray, b: int) -> np.ndarray:
-    return ((prints >> np.uint64(WIDTH * b)) & np.uint64(VALUES - 1)).astype(np.int64)
+    return ((prints[:, b // BLOCKS] >> np.uint64(WIDTH * (b % BLOCKS))) & np.uint64(VALUES - 1)).astype(np.int64)
 
 
 @lru_cache(maxsize=4)
@@ -154,13 +211,16 @@ def _masks(radius: int) -> np.ndarray:
 class Shard:
     """The fingerprints filed in a shard of a block, and the forest of their links."""
 
-    def __init__(self, filed: np.ndarray, bits: int, block: int):
-        self.filed, self.bits = filed, bits
+    def __init__(self, filed: np.ndarray, bits: int, block: int, radius: int | None = None):
+        self.filed, self.bits, self.block = filed, bits, block
         self.parent = list(range(len(filed)))
         self.index: list[tuple[int, np.ndarray, np.ndarray]] = []
+        self.radius = bits // BLOCKS if radius is None else radius
+        narrow = filed.shape[1] == 1
+        self.reach = bits // (BLOCKS - 1) if narrow else self.radius
         if len(filed) > 4096:
-            for b in range(BLOCKS):
-                if b != block:
+            for b in range(BLOCKS) if narrow else [block]:
+                if b != block or not narrow:
                     v = _block(filed, b)
                     self.index.append((b, np.argsort(v, kind="stable"), np.concatenate(([0], np.cumsum(np.bincount(v, minlength=VALUES))))))
 
@@ -176,22 +236,29 @@ class Shard:
         if not self.index:
             step = max(1, CELLS // max(1, len(self.filed)))
             for at in range(0, len(asking), step):
-                q, h = np.nonzero(np.bitwise_count(asking[at : at + step, None] ^ self.filed[None, :]) <= self.bits)
-                yield q + at, h
+                some = asking[at : at + step]
+                q, h = np.nonzero(np.bitwise_count(some[:, None, 0] ^ self.filed[None, :, 0]) <= self.bits)
+                yield self._near(asking, q + at, h)
             return
         for b, order, start in self.index:
             values = _block(asking, b)
-            for mask in _masks(self.bits // (BLOCKS - 1)):
+            for mask in _masks(self.reach):
                 low, high = start[values ^ mask], start[(values ^ mask) + 1]
                 at, total = 0, np.cumsum(high - low)
                 while at < len(asking):
                     to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + CELLS)))
                     q, h = _ranges(low[at:to], high[at:to], order)
                     q += at
-                    near = np.bitwise_count(asking[q] ^ self.filed[h]) <= self.bits
-                    yield q[near], h[near]
+                    yield self._near(asking, q, h)
                     at = to
 
+    def _near(self, asking: np.ndarray, q: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the pairs that are near over all words, and in the shard's block."""
+        near = np.bitwise_count(asking[q] ^ self.filed[h]).sum(axis=1, dtype=np.int64) <= self.bits
+        q, h = q[near], h[near]
+        near = np.bitwise_count(_block(asking[q], self.block) ^ _block(self.filed[h], self.block)) <= self.radius
+        return q[near], h[near]
+
     def join_filed(self) -> None:
         for q, h in self.linked(self.filed):
             for i, j in zip(q[h > q].tolist(), h[h > q].tolist()):
@@ -199,22 +266,22 @@ class Shard:
                 if a != b:
                     self.parent[max(a, b)] = min(a, b)
 
-    def links(self, asking: np.ndarray) -> np.ndarray:
-        """One link from each asking fingerprint to each filed tree that it touches."""
+    def links(self, asking: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One link from each asking fingerprint to each filed tree that it touches: the two ends of all links."""
         out = []
         for q, h in self.linked(asking):
             if len(q):
                 roots = np.fromiter(map(self.root, h.tolist()), np.int64, len(h))
                 out.append(np.unique(np.stack([q, roots]), axis=1))
         if not out:
-            return np.zeros((2, 0), np.uint64)
+            return asking[:0], asking[:0]
         q, r = np.unique(np.concatenate(out, axis=1), axis=1)
-        return np.stack([asking[q], self.filed[r]])
+        return asking[q], self.filed[r]
 
-    def forest(self) -> np.ndarray:
+    def forest(self) -> tuple[np.ndarray, np.ndarray]:
         roots = np.fromiter(map(self.root, range(len(self.filed))), np.int64, len(self.filed))
         other = roots != np.arange(len(self.filed))
-        return np.stack([self.filed[other], self.filed[roots[other]]])
+        return self.filed[other], self.filed[roots[other]]
 
 
 def _filing(prints: np.ndarray, trees: list[BlockTree], splits: dict[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -233,7 +300,7 @@ def _filing(prints: np.ndarray, trees: list[BlockTree], splits: dict[int, int])
             yield shard[~cut] << 20, np.full((~cut).sum(), role, np.int8), p[~cut]
             for s in np.unique(shard[cut]).tolist():
                 parts, own = splits[s], p[shard == s]
-                home = ((own * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(parts)
+                home = ((own[:, -1] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(parts)
                 for k in range(parts):
                     if role == 0:
                         yield np.full((home == k).sum(), (s << 20) + k), np.zeros((home == k).sum(), np.int8), own[home == k]
@@ -242,24 +309,30 @@ def _filing(prints: np.ndarray, trees: list[BlockTree], splits: dict[int, int])
         first += len(t.sizes)
 
 
-def fingerprint_links(prints: DataFrame, bits: int = 4, shard_limit: int = 200_000, leaf: int | None = None) -> DataFrame:
-    """Links (a, b) between the distinct fingerprints in column ``fp`` that differ in 1 to ``bits`` bits: a spanning
-    forest of every component. ``shard_limit``: fingerprints filed in one task; larger shards are cut into parts.
+def fingerprint_links(
+    prints: DataFrame, bits: int = 4, shard_limit: int = 200_000, leaf: int | None = None, words: int = 1, radius: int | None = None
+) -> DataFrame:
+    """Links (a, b) between the distinct fingerprints of ``words`` words in column ``fp`` that differ in 1 to ``bits`` bits,
+    and in ``radius`` bits at most of some block (by default a part of ``bits`` that makes this true of all, for one word):
+    a spanning forest of every component. ``shard_limit``: fingerprints filed in one task; larger shards are cut into parts.
     ``leaf``: fingerprints up to which a tree's node is a leaf, by default as ``LEAF`` says."""
 
+    blocks, kind = BLOCKS * words, _kind(words)
+    radius = bits // blocks if radius is None else radius
+
     def count(batches):
-        total = np.zeros(BLOCKS * VALUES, np.int64)
+        total = np.zeros(blocks * VALUES, np.int64)
         for batch in batches:
-            p = batch.column(0).to_numpy().view(np.uint64)
-            for b in range(BLOCKS):
+            p = _prints(batch.column(0), words)
+            for b in range(blocks):
                 total[b * VALUES : (b + 1) * VALUES] += np.bincount(_block(p, b), minlength=VALUES)
         some = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["slot", "n"])
 
     prints = prints.select("fp")
-    # as many rows at most as the four blocks have values, whatever the data
+    # as many rows at most as the blocks have values, whatever the data
     histogram = prints.mapInArrow(count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).orderBy("slot").toArrow()
-    trees = block_trees(histogram["slot"].to_numpy(), histogram["n"].to_numpy(), bits, leaf)
+    trees = block_trees(histogram["slot"].to_numpy(), histogram["n"].to_numpy(), blocks, radius, leaf)
     sizes = np.concatenate([t.sizes for t in trees])
     splits = {int(s): -(-int(sizes[s]) // shard_limit) for s in np.nonzero(sizes > shard_limit)[0]}
     ends = np.cumsum([len(t.sizes) for t in trees])
@@ -268,13 +341,13 @@ def fingerprint_links(prints: DataFrame, bits: int = 4, shard_limit: int = 200_0
     def file(batches):
         trees, splits = shared.value
         for batch in batches:
-            p = batch.column(0).to_numpy().view(np.uint64)
+            p = _prints(batch.column(0), words)
             for at in range(0, len(p), 4096):
                 for shard, role, own in _filing(p[at : at + 4096], trees, splits):
-                    yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(role), pa.array(own.view(np.int64))], ["shard", "role", "fp"])
+                    yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(role), _column(own)], ["shard", "role", "fp"])
 
     def whole(filed, shard):
-        made = Shard(np.concatenate(filed), bits, int(np.searchsorted(ends, shard >> 20, "right")))
+        made = Shard(np.concatenate(filed), bits, int(np.searchsorted(ends, shard >> 20, "right")), radius)
         made.join_filed()
         return made
 
@@ -282,8 +355,7 @@ def fingerprint_links(prints: DataFrame, bits: int = 4, shard_limit: int = 200_0
         filed: list[np.ndarray] = []
         shard, now = None, -1
         for batch in batches:
-            s, role, p = (c.to_numpy() for c in batch.columns)
-            p = p.view(np.uint64)
+            s, role, p = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _prints(batch.column(2), words)
             cuts = np.nonzero((np.diff(s) != 0) | (np.diff(role) != 0))[0] + 1
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(s)]):
                 if a == b:
@@ -306,23 +378,23 @@ def fingerprint_links(prints: DataFrame, bits: int = 4, shard_limit: int = 200_0
             yield from told(shard.forest())
 
     def told(links):
-        if links.shape[1]:
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in links], ["a", "b"])
+        if len(links[0]):
+            yield pa.RecordBatch.from_arrays([_column(x) for x in links], ["a", "b"])
 
     return (
-        prints.mapInArrow(file, "shard bigint, role tinyint, fp bigint")
+        prints.mapInArrow(file, f"shard bigint, role tinyint, fp {kind}")
         .repartition(F.col("shard"))
         .sortWithinPartitions("shard", "role")
-        .mapInArrow(search, "a bigint, b bigint")
+        .mapInArrow(search, f"a {kind}, b {kind}")
     )
 
 
-def fingerprint_components(prints: DataFrame, bits: int = 4) -> DataFrame:
+def fingerprint_components(prints: DataFrame, bits: int = 4, words: int = 1, radius: int | None = None) -> DataFrame:
     """(fp, n, root, component_id), stored, for a stored table (doc_id, fp): n rows have the fingerprint; component_id is
     the least doc_id reachable by links (null if all are null, and shared by components that have rows of one id); root, the
     least fingerprint, tells components apart."""
     classes = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")), "simhash-classes")
-    nodes = star_components(fingerprint_links(classes, bits))
+    nodes = star_components(fingerprint_links(classes, bits, words=words, radius=radius))
     members = nodes.join(classes.select("fp", "first_id"), nodes["node"] == classes["fp"]).select("fp", "first_id", "component")
     least = members.groupBy("component").agg(F.min("first_id").alias("least_id"), F.count(F.lit(1)).alias("n"))
     linked = join_counted(members, least, "component", hot_limit(nodes.count())).select("fp", "component", "least_id")
@@ -331,21 +403,25 @@ def fingerprint_components(prints: DataFrame, bits: int = 4) -> DataFrame:
     ), "simhash-components")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 4, bits: int = 4) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: Fingerprint = Fingerprint(), bits: int = 4, radius: int | None = None
+) -> DataFrame:
     """(doc_id, fp, component_id) for every row."""
-    prints = saved(small_batches(docs).select(F.col(id_col).alias("doc_id"), simhash(F.col(text_col), words_per_shingle).alias("fp")), "simhash-prints")
-    return join_counted(prints, fingerprint_components(prints, bits), "fp", hot_limit(prints.count())).select("doc_id", "fp", "component_id")
+    prints = saved(small_batches(docs).select(F.col(id_col).alias("doc_id"), simhash(F.col(text_col), how).alias("fp")), "simhash-prints")
+    return join_counted(prints, fingerprint_components(prints, bits, how.words, radius), "fp", hot_limit(prints.count())).select("doc_id", "fp", "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, words_per_shingle: int = 4, bits: int = 4, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def keep_one_of_each(
+    docs: DataFrame, how: Fingerprint = Fingerprint(), bits: int = 4, radius: int | None = None, broadcast_rows: int = BROADCAST_ROWS
+) -> DataFrame:
     """One row of each component, of its least doc_id (null if the component has no other). Components that share an id,
     or have none, each keep their row.
 
     Decided on (doc_id, hash of the text) alone; texts stay where they are unless more rows go than may be broadcast."""
     key = F.xxhash64(F.coalesce("text", F.lit("")))
-    prints = saved(small_batches(docs).select("doc_id", key.alias("h"), simhash(F.col("text"), words_per_shingle).alias("fp")), "simhash-prints")
-    found = join_counted(prints, fingerprint_components(prints.select("doc_id", "fp"), bits), "fp", hot_limit(prints.count()))
-    pairs = found.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("times"), F.first("root").alias("root"), F.first("component_id").alias("component_id"))
+    prints = saved(small_batches(docs).select("doc_id", key.alias("h"), simhash(F.col("text"), how).alias("fp")), "simhash-prints")
+    found = join_counted(prints, fingerprint_components(prints.select("doc_id", "fp"), bits, how.words, radius), "fp", hot_limit(prints.count()))
+    pairs = found.groupBy("doc_id", "h", "root", "component_id").agg(F.count(F.lit(1)).alias("times"))
     pairs = saved(pairs, "simhash-pairs")
     least = F.col("doc_id").eqNullSafe(F.col("component_id"))
     keepers = pairs.where(least).groupBy("root").agg(F.min("h").alias("keeper"))

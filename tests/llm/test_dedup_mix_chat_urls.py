@@ -20,7 +20,22 @@ def print_by_hand(text, k=4):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def components_by_hand(ids, prints, bits):
+def wide_by_hand(text):
+    """128 bits of the distinct five-word shingles."""
+    import re
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")) or [""]
+    hashes = {xxhash.xxh64_intdigest(" ".join(words[i : i + 5]).encode(), seed=42) for i in range(max(1, len(words) - 4))}
+    full, both = (1 << 64) - 1, []
+    for h in hashes:
+        x = h + 0x9E3779B97F4A7C15 & full
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & full
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & full
+        both.append(h | (x ^ x >> 31) << 64)
+    return sum(1 << b for b in range(128) if 2 * sum(h >> b & 1 for h in both) > len(both))
+
+
+def components_by_hand(ids, prints, bits, blocks=4, radius=16):
     parent = {i: i for i in ids}
 
     def find(x):
@@ -30,7 +45,8 @@ def components_by_hand(ids, prints, bits):
 
     for k, i in enumerate(ids):
         for j in ids[k + 1 :]:
-            if bin(prints[i] ^ prints[j]).count("1") <= bits:
+            x = prints[i] ^ prints[j]
+            if x.bit_count() <= bits and any((x >> 16 * k & 0xFFFF).bit_count() <= radius for k in range(blocks)):
                 a, b = find(i), find(j)
                 parent[max(a, b)] = min(a, b)
     return {i: find(i) for i in ids}
@@ -75,6 +91,84 @@ def test_planted_links(spark, bits, limit, leaf):
     assert {i: find(i) for i in unsigned} == want
 
 
+@pytest.mark.parametrize("limit,leaf", [(200_000, None), (40, 30), (3, 1)])
+def test_planted_wide_links(spark, limit, leaf):
+    r = random.Random(limit)
+    prints = {0, (1 << 128) - 1}
+    for _ in range(60):
+        p = r.getrandbits(128)
+        for _ in range(r.randrange(1, 8)):
+            prints.add(p)
+            for b in r.sample(range(128), r.randrange(1, 30)):
+                p ^= 1 << b
+    own = dict(enumerate(sorted(prints)))
+    df = spark.createDataFrame([(i, p.to_bytes(16, "little")) for i, p in own.items()], "doc_id long, fp binary")
+    links = simhash.fingerprint_links(df, 24, limit, leaf, words=2, radius=1).collect()
+    number = {p: i for i, p in own.items()}
+    found = {(number[int.from_bytes(a, "little")], number[int.from_bytes(b, "little")]) for a, b in links}
+    near = {(a, b) for a in own for b in own if (x := own[a] ^ own[b]).bit_count() <= 24 and any((x >> 16 * k & 0xFFFF).bit_count() <= 1 for k in range(8))}
+    assert len(near) > len(own) + 100
+    parent = {i: i for i in own}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in found:
+        x, y = find(a), find(b)
+        parent[max(x, y)] = min(x, y)
+    assert {i: find(i) for i in own} == components_by_hand(list(own), own, 24, 8, 1)
+
+
+@pytest.mark.parametrize("large", [False, True])
+def test_wide_shards_are_searched_exactly(large):
+    rng = np.random.default_rng(5)
+    n = 1500 if large else 900
+    base = rng.integers(0, 1 << 63, (n, 2), dtype=np.uint64) | np.uint64(1 << 63)
+    filed = [base]
+    for flips in (1, 6, 11):
+        near = base.copy()
+        for _ in range(flips):
+            near[np.arange(n), rng.integers(0, 2, n)] ^= np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64)
+        filed.append(near)
+    filed = np.concatenate(filed)
+    block = 6
+    shard = simhash.Shard(filed, 24, block, 1)
+    assert bool(shard.index) == large
+    want = set()
+    for at in range(0, len(filed), 128):
+        x = filed[at : at + 128, None] ^ filed[None]
+        ok = (np.bitwise_count(x).sum(axis=2) <= 24) & (np.bitwise_count(x[:, :, 1] >> np.uint64(32) & np.uint64(0xFFFF)) <= 1)
+        q, h = np.nonzero(ok)
+        want |= set(zip((q + at).tolist(), h.tolist()))
+    assert {p for q, h in shard.linked(filed) for p in zip(q.tolist(), h.tolist())} == want
+
+
+def test_similar_texts_are_caught(spark):
+    """Copies with some words changed: at a similarity of 0.8 or more nine of ten are caught, and unrelated texts are not."""
+    r = random.Random(8)
+    rows, similar = [], {}
+    for i in range(300):
+        words = [f"w{r.randrange(4000)}" for _ in range(r.randrange(60, 400))]
+        other = list(words)
+        for at in r.sample(range(len(words)), max(1, len(words) // 60)):
+            other[at] = "changed"
+        sets = [{tuple(x[k : k + 5]) for k in range(len(x) - 4)} for x in (words, other)]
+        similar[i] = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+        rows += [(i, " ".join(words), b"clash"), (1000 + i, " ".join(other).upper(), None)]
+    rows += [(5000, None, None), (5001, " ", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, fp binary")
+    assert [simhash.fingerprint_of((x or "").encode(), simhash.SIMILAR["how"]).tobytes() for _, x, _ in rows[:40] + rows[-2:]] == [wide_by_hand(x).to_bytes(16, "little") for _, x, _ in rows[:40] + rows[-2:]]
+    found = {x["doc_id"]: x["component_id"] for x in simhash.near_duplicates(df, **simhash.SIMILAR).collect()}
+    wanted = [i for i, x in similar.items() if x >= 0.8]
+    assert len(wanted) > 50 and sum(found[1000 + i] == i for i in wanted) >= 0.9 * len(wanted)
+    assert all(c in (i, i - 1000, 5000) for i, c in found.items()) and found[5001] == 5000
+    kept = simhash.keep_one_of_each(df, **simhash.SIMILAR)
+    assert kept.columns == df.columns and sorted(x["doc_id"] for x in kept.collect()) == sorted(set(found.values()))
+    assert simhash.keep_one_of_each(df.where("false"), **simhash.SIMILAR).count() == 0
+
+
 def test_large_shards_are_searched_exactly():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 63, 5000, dtype=np.uint64)
@@ -82,13 +176,13 @@ def test_large_shards_are_searched_exactly():
     filed = np.unique(np.concatenate([base, base ^ flips[:, 0] ^ flips[:, 1], base ^ flips[:, 2]]))
     block = np.uint64(0xFFFF)
     filed = np.unique(filed & ~block)  # one block near, as in a shard
-    large, small = simhash.Shard(filed, 4, 0), simhash.Shard(filed[:4000], 4, 0)
+    large, small = simhash.Shard(filed[:, None], 4, 0), simhash.Shard(filed[:4000, None], 4, 0)
     assert len(large.index) == 3 and not small.index
     want = set()
     for at in range(0, len(filed), 256):
         q, h = np.nonzero(np.bitwise_count(filed[at : at + 256, None] ^ filed[None]) <= 4)
         want |= set(zip((q + at).tolist(), h.tolist()))
-    got = {p for q, h in large.linked(filed) for p in zip(q.tolist(), h.tolist())}
+    got = {p for q, h in large.linked(filed[:, None]) for p in zip(q.tolist(), h.tolist())}
     assert got == want
 
 

@@ -11,7 +11,7 @@ import corpus_pipeline
 from gridloom.functions.session import saved
 from gridloom.llm import langid, quality
 from gridloom.llm.queries import SOURCE_WEIGHTS
-from test_dedup_mix_chat_urls import components_by_hand, print_by_hand
+from test_dedup_mix_chat_urls import components_by_hand, wide_by_hand
 from test_models import base_by_hand, scores_by_hand, walk
 
 
@@ -50,7 +50,7 @@ def test_stages(spark, data):
             keep.append(i)
     assert ids[2] == Counter(keep)
 
-    component = components_by_hand(sorted(ids[2]), {i: print_by_hand(text[i]) for i in ids[2]}, 7)
+    component = components_by_hand(sorted(ids[2]), {i: wide_by_hand(text[i]) for i in ids[2]}, 24, 8, 1)
     assert ids[3] == Counter(set(component.values()))
 
     source = {r["doc_id"]: r["source"] for r in rows[3]}
