@@ -10,7 +10,12 @@ has few fingerprints or one value. So depth follows the data. A leaf is a shard.
 block, and also asks the later shards that its ball overlaps, found by descending with the triangle bounds. Inside a shard
 all pairs are compared exactly over all bits, by a bounded matrix or, when the shard is large, through block values: for
 64 bits those of the three other blocks, of which a linked pair differs in at most ``bits // 3`` bits of one, else those
-of the shard's block. A shard returns a spanning forest of its links, not pairs; components of the forest are those of all links.
+of the shard's block.
+
+The search goes twice, so that a large group gives few links. The first time shards compare only what is filed in them,
+and every fingerprint takes the least one that it reaches in any shard; the components of these are labels. The second time
+questions are asked as well, and a shard returns a spanning forest of labels, none for fingerprints of one label. Components
+of labels and forests are those of all links.
 
 Trees are built from a histogram of block values (65,536 counts a block at most, whatever the data), the only thing that
 the driver sees of the fingerprints.
@@ -29,6 +34,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -209,11 +215,17 @@ def _masks(radius: int) -> np.ndarray:
 
 
 class Shard:
-    """The fingerprints filed in a shard of a block, and the forest of their links."""
+    """The fingerprints filed in a shard of a block, and the forest of their labels. ``labels``: fingerprints already known to
+    be connected have the same (by default each is its own)."""
 
-    def __init__(self, filed: np.ndarray, bits: int, block: int, radius: int | None = None):
+    def __init__(self, filed: np.ndarray, bits: int, block: int, radius: int | None = None, labels: np.ndarray | None = None):
         self.filed, self.bits, self.block = filed, bits, block
-        self.parent = list(range(len(filed)))
+        if labels is None:
+            self.labels, self.group = filed, np.arange(len(filed))
+        else:
+            self.labels, self.group = np.unique(labels, axis=0, return_inverse=True)
+        self.parent = list(range(len(self.labels)))
+        self.made: list[tuple[int, int]] = []
         self.index: list[tuple[int, np.ndarray, np.ndarray]] = []
         self.radius = bits // BLOCKS if radius is None else radius
         narrow = filed.shape[1] == 1
@@ -259,53 +271,76 @@ class Shard:
         near = np.bitwise_count(_block(asking[q], self.block) ^ _block(self.filed[h], self.block)) <= self.radius
         return q[near], h[near]
 
+    def roots(self, labels: np.ndarray) -> np.ndarray:
+        """Roots of label numbers."""
+        some, at = np.unique(labels, return_inverse=True)
+        return np.fromiter(map(self.root, some.tolist()), np.int64, len(some))[at]
+
+    def join(self, i: int, j: int) -> None:
+        a, b = self.root(i), self.root(j)
+        if a != b:
+            self.parent[max(a, b)] = min(a, b)
+            self.made.append((a, b))
+
     def join_filed(self) -> None:
         for q, h in self.linked(self.filed):
-            for i, j in zip(q[h > q].tolist(), h[h > q].tolist()):
-                a, b = self.root(i), self.root(j)
-                if a != b:
-                    self.parent[max(a, b)] = min(a, b)
-
-    def links(self, asking: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """One link from each asking fingerprint to each filed tree that it touches: the two ends of all links."""
-        out = []
+            a, b = self.group[q], self.group[h]
+            a, b = a[a < b], b[a < b]
+            roots = np.stack([self.roots(a), self.roots(b)])
+            for i, j in np.unique(roots[:, roots[0] != roots[1]], axis=1).T.tolist():
+                self.join(i, j)
+
+    def links(self, asking: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One link from each label asking to each tree that it touches: the two ends of all links. Labels that are filed
+        here too join the trees instead."""
+        names, own = np.unique(labels, axis=0, return_inverse=True)
+        out = [np.zeros((2, 0), np.int64)]
         for q, h in self.linked(asking):
-            if len(q):
-                roots = np.fromiter(map(self.root, h.tolist()), np.int64, len(h))
-                out.append(np.unique(np.stack([q, roots]), axis=1))
-        if not out:
-            return asking[:0], asking[:0]
-        q, r = np.unique(np.concatenate(out, axis=1), axis=1)
-        return asking[q], self.filed[r]
+            out.append(np.unique(np.stack([own[q], self.roots(self.group[h])]), axis=1))
+        pairs = np.unique(np.concatenate(out, axis=1), axis=1)
+        filed = {x.tobytes(): i for i, x in enumerate(self.labels)} if pairs.size else {}
+        here = np.array([filed.get(names[o].tobytes(), -1) for o in pairs[0].tolist()], np.int64)
+        for i, j in zip(here[here >= 0].tolist(), pairs[1, here >= 0].tolist()):
+            self.join(i, j)
+        o, r = np.unique(np.stack([pairs[0, here < 0], self.roots(pairs[1, here < 0])]), axis=1)
+        return names[o], self.labels[r]
 
     def forest(self) -> tuple[np.ndarray, np.ndarray]:
-        roots = np.fromiter(map(self.root, range(len(self.filed))), np.int64, len(self.filed))
-        other = roots != np.arange(len(self.filed))
-        return self.filed[other], self.filed[roots[other]]
+        """The links that made the trees."""
+        made = np.array(self.made, np.int64).reshape(-1, 2)
+        return self.labels[made[:, 0]], self.labels[made[:, 1]]
+
+    def least(self) -> tuple[np.ndarray, np.ndarray]:
+        """Labels that are not the first of their tree, and that first one."""
+        roots = self.roots(np.arange(len(self.labels)))
+        other = roots != np.arange(len(roots))
+        return self.labels[other], self.labels[roots[other]]
 
 
-def _filing(prints: np.ndarray, trees: list[BlockTree], splits: dict[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Shard, role (0 filed, 1 asking) and fingerprint of every row of ``prints``. A shard over the size limit (of one
+def _filing(prints: np.ndarray, trees: list[BlockTree], splits: dict[int, int], asking: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Shard, role (0 filed, 1 ``asking``) and number in ``prints`` of every row to send. A shard over the size limit (of one
     value) is cut into parts: a fingerprint is filed in one part by its hash and asks the later parts; a question goes to
     all."""
     first = 0
     for b, t in enumerate(trees):
         values = _block(prints, b)
-        rows = [(t.home[values].astype(np.int64), 0, prints)]
-        q, leaf = t.asks(values)
-        rows.append((leaf.astype(np.int64), 1, prints[q]))
-        for leaf, role, p in rows:
+        rows = [(t.home[values].astype(np.int64), 0, np.arange(len(prints)))]
+        if asking:
+            q, leaf = t.asks(values)
+            rows.append((leaf.astype(np.int64), 1, q))
+        for leaf, role, at in rows:
             shard = leaf + first
             cut = np.isin(shard, list(splits)) if splits else np.zeros(len(shard), bool)
-            yield shard[~cut] << 20, np.full((~cut).sum(), role, np.int8), p[~cut]
+            yield shard[~cut] << 20, np.full((~cut).sum(), role, np.int8), at[~cut]
             for s in np.unique(shard[cut]).tolist():
-                parts, own = splits[s], p[shard == s]
-                home = ((own[:, -1] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(parts)
+                parts, own = splits[s], at[shard == s]
+                home = ((prints[own, -1] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(parts)
                 for k in range(parts):
                     if role == 0:
                         yield np.full((home == k).sum(), (s << 20) + k), np.zeros((home == k).sum(), np.int8), own[home == k]
-                    asks = own[home < k] if role == 0 else own
-                    yield np.full(len(asks), (s << 20) + k), np.ones(len(asks), np.int8), asks
+                    if asking:
+                        asks = own[home < k] if role == 0 else own
+                        yield np.full(len(asks), (s << 20) + k), np.ones(len(asks), np.int8), asks
         first += len(t.sizes)
 
 
@@ -313,8 +348,8 @@ def fingerprint_links(
     prints: DataFrame, bits: int = 4, shard_limit: int = 200_000, leaf: int | None = None, words: int = 1, radius: int | None = None
 ) -> DataFrame:
     """Links (a, b) between the distinct fingerprints of ``words`` words in column ``fp`` that differ in 1 to ``bits`` bits,
-    and in ``radius`` bits at most of some block (by default a part of ``bits`` that makes this true of all, for one word):
-    a spanning forest of every component. ``shard_limit``: fingerprints filed in one task; larger shards are cut into parts.
+    and in ``radius`` bits at most of some block (by default a part of ``bits`` that makes this true of all, for one word), or
+    between ones that are connected through others: few, but with the components of all links. ``shard_limit``: fingerprints filed in one task; larger shards are cut into parts.
     ``leaf``: fingerprints up to which a tree's node is a leaf, by default as ``LEAF`` says."""
 
     blocks, kind = BLOCKS * words, _kind(words)
@@ -338,55 +373,68 @@ def fingerprint_links(
     ends = np.cumsum([len(t.sizes) for t in trees])
     shared = prints.sparkSession.sparkContext.broadcast((trees, splits))  # some megabytes at most, see above
 
-    def file(batches):
-        trees, splits = shared.value
-        for batch in batches:
-            p = _prints(batch.column(0), words)
-            for at in range(0, len(p), 4096):
-                for shard, role, own in _filing(p[at : at + 4096], trees, splits):
-                    yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(role), _column(own)], ["shard", "role", "fp"])
-
-    def whole(filed, shard):
-        made = Shard(np.concatenate(filed), bits, int(np.searchsorted(ends, shard >> 20, "right")), radius)
-        made.join_filed()
-        return made
-
-    def search(batches):
-        filed: list[np.ndarray] = []
-        shard, now = None, -1
-        for batch in batches:
-            s, role, p = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _prints(batch.column(2), words)
-            cuts = np.nonzero((np.diff(s) != 0) | (np.diff(role) != 0))[0] + 1
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(s)]):
-                if a == b:
-                    continue
-                if s[a] != now:
-                    yield from done(shard, filed, now)
-                    filed, shard, now = [], None, s[a]
-                if role[a] == 0:
-                    filed.append(p[a:b])
-                elif filed or shard:
-                    if shard is None:
-                        shard, filed = whole(filed, now), []
-                    yield from told(shard.links(p[a:b]))
-        yield from done(shard, filed, now)
-
-    def done(shard, filed, now):
-        if shard is None and filed:
-            shard = whole(filed, now)
-        if shard is not None:
-            yield from told(shard.forest())
+    def file(asking):
+        def run(batches):
+            trees, splits = shared.value
+            for batch in batches:
+                for at in range(0, len(batch), 4096):
+                    some = batch.slice(at, 4096)
+                    for shard, role, own in _filing(_prints(some.column(0), words), trees, splits, asking):
+                        taken = [some.column(c).take(pa.array(own)) for c in (0, 1)]
+                        yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(role), *taken], ["shard", "role", "fp", "label"])
+
+        return run
+
+    def search(asking):
+        def whole(filed, shard):
+            prints, labels = (np.concatenate(x) for x in zip(*filed))
+            block = int(np.searchsorted(ends, shard >> 20, "right"))
+            made = Shard(prints, bits, block, radius, labels if asking else None)
+            made.join_filed()
+            return made
+
+        def done(shard, filed, now):
+            if shard is None and filed:
+                shard = whole(filed, now)
+            if shard is not None:
+                yield from told(shard.forest() if asking else shard.least())
+
+        def run(batches):
+            filed: list[tuple[np.ndarray, np.ndarray]] = []
+            shard, now = None, -1
+            for batch in batches:
+                s, role, p = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _prints(batch.column(2), words)
+                labels = _prints(pc.coalesce(batch.column(3), batch.column(2)), words)
+                cuts = np.nonzero((np.diff(s) != 0) | (np.diff(role) != 0))[0] + 1
+                for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(s)]):
+                    if a == b:
+                        continue
+                    if s[a] != now:
+                        yield from done(shard, filed, now)
+                        filed, shard, now = [], None, s[a]
+                    if role[a] == 0:
+                        filed.append((p[a:b], labels[a:b]))
+                    elif filed or shard:
+                        if shard is None:
+                            shard, filed = whole(filed, now), []
+                        yield from told(shard.links(p[a:b], labels[a:b]))
+            yield from done(shard, filed, now)
+
+        return run
 
     def told(links):
         if len(links[0]):
             yield pa.RecordBatch.from_arrays([_column(x) for x in links], ["a", "b"])
 
-    return (
-        prints.mapInArrow(file, f"shard bigint, role tinyint, fp {kind}")
-        .repartition(F.col("shard"))
-        .sortWithinPartitions("shard", "role")
-        .mapInArrow(search, f"a {kind}, b {kind}")
-    )
+    def searched(labelled: DataFrame, asking: bool) -> DataFrame:
+        filed = labelled.mapInArrow(file(asking), f"shard bigint, role tinyint, fp {kind}, label {kind}")
+        return filed.repartition(F.col("shard")).sortWithinPartitions("shard", "role", "fp").mapInArrow(search(asking), f"a {kind}, b {kind}")
+
+    alone = prints.withColumn("label", F.lit(None).cast(kind))
+    labels = star_components(searched(alone, False).groupBy("a").agg(F.min("b").alias("b")))
+    labels = saved(labels.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")), "simhash-labels")
+    labelled = prints.join(labels, F.col("fp") == F.col("a"), "left").select("fp", F.col("b").alias("label"))
+    return searched(labelled, True).unionByName(labels)
 
 
 def fingerprint_components(prints: DataFrame, bits: int = 4, words: int = 1, radius: int | None = None) -> DataFrame:
