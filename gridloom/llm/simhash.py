@@ -13,9 +13,9 @@ all pairs are compared exactly over all bits, by a bounded matrix or, when the s
 of the shard's block.
 
 The search goes twice, so that a large group gives few links. The first time shards compare only what is filed in them,
-and every fingerprint takes the least one that it reaches in any shard; the components of these are labels. The second time
-questions are asked as well, and a shard returns a spanning forest of labels, none for fingerprints of one label. Components
-of labels and forests are those of all links.
+and every fingerprint's label is the least one that it reaches in any shard. The second time questions are asked as well, and
+a shard returns a spanning forest of labels, none for fingerprints of one label. Components of labels and forests are those
+of all links.
 
 Trees are built from a histogram of block values (65,536 counts a block at most, whatever the data), the only thing that
 the driver sees of the fingerprints.
@@ -431,8 +431,7 @@ def fingerprint_links(
         return filed.repartition(F.col("shard")).sortWithinPartitions("shard", "role", "fp").mapInArrow(search(asking), f"a {kind}, b {kind}")
 
     alone = prints.withColumn("label", F.lit(None).cast(kind))
-    labels = star_components(searched(alone, False).groupBy("a").agg(F.min("b").alias("b")))
-    labels = saved(labels.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")), "simhash-labels")
+    labels = saved(searched(alone, False).groupBy("a").agg(F.min("b").alias("b")), "simhash-labels")
     labelled = prints.join(labels, F.col("fp") == F.col("a"), "left").select("fp", F.col("b").alias("label"))
     return searched(labelled, True).unionByName(labels)
 
