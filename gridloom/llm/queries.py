@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import chat, gif, langid, mixing, pieces, quality, simhash, tokencount, urls, warc
+from gridloom.llm import chat, gif, langid, lines, mixing, phrases, pieces, quality, resample, simhash, tokencount, urls, warc
 from gridloom.llm.common import fold_of, table
 
 URL_RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
@@ -199,6 +199,60 @@ select conv_id, perspective, turn, role, speaker, rendered, char_end - length(re
 from placed
 """
 
+
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    index = lines.LineIndex.build(docs)
+    cleaned, found = index.clean(docs)
+    return cleaned.select("doc_id", f"{found}.n_lines", f"{found}.n_dropped", hex_digest(F.col(f"{found}.text")).alias("kept_sha256"))
+
+
+OP11_SQL = r"""
+with l as (
+  select doc_id, u.line, u.k, translate(regexp_replace(regexp_replace(u.line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+  from (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents), unnest(list_transform(ls, lambda x, i: {'line': x, 'k': i})) t(u)),
+shared as (select key, min(doc_id) as first from l where length(key) >= 10 group by key having count(distinct doc_id) > 1),
+marked as (select l.*, shared.first is not null and doc_id <> shared.first as gone from l left join shared on l.key = shared.key)
+select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by k) filter (not gone), '')) as kept_sha256
+from marked group by doc_id
+"""
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+with pieces as (
+  select row_number() over () as piece, lang, words from (
+    select lang, list_filter(regexp_split_to_array(p, '[ \t]+'), lambda w: w <> '') as words from (
+      select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\v\f\r]')) as p
+      from documents))),
+w as (select lang, words[i] as w1, words[i + 1] as w2, words[i + 2] as w3 from (select lang, words, unnest(range(1, len(words) + 1)) as i from pieces)),
+totals as (select lang, count(*) as n from w group by lang),
+f1 as (select lang, w1, count(*)::hugeint as n from w group by all),
+f2 as (select lang, w1, w2, count(*)::hugeint as n from w where w2 is not null group by all having count(*) >= 10),
+f3 as (select lang, w1, w2, w3, count(*)::hugeint as n from w where w3 is not null group by all having count(*) >= 10),
+c3 as (
+  select f3.*, a.n as l1, b.n as r1, c.n as l2, d.n as r2, 1000000 * f3.n * f3.n // (a.n * b.n) as s1, 1000000 * f3.n * f3.n // (c.n * d.n) as s2
+  from f3 join f1 a on a.lang = f3.lang and a.w1 = f3.w1 join f2 b on b.lang = f3.lang and b.w1 = f3.w2 and b.w2 = f3.w3
+  join f2 c on c.lang = f3.lang and c.w1 = f3.w1 and c.w2 = f3.w2 join f1 d on d.lang = f3.lang and d.w1 = f3.w3),
+inside as (select lang, w1, w2 from c3 where 100 * n >= 50 * l2 union select lang, w2, w3 from c3 where 100 * n >= 50 * r1),
+found as (
+  select f2.lang, f2.w1 || ' ' || f2.w2 as phrase, f2.n as a, x.n as l, y.n as r, 1000000 * f2.n * f2.n // (x.n * y.n) as score
+  from f2 join f1 x on x.lang = f2.lang and x.w1 = f2.w1 join f1 y on y.lang = f2.lang and y.w1 = f2.w2
+  anti join inside on inside.lang = f2.lang and inside.w1 = f2.w1 and inside.w2 = f2.w2
+  union all
+  select lang, w1 || ' ' || w2 || ' ' || w3, n, case when s2 < s1 then l2 else l1 end, case when s2 < s1 then r2 else r1 end, least(s1, s2) from c3),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from found)
+select lang, rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score::bigint as score from ranked join totals using (lang) where rank <= 2000
+"""
+
 QUERIES = {
     "op1_url_reputation": op1_url_reputation,
     "op2_sentencepiece": op2_sentencepiece,
@@ -210,10 +264,15 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_source_mix": op9_source_mix,
     "op10_chat_rotation": op10_chat_rotation,
+    "op11_line_dedup": op11_line_dedup,
+    "op12_resample": op12_resample,
+    "op13_collocations": op13_collocations,
 }
 ORACLE_SQL = {
     "op1_url_reputation": OP1_SQL,
     "op5_warc": OP5_SQL,
     "op9_source_mix": OP9_SQL,
     "op10_chat_rotation": OP10_SQL,
+    "op11_line_dedup": OP11_SQL,
+    "op13_collocations": OP13_SQL,
 }
