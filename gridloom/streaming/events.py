@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import pandas as pd
@@ -13,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gridloom.functions.rules import feeding_error, location_error
 from gridloom.operators.activity import event_summaries, leaderboard
+from gridloom.streaming.store import Store
 
 
 def dedupe_stream(stream: DataFrame, delay: str = "90 days", time: str = "occurred_at") -> DataFrame:
@@ -97,52 +98,36 @@ def rate_limited_batch(events: DataFrame, per_day: int = 50, per_hour: int = 20,
     return rows.sortWithinPartitions("user_id", "part", "us", "id", "point_id").mapInArrow(run, SCHEMA)
 
 
-def rate_limited(stream: DataFrame, per_day: int = 50, per_hour: int = 20, cooldown_s: float = 1800) -> DataFrame:
-    """Rows of ``SCHEMA`` for a stream (user_id, id, point_id, at): state is the user's accepted events of the last day,
-    ``per_day`` at most, and goes when none has come for a day."""
-    rows = stream.select(F.col("user_id").cast("string").alias("user_id"), F.col("id").cast("string").alias("id"), F.col("point_id").cast("string").alias("point_id"), (F.unix_micros(F.col("at").cast("timestamp")) / 1e6).alias("at"))
-
-    def run(key, batches: Iterator[pd.DataFrame], state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        new = pd.concat(list(batches)).sort_values(["at", "id"])
-        times, points = state.get if state.exists else ([], [])
-        history, reasons = accept(list(zip(times, points)), list(zip(new["at"], new["point_id"])), per_day, per_hour, cooldown_s)
-        state.update(([h[0] for h in history], [h[1] for h in history]))
-        state.setTimeoutDuration(86_400_000)
-        yield new.assign(reason=pd.array(reasons, dtype="object"))[["user_id", "id", "point_id", "at", "reason"]]
-
-    return rows.groupBy("user_id").applyInPandasWithState(run, SCHEMA, "times array<double>, points array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+def _stores(spark, path: str, key: str, **shape: int) -> tuple[Store, Store]:
+    """The events of a live table, and what is told of each key."""
+    return Store(spark, f"{path}/events", key, "id", "received_at", **shape), Store(spark, f"{path}/told", key, key, "batch", **shape)
 
 
-#: Folders that a store's events are dealt to by park, so that a batch reads those of its parks only.
-BUCKETS = 256
-
-
-def live_summaries(stream: DataFrame, store: str, checkpoint: str, buckets: int = BUCKETS):
-    """Keeps a table of events at ``store`` and rebuilds the summaries of the parks a batch touches below
-    ``store``/summaries/<batch>, from those parks' buckets alone; a replayed batch writes the same folders again."""
+def _live(stream: DataFrame, path: str, checkpoint: str, key: str, tell: Callable, **shape: int):
+    """Keeps a stream's events, the latest row of each id, and ``tell`` of all events of each key that a batch touches."""
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        bucket = F.pmod(F.xxhash64("park_id"), F.lit(buckets)).cast("int")
-        batch.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/events/batch={number}")
-        touched = batch.select("park_id", bucket.alias("bucket")).distinct()
-        folders = [r["bucket"] for r in touched.select("bucket").distinct().collect()]  # ``buckets`` at most
-        known = spark.read.parquet(f"{store}/events").where(F.col("bucket").isin(folders) & (F.col("batch") <= number)).drop("batch", "bucket")
-        own = known.join(touched.select("park_id"), "park_id", "left_semi")
-        latest = own.groupBy("id").agg(F.max_by(F.struct(*own.columns), F.col("received_at")).alias("r")).select("r.*")
-        event_summaries(latest).write.mode("overwrite").parquet(f"{store}/summaries/batch={number}")
+        events, told = _stores(batch.sparkSession, path, key, **shape)
+        manifest, touched = events.add(batch, number)
+        if touched:
+            keys = batch.sparkSession.read.parquet(f"{path}/events/rows/generation={number}").select(key).distinct()
+            own = events.read(touched, manifest).join(keys, key, "left_semi")
+            rows = keys.join(tell(own), key, "left").withColumn("batch", F.lit(number))
+            after, _ = told.add(rows, number)
+            told.commit(after, number)
+        events.commit(manifest, number)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
-def current_summaries(spark, store: str) -> DataFrame:
-    """The newest summary of each park in a store of ``live_summaries``."""
-    all_ = spark.read.parquet(f"{store}/summaries")
-    fields = [c for c in all_.columns if c != "batch"]
-    return all_.groupBy(F.col("park_id").alias("_p")).agg(F.max_by(F.struct(*fields), F.col("batch")).alias("r")).select("r.*")
+def live_summaries(stream: DataFrame, store: str, checkpoint: str, buckets: int = 256, most: int = 8):
+    """Keeps the summaries of parks current. A batch reads the buckets of its parks, a bounded number of files each."""
+    return _live(stream, store, checkpoint, "park_id", event_summaries, buckets=buckets, most=most)
+
+
+def current_summaries(spark, store: str, buckets: int = 256, most: int = 8) -> DataFrame:
+    """The summary of each park with shown events in a store of ``live_summaries``."""
+    return _stores(spark, store, "park_id", buckets=buckets, most=most)[1].read().where("records > 0").drop("batch")
 
 
 def live_points(stream: DataFrame) -> DataFrame:
@@ -176,17 +161,17 @@ def point_changes(stream: DataFrame, points: int = 10, keep_days: int = 90) -> D
     return rows.groupBy("id").applyInPandasWithState(run, CHANGES, "counted bigint, last bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def live_leaderboard(stream: DataFrame, store: str, checkpoint: str):
-    """Keeps the sums of ``point_changes`` by user below ``store``/points/batch=<n>; a replayed batch writes its folder
-    again. Hidden events are taken back by their own arrival."""
+def live_leaderboard(stream: DataFrame, store: str, checkpoint: str, points: int = 10, buckets: int = 256, most: int = 8):
+    """Keeps the points of each user current from a stream (id, user_id, status, received_at). Every event's latest row is
+    kept, so one that is hidden after years takes its points back."""
 
-    def write(batch: DataFrame, number: int) -> None:
-        batch.groupBy("user_id").agg(F.sum("points").alias("points")).write.mode("overwrite").parquet(f"{store}/points/batch={number}")
+    def tell(events: DataFrame) -> DataFrame:
+        return events.groupBy("user_id").agg((F.count_if(F.col("status") == "published") * points).alias("points"))
 
-    return point_changes(stream).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return _live(stream, store, checkpoint, "user_id", tell, buckets=buckets, most=most)
 
 
-def current_leaderboard(spark, store: str, profiles: DataFrame | None = None, limit: int = 10) -> DataFrame:
+def current_leaderboard(spark, store: str, profiles: DataFrame | None = None, limit: int = 10, buckets: int = 256, most: int = 8) -> DataFrame:
     """The leaderboard of a store of ``live_leaderboard``; users back at no points are left out."""
-    sums = spark.read.parquet(f"{store}/points").groupBy("user_id").agg(F.sum("points").alias("points")).where("points <> 0")
+    sums = _stores(spark, store, "user_id", buckets=buckets, most=most)[1].read().select("user_id", "points").where("points <> 0")
     return leaderboard(sums, profiles, limit)

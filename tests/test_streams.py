@@ -4,7 +4,10 @@ import random
 from pyspark.sql import functions as F
 
 from gridloom.operators.activity import event_summaries
+from gridloom.operators import activity as A
 from gridloom.streaming import events as E
+from gridloom.streaming import ordered as O
+from gridloom.streaming.store import Store
 
 T0 = dt.datetime(2026, 9, 1)
 KIND = "id string, user_id string, point_id string, park_id string, food_grams int, water_ml int, occurred_at timestamp, received_at timestamp, status string"
@@ -61,9 +64,79 @@ def test_rate_limits_batch_and_stream(spark, tmp_path):
     want = by_hand([(r[6].replace(tzinfo=dt.timezone.utc).timestamp(), r[0], r[1], r[2]) for r in data], 12, 4, 1800)
     df = spark.createDataFrame(data, KIND).withColumn("at", F.col("occurred_at"))
     assert {r["id"]: r["reason"] for r in E.rate_limited_batch(df, 12, 4, 1800).collect()} == want
-    s = stream(spark, str(tmp_path), [data[:40], data[40:]]).withColumn("at", F.col("occurred_at"))
-    ordered = {r["id"]: r["reason"] for r in finish(E.rate_limited(s, 12, 4, 1800), "limits")}
-    assert ordered == want  # batches come in order of time
+    # any arrival order within the watermark; a last row moves it past all others
+    random.Random(4).shuffle(data)
+    end = ("end", "nobody", *data[0][2:6], T0 + dt.timedelta(days=9), T0, "published")
+    behind = ("behind", "u1", "p1", *data[0][3:6], T0, T0, "published")
+    s = stream(spark, str(tmp_path), [data[:30], data[30:55], data[55:], [end], [behind]]).withColumn("at", F.col("occurred_at"))
+    told = {r["id"]: r["reason"] for r in finish(O.rate_limited(s, 12, 4, 1800, "1 day"), "limits")}
+    assert told == want | {"behind": "late"}
+
+
+def test_rate_limits_go_on_after_a_restart(spark, tmp_path):
+    data = rows(60, 3)
+    want = by_hand([(r[6].replace(tzinfo=dt.timezone.utc).timestamp(), r[0], r[1], r[2]) for r in data], 6, 3, 1800)
+    end = ("end", "nobody", *data[0][2:6], T0 + dt.timedelta(days=9), T0, "published")
+    for batches in ([data[:20], data[20:40]], [data[40:], [end]]):
+        s = stream(spark, str(tmp_path), batches).withColumn("at", F.col("occurred_at"))
+        q = O.rate_limited(s, 6, 3, 1800, "1 day").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp"))
+        settle(q.trigger(availableNow=True).start(str(tmp_path / "out")))
+    told = [(r["id"], r["reason"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert len(told) == len(set(told)) and dict(told) == want
+
+
+def test_deliveries_tell_repeats_conflicts_and_late_rows(spark, tmp_path):
+    at = lambda m: T0 + dt.timedelta(minutes=m)
+    kind = "id string, user_id string, received_at timestamp"
+    batches = [
+        [("1", "a", at(0)), ("2", "a", at(1)), ("2", "a", at(2))], [("1", "a", at(30)), ("2", "b", at(31)), ("3", "b", at(31))], [("9", "z", at(600))],
+        [("1", "a", at(20)), ("3", "c", at(601)), ("4", "d", at(40)), ("5", "e", at(602))], [("9", "z", at(60 * 24 * 4))], [("1", "a", at(60 * 24 * 4 + 1)), ("2", "b", at(61))],
+    ]
+    told = finish(O.deliveries(stream(spark, str(tmp_path), batches, kind), delay="1 hour", keep_days=2), "deliveries")
+    micros = lambda m: int(at(m).replace(tzinfo=dt.timezone.utc).timestamp() * 1e6)
+    assert {(r["id"], r["user_id"], r["us"]): r["delivery"] for r in told} == {
+        ("1", "a", micros(0)): "accepted", ("2", "a", micros(1)): "accepted", ("2", "a", micros(2)): "repeat", ("1", "a", micros(30)): "repeat", ("2", "b", micros(31)): "conflict",
+        ("3", "b", micros(31)): "accepted", ("9", "z", micros(600)): "accepted", ("1", "a", micros(20)): "late_repeat", ("3", "c", micros(601)): "conflict", ("4", "d", micros(40)): "late",
+        ("5", "e", micros(602)): "accepted", ("9", "z", micros(60 * 24 * 4)): "repeat", ("1", "a", micros(60 * 24 * 4 + 1)): "accepted", ("2", "b", micros(61)): "late",
+    }
+
+
+def test_case_stream_ends_as_the_batch_fold(spark, tmp_path):
+    r = random.Random(8)
+    cases = spark.createDataFrame([(f"c{i}", A.CASE_STATES[i % 3], None, None, T0 if i == 4 else None) for i in range(6)], "id string, status string, assigned_volunteer_id string, assigned_vet_id string, hidden_at timestamp")
+    vets = spark.createDataFrame([("x1", True), ("x2", False)], "id string, active boolean")
+    kind = "case_id string, at timestamp, seq bigint, kind string, actor string, moderator boolean, target string, vet_id string"
+    log = []
+    for k in range(200):
+        claim = r.random() < 0.3
+        log.append((f"c{r.randrange(6)}", T0 + dt.timedelta(minutes=r.randrange(120)), k, "claim" if claim else "advance", f"v{r.randrange(2)}", r.random() < 0.3, None if claim else r.choice(A.CASE_STATES[3:]), r.choice([None, None, "x1", "x2"])))
+    want = A.fold_cases(cases, spark.createDataFrame(log, kind), vets).drop("refused")
+    end = ("c9", T0 + dt.timedelta(days=9), 999, "claim", "v0", False, None, None)
+    s = stream(spark, str(tmp_path), [log[:70], log[70:150], log[150:], [end]], kind)
+    told = O.case_stream(s, cases, vets, "1 day")
+    finish(told, "cases")
+    assert sorted(map(tuple, O.case_states(spark.table("cases")).collect())) == sorted(tuple(x) for x in want.collect() if x["id"] in {c[0] for c in log})
+    assert spark.table("cases").where("late").count() == 0
+
+
+def test_store_is_bounded_and_replays(spark, tmp_path):
+    r = random.Random(9)
+    store = Store(spark, str(tmp_path / "s"), "park_id", "id", "n", buckets=3, most=4)
+    kind, latest = "id string, park_id string, n int", {}
+    for number in range(14):
+        batch = [(f"e{r.randrange(30)}", None, number) for _ in range(4)]
+        batch = [(i, f"k{i[-1]}", n) for i, _, n in batch]
+        for _ in range(2 if number % 5 == 4 else 1):  # some batches come twice
+            manifest, touched = store.add(spark.createDataFrame(batch, kind), number)
+            assert touched and max(map(len, manifest.values())) <= 4
+            if number == 9:
+                assert store.manifest() != manifest  # not seen before the commit
+            store.commit(manifest, number)
+        latest |= {i: n for i, _, n in batch}
+    assert {x["id"]: x["n"] for x in store.read().collect()} == latest
+    found = [f for f in (tmp_path / "s" / "rows").rglob("*.parquet")]
+    assert len(found) <= 2 * 3 * 4  # of two manifests
+    assert len(list((tmp_path / "s" / "manifest").iterdir())) == 2
 
 
 def test_a_hot_user_is_cut_at_gaps(spark):
