@@ -10,16 +10,17 @@ import json
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.functions.geo import LAT_M, LON_M, bbox, ring_area
-from gridloom.functions.session import checkpoint_root
+from gridloom.functions.geo import LAT_M, LON_M, bbox, haversine_m, ring_area
 from gridloom.functions.names import has_evidence, name_relationship, parse_name
-from gridloom.functions.text import text
+from gridloom.functions.session import checkpoint_root, saved
+from gridloom.functions.text import name_key, text
+from gridloom.operators.cover import box_pairs, with_box
 from gridloom.operators.graph import star_components
-from gridloom.operators.spatial import self_pairs
 
 
 
@@ -196,16 +197,26 @@ def polygon_relation(a, b) -> Column:
     return _relation(F.to_json(text(a)), F.to_json(text(b)))
 
 
-def pair_evidence(records: DataFrame, reach_m: float = 3000, gap_m: float = 1000) -> DataFrame:
-    """(a, b, relation fields, name_evidence, same_district) of records (id, name, district, latitude, longitude, polys)
-    whose boundaries are within ``gap_m``."""
-    parsed = records.select("id", "latitude", "longitude", "district", "polys", parse_name("name").alias("parsed"))
-    pairs = self_pairs(parsed, reach_m).withColumn("r", polygon_relation("a.polys", "b.polys")).where(F.col("r.boundary_gap_m") <= gap_m)
+def near_pairs(records: DataFrame, metres: float, by: list[str] | None = None) -> DataFrame:
+    """Pairs (a, b: structs of the records, a.id < b.id) whose boxes come within a distance; records without ``polys`` count
+    as their points. Only ids and boxes are moved to find them."""
+    pairs = box_pairs(with_box(records), metres, by=by)
+    row = F.struct(*records.columns)
+    side = lambda name: records.select(F.col("id").alias(f"_{name}"), row.alias(name))
+    return pairs.toDF("_a", "_b").join(side("a"), "_a").join(side("b"), "_b").select("a", "b")
+
+
+def pair_evidence(records: DataFrame, gap_m: float = 1000) -> DataFrame:
+    """(a, b, relation fields, same_name_key, name_evidence, same_district) of records (id, name, district, latitude,
+    longitude, polys) whose boundaries are within ``gap_m``, however far apart their points are. ``same_district`` is null
+    where a district is unknown."""
+    parsed = records.where("polys is not null").select("id", "latitude", "longitude", "district", "polys", parse_name("name").alias("parsed"))
+    pairs = near_pairs(parsed, gap_m).withColumn("r", polygon_relation("a.polys", "b.polys")).where(F.col("r.boundary_gap_m") <= gap_m)
     evidence = has_evidence(name_relationship(F.col("a.parsed"), F.col("b.parsed")))
-    same_generic = F.col("a.parsed.key") == F.col("b.parsed.key")
-    district = F.coalesce(F.nullif("a.district", F.lit("")) == F.nullif("b.district", F.lit("")), F.lit(True))
+    same_key = F.col("a.parsed.key") == F.col("b.parsed.key")
+    district = F.nullif("a.district", F.lit("")) == F.nullif("b.district", F.lit(""))
     # named apart first: an alias a or b would hide the structs
-    told = pairs.select(F.col("a.id").alias("_a"), F.col("b.id").alias("_b"), "r.*", (evidence | same_generic).alias("name_evidence"), district.alias("same_district"))
+    told = pairs.select(F.col("a.id").alias("_a"), F.col("b.id").alias("_b"), "r.*", same_key.alias("same_name_key"), evidence.alias("name_evidence"), district.alias("same_district"))
     return told.withColumnsRenamed({"_a": "a", "_b": "b"})
 
 
@@ -234,27 +245,110 @@ def point_polygon_m(lon, lat, polys) -> Column:
     return _point_polygon(text(lon), text(lat), F.to_json(text(polys)))
 
 
-def shape_of(polys_of_members) -> dict:
-    """Shape of the polygons of a cluster on the plane of its first point."""
-    members = [_parts(p) for p in polys_of_members]
-    k = np.array([LON_M * np.cos(np.radians(members[0][0][0][0, 1])), LAT_M])
-    areas = [sum((1 if i == 0 else -1) * abs(_area(r * k)) for part in m for i, r in enumerate(part)) for m in members]
-    points = np.concatenate([part[0][:-1] * k for m in members for part in m])
-    extent = max((float(np.sqrt(((points[i] - points[i:]) ** 2).sum(axis=1).max())) for i in range(len(points))), default=0.0)
-    area = sum(areas)
-    return {"area_m2": area, "max_extent_m": extent, "compactness": area / extent**2 if extent else 1.0, "mean_width_m": area / extent if extent else 0.0}
+def hull(points: np.ndarray) -> np.ndarray:
+    """Corners of the convex hull of points, counterclockwise from the leftmost."""
+    points = np.unique(points, axis=0)
+    if len(points) < 3:
+        return points
+
+    def chain(rows: np.ndarray) -> list:
+        out: list = []
+        for p in rows.tolist():
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]):
+                out.pop()
+            out.append(p)
+        return out[:-1]
+
+    return np.array(chain(points) + chain(points[::-1]))
+
+
+def extent(corners: np.ndarray) -> float:
+    """The greatest distance between corners of a convex hull: calipers go around it once."""
+    n = len(corners)
+    if n < 2:
+        return 0.0
+    if n == 2:
+        return float(np.hypot(*(corners[0] - corners[1])))
+    p, far, k = corners.tolist(), 0.0, 1
+    twice = lambda a, b, c: abs((b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0]))
+    for i in range(n):
+        a, b = p[i], p[(i + 1) % n]
+        while twice(a, b, p[(k + 1) % n]) > twice(a, b, p[k]):
+            k = (k + 1) % n
+        for q in (p[k], p[(k + 1) % n]):
+            far = max(far, np.hypot(a[0] - q[0], a[1] - q[1]), np.hypot(b[0] - q[0], b[1] - q[1]))
+    return float(far)
+
+
+@F.pandas_udf(_struct(area=NUMBER, lat=NUMBER, x=T.ArrayType(NUMBER), y=T.ArrayType(NUMBER)))
+def _outlines(polys: pd.Series) -> pd.DataFrame:
+    """Area in square degrees, latitude of the first point, and the hull of the outer rings."""
+    rows = []
+    for parts in map(_parts, map(json.loads, polys)):
+        corners = hull(np.concatenate([part[0][:-1] for part in parts]))
+        rows.append((sum((1 if i == 0 else -1) * abs(_area(r)) for part in parts for i, r in enumerate(part)), parts[0][0][0, 1], corners[:, 0].tolist(), corners[:, 1].tolist()))
+    return pd.DataFrame(rows, columns=["area", "lat", "x", "y"])
+
+
+def _merged_hulls(outlines: DataFrame, key: str, most: int = 20_000) -> DataFrame:
+    """(key, x, y): the hull of each key's hulls. Tasks merge what they read before it is dealt by key, and hold at most some
+    ``most`` points besides hulls."""
+    kind = dict(outlines.dtypes)[key]
+
+    def rows_of(found: dict) -> pa.RecordBatch:
+        columns = [pa.array(list(found)), *(pa.array([h[:, k].tolist() for h in found.values()], pa.list_(pa.float64())) for k in (0, 1))]
+        return pa.RecordBatch.from_arrays(columns, [key, "x", "y"])
+
+    def run(batches):
+        held: dict = {}
+        waiting: dict[object, list] = {}
+        points = 0
+
+        def settle() -> None:
+            for k, more in waiting.items():
+                held[k] = hull(np.concatenate([*([held[k]] if k in held else []), *more]))
+            waiting.clear()
+
+        for batch in batches:
+            for k, x, y in zip(*(batch.column(c).to_pylist() for c in (key, "x", "y"))):
+                waiting.setdefault(k, []).append(np.column_stack([x, y]))
+                points += len(x)
+                if points >= most:
+                    settle()
+                    points = sum(map(len, held.values()))
+                    if points >= most // 2:  # of several keys: hand on all but the last
+                        own = held.pop(k)
+                        if held:
+                            yield rows_of(held)
+                        held, points = {k: own}, 0
+        settle()
+        if held:
+            yield rows_of(held)
+
+    schema = f"{key} {kind}, x array<double>, y array<double>"
+    some = outlines.select(key, "x", "y").mapInArrow(run, schema)
+    return some.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
 
 
-@F.pandas_udf(_struct(area_m2=NUMBER, max_extent_m=NUMBER, compactness=NUMBER, mean_width_m=NUMBER))
-def _shapes(members: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([shape_of(json.loads(m)) for m in members])
+@F.pandas_udf(NUMBER)
+def _extents(x: pd.Series, y: pd.Series, lat: pd.Series) -> pd.Series:
+    return pd.Series([extent(hull(np.column_stack([a, b])) * [LON_M * np.cos(np.radians(at)), LAT_M]) for a, b, at in zip(x, y, lat)], dtype="float64")
 
 
 def shape_metrics(records: DataFrame, key: str = "component", linear_below: float = 0.01, path_width_m: float = 8) -> DataFrame:
-    """(component, area_m2, max_extent_m, compactness, mean_width_m, linear, path_like) of clusters of polygons; a cluster
-    is one physical park, so its polygons fit a row."""
-    groups = records.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("id", "polys"))).alias("m"))
-    shaped = groups.select(key, _shapes(F.to_json(F.col("m.polys"))).alias("s")).select(key, "s.*")
+    """(component, area_m2, max_extent_m, compactness, mean_width_m, linear, path_like) of clusters of polygons, on the plane
+    at the first point of the member with the least id. Only hulls are merged: stretching the plane keeps them hulls, and the
+    farthest points of a set are corners of its hull."""
+    outlines = records.where("polys is not null").select(key, "id", _outlines(F.to_json("polys")).alias("o")).select(key, "id", "o.*")
+    outlines = saved(outlines, "outlines")
+    sums = outlines.groupBy(key).agg(F.sum("area").alias("area"), F.min_by("lat", "id").alias("lat"))
+    # a key's two hulls at most: a merge that handed on is followed by one of the rest
+    hulls = _merged_hulls(outlines, key).groupBy(key).agg(F.flatten(F.collect_list("x")).alias("x"), F.flatten(F.collect_list("y")).alias("y"))
+    shaped = sums.join(hulls, key).select(
+        key, (F.col("area") * F.cos(F.radians("lat")) * LON_M * LAT_M).alias("area_m2"), _extents("x", "y", "lat").alias("max_extent_m")
+    )
+    long = F.col("max_extent_m")
+    shaped = shaped.withColumn("compactness", F.when(long > 0, F.col("area_m2") / (long * long)).otherwise(1.0)).withColumn("mean_width_m", F.when(long > 0, F.col("area_m2") / long).otherwise(0.0))
     linear = F.col("compactness") < linear_below
     return shaped.withColumn("linear", linear).withColumn("path_like", linear & (F.col("mean_width_m") < path_width_m))
 
@@ -305,29 +399,55 @@ def component_groups(components: DataFrame, edges: DataFrame) -> DataFrame:
 
 def name_clusters(records: DataFrame, gap_m: float = 25) -> DataFrame:
     """(id, component) of same-name polygons within a gap."""
-    from gridloom.functions.text import name_key
-
-    keyed = records.select("id", "latitude", "longitude", "polys", name_key("name").alias("key")).where("key <> ''")
-    pairs = self_pairs(keyed, 3000, by=["key"]).withColumn("r", polygon_relation("a.polys", "b.polys"))
-    return connected_components(records, pairs.where(F.col("r.boundary_gap_m") <= gap_m).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")))
+    keyed = records.where("polys is not null").select("id", "latitude", "longitude", "polys", name_key("name").alias("key")).where("key <> ''")
+    pairs = near_pairs(keyed, gap_m, ["key"]).where(polygon_relation("a.polys", "b.polys")["boundary_gap_m"] <= gap_m)
+    return connected_components(records, pairs.select(F.col("a.id").alias("_a"), F.col("b.id").alias("_b")).toDF("a", "b"))
+
+
+def source_clusters(records: DataFrame, fragment_gap_m: float = 30, ambiguous_gap_m: float = 150, same_point_m: float = 2, reach_m: float = 600) -> tuple[DataFrame, DataFrame]:
+    """Clusters of one source's records (id, name, latitude, longitude, polys or null) for review: ((id, component), (a, b,
+    why)). Points of a pair lie within ``reach_m``. Two records overlap if their polygons meet, or, where one has no polygon,
+    if their points are ``same_point_m`` apart at most. Overlapping records are one if their names agree or either name is
+    generic or a placeholder, else ambiguous; records of agreeing names are one within ``fragment_gap_m`` and ambiguous
+    within ``ambiguous_gap_m``. Generic names never agree."""
+    parsed = records.select("id", "latitude", "longitude", "polys", parse_name("name").alias("parsed"))
+    pairs = near_pairs(parsed, max(ambiguous_gap_m, same_point_m))
+    points = haversine_m("a.latitude", "a.longitude", "b.latitude", "b.longitude")
+    to_a, to_b = point_polygon_m("b.longitude", "b.latitude", "a.polys"), point_polygon_m("a.longitude", "a.latitude", "b.polys")
+    near = (F.abs(F.col("a.latitude") - F.col("b.latitude")) <= 0.004) & (F.abs(F.col("a.longitude") - F.col("b.longitude")) <= 0.006)
+    measured = pairs.where(near).withColumn("d", points).where(F.col("d") <= reach_m)
+    both = F.col("a.polys").isNotNull() & F.col("b.polys").isNotNull()
+    measured = measured.withColumn("gap", polygon_relation("a.polys", "b.polys")["boundary_gap_m"]).withColumn("to_a", to_a).withColumn("to_b", to_b)
+    gap = F.when(both, F.col("gap")).otherwise(F.coalesce("to_a", "to_b", "d"))
+    overlap = F.when(both, F.col("gap") == 0).otherwise(F.col("d") <= same_point_m)
+    agree = has_evidence(name_relationship(F.col("a.parsed"), F.col("b.parsed")))
+    weak = F.col("a.parsed.generic") | F.col("b.parsed.generic") | F.col("a.parsed.placeholder") | F.col("b.parsed.placeholder")
+    judged = measured.select(F.col("a.id").alias("_a"), F.col("b.id").alias("_b"), gap.alias("gap_m"), overlap.alias("overlap"), agree.alias("agree"), weak.alias("weak")).withColumnsRenamed({"_a": "a", "_b": "b"})
+    why = (
+        F.when(F.col("overlap"), F.when(F.col("agree") | F.col("weak"), "one").otherwise("overlap_with_other_name"))
+        .when(F.col("agree") & (F.col("gap_m") <= fragment_gap_m), "one")
+        .when(F.col("agree") & (F.col("gap_m") <= ambiguous_gap_m), "namesake_nearby")
+    )
+    told = saved(judged.withColumn("why", why).where("why is not null").select("a", "b", "why"), "source-pairs")
+    return connected_components(records, told.where("why = 'one'").select("a", "b")), told.where("why <> 'one'")
 
 
-def source_clusters(records: DataFrame, pairs: DataFrame, fragment_gap_m: float = 30, ambiguous_gap_m: float = 150) -> tuple[DataFrame, DataFrame]:
-    """Clusters of one source's records for review, from ``pair_evidence``: ((id, component), (a, b, why)). Overlapping
-    records and near namesakes are one; namesakes farther off, and overlaps of different names, are ambiguous."""
-    named = F.col("name_evidence")
-    link = (named & (F.col("intersects") | (F.col("boundary_gap_m") <= fragment_gap_m)))
-    why = F.when(named & ~link & (F.col("boundary_gap_m") <= ambiguous_gap_m), "namesake_nearby").when(~named & F.col("intersects"), "overlap_with_other_name")
-    components = connected_components(records, pairs.where(link).select("a", "b"))
-    return components, pairs.withColumn("why", why).where("why is not null").select("a", "b", "why")
+def cluster_classes(components: DataFrame, ambiguous: DataFrame) -> DataFrame:
+    """(id, component, size, cluster_class, ambiguous): AMBIGUOUS if a member of several has an ambiguous neighbour, FRAGMENTED
+    if none has, SINGLETON alone; ``ambiguous`` says whether the record itself has one."""
+    near = ambiguous.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("_a", F.lit(True))
+    rows = components.join(near, "id", "left").withColumn("ambiguous", F.col("_a").isNotNull())
+    facts = rows.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.bool_or("ambiguous").alias("_any"))
+    klass = F.when(F.col("size") < 2, "SINGLETON").when(F.col("_any"), "AMBIGUOUS").otherwise("FRAGMENTED")
+    return rows.join(facts, "component").select("id", "component", "size", klass.alias("cluster_class"), "ambiguous")
 
 
 def namesake_groups(components: DataFrame, records: DataFrame, ambiguous: DataFrame) -> DataFrame:
-    """(key, records, group_class): FRAGMENTED in one component, AMBIGUOUS if near but not linked, else DISTINCT."""
-    from gridloom.functions.text import name_key
-
-    near = ambiguous.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("_a", F.lit(True))
-    rows = records.select("id", name_key("name").alias("key")).where("key <> ''").join(components, "id").join(near, "id", "left")
+    """(key, records, group_class): FRAGMENTED in one component, AMBIGUOUS if a namesake is near but not linked, else DISTINCT.
+    Generic and placeholder names have no group."""
+    near = ambiguous.where("why = 'namesake_nearby'").select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("_a", F.lit(True))
+    named = records.select("id", parse_name("name").alias("p")).where("not p.generic and not p.placeholder")
+    rows = named.select("id", F.col("p.key").alias("key")).join(components, "id").join(near, "id", "left")
     facts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("records"), F.count_distinct("component").alias("parts"), F.bool_or(F.col("_a").isNotNull()).alias("near"))
     klass = F.when(F.col("parts") == 1, "FRAGMENTED").when(F.col("near"), "AMBIGUOUS").otherwise("DISTINCT")
     return facts.where("records > 1").select("key", "records", klass.alias("group_class"))

@@ -2,7 +2,7 @@
 
 A region is edges (region, x1, y1, x2, y2), holes included. Points meet a region's edges by an equi-join on latitude bands
 below the region's box, so only edges near the point's latitude are looked at; an odd count of crossings is inside.
-Nearest boundaries use cells as wide as the cap, so a cap is always given.
+Nearest boundaries use cells as wide as a cap; without one, rings of cells grow until every point has found its boundary.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.geo import COUNTRY, crosses, lat_step, lon_step, segment_distance_m
+from gridloom.functions.session import saved
 
 BAND = 0.02
 
@@ -55,6 +56,24 @@ def nearest_region(points: DataFrame, edges: DataFrame, max_m: float, id_col: st
     return by_region.groupBy("id").agg(best.alias("b")).select("id", "b.region", "b.distance_m")
 
 
+def nearest_region_any(points: DataFrame, edges: DataFrame, first_m: float = 1000, wider: float = 8, id_col: str = "id", most_lat: float = COUNTRY[1]) -> DataFrame:
+    """(id, region, distance_m) of the nearest boundary, however far: rings of cells, each ``wider`` times the one before.
+    A point leaves once what it found is nearer than the ring, so only far points, against ever coarser cells, go on."""
+    edges = saved(edges, "edges")
+    left, found, ring = points.select(F.col(id_col).alias("id"), "longitude", "latitude").where("longitude is not null and latitude is not null"), [], float(first_m)
+    while ring < 30_000_000:
+        left = saved(left, "points-left")
+        if left.isEmpty() or edges.isEmpty():
+            break
+        near = saved(nearest_region(left, edges, ring, most_lat=most_lat).where(F.col("distance_m") < int(ring)), "nearest")
+        found.append(near)
+        left, ring = left.join(near, "id", "left_anti"), ring * wider
+    told = points.select(F.col(id_col).alias("id"), F.lit(None).cast("string").alias("region"), F.lit(None).cast("bigint").alias("distance_m")).limit(0)
+    for near in found:
+        told = told.unionByName(near)
+    return told
+
+
 def _placed(points: DataFrame, edges: DataFrame, max_m: float) -> DataFrame:
     """id, array of containing regions in Turkish order, nearest region for points in none."""
     inside = contained_in(points, edges).groupBy("id").agg(F.array_sort(F.collect_set("region")).alias("inside"))

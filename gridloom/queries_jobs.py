@@ -685,17 +685,6 @@ def consolidated(spark: SparkSession, d: str) -> DataFrame:
     return C.consolidate(r, m, C.survivors(m), "s")[0].select("id", F.size("source_refs").cast("long").alias("refs"))
 
 
-@query(V.heads("source") + """, f as (select id // 4 as c, avg(case when id % 3 <> 0 then 1.0 else 0 end) >= 0.5 as park, avg(case when id % 5 < 3 then 1.0 else 0 end) >= 0.5 as layer, avg(case when id % 7 > 3 then 1.0 else 0 end) >= 0.5 as non, avg(case when id % 11 > 5 then 1.0 else 0 end) >= 0.5 as fac from source group by 1),
-l as (select *, park::int + layer::int as strength from f)
-select 'c' || c as component, case when non and not park then 'NON_PARK' when fac and not park then 'TAXONOMY_AMBIGUOUS' else (['TAXONOMY_AMBIGUOUS', 'PARK_LIKELY', 'PARK_CONFIRMED'])[greatest(0, strength - (c % 5 = 0 or (c % 2 = 0 and strength = 1))::int) + 1] end as taxonomy_class from l""")
-def gated_clusters(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("id")
-    c = F.expr("id div 4")
-    m = V.source(spark, d).select(tag("c", c).alias("component"), (k % 3 != 0).alias("name_park_word"), (k % 5 < 3).alias("layer_park_token"), (k % 7 > 3).alias("non_park_keyword"), (k % 11 > 5).alias("facility_name"), F.lit(False).alias("green_space_name"))
-    shapes = V.source(spark, d).select(tag("c", c).alias("component"), (c % 2 == 0).alias("linear"), (c % 5 == 0).alias("path_like")).distinct()
-    return C.taxonomy_gate(m, shapes).select("component", "taxonomy_class")
-
-
 CHAIN = "ch as (select id from parks where id % 8 <> 0)"
 
 
@@ -789,18 +778,6 @@ def nearest_components(spark: SparkSession, d: str) -> DataFrame:
     return P.nearest_other_component(e, P.connected_components(V.parks(spark, d), e.where("edge = 'link'"))).select("id", metres("gap_m").alias("dm"))
 
 
-@query(V.heads("parks", recursive=True) + f""", {PAIRS}, {REACH}, nr as (select a as id from ed where edge = 'gray' union select b from ed where edge = 'gray')
-select {KEY('name')} as key, count(*) as records, case when count(distinct component) = 1 then 'FRAGMENTED' when bool_or(nr.id is not null) then 'AMBIGUOUS' else 'DISTINCT' end as group_class from parks join comp using (id) left join nr using (id) group by 1 having count(*) > 1""")
-def namesakes(spark: SparkSession, d: str) -> DataFrame:
-    e, p = _edges(spark, d), V.parks(spark, d)
-    return P.namesake_groups(P.connected_components(p, e.where("edge = 'link'")), p, e.where("edge = 'gray'"))
-
-
-@query(V.heads("parks") + f", {PAIRS} select a, b, case when named then 'namesake_nearby' else 'overlap_with_other_name' end as why from pr where (named and m > 300) or (not named and m < 10)")
-def ambiguous_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    return P.source_clusters(V.parks(spark, d), _edges(spark, d).drop("edge"), 300, 600)[1]
-
-
 # --- polygons ---------------------------------------------------------------------------------------------------------
 
 

@@ -6,9 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions import geo as G
+from gridloom.functions.geo import lat_step, lon_step
 from gridloom.operators import polygons as P
 from gridloom.operators import regions as R
 from gridloom.operators import spatial as S
+from gridloom.operators.cover import box_pairs
 from gridloom.operators.graph import star_components
 
 SQUARE = [[[[0.0, 0.0], [1.0, 0.0], [1.0, 1.0], [0.0, 1.0], [0.0, 0.0]], [[0.4, 0.4], [0.6, 0.4], [0.6, 0.6], [0.4, 0.6], [0.4, 0.4]]]]
@@ -129,3 +131,74 @@ def test_guard_and_vets(spark):
     v = spark.createDataFrame([("a", 38.0, 27.0, True), ("b", 39.0, 27.0, True), ("c", 38.0, 27.0, False)], "id string, latitude double, longitude double, active boolean")
     assert {x["id"] for x in S.vets_within(v, 38.0, 27.0, 1e9).collect()} == {"a"}
     assert S.vets_within(v, None, 27.0, 5).count() == 2
+
+
+def test_box_pairs_of_any_size(spark):
+    r = random.Random(11)
+    rows = []
+    for i in range(300):
+        x, y, size = 27 + r.random(), 38 + r.random(), 10 ** r.uniform(-5, -0.3)
+        rows.append((i, x, y, x + size * r.random(), y + size * r.random()))
+    rows += [(300, 27.5, 38.5, 27.5, 38.5), (301, 27.5, 38.5, 27.5, 38.5), (302, 20.0, 30.0, 40.0, 50.0)]
+    df = spark.createDataFrame([(i, (w, s, e, n)) for i, w, s, e, n in rows] + [(400, None)], "id int, box struct<west double, south double, east double, north double>")
+    for metres in (0.0, 500.0):
+        dy, dx = lat_step(metres), lon_step(metres)
+        want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] <= b[3] + dx and b[1] <= a[3] + dx and a[2] <= b[4] + dy and b[2] <= a[4] + dy}
+        found = [tuple(x) for x in box_pairs(df, metres).collect()]
+        assert len(found) == len(set(found)) and set(found) == want
+    even = df.withColumn("k", F.col("id") % 2)
+    assert all((a - b) % 2 == 0 for a, b in box_pairs(even, 500.0, by=["k"]).collect())
+    assert box_pairs(df.limit(0), 10.0).collect() == []
+
+
+def test_hulls_and_extents():
+    draw = np.random.default_rng(3)
+    for n in (1, 2, 3, 10, 500):
+        points = draw.normal(size=(n, 2)).round(1)
+        want = max(float(np.hypot(*(p - q))) for p in points for q in points)
+        assert P.extent(P.hull(points)) == pytest.approx(want)
+    line = np.column_stack([np.arange(9.0), np.arange(9.0)])
+    assert P.extent(P.hull(line)) == pytest.approx(8 * 2**0.5)
+
+
+def test_shapes_of_a_large_cluster(spark, monkeypatch):
+    monkeypatch.setattr(P._merged_hulls, "__defaults__", (500,))
+    r = random.Random(4)
+    rows = [(("big", "small")[i % 50 == 0], i, box(27 + r.random() * 0.01, 38 + r.random() * 0.01, 1e-4 * r.random(), 1e-4)) for i in range(1500)]
+    df = spark.createDataFrame(rows, f"component string, id int, polys {POLY}").repartition(6)
+    for x in P.shape_metrics(df).collect():
+        own = [p for c, _, p in rows if c == x["component"]]
+        k = np.array([P.LON_M * np.cos(np.radians(own[0][0][0][0][1])), P.LAT_M])
+        points = np.array([q for p in own for q in p[0][0][:-1]]) * k
+        area = sum(abs(P._area(np.array(p[0][0]) * k)) for p in own)
+        far = max(float(np.sqrt(((points - q) ** 2).sum(axis=1)).max()) for q in points)
+        assert x["area_m2"] == pytest.approx(area, rel=1e-4) and x["max_extent_m"] == pytest.approx(far)
+
+
+def test_source_clusters_follow_names_and_overlap(spark):
+    d = 1e-4
+    rows = [
+        ("1", "Zafer Parkı", box(27, 38, d, d)), ("2", "İsimsiz park", box(27 + d / 2, 38, d, d)),  # overlap, one is generic: one
+        ("3", "İsimsiz park", box(27.1, 38, d, d)), ("4", "İsimsiz park", box(27.1 + 1.2 * d, 38, d, d)),  # generic names 2 m apart: two
+        ("5", "Deniz Parkı", None), ("6", "Çınar Parkı", None), ("7", "Deniz Parkı", None),  # 5 and 7 at one place, 6 elsewhere
+        ("8", "Kavak Parkı", box(27.3, 38, d, d)), ("9", "Menekşe Parkı", box(27.3 + d / 2, 38, d, d)),  # overlap of two names: ambiguous
+        ("10", "Güneş Parkı", box(27.4, 38, d, d)), ("11", "Güneş Parkı", box(27.4 + 8 * d, 38, d, d)),  # 61 m apart: ambiguous
+    ]
+    places = {"5": (38.0, 27.2), "7": (38.0, 27.2), "6": (38.0, 27.21)}
+    at = lambda i, p: places.get(i) or (p[0][0][0][1] + d / 2, p[0][0][0][0] + d / 2)
+    df = spark.createDataFrame([(i, n, *at(i, p), p) for i, n, p in rows], f"id string, name string, latitude double, longitude double, polys {POLY}")
+    components, ambiguous = P.source_clusters(df)
+    assert sorted(tuple(x) for x in ambiguous.collect()) == [("10", "11", "namesake_nearby"), ("8", "9", "overlap_with_other_name")]
+    told = {x["id"]: (x["component"], x["cluster_class"], x["ambiguous"]) for x in P.cluster_classes(components, ambiguous).collect()}
+    assert told["1"][:2] == told["2"][:2] == ("1", "FRAGMENTED") and told["5"][0] == told["7"][0]
+    assert told["3"][1] == told["4"][1] == told["6"][1] == "SINGLETON" and told["8"][2] and told["11"][2] and not told["6"][2]
+    groups = {x["key"]: x["group_class"] for x in P.namesake_groups(components, df, ambiguous).collect()}
+    assert groups == {"denizparki": "FRAGMENTED", "gunesparki": "AMBIGUOUS"}
+
+
+def test_nearest_region_without_a_cap(spark):
+    edges = spark.createDataFrame([("A", 27.0, 38.0, 27.1, 38.0), ("B", 27.0, 39.0, 27.1, 39.0)], "region string, x1 double, y1 double, x2 double, y2 double")
+    points = spark.createDataFrame([(1, 38.0001, 27.05), (2, 38.7, 27.05), (3, 30.0, 27.0), (4, None, 27.0)], "id int, latitude double, longitude double")
+    found = {x["id"]: (x["region"], x["distance_m"]) for x in R.nearest_region_any(points, edges, 50).collect()}
+    assert found[1] == ("A", 11) and found[2][0] == "B" and found[3] == ("A", round(8 * 110540)) and 4 not in found
+    assert R.nearest_region_any(points, edges.limit(0)).collect() == [] and R.nearest_region_any(points.limit(0), edges).collect() == []
