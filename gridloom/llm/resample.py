@@ -123,7 +123,8 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = 5, least_words:
 
     kind = docs.schema[id_col].dataType.simpleString()
     weighed = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n_words bigint, n_features bigint, weight bigint")
-    scored = weighed.withColumn("score", F.col("weight") + noise(F.col("doc_id"), seed)).withColumn("fits", F.col("n_words") >= least_words)
+    # written, as a range-partitioned sort reads its input twice
+    scored = saved(weighed.withColumn("score", F.col("weight") + noise(F.col("doc_id"), seed)).withColumn("fits", F.col("n_words") >= least_words), "scored")
     order = [F.col("fits").desc(), F.col("score").desc(), F.col("doc_id").asc_nulls_last(), F.col("n_features"), F.col("weight")]
     placed = ranked(scored, order, "rank")
     wanted = percent * (placed.where("fits").count()) // 100
