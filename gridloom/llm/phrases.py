@@ -24,6 +24,7 @@ text is worked on whole: a task needs some 60 bytes of memory for each of its lo
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,161 +34,198 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.session import saved
 from gridloom.llm.common import small_batches
-from gridloom.llm.words import encoded, gathered
+from gridloom.llm.words import gathered
 
-STOP, BETWEEN = r"[.,;:!?\n\v\f\r]+", r"[ \t]+"
 #: Suffixes of a group of prefixes.
-BUDGET = 1 << 20
+BUDGET = 1 << 17
 MOST_HEAVY = 100_000
 #: Bytes of text that a task joins before it sends what it found.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 4 << 20
 SHARDS = 64
-
-
-def _suffixes(langs: pa.Array, texts: pa.Array) -> tuple[np.ndarray, list, np.ndarray, np.ndarray, pa.Array]:
-    """(language number, languages, word, length of the suffix, words) of each word."""
-    rows, ids, words = encoded(texts, BETWEEN, STOP)
+BLANK, STOP = np.isin(np.arange(256), list(b" \t")), np.isin(np.arange(256), list(b".,;:!?\n\v\f\r"))
+LOWER = bytes(range(256)).lower()
+
+
+@dataclass
+class Words:
+    """The words of a block of texts in order: their language and own number, the length of the suffix that begins with each
+    (1 to 3 words), and what the numbers stand for."""
+
+    lang: np.ndarray
+    ids: np.ndarray
+    length: np.ndarray
+    langs: pa.Array
+    names: pa.Array
+
+
+def block_words(langs: pa.Array, texts: pa.Array) -> Words:
+    raw = pc.fill_null(texts, "").cast(pa.large_binary())
+    ends = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+    data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]] if len(raw) else np.zeros(0, np.uint8)
+    data, ends = np.frombuffer(data.tobytes().translate(LOWER), np.uint8), ends - ends[0]
+    inside = ~(BLANK | STOP)[data]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    first = ends[:-1][ends[:-1] < len(data)]
+    begins[first] = inside[first]  # a text begins a word, whatever the one before ends with
+    starts = np.nonzero(begins)[0]
+    row = np.searchsorted(ends, starts, "right") - 1
+    # words without what lies between them are one buffer; places in it are counts of bytes inside words
+    places = np.concatenate([[0], np.cumsum(inside, dtype=np.int32)])
+    bounds = np.append(places[starts], places[-1]).astype(np.int64)
+    words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(data[inside].tobytes())).dictionary_encode()
+    piece = np.cumsum(STOP[data], dtype=np.int32)[starts]
+    two = np.zeros(len(starts), bool)
+    two[:-1] = (row[:-1] == row[1:]) & (piece[:-1] == piece[1:])
+    three = two.copy()
+    three[:-1] &= two[1:]
     coded = langs.dictionary_encode()
-    lang = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)[rows]
-    stop = pc.index(words, "\n").as_py()
-    real = np.concatenate([ids != stop, [False, False]])
-    rows = np.concatenate([rows, [-1, -1]])
-    two = real[:-2] & real[1:-1] & (rows[:-2] == rows[1:-1])
-    three = two & real[2:] & (rows[:-2] == rows[2:])
-    return lang, coded.dictionary.to_pylist(), ids, real[:-2].astype(np.int8) + two + three, words
-
-
-def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order that sorts by the keys, where a new combination begins)."""
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), bool)
-    new[:1] = True
-    for k in keys:
-        new[1:] |= k[order][1:] != k[order][:-1]
-    return order, np.nonzero(new)[0]
+    lang = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)[row]
+    return Words(lang, words.indices.to_numpy(zero_copy_only=False).astype(np.int64), 1 + two + (two & three), coded.dictionary, words.dictionary.cast(pa.string()))
+
+
+def _distinct(parts: list[np.ndarray], sizes: list[int]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct combinations of numbers below ``sizes``, in order, and how often each occurs."""
+    if np.prod([float(s) for s in sizes]) < 2.0**62:
+        key = parts[0]
+        for p, size in zip(parts[1:], sizes[1:]):
+            key = key * size + p
+        found, n = np.unique(key, return_counts=True)
+        out = []
+        for size in sizes[:0:-1]:
+            out.append(found % size)
+            found = found // size
+        return [found, *out[::-1]], n
+    found, n = np.unique(np.stack(parts), axis=1, return_counts=True)
+    return list(found), n
 
 
 def _counted(df: DataFrame, heavy: list[tuple[str, str]] | None) -> DataFrame:
     """(lang, w1, n) or, for heavy words, (lang, w1, w2, n): counts over ``df`` (lang, text)."""
-    shared = df.sparkSession.sparkContext.broadcast(None if heavy is None else set(heavy))
+    shared = df.sparkSession.sparkContext.broadcast(heavy)  # MOST_HEAVY at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in gathered(batches, BLOCK_BYTES):
-            lang, langs, ids, length, words = _suffixes(batch.column(0), batch.column(1))
-            names = words.to_pylist() if shared.value is not None else []
-            if shared.value is None:
-                key = (lang * len(words) + ids)[length > 0]
-                found, n = np.unique(key, return_counts=True)
-                columns = [pa.array(langs, pa.string()).take(pa.array(found // max(len(words), 1))), words.take(pa.array(found % max(len(words), 1))), pa.array(n)]
-                yield pa.RecordBatch.from_arrays(columns, ["lang", "w1", "n"])
-                continue
-            begins = np.array([[(g, w) in shared.value for w in names] for g in langs], bool).reshape(len(langs), len(names))
-            at = np.nonzero((length > 1) & (begins[lang, ids] if len(ids) else False))[0]
-            order, starts = _runs(lang[at], ids[at], ids[at + 1] if len(at) else at)
-            first = at[order][starts]
-            n = np.diff([*starts, len(order)])
-            columns = [pa.array(langs, pa.string()).take(pa.array(lang[first])), words.take(pa.array(ids[first])), words.take(pa.array(ids[first + 1] if len(first) else first)), pa.array(n)]
-            yield pa.RecordBatch.from_arrays(columns, ["lang", "w1", "w2", "n"])
+            w = block_words(batch.column(0), batch.column(1))
+            parts, sizes = [w.lang, w.ids], [len(w.langs), max(len(w.names), 1)]
+            if shared.value is not None:
+                at = np.nonzero((w.length > 1) & _marked(w, shared.value)[w.lang, w.ids])[0]
+                parts, sizes = [w.lang[at], w.ids[at], w.ids[np.minimum(at + 1, len(w.ids) - 1)]], [*sizes, sizes[1]]
+            (lang, *found), n = _distinct(parts, sizes)
+            yield pa.RecordBatch.from_arrays([w.langs.take(pa.array(lang)), *(w.names.take(pa.array(f)) for f in found), pa.array(n)], [*keys, "n"])
 
     keys = ["lang", "w1"] if heavy is None else ["lang", "w1", "w2"]
     schema = ", ".join(f"{k} string" for k in keys) + ", n bigint"
     return df.mapInArrow(run, schema).groupBy(*keys).agg(F.sum("n").alias("n"))
 
 
-def _prefix_rows(df: DataFrame, words: set, pairs: set) -> DataFrame:
+def _marked(w: Words, heavy) -> np.ndarray:
+    """[language, word] -> whether it is heavy."""
+    marks = np.zeros((max(len(w.langs), 1), max(len(w.names), 1)), bool)
+    langs = {g: k for k, g in enumerate(w.langs.to_pylist())}
+    words = pc.index_in(pa.array([h[1] for h in heavy], pa.string()), w.names).to_pylist() if heavy else []
+    for (g, _), k in zip(heavy, words):
+        if g in langs and k is not None:
+            marks[langs[g], k] = True
+    return marks
+
+
+def _prefix_rows(df: DataFrame, words: list[tuple[str, str]], pairs: list[tuple[str, str, str]]) -> DataFrame:
     """(lang, depth, prefix, rests, counts): what follows each prefix in a block of text, with how often."""
-    shared = df.sparkSession.sparkContext.broadcast((words, pairs))
+    shared = df.sparkSession.sparkContext.broadcast((words, pairs))  # MOST_HEAVY each at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy, heavy_pairs = shared.value
         for batch in gathered(batches, BLOCK_BYTES):
-            lang, langs, ids, length, names = _suffixes(batch.column(0), batch.column(1))
-            at = np.nonzero(length > 0)[0]
-            if not len(at):
+            w = block_words(batch.column(0), batch.column(1))
+            if not len(w.ids):
                 continue
-            follow = lambda k: np.where(length[at] > k, ids[np.minimum(at + k, len(ids) - 1)], -1)
-            order, starts = _runs(lang[at], w1 := ids[at], w2 := follow(1), w3 := follow(2))
-            leaf = order[starts]
-            n = np.diff([*starts, len(order)])
-            lang, w1, w2, w3 = lang[at][leaf], w1[leaf], w2[leaf], w3[leaf]
-            depth = np.ones(len(leaf), np.int8)
-            text = names.to_pylist() if heavy else []
-            if heavy:
-                begins = np.array([[(g, w) in heavy for w in text] for g in langs], bool)
-                deep = begins[lang, w1] & (w2 >= 0)
-                depth[deep] = 2
-                for k in np.nonzero(deep & (w3 >= 0))[0] if heavy_pairs else ():
-                    if (langs[lang[k]], text[w1[k]], text[w2[k]]) in heavy_pairs:
+            after = np.concatenate([w.ids + 1, [0, 0]])  # 0: the suffix has ended
+            size = len(w.names) + 1
+            (lang, w1, w2, w3), n = _distinct([w.lang, w.ids, np.where(w.length > 1, after[1:-1], 0), np.where(w.length > 2, after[2:], 0)], [len(w.langs), size, size, size])
+            depth = np.where(_marked(w, heavy)[lang, w1] & (w2 > 0), 2, 1)
+            if heavy_pairs:
+                known = {t: k for k, t in enumerate(w.names.to_pylist())}
+                codes = {(g, known[a], known[b] + 1) for g, a, b in heavy_pairs if a in known and b in known}
+                names = w.langs.to_pylist()
+                for k in np.nonzero((depth == 2) & (w3 > 0))[0] if codes else ():
+                    if (names[lang[k]], w1[k], w2[k]) in codes:
                         depth[k] = 3
-            some = lambda w: names.take(pa.array(w, mask=w < 0))  # noqa: E731  null where the suffix has ended
-            join = lambda *parts: pc.binary_join_element_wise(*parts, " ", null_handling="skip")
-            at_depth = lambda d: pc.if_else(pa.array(depth >= d), some({2: w2, 3: w3}[d]), pa.scalar(None, pa.string()))
-            below = lambda d: pc.if_else(pa.array(depth < d), some({2: w2, 3: w3}[d]), pa.scalar(None, pa.string()))
-            prefix = join(some(w1), at_depth(2), at_depth(3))
-            rest = pc.ascii_trim(join(pc.fill_null(below(2), ""), pc.fill_null(below(3), "")), " ")
-            # leaves are in order of the words, so those of a prefix lie together
-            new = np.ones(len(leaf), bool)
+            word = lambda c, where: pc.fill_null(w.names.take(pa.array(c - 1, mask=(c == 0) | ~where)), "")
+            join = lambda *parts: pc.ascii_trim(pc.binary_join_element_wise(*parts, " "), " ")
+            prefix = join(word(w1 + 1, depth > 0), word(w2, depth > 1), word(w3, depth > 2))
+            rest = join(word(w2, depth < 2), word(w3, depth < 3))
+            # combinations are in order, so those of a prefix lie together, but for words that are heavy and end a piece
+            new = np.ones(len(n), bool)
             new[1:] = (lang[1:] != lang[:-1]) | (w1[1:] != w1[:-1]) | (depth[1:] != depth[:-1]) | ((depth[1:] > 1) & (w2[1:] != w2[:-1])) | ((depth[1:] > 2) & (w3[1:] != w3[:-1]))
             first = np.nonzero(new)[0]
-            ends = pa.array([*first, len(leaf)], pa.int32())
-            rests = pc.binary_join(pa.ListArray.from_arrays(ends, rest), "\n")
-            counts = pa.ListArray.from_arrays(ends, pa.array(n, pa.int32()))
-            columns = [pa.array(langs, pa.string()).take(pa.array(lang[first])), pa.array(depth[first]), prefix.take(pa.array(first)), rests, counts]
+            ends = pa.array([*first, len(n)], pa.int32())
+            columns = [w.langs.take(pa.array(lang[first])), pa.array(depth[first], pa.int8()), prefix.take(pa.array(first)), pc.binary_join(pa.ListArray.from_arrays(ends, rest), "\n"), pa.ListArray.from_arrays(ends, pa.array(n, pa.int32()))]
             yield pa.RecordBatch.from_arrays(columns, ["lang", "depth", "prefix", "rests", "counts"])
 
     return df.mapInArrow(run, "lang string, depth tinyint, prefix string, rests string, counts array<int>")
 
 
 NODES = "lang string, w1 string, w2 string, w3 string, a bigint, l1 bigint, l2 bigint"
+NODE_SCHEMA = pa.schema([(c, pa.int64() if c in ("a", "l1", "l2") else pa.string()) for c in ("lang", "w1", "w2", "w3", "a", "l1", "l2")])
 
 
 def _subtrees(batches: list[pa.RecordBatch], least: int, heavy: dict, heavy_pairs: dict) -> pa.RecordBatch:
     """Nodes of two and three words, with the counts of their first word and first two words, of whole prefixes."""
     rows = pa.Table.from_batches(batches).combine_chunks()
-    lang, prefix = rows["lang"].combine_chunks().dictionary_encode(), rows["prefix"].combine_chunks().dictionary_encode()
-    lists = pc.split_pattern(rows["rests"].combine_chunks(), "\n")
-    row = pc.list_parent_indices(lists).to_numpy()
-    n = pc.list_flatten(rows["counts"].combine_chunks()).to_numpy().astype(np.int64)
-    rest = pc.list_flatten(lists).dictionary_encode()
-    parts = [r.split(" ") if r else [] for r in rest.dictionary.to_pylist()]
-    number: dict[str, int] = {}
-    next_word = np.array([[*(number.setdefault(w, len(number)) for w in p), -1, -1][:2] for p in parts], np.int64).reshape(-1, 2)[rest.indices.to_numpy()]
-    lang_of, prefix_of, depth_of = (x[row] for x in (lang.indices.to_numpy(), prefix.indices.to_numpy(), rows["depth"].to_numpy()))
-    order, starts = _runs(lang_of, depth_of, prefix_of, next_word[:, 0], next_word[:, 1])
-    total = np.add.reduceat(n[order], starts)  # of leaves
-    leaf = order[starts]
-    where, a, b = np.stack([lang_of[leaf], depth_of[leaf], prefix_of[leaf]]), *next_word[leaf].T
-    root_new = np.ones(len(leaf), bool)
-    root_new[1:] = (where[:, 1:] != where[:, :-1]).any(axis=0)
-    child_new = root_new.copy()
-    child_new[1:] |= a[1:] != a[:-1]
-    roots, children = np.nonzero(root_new)[0], np.nonzero(child_new)[0]
-    root_total = np.add.reduceat(total, roots)[np.cumsum(root_new) - 1]
-    child_total = np.add.reduceat(total, children)[np.cumsum(child_new) - 1]
-    langs, prefixes, words = lang.dictionary.to_pylist(), prefix.dictionary.to_pylist(), list(number)
+    one = lambda c: rows[c].combine_chunks() if isinstance(rows[c], pa.ChunkedArray) else rows[c]
+    lang, prefix, depth = one("lang"), one("prefix"), one("depth").to_numpy()
+    lists, counts = pc.split_pattern(one("rests"), "\n"), one("counts")
+    n, row = pc.list_flatten(counts).to_numpy().astype(np.int64), pc.list_parent_indices(counts).to_numpy()
+    # rows are sorted, so a prefix is a run of them
+    tell = pc.binary_join_element_wise(lang, prefix, "\n").dictionary_encode().indices.to_numpy().astype(np.int64) * 4 + depth
+    head = np.concatenate([[0], np.cumsum(tell[1:] != tell[:-1])])[row]
+    total_of = np.bincount(head, n).astype(np.int64)
+    keep = total_of[head] >= least
+    rest = pc.list_flatten(lists).filter(pa.array(keep)).dictionary_encode()
+    row, head, n, rests = row[keep], head[keep], n[keep], rest.dictionary
+    if not len(n):
+        return pa.RecordBatch.from_pylist([], schema=NODE_SCHEMA)
+    # suffixes numbered in order of their first word, so that one sort of numbers puts the leaves of a node together
+    next_word = pc.replace_substring_regex(rests, " .*", "").dictionary_encode()
+    first = next_word.indices.to_numpy().astype(np.int64)
+    order = np.argsort(first, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    key = head * len(order) + rank[rest.indices.to_numpy()]
+    sort = np.argsort(key, kind="stable")
+    begins = np.concatenate([[True], np.diff(key[sort]) != 0])
+    leaf = sort[begins]
+    total = np.add.reduceat(n[sort], np.nonzero(begins)[0])
+    suffix = order[key[leaf] % len(order)]
+    root, child = head[leaf], first[suffix]
+    new_root = np.concatenate([[True], np.diff(root) != 0])
+    new_child = new_root | np.concatenate([[True], np.diff(child) != 0])
+    child_total = np.add.reduceat(total, np.nonzero(new_child)[0])[np.cumsum(new_child) - 1]
+    length = np.where(pc.equal(rests, "").to_numpy(zero_copy_only=False), 0, 1 + pc.count_substring(rests, " ").to_numpy())[suffix]
+    deep = depth[row[leaf]].astype(int)
+    # a node is told at the first of its leaves: a prefix of two words or more, its children, and leaves two words below one word
+    picks = [(0, new_root & (deep > 1)), (1, new_child & (length > 0) & (child_total >= least)), (2, (length > 1) & (total >= least))]
     found: list[tuple] = []
-    # roots of pairs, children and grandchildren with enough occurrences
-    kept = (root_new & (where[1] == 2) & (root_total >= least)) | (child_new & (a >= 0) & (child_total >= least)) | ((b >= 0) & (total >= least)) | ((where[1] == 3) & (total >= least))
-    for k in np.nonzero(kept)[0].tolist():
-        g, head = langs[where[0][k]], prefixes[where[2][k]].split(" ")
-        depth, root, child, own = int(where[1][k]), int(root_total[k]), int(child_total[k]), int(total[k])
-        if depth == 1:
-            if child_new[k] and child >= least and a[k] >= 0:
-                found.append((g, head[0], words[a[k]], None, child, root, child))
-            if b[k] >= 0 and own >= least:
-                found.append((g, head[0], words[a[k]], words[b[k]], own, root, child))
-            continue
-        first = heavy[g, head[0]]
-        if depth == 2:
-            if root_new[k] and root >= least and (g, *head) not in heavy_pairs:
-                found.append((g, *head, None, root, first, root))
-            if a[k] >= 0 and child_new[k] and child >= least:
-                found.append((g, *head, words[a[k]], child, first, root))
-        else:
-            found.append((g, *head, own, first, heavy_pairs[g, head[0], head[1]]))
+    names, words = rests, next_word.dictionary
+    for below, mask in picks:
+        for k in np.nonzero(mask)[0].tolist():
+            g, own = lang[int(row[leaf[k]])].as_py(), prefix[int(row[leaf[k]])].as_py().split(" ")
+            more = [] if below == 0 else [words[int(child[k])].as_py()] if below == 1 else names[int(suffix[k])].as_py().split(" ")
+            at = [int(total_of[root[k]]), int(child_total[k]), int(total[k])]
+            if below == 0 and (len(own) == 2 and (g, *own) in heavy_pairs):
+                continue  # counted whole in the second pass
+            phrase = own + more
+            one_word = at[0] if len(own) == 1 else heavy[g, own[0]]
+            if len(phrase) == 2:
+                two_words = at[below]
+            else:
+                two_words = heavy_pairs[g, phrase[0], phrase[1]] if len(own) == 3 else at[2 - len(own)]
+                if len(own) == 1:
+                    two_words = at[1]
+            found.append((g, *phrase, *[None] * (3 - len(phrase)), at[below], one_word, two_words))
     columns = list(zip(*found)) or [[]] * 7
-    kinds = [pa.string()] * 4 + [pa.int64()] * 3
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["lang", "w1", "w2", "w3", "a", "l1", "l2"])
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, NODE_SCHEMA)], schema=NODE_SCHEMA)
 
 
 def phrase_nodes(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 10, budget: int = BUDGET) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -207,24 +245,25 @@ def phrase_nodes(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
         held: list[pa.RecordBatch] = []
         size, last = 0, None
         for batch in batches:
+            lang, depth, prefix = batch.column("lang"), batch.column("depth"), batch.column("prefix")
             new = np.ones(batch.num_rows, bool)
-            keys = list(zip(*(batch.column(c).to_pylist() for c in ("lang", "depth", "prefix"))))
-            for k in range(batch.num_rows):
-                new[k] = keys[k] != last
-                last = keys[k]
-            sizes = np.cumsum(pc.list_value_length(batch.column("counts")).to_numpy())
+            same = lambda a: pc.equal(a.slice(1), a.slice(0, len(a) - 1)).to_numpy(zero_copy_only=False)
+            new[1:] = ~(same(lang) & same(depth) & same(prefix))
+            if batch.num_rows:
+                new[0] = (lang[0].as_py(), depth[0].as_py(), prefix[0].as_py()) != last
+                last = (lang[-1].as_py(), depth[-1].as_py(), prefix[-1].as_py())
+            filled = np.concatenate([[0], np.cumsum(pc.list_value_length(batch.column("counts")).to_numpy())])
             begin = 0
             for k in np.nonzero(new)[0].tolist():
-                before = size + int(sizes[k - 1] if k else 0) - int(sizes[begin - 1] if begin else 0)
-                if before >= most:
-                    yield _subtrees([*held, *([batch.slice(begin, k - begin)] if k > begin else [])], least, *shared.value)
+                if size + filled[k] - filled[begin] >= most:
+                    yield _subtrees([*held, batch.slice(begin, k - begin)], least, *shared.value)
                     held, size, begin = [], 0, k
             held.append(batch.slice(begin))
-            size += int(sizes[-1]) - int(sizes[begin - 1] if begin else 0) if len(sizes) else 0
+            size += filled[-1] - filled[begin]
         if sum(b.num_rows for b in held):
             yield _subtrees(held, least, *shared.value)
 
-    rows = _prefix_rows(df, set(heavy), set(pairs)).repartition("lang", "prefix").sortWithinPartitions("lang", "depth", "prefix")
+    rows = _prefix_rows(df, list(heavy), list(pairs)).repartition("lang", "prefix").sortWithinPartitions("lang", "depth", "prefix")
     nodes = rows.mapInArrow(run, NODES)
     # a pair too heavy to be a prefix has its count from the second pass
     whole = [(g, a, b, None, n, heavy[g, a], n) for (g, a, b), n in pairs.items() if n >= least]

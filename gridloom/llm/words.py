@@ -9,13 +9,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
-def encoded(texts: pa.Array, between: str, stop: str | None = None) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+def encoded(texts: pa.Array, between: str) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """(row of each word, number of each word, words by number), in order. A-Z are lower-cased first; null texts have no
-    words. ``between``: a pattern of what parts words. What matches ``stop`` becomes a word ``"\\n"`` of its own."""
-    low = pc.ascii_lower(pc.fill_null(texts, ""))
-    if stop is not None:
-        low = pc.replace_substring_regex(low, stop, " \n ")
-    lists = pc.split_pattern_regex(low, between)
+    words. ``between``: a pattern of what parts words."""
+    lists = pc.split_pattern_regex(pc.ascii_lower(pc.fill_null(texts, "")), between)
     flat, rows = pc.list_flatten(lists), pc.list_parent_indices(lists)
     full = pc.greater(pc.binary_length(flat), 0)
     coded = flat.filter(full).dictionary_encode()
@@ -30,5 +27,6 @@ def gathered(batches: Iterator[pa.RecordBatch], least_bytes: int) -> Iterator[pa
         if sum(b.nbytes for b in held) >= least_bytes:
             yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             held = []
+            pa.default_memory_pool().release_unused()  # what one block took is not held beside the next
     if sum(b.num_rows for b in held):
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
