@@ -235,22 +235,37 @@ def rekey_favorites(favorites: DataFrame, suggestions: DataFrame, aliases: DataF
     return merged, rows.withColumn("park_id", F.when(move, F.col("_to")).otherwise(F.col("park_id"))).select(*suggestions.columns)
 
 
+#: What hiding does to a target, by the report's column that names it.
+HIDING = ("feeding_id", "park_id", "rescue_case_id")
+
+
+def resolved_reports(reports: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Reports after ``decisions`` (report_id, action: hide or dismiss, decided_at, decided_by): the first decision of an open
+    report counts, and a resolved one stays as it is."""
+    first = decisions.groupBy(F.col("report_id").alias("id")).agg(F.min(F.struct("decided_at", "action", "decided_by")).alias("_d"))
+    takes = (F.col("status") == "open") & F.col("_d").isNotNull()
+    new = {"status": F.lit("resolved"), "resolved_at": F.col("_d.decided_at"), "resolution_action": F.col("_d.action"), "resolved_by": F.col("_d.decided_by")}
+    told = reports.join(first, "id", "left")
+    return told.select(*(F.when(takes, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in reports.columns))
+
+
 def apply_decisions(targets: DataFrame, reports: DataFrame, decisions: DataFrame, target_col: str) -> tuple[DataFrame, DataFrame]:
-    """Hides targets of ``decisions`` (report_id, action, decided_at, decided_by) and resolves their reports: the first
-    decision of a report counts, the first hiding of a target stays."""
-    first = decisions.groupBy("report_id").agg(F.min(F.struct("decided_at", "action", "decided_by")).alias("d"))
-    open_ = reports.join(first.withColumnRenamed("report_id", "id"), "id", "left")
-    takes = (F.col("status") == "open") & F.col("d").isNotNull()
-    resolved = open_.select(
-        *[c for c in reports.columns if c not in ("status", "resolved_at", "resolution_action", "resolved_by")],
-        F.when(takes, "resolved").otherwise(F.col("status")).alias("status"),
-        F.when(takes, F.col("d.decided_at")).otherwise(F.col("resolved_at")).alias("resolved_at"),
-        F.when(takes, F.col("d.action")).otherwise(F.col("resolution_action")).alias("resolution_action"),
-        F.when(takes, F.col("d.decided_by")).otherwise(F.col("resolved_by")).alias("resolved_by"),
-    )
-    hides = open_.where(takes & (F.col("d.action") == "hide")).groupBy(F.col(target_col).alias("id")).agg(F.min(F.struct("d.decided_at", "d.decided_by")).alias("h"))
-    hidden = targets.join(hides, "id", "left").withColumn("hidden_at", F.coalesce("hidden_at", "h.decided_at")).withColumn("hidden_by", F.coalesce("hidden_by", "h.decided_by"))
-    return hidden.select(*targets.columns), resolved.select(*reports.columns)
+    """Targets and reports after moderation. A hidden feeding gets status ``hidden``, a hidden park is no longer active, and a
+    hidden rescue case gets ``hidden_at`` and ``hidden_by`` of its first hiding, while its status stays. A report names one
+    target; dismissing changes nothing but the report."""
+    if target_col not in HIDING:
+        raise ValueError(f"{target_col} is no target of reports")
+    first = decisions.groupBy(F.col("report_id").alias("id")).agg(F.min(F.struct("decided_at", "action", "decided_by")).alias("_d"))
+    hides = reports.where("status = 'open'").join(first.where("_d.action = 'hide'"), "id")
+    hides = hides.groupBy(F.col(target_col).alias("id")).agg(F.min(F.struct("_d.decided_at", "_d.decided_by")).alias("_h"))
+    hit = F.col("_h").isNotNull()
+    new = {
+        "feeding_id": {"status": F.when(hit, "hidden").otherwise(F.col("status") if "status" in targets.columns else F.lit(None))},
+        "park_id": {"active": ~hit & F.col("active") if "active" in targets.columns else F.lit(None)},
+        "rescue_case_id": {c: F.when(F.col("hidden_at").isNull(), F.col(f"_h.{v}")).otherwise(F.col(c)) for c, v in (("hidden_at", "decided_at"), ("hidden_by", "decided_by")) if c in targets.columns},
+    }[target_col]
+    told = targets.join(hides, "id", "left").select(*(new[c].alias(c) if c in new else F.col(c) for c in targets.columns))
+    return told, resolved_reports(reports, decisions)
 
 
 REVIEWED = "id string, park_id string, outcome string, name string, note string, reviewer_id string, at timestamp"

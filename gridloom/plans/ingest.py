@@ -13,7 +13,7 @@ from gridloom.functions.session import saved
 from gridloom.functions.text import UNNAMED, clean, has_park_word, is_generic, name_key
 from gridloom.operators.regions import assign_region, resolve_district, verify_region
 from gridloom.operators.spatial import duplicate_guard, extended_guard, near_duplicates, tiered_match
-from gridloom.operators.tables import first_by, first_valid_by_id, shared_targets
+from gridloom.operators.tables import first_valid_by_id, shared_targets
 
 
 @dataclass(frozen=True)
@@ -128,36 +128,35 @@ def to_canonical(good: DataFrame, cfg: SourceConfig) -> DataFrame:
     )
 
 
-def gap_analysis(places: DataFrame, registry: DataFrame, provinces: DataFrame, allowed: list[str], tiers_m: tuple[float, float] = (25, 150), generic: tuple[str, ...] = (UNNAMED, "Park", "Yeşil Alan", "Çocuk Parkı"), fallback_m: float = 2000) -> DataFrame:
-    """(id, outcome, target_id) of places (id, name, taxonomy, latitude, longitude, position, confidence is not used):
-    REJECT_NON_PARK, INVALID, PROVINCE_MISMATCH, DUPLICATE_SOURCE, MATCHED_EXISTING, STRONG_NEW, REVIEW."""
+def gap_analysis(places: DataFrame, registry: DataFrame, provinces: DataFrame, allowed: list[str], tiers_m: tuple[float, float] = (25, 150), generic: tuple[str, ...] = (UNNAMED, "Park", "Yeşil Alan", "Park Alanı"), fallback_m: float = 2000) -> DataFrame:
+    """(id, position, outcome, target_id), one row for each row of places (id, name, taxonomy, latitude, longitude; position is
+    unique): REJECT_NON_PARK, INVALID, PROVINCE_MISMATCH, DUPLICATE_SOURCE, MATCHED_EXISTING, REVIEW, STRONG_NEW. Of the rows
+    of an id, the first that passes the filters counts and later ones that pass are duplicates. Generic names are matched within
+    the first tier only; a place without a park near is new whatever its name."""
+    parkish, placed = F.coalesce(F.col("taxonomy").isin(allowed), F.lit(False)), in_bounds("latitude", "longitude")
+    early = F.when(~parkish, "REJECT_NON_PARK").when(~placed, "INVALID")
+    rows = places.withColumn("_early", early)
+    valid = rows.where("_early is null")
+    cities = assign_region(valid.select(F.col("position").alias("id"), "latitude", "longitude"), provinces, fallback_m)
+    valid = valid.join(cities.select(F.col("id").alias("position"), F.col("region").alias("city")), "position")
+    nth = F.row_number().over(Window.partitionBy("id", F.col("city").isNotNull()).orderBy("position"))
+    valid = saved(valid.withColumn("_nth", nth), "gap-valid")
+    first = valid.where("city is not null and _nth = 1")
+    twins = near_duplicates(first).select("position")
+    rest = saved(first.join(twins, "position", "left_anti").select(F.col("position").alias("id"), "name", "city", "latitude", "longitude"), "gap-rows")
+    pairs = tiered_match(rest, registry.select("id", "name", "city", "latitude", "longitude"), tiers_m, by=["city"], inner_only=is_generic("a.name", generic))
+    fits = is_generic("a.name", generic) | is_generic("b.name", generic) | (name_key("a.name") == name_key("b.name"))
+    # counts and one row a place, however many parks are near
+    found = pairs.groupBy(F.col("a.id").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.min(F.col("b.id").cast("string")).alias("target_id"), F.bool_and(fits).alias("fits"))
+    one = (F.col("n") == 1) & F.col("fits")
+    outcome = F.when(F.col("n").isNull(), "STRONG_NEW").when(one, "MATCHED_EXISTING").otherwise("REVIEW")
+    matched = rest.join(found, "id", "left").select(F.col("id").alias("position"), outcome.alias("outcome"), F.when(one, F.col("target_id")).alias("target_id"))
     none = F.lit(None).cast("string").alias("target_id")
-
-    def told(df: DataFrame, outcome: str, target=none) -> DataFrame:
-        return df.select("id", F.lit(outcome).alias("outcome"), target)
-
-    first = first_by(places, "id", "position")
-    is_park = F.coalesce(F.col("taxonomy").isin(allowed), F.lit(False))
-    out = [told(first.where(~is_park), "REJECT_NON_PARK")]
-    rows = first.where(is_park)
-    out.append(told(rows.where(~in_bounds("latitude", "longitude")), "INVALID"))
-    rows = rows.where(in_bounds("latitude", "longitude"))
-    placed = saved(rows.join(assign_region(rows, provinces, fallback_m).select("id", F.col("region").alias("city")), "id"), "gap-placed")
-    out.append(told(placed.where("city is null"), "PROVINCE_MISMATCH"))
-    rows = placed.where("city is not null")
-    twins = near_duplicates(rows).select("id")
-    out.append(told(twins, "DUPLICATE_SOURCE"))
-    rows = saved(rows.join(twins, "id", "left_anti"), "gap-rows")
-    pairs = tiered_match(rows.select("id", "name", "city", "latitude", "longitude"), registry.select("id", "name", "city", "latitude", "longitude"), tiers_m, by=["city"], inner_only=is_generic("a.name", generic))
-    pairs = pairs.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("a.id")))
-    flat = pairs.select(F.col("a.id").alias("id"), F.col("b.id").alias("target_id"), "n", (is_generic("a.name", generic) | is_generic("b.name", generic) | (name_key("a.name") == name_key("b.name"))).alias("fits"))
-    flat = saved(flat, "gap-pairs")
-    out.append(told(flat.where("n = 1 and fits"), "MATCHED_EXISTING", F.col("target_id")))
-    out.append(told(flat.where("n > 1 or not fits").select("id").distinct(), "REVIEW"))
-    rest = rows.join(flat.select("id").distinct(), "id", "left_anti")
-    out.append(told(rest.where(~is_generic("name", generic)), "STRONG_NEW"))
-    out.append(told(rest.where(is_generic("name", generic)), "REVIEW"))
-    found = out[0]
-    for o in out[1:]:
-        found = found.unionByName(o)
-    return found
+    told = (
+        rows.where("_early is not null").select("position", F.col("_early").alias("outcome"), none)
+        .unionByName(valid.where("city is null").select("position", F.lit("PROVINCE_MISMATCH").alias("outcome"), none))
+        .unionByName(valid.where("city is not null and _nth > 1").select("position", F.lit("DUPLICATE_SOURCE").alias("outcome"), none))
+        .unionByName(twins.select("position", F.lit("DUPLICATE_SOURCE").alias("outcome"), none))
+        .unionByName(matched)
+    )
+    return places.select("id", "position").join(told, "position").select("id", "position", "outcome", "target_id")

@@ -347,8 +347,10 @@ def ingested(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def gap_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    """A chain of jobs with ties by distance tiers; tested against brute force."""
-    places = V.source(spark, d).withColumn("id", F.col("external_id"))
+    """Every ninth place repeats the id before it, every fourteenth has no valid place, every eighth no name."""
+    k = F.col("position")
+    places = V.source(spark, d).withColumn("id", (k - F.when(k % 9 == 1, 1).otherwise(0)).cast("string"))
+    places = places.withColumn("latitude", F.when(k % 14 != 3, F.col("latitude"))).withColumn("name", F.when(k % 8 == 0, "İsimsiz park").otherwise(F.col("name")))
     return I.gap_analysis(places, V.parks(spark, d).withColumn("id", F.col("id").cast("string")), V.region_edges(spark, d), [f"Brand#{k}" for k in range(1, 13)])
 
 

@@ -153,16 +153,57 @@ def suggestions_waiting(spark: SparkSession, d: str) -> DataFrame:
     return A.suggestion_queue(made, parks).select("id", "park_name", "status")
 
 
-@query(V.heads("feedings") + """, r as (select id % 500 as target, occurred_at, user_id from feedings where id % 4 <> 0 and id % 6 = 0),
-h as (select target, min(struct_pack(t := occurred_at, u := user_id)) as h from r group by 1)
-select id, h.t as hidden_at, h.u as hidden_by from feedings left join h on h.target = id where id < 500""")
+REPORTS = """dec as (select * from feedings where id % 3 = 0),
+rep as (select id, case id % 3 when 0 then id - id % 5 end as target, case when id % 4 = 0 then 'resolved' else 'open' end as status from feedings),
+res as (select rep.id, rep.target, rep.status as was, dec.id is not null as decided, dec.id % 2 = 0 as hides, dec.occurred_at as "at", dec.user_id as by_user from rep left join dec using (id)),
+hid as (select target, min(struct_pack(t := "at", u := by_user)) as h from res where was = 'open' and decided and hides group by target)"""
+
+
+def _reports(spark: SparkSession, d: str, target: Column) -> tuple[DataFrame, DataFrame]:
+    """A report a feeding event, every fourth resolved before; every third is decided on, every sixth by hiding."""
+    f, k, none = V.feedings(spark, d), F.col("id"), F.lit(None)
+    made = f.select("id", target.alias("target"), F.when(k % 4 == 0, "resolved").otherwise("open").alias("status"), none.cast("timestamp").alias("resolved_at"), none.cast("string").alias("resolution_action"), none.cast("bigint").alias("resolved_by"))
+    said = f.where("id % 3 = 0").select(k.alias("report_id"), F.when(k % 2 == 0, "hide").otherwise("dismiss").alias("action"), F.col("occurred_at").alias("decided_at"), F.col("user_id").alias("decided_by"))
+    return made, said
+
+
+def _moderated(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    k = F.col("id")
+    reports, said = _reports(spark, d, F.when(k % 3 == 0, k - k % 5))
+    return A.apply_decisions(V.feedings(spark, d), reports.withColumnRenamed("target", "feeding_id"), said, "feeding_id")
+
+
+@query(V.heads("feedings") + f", {REPORTS} select id, case when target is not null then 'hidden' else status end as status from feedings left join hid on target = id")
 def moderated_feedings(spark: SparkSession, d: str) -> DataFrame:
-    f, k = V.feedings(spark, d), F.col("id")
-    none = F.lit(None)
-    reports = f.select("id", (k % 500).alias("feeding_id"), F.when(k % 4 == 0, "resolved").otherwise("open").alias("status"), none.cast("timestamp").alias("resolved_at"), none.cast("string").alias("resolution_action"), none.cast("bigint").alias("resolved_by"))
-    said = f.where("id % 3 = 0").select(k.alias("report_id"), F.when(k % 2 == 0, "hide").otherwise("keep").alias("action"), F.col("occurred_at").alias("decided_at"), F.col("user_id").alias("decided_by"))
-    targets = f.where("id < 500").select("id", none.cast("timestamp").alias("hidden_at"), none.cast("bigint").alias("hidden_by"))
-    return A.apply_decisions(targets, reports, said, "feeding_id")[0]
+    return _moderated(spark, d)[0].select("id", "status")
+
+
+@query(V.heads("feedings") + f""", {REPORTS} select id, case when decided then 'resolved' else was end as status, case when was = 'open' and decided then case when hides then 'hide' else 'dismiss' end end as action,
+  case when was = 'open' and decided then "at" end as resolved_at, case when was = 'open' and decided then by_user end as resolved_by from res""")
+def resolved_reports(spark: SparkSession, d: str) -> DataFrame:
+    return _moderated(spark, d)[1].select("id", "status", F.col("resolution_action").alias("action"), "resolved_at", "resolved_by")
+
+
+@query(V.heads("feedings") + f", {REPORTS} select id, occurred_at from feedings where status = 'published' and id not in (select target from hid where target is not null) order by occurred_at desc, id desc limit 30")
+def moderated_page(spark: SparkSession, d: str) -> DataFrame:
+    """The newest page of the feed once hidden feedings are gone from it."""
+    return A.feed_page(_moderated(spark, d)[0]).select("id", "occurred_at")
+
+
+@query(V.heads("parks", "feedings") + f""", {REPORTS}, ph as (select distinct id - id % 5 as park from res where was = 'open' and decided and hides)
+select id, active and id not in (select park from ph) as active from parks""")
+def moderated_parks(spark: SparkSession, d: str) -> DataFrame:
+    reports, said = _reports(spark, d, F.col("id") - F.col("id") % 5)
+    return A.apply_decisions(V.parks(spark, d), reports.withColumnRenamed("target", "park_id"), said, "park_id")[0].select("id", "active")
+
+
+@query(V.heads("parks", "feedings") + f""", {REPORTS}, {CASES}, ph as (select 'c' || (id - id % 5) as id, min(struct_pack(t := "at", u := by_user)) as h from res where was = 'open' and decided and hides group by 1)
+select cases.id, status, case when hidden then cast('{AT}' as timestamp) else h.t end as hidden_at, case when not hidden then h.u end as hidden_by from cases left join ph using (id)""")
+def moderated_cases(spark: SparkSession, d: str) -> DataFrame:
+    """Every thirteenth case was hidden before, by nobody known."""
+    reports, said = _reports(spark, d, tag("c", F.col("id") - F.col("id") % 5))
+    cases = _cases(spark, d).withColumn("hidden_by", F.lit(None).cast("bigint"))
+    return A.apply_decisions(cases, reports.withColumnRenamed("target", "rescue_case_id"), said, "rescue_case_id")[0].select("id", "status", "hidden_at", "hidden_by")
 
 
 ALIASES = "aliases as (select id as retired_id, id - 1 as survivor_id from parks where id % 13 = 1 and id % 17 <> 2), tombs as (select id as retired_id from parks where id % 17 = 2)"
@@ -1023,14 +1064,25 @@ def ref_sources(spark: SparkSession, d: str) -> DataFrame:
 
 # --- SQL of queries registered elsewhere --------------------------------------------------------------------------------
 
+# Every ninth place has the id of the one before, and every fourteenth no valid place, so that ids repeat among the valid and
+# the others. Places move to places of their own by position.
+GAP = f"""pl as (select *, cast(position - case when position % 9 = 1 then 1 else 0 end as varchar) as place_id, position % 14 <> 3 as sound from source),
+ask as (select * from pl where taxonomy in ({', '.join(f"'Brand#{k}'" for k in range(1, 13))})),
+cand as (select a.*, coalesce(i.region, b.r) as city from ask a left join inside i using (id) left join near b using (id) where sound),
+ok as (select *, {KEY('name')} as key, row_number() over (partition by place_id order by position) as nth, name = 'İsimsiz park' as generic from (
+  select * replace (case when position % 8 = 0 then 'İsimsiz park' else name end as name) from cand) where city is not null),
+one as (select * from ok where nth = 1),
+tw as (select distinct a.id from one a join one b on a.id <> b.id and a.key = b.key and {NEAR} where {H('a', 'b')} <= 30),
+p as (select a.id, b.id as park_id, {H('a', 'b')} as m, b.id % 5 = 0 or a.generic or a.key = {KEY('b.name')} as fits, a.generic from one a join parks b on a.city = b.city and {NEAR} where a.id not in (select id from tw) and {H('a', 'b')} <= case when a.generic then 25 else 150 end),
+u as (select *, count(*) over (partition by id) as n from (select *, min(m) over (partition by id) as least from p) where least > 25 or m <= 25),
+told as (
+  select position, 'REJECT_NON_PARK' as outcome, null as target_id from pl where id not in (select id from ask) union all select position, 'INVALID', null from ask where not sound
+  union all select position, 'PROVINCE_MISMATCH', null from cand where city is null union all select position, 'DUPLICATE_SOURCE', null from ok where nth > 1 or id in (select id from tw)
+  union all select position, 'MATCHED_EXISTING', cast(park_id as varchar) from u join ok using (id) where n = 1 and fits
+  union all select distinct position, 'REVIEW', null from u join ok using (id) where n > 1 or not fits
+  union all select position, 'STRONG_NEW', null from one where id not in (select id from tw) and id not in (select id from u))"""
 ORACLE_SQL["gap_outcomes"] = V.heads("parks", "source", "edges") + f""", {INSIDE.replace('parks p', 'source p')}, {SEGMENT.replace('parks p', 'source p')}, near as (select id, min(struct_pack(m := m, r := region)) as b from dist where raw <= 2000 group by id),
-ok as (select s.*, coalesce(i.region, b.r) as city, {KEY('name')} as key from source s left join inside i using (id) left join near using (id) where taxonomy in ({', '.join(f"'Brand#{k}'" for k in range(1, 13))})),
-tw as (select distinct a.id from ok a join ok b on a.id <> b.id and a.key = b.key and {NEAR} where a.city is not null and b.city is not null and {H('a', 'b')} <= 30),
-p as (select a.id, b.id as park_id, {H('a', 'b')} as m, b.id % 5 = 0 or a.key = {KEY('b.name')} as fits from ok a join parks b on a.city = b.city and {NEAR} where a.id not in (select id from tw) and {H('a', 'b')} <= 150),
-u as (select *, count(*) over (partition by id) as n from (select *, min(m) over (partition by id) as least from p) where least > 25 or m <= 25)
-select external_id as id, 'REJECT_NON_PARK' as outcome, null as target_id from source where id not in (select id from ok) union all select external_id, 'PROVINCE_MISMATCH', null from ok where city is null
-  union all select external_id, 'DUPLICATE_SOURCE', null from ok join tw using (id) union all select external_id, 'MATCHED_EXISTING', cast(park_id as varchar) from u join ok using (id) where n = 1 and fits
-  union all select distinct external_id, 'REVIEW', null from u join ok using (id) where n > 1 or not fits union all select external_id, 'STRONG_NEW', null from ok where city is not null and id not in (select id from tw) and id not in (select id from u)"""
+{GAP.replace('b.r)', 'b.b.r)')} select place_id as id, position, outcome, target_id from told join pl using (position)"""
 
 ORACLE_SQL["sampled_parks"] = V.heads("parks") + """, r as (select id, city, md5(cast(id as varchar) || ':42') as h, row_number() over (partition by city order by md5(cast(id as varchar) || ':42'), id) as k from parks),
 t as (select *, row_number() over (order by k > 5, h, id) as n from r) select id, city from t where k <= 5 or n <= 150"""

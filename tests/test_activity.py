@@ -103,12 +103,25 @@ def test_rekey_activity(spark):
 
 
 def test_moderation(spark):
-    reports = spark.createDataFrame([("r1", "e1", "open", None, None, None), ("r2", "e1", "open", None, None, None)], "id string, feeding_id string, status string, resolved_at int, resolution_action string, resolved_by string")
-    targets = spark.createDataFrame([("e1", None, None), ("e2", None, None)], "id string, hidden_at int, hidden_by string")
-    decisions = spark.createDataFrame([("r1", "hide", 5, "m1"), ("r1", "keep", 6, "m2"), ("r2", "hide", 7, "m2")], "report_id string, action string, decided_at int, decided_by string")
-    t, r = A.apply_decisions(targets, reports, decisions, "feeding_id")
-    assert {tuple(x) for x in t.collect()} == {("e1", 5, "m1"), ("e2", None, None)}
-    assert {(x["id"], x["resolved_by"]) for x in r.collect()} == {("r1", "m1"), ("r2", "m2")}
+    kind = "id string, {0} string, status string, resolved_at int, resolution_action string, resolved_by string"
+    said = [("r1", "hide", 5, "m1"), ("r1", "dismiss", 6, "m2"), ("r2", "hide", 7, "m2"), ("r3", "hide", 4, "m9"), ("r4", "dismiss", 1, "m1"), ("r4", "hide", 2, "m1")]
+    decisions = spark.createDataFrame(said, "report_id string, action string, decided_at int, decided_by string")
+
+    def after(column, targets):
+        reports = spark.createDataFrame([("r1", "e1", "open", None, None, None), ("r2", "e1", "open", None, None, None), ("r3", "e2", "resolved", 3, "dismiss", "m0"), ("r4", "e3", "open", None, None, None), ("r5", "e4", "open", None, None, None)], kind.format(column))
+        t, r = A.apply_decisions(targets, reports, decisions, column)
+        assert {(x["id"], x["status"], x["resolved_at"], x["resolution_action"], x["resolved_by"]) for x in r.collect()} == {
+            ("r1", "resolved", 5, "hide", "m1"), ("r2", "resolved", 7, "hide", "m2"), ("r3", "resolved", 3, "dismiss", "m0"), ("r4", "resolved", 1, "dismiss", "m1"), ("r5", "open", None, None, None),
+        }
+        return {tuple(x) for x in t.collect()}
+
+    feedings = spark.createDataFrame([("e1", "published"), ("e2", "published"), ("e3", "deleted")], "id string, status string")
+    assert after("feeding_id", feedings) == {("e1", "hidden"), ("e2", "published"), ("e3", "deleted")}
+    assert after("park_id", spark.createDataFrame([("e1", True), ("e2", True), ("e3", False)], "id string, active boolean")) == {("e1", False), ("e2", True), ("e3", False)}
+    cases = spark.createDataFrame([("e1", "claimed", None, None), ("e2", "reported", 1, "m5"), ("e3", "reported", None, None)], "id string, status string, hidden_at int, hidden_by string")
+    assert after("rescue_case_id", cases) == {("e1", "claimed", 5, "m1"), ("e2", "reported", 1, "m5"), ("e3", "reported", None, None)}
+    with pytest.raises(ValueError):
+        A.apply_decisions(feedings, feedings, decisions, "user_id")
 
 
 def test_name_reviews(spark):

@@ -28,4 +28,17 @@ def test_gap_outcomes_cover_every_place(spark, data):
     from gridloom.views import source
 
     rows = QUERIES["gap_outcomes"](spark, data).collect()
-    assert sorted(r["id"] for r in rows) == sorted(r["external_id"] for r in source(spark, data).collect())
+    assert sorted(r["position"] for r in rows) == sorted(r["position"] for r in source(spark, data).collect())
+
+
+def test_gap_analysis_counts_the_first_valid_row_of_an_id(spark):
+    from gridloom.plans.ingest import gap_analysis
+
+    at = (38.01, 27.01)
+    rows = [("r", "a", "shop", *at, 1), ("r", "a", "park", *at, 2), ("r", "b", "park", *at, 3), ("q", "İsimsiz park", "park", 38.03, 27.03, 4), ("s", "c", "park", None, 27.0, 5), (None, "d", "park", 38.02, 27.02, 6)]
+    places = spark.createDataFrame(rows, "id string, name string, taxonomy string, latitude double, longitude double, position int")
+    registry = spark.createDataFrame([("p", "a", "P", *at)], "id string, name string, city string, latitude double, longitude double")
+    corners = [(27.0, 38.0), (27.1, 38.0), (27.1, 38.1), (27.0, 38.1), (27.0, 38.0)]
+    province = spark.createDataFrame([("P", *a, *b) for a, b in zip(corners, corners[1:])], "region string, x1 double, y1 double, x2 double, y2 double")
+    told = {r["position"]: (r["outcome"], r["target_id"]) for r in gap_analysis(places, registry, province, ["park"]).collect()}
+    assert told == {1: ("REJECT_NON_PARK", None), 2: ("MATCHED_EXISTING", "p"), 3: ("DUPLICATE_SOURCE", None), 4: ("STRONG_NEW", None), 5: ("INVALID", None), 6: ("STRONG_NEW", None)}
