@@ -168,6 +168,7 @@ def fit_quality_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id"
         return pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
 
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("good"))
+    known = known.join(docs.select(F.col(id_col).alias("doc_id")), "doc_id", "left_semi")  # before the bound: labels may be of other documents
     known = known.select(F.col("doc_id").alias("id"), "good").orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").limit(rows)
     picked = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id")
     found = bounded_sample(picked, rows).select("good", "__h", F.arrow_udf(features, "array<double>")("text").alias("x")).dropDuplicates(["__h"]).collect()

@@ -158,7 +158,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed, _, _ = mixing.mix_sources(table(spark, sf_dir, "documents"), "doc_id", "source", SOURCE_WEIGHTS)
+    mixed, _, _ = mixing.mix_sources(table(spark, sf_dir, "documents"), "source", SOURCE_WEIGHTS)
     return mixed
 
 
@@ -168,15 +168,16 @@ means as (select source, cast(weight as double) / (select sum(cast(weight as dou
 parts as (select source, greatest(1, cast(ceil(mean / 16) as int)) as draws, mean / greatest(1, cast(ceil(mean / 16) as int)) as mean from means),
 terms as (select source, draws, k, exp(-mean + k * ln(mean) - lgamma(k + 1)) as p from parts, range(0, 85) t(k)),
 sums as (select source, draws, list(s order by k) as sums from (select source, draws, k, sum(p) over (partition by source order by k) as s from terms) group by source, draws),
+rows as (
+  select *, digest || ':' || cast(row_number() over (partition by digest) as varchar) as row from (
+    select *, md5(concat_ws(chr(31), coalesce(cast(doc_id as varchar), chr(30) || 'null'), coalesce(text, chr(30) || 'null'), coalesce(lang, chr(30) || 'null'), coalesce(source, chr(30) || 'null'), coalesce(cast(n_chars as varchar), chr(30) || 'null'))) as digest
+    from documents)),
 drawn as (
-  select doc_id, source, d.j, s.sums,
-    (cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), 'null') || ':mix:' || cast(d.j as varchar)), 1, 13) as bigint) + 0.5) / 4503599627370496.0 as u, rowid
-  from (select doc_id, source, row_number() over () as rowid from documents) join sums s using (source), unnest(range(1, s.draws + 1)) d(j)),
-counts as (select rowid, doc_id, source, cast(sum(len(list_filter(sums, lambda c: c <= u))) as bigint) as n from drawn group by all),
-texts as (select *, row_number() over () as rowid from documents)
-select t.doc_id, t.text, t.lang, t.source, t.n_chars, cast(c.copy as int) as copy,
-  md5(coalesce(cast(t.doc_id as varchar), 'null') || ':' || cast(c.copy as varchar) || ':mix-order') as shuffle_key
-from texts t join (select doc_id, source, max(n) as n from counts group by all) n on n.doc_id is not distinct from t.doc_id and n.source is not distinct from t.source, unnest(range(1, n.n + 1)) c(copy)
+  select row, r.source, s.sums, (cast('0x' || substr(md5(row || ':mix:' || cast(d.j as varchar)), 1, 13) as bigint) + 0.5) / 4503599627370496.0 as u
+  from rows r join sums s on s.source is not distinct from r.source, unnest(range(1, s.draws + 1)) d(j)),
+counts as (select row, cast(sum(len(list_filter(sums, lambda c: c <= u))) as bigint) as n from drawn group by row)
+select t.doc_id, t.text, t.lang, t.source, t.n_chars, cast(c.copy as int) as copy, md5(row || ':' || cast(c.copy as varchar) || ':mix-order') as shuffle_key
+from rows t join counts n using (row), unnest(range(1, n.n + 1)) c(copy)
 """
 
 

@@ -225,7 +225,7 @@ def test_poisson_counts_follow_the_distribution(spark):
 
     df = spark.range(20000).select(F.col("id"), F.lit("s").alias("source"))
     for mean in (0.3, 2.5, 40.0):
-        mixed, copy, _ = mixing.mix_sources(df, "id", "source", {"s": 1.0}, total=20000 * mean)
+        mixed, copy, _ = mixing.mix_sources(df, "source", {"s": 1.0}, total=20000 * mean)
         counts = [r["count"] for r in mixed.groupBy("id").count().collect()]
         zero = 20000 - len(counts)
         assert sum(counts) / 20000 == pytest.approx(mean, rel=0.03)
@@ -235,11 +235,38 @@ def test_poisson_counts_follow_the_distribution(spark):
 
 def test_mix_edges(spark):
     df = spark.createDataFrame([(1, "a"), (2, None), (None, "b"), (None, "b"), (4, "gone")], "id long, source string").withColumn("copy", F.lit("clash")).withColumn("shuffle_key", F.lit(0))
-    mixed, copy, order = mixing.mix_sources(df, "id", "source", {"a": 2.0, None: 5.0, "gone": 0.0}, total=100)
+    mixed, copy, order = mixing.mix_sources(df, "source", {"a": 2.0, None: 5.0, "gone": 0.0}, total=100)
     rows = mixed.collect()
     assert {copy, order} == {"copy_", "shuffle_key_"} and {r["source"] for r in rows} == {"a", None, "b"}
-    assert sorted(map(str, rows)) == sorted(map(str, mixing.mix_sources(df.repartition(3), "id", "source", {"a": 2.0, None: 5.0, "gone": 0.0}, total=100)[0].collect()))
-    assert mixing.mix_sources(df.where("false"), "id", "source", {})[0].count() == 0
+    assert sorted(map(str, rows)) == sorted(map(str, mixing.mix_sources(df.repartition(3), "source", {"a": 2.0, None: 5.0, "gone": 0.0}, total=100)[0].collect()))
+    assert mixing.mix_sources(df.where("false"), "source", {})[0].count() == 0
+
+
+def test_mix_with_a_third_of_null_ids_and_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 100)
+    nulls = spark.range(2000).select(F.lit(None).cast("bigint").alias("id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"), F.lit("a").alias("source"))
+    equal = spark.range(2000).select(F.lit(7).cast("bigint").alias("id"), F.lit("same").alias("text"), F.lit("b").alias("source"))
+    own = spark.range(2000).select("id", F.col("id").cast("string").alias("text"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("source"))
+    df = nulls.union(equal).union(own)
+    mixed, copy, order = mixing.mix_sources(df, "source", {"a": 3.0, "b": 1.0}, total=8000)
+    rows = mixed.withColumn("part", F.spark_partition_id()).collect()
+    sizes = {s: sum(r["source"] == s for r in rows) for s in "ab"}
+    assert sizes["a"] == pytest.approx(6000, rel=0.05) and sizes["b"] == pytest.approx(2000, rel=0.08)
+    parts = [sum(r["part"] == p for r in rows) for p in {r["part"] for r in rows}]
+    assert max(parts) < 1.2 * len(rows) / len(parts)
+    assert len({r[order] for r in rows}) == len(rows)
+    texts = [sum(r["text"] == t for r in rows) for t in ("text 1", "text 2", "text 3", "text 4", "text 5", "text 6")]
+    assert len(set(texts)) > 1
+    again = mixing.mix_sources(df.repartition(7), "source", {"a": 3.0, "b": 1.0}, total=8000)[0]
+    assert sorted(map(str, again.collect())) == sorted(map(str, mixed.collect()))
+
+
+def test_mix_with_more_sources_than_are_broadcast(spark, monkeypatch):
+    df = spark.range(600).select("id", F.when(F.col("id") % 6 > 0, (F.col("id") % 6).cast("string")).alias("source"))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 3)
+    few = sorted(map(str, mixing.mix_sources(df, "source", {"1": 3.0})[0].collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 2_000)
+    assert few == sorted(map(str, mixing.mix_sources(df, "source", {"1": 3.0})[0].collect())) and any("source=None" in r for r in few)
 
 
 def test_chat(spark):

@@ -153,3 +153,14 @@ def test_ids_of_any_type_and_clashing_names(spark):
     trees = quality.fit_quality_model(df, labels, rows=50)
     judged = df.withColumn("score", F.lit(1)).withColumn("q", quality.quality(df, F.col("text"), trees))
     assert judged.count() == df.count() and judged.where("q.n_words is null").count() == 0
+
+
+def test_labels_of_other_documents_do_not_crowd_out_the_sample(spark):
+    good = "the quick brown fox jumps over the lazy dog and runs far away from here "
+    rows = [(i, (good if i % 2 else "buy now !!! | | | ") * 8) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.range(5_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    model = quality.fit_quality_model(docs, labels, rows=100)
+    assert model is not None
+    judged = {r["doc_id"]: r["q"]["score"] for r in docs.select("doc_id", quality.quality(docs, F.col("text"), model).alias("q")).collect()}
+    assert min(s for i, s in judged.items() if i % 2) > max(s for i, s in judged.items() if i % 2 == 0)

@@ -57,7 +57,8 @@ def test_stages(spark, data):
     sizes = Counter(source.values())
     weights = {s: SOURCE_WEIGHTS.get(s, 1.0) for s in sizes}
     means = {s: weights[s] / sum(weights.values()) * len(source) / sizes[s] for s in sizes}
-    want = Counter({i: n for i in source if (n := poisson(i, means[source[i]]))})
+    row = {r["doc_id"]: hashlib.md5("\x1f".join("\x1enull" if v is None else str(v) for v in r).encode()).hexdigest() + ":1" for r in rows[3]}
+    want = Counter({i: n for i in source if (n := poisson(row[i], means[source[i]]))})
     assert ids[4] == want
 
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
