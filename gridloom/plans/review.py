@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.ids import det_uuid
@@ -13,6 +13,7 @@ from gridloom.functions.rules import NON_PARK, district_match
 from gridloom.functions.session import saved
 from gridloom.functions.text import has_park_word
 from gridloom.operators.polygons import effective_distance, point_polygon_m, polygon_relation
+from gridloom.operators.regions import contained_in, region_edges
 from gridloom.operators.spatial import within_radius
 from gridloom.plans.registry import REF, attach_refs
 
@@ -60,7 +61,8 @@ def review_candidates(records: DataFrame, registry: DataFrame, common: DataFrame
 
 
 def review_evidence(records: DataFrame, candidates: DataFrame, clusters: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
-    """One row of flags a record. ``clusters``: (key, component, size, ambiguous)."""
+    """One row of flags a record. ``clusters``: (key, component, size, ambiguous: the record has an ambiguous neighbour,
+    ambiguous_cluster: the cluster is ambiguous, first_id: the least ``order_id`` of all its members)."""
     any_ = lambda c, name: F.coalesce(F.bool_or(c), F.lit(False)).alias(name)
     nearest = F.min("distance_m")
     flags = candidates.groupBy("key").agg(
@@ -73,8 +75,8 @@ def review_evidence(records: DataFrame, candidates: DataFrame, clusters: DataFra
         any_(F.col("plausible") & (F.col("relation") == "POINT_DISTANCE") & F.col("park_generic") & (F.col("distance_m") <= F.col("tier2_m")), "unseparated_generic"),
     )
     named = records.withColumn("_p", parse_name("name")).select("*", F.col("_p.generic").alias("generic"), F.col("_p.placeholder").alias("placeholder")).drop("_p")
-    joined = named.join(flags, "key", "left").join(clusters.select("key", "component", F.col("size").alias("cluster_size"), "ambiguous"), "key", "left")
-    filled = joined.na.fill(False).na.fill(0, ["plausible"]).withColumn("cluster_size", F.coalesce("cluster_size", F.lit(1))).withColumn("component", F.coalesce("component", "key"))
+    joined = named.join(flags, "key", "left").join(clusters.select("key", "component", F.col("size").alias("cluster_size"), "ambiguous", "ambiguous_cluster", "first_id"), "key", "left")
+    filled = joined.na.fill(False).na.fill(0, ["plausible"]).withColumn("cluster_size", F.coalesce("cluster_size", F.lit(1))).withColumn("component", F.coalesce("component", "key")).withColumn("first_id", F.coalesce("first_id", "order_id"))
     near = F.col("nearest_m")
     marked = (
         filled.withColumn("very_close", F.coalesce(near <= t.very_close_m, F.lit(False)))
@@ -87,12 +89,25 @@ def review_evidence(records: DataFrame, candidates: DataFrame, clusters: DataFra
     return saved(marked, "review-evidence")
 
 
+def park_rivals(records: DataFrame, registry: DataFrame, clusters: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
+    """(park_id, source_code, component, n): how many of a source's records, by component, fall on a park: inside its polygon,
+    or within the very close distance of its point if it has none. ``records``: all of the source, not only those in review."""
+    at = records.select("key", "source_code", "latitude", "longitude").join(clusters.select("key", "component"), "key", "left").select("key", "source_code", F.coalesce("component", "key").alias("component"), "latitude", "longitude")
+    flat = registry.where("polys is null").select("id", "latitude", "longitude")
+    near = within_radius(at, flat, t.very_close_m).select(F.col("a.key").alias("key"), F.col("b.id").alias("park_id"))
+    edges = region_edges(registry.where("polys is not null").select(F.col("id").alias("region"), "polys"))
+    inside = contained_in(at, edges, "key").select(F.col("id").alias("key"), F.col("region").alias("park_id"))
+    return near.unionByName(inside).join(at, "key").groupBy("park_id", "source_code", "component").agg(F.count(F.lit(1)).alias("n"))
+
+
 def record_targets(evidence: DataFrame, candidates: DataFrame, rivals: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     """(key, target_id, mode): NAME_DRIVEN, SPATIAL_DRIVEN, NAME_PARTIAL_SPATIAL, NAME_UPGRADE_SPATIAL or no target.
-    ``rivals``: (key, park_id) of records that also fall on the park, records of one cluster with themselves excluded."""
+    ``rivals`` of ``park_rivals``: a park is contested if records of other components fall on it too."""
     close = (F.col("relation") == "OVERLAP") | (F.col("distance_m") <= t.very_close_m)
-    rows = candidates.where("plausible").join(rivals.select("park_id", F.col("key").alias("_rival")).groupBy("park_id").agg(F.collect_set("_rival").alias("_rivals")), "park_id", "left")
-    rows = rows.withColumn("contested", F.size(F.array_except(F.coalesce("_rivals", F.array().cast("array<string>")), F.array("key"))) > 0)
+    of = evidence.select("key", "source_code", "component")
+    whole = rivals.groupBy("park_id", "source_code").agg(F.sum("n").alias("_all"))
+    rows = candidates.where("plausible").join(of, "key").join(whole, ["park_id", "source_code"], "left").join(rivals.withColumnRenamed("n", "_own"), ["park_id", "source_code", "component"], "left")
+    rows = rows.withColumn("contested", F.coalesce("_all", F.lit(0)) > F.coalesce("_own", F.lit(0)))
     full = F.col("rel.kind").isin("exact_normalized_name", "core_equal")
     reach = F.when(full, F.greatest(F.col("tier2_m"), F.lit(float(t.extended_m)))).otherwise(t.partial_name_m)
     row = F.struct("park_id", "same_source", "contested", "park_generic", (F.col("distance_m") <= reach).alias("near_enough"))
@@ -125,44 +140,53 @@ def new_safe(evidence: DataFrame) -> DataFrame:
     return evidence.withColumn("unsafe", reasons)
 
 
+def accepted_mates(members: DataFrame) -> DataFrame:
+    """(component, parks, park_id): how many parks the accepted members of a cluster have, and the least. ``members``:
+    (component, status, canonical_id) of all records of the source."""
+    rows = members.where("status = 'accepted'").groupBy("component", "canonical_id").agg(F.lit(1).alias("one"))
+    return rows.groupBy("component").agg(F.count(F.lit(1)).alias("parks"), F.min("canonical_id").alias("park_id"))
+
+
 def resolve_reviews(evidence: DataFrame, targets: DataFrame, mates: DataFrame) -> DataFrame:
     """(key, outcome, reason, target_id, representative). ``evidence`` from ``new_safe`` with ``texts`` (source-side text);
-    ``mates``: (component, parks) of parks that accepted members of a cluster already have."""
+    ``mates`` from ``accepted_mates``. Members of a cluster under review are compared by aggregates, so a cluster of any size
+    is no row of its own."""
+    gate = F.coalesce(F.col("taxonomy_class") if "taxonomy_class" in evidence.columns else F.lit(None), F.lit(""))
     j = evidence.join(targets, "key", "left").join(mates, "component", "left")
-    accepted = F.size(F.coalesce("parks", F.array().cast("array<string>")))
-    w = Window.partitionBy("component")
-    j = (
-        j.withColumn("representative", F.min("order_id").over(w))
-        .withColumn("_targets", F.size(F.collect_set("target_id").over(w)) + F.max(F.col("target_id").isNull().cast("int")).over(w))
-        .withColumn("_all_safe", F.min((F.size("unsafe") == 0).cast("int")).over(w) == 1)
-    )
+    facts = j.groupBy("component").agg(
+        F.count("target_id").alias("_with"), F.count(F.lit(1)).alias("_members"), (F.min("target_id") == F.max("target_id")).alias("_same"),
+        F.bool_and(F.size("unsafe") == 0).alias("_all_safe"), F.min("first_id").alias("representative"),
+    )
+    j = j.join(facts, "component")
+    accepted = F.coalesce("parks", F.lit(0))
     by_name = F.coalesce(F.col("mode") == "NAME_DRIVEN", F.lit(False))
     word = has_park_word("name")
-    gate = F.coalesce(F.col("taxonomy_class") if "taxonomy_class" in evidence.columns else F.lit(None), F.lit(""))
     rep = F.col("order_id") == F.col("representative")
     group = F.col("cluster_size") >= 2
     has = F.col("target_id").isNotNull()
+    one_target = (F.col("_with") == F.col("_members")) & F.col("_same")
+    no_target = F.col("_with") == 0
     said = lambda outcome, reason: F.struct(F.lit(outcome).alias("outcome"), F.lit(reason).alias("reason"))
-    d = (
+    about_park = F.coalesce(F.regexp_like("texts", F.lit("(?iu)" + NON_PARK)), F.lit(False)) & ~word
+    # what the source says of the record itself
+    own = (
         F.when((gate == "NON_PARK") & ~word, said("REJECT_NON_PARK", "taxonomy_gate"))
         .when((gate == "TAXONOMY_AMBIGUOUS") & ~by_name, said("KEEP_REVIEW", "taxonomy_gate"))
-        .when(~F.col("trustworthy") & ~by_name & F.coalesce(F.regexp_like("texts", F.lit("(?iu)" + NON_PARK)), F.lit(False)) & ~word, said("REJECT_NON_PARK", "source_text"))
+        .when(~F.col("trustworthy") & ~by_name & about_park, said("REJECT_NON_PARK", "source_text"))
         .when(~F.col("trustworthy") & ~by_name, said("KEEP_REVIEW", "no_park_evidence"))
-        .when(group & F.col("ambiguous") & ~by_name, said("KEEP_REVIEW", "ambiguous_cluster"))
-        .when(group & (accepted > 1), said("KEEP_REVIEW", "mates_on_several_parks"))
-        .when(group & (accepted == 1) & has & (F.col("target_id") != F.get("parks", F.lit(0))), said("KEEP_REVIEW", "target_conflicts_with_mate"))
-        .when(group & (accepted == 1), said("REJECT_DUPLICATE", "mate_is_accepted"))
-        .when(group & has & (F.col("_targets") == 1) & rep, said("MATCH_EXISTING", "representative"))
-        .when(group & has & (F.col("_targets") == 1), said("REJECT_DUPLICATE", "representative_matches"))
-        .when(group & ~has & (F.col("_targets") == 1) & F.col("_all_safe") & rep, said("NEW_CANONICAL_SAFE", "representative"))
-        .when(group & ~has & (F.col("_targets") == 1) & F.col("_all_safe"), said("REJECT_DUPLICATE", "representative_is_new"))
-        .when(group, said("KEEP_REVIEW", "members_disagree"))
-        .when(has, said("MATCH_EXISTING", "target"))
-        .when(F.size("unsafe") == 0, said("NEW_CANONICAL_SAFE", "safe"))
-        .otherwise(said("KEEP_REVIEW", "not_safe"))
     )
-    target = F.when(accepted == 1, F.get("parks", F.lit(0))).otherwise(F.col("target_id"))
-    out = j.withColumn("d", d)
+    with_mates = (
+        F.when(F.col("ambiguous_cluster") & ~by_name, said("KEEP_REVIEW", "ambiguous_cluster"))
+        .when(accepted > 1, said("KEEP_REVIEW", "mates_on_several_parks"))
+        .when((accepted == 1) & has & (F.col("target_id") != F.col("park_id")), said("KEEP_REVIEW", "target_conflicts_with_mate"))
+        .when(accepted == 1, said("REJECT_DUPLICATE", "mate_is_accepted"))
+        .when(one_target, F.when(rep, said("MATCH_EXISTING", "representative")).otherwise(said("REJECT_DUPLICATE", "representative_matches")))
+        .when(no_target & F.col("_all_safe"), F.when(rep, said("NEW_CANONICAL_SAFE", "representative")).otherwise(said("REJECT_DUPLICATE", "representative_is_new")))
+        .otherwise(said("KEEP_REVIEW", "members_disagree"))
+    )
+    alone = F.when(has, said("MATCH_EXISTING", "target")).when(F.size("unsafe") == 0, said("NEW_CANONICAL_SAFE", "safe")).otherwise(said("KEEP_REVIEW", "not_safe"))
+    out = j.withColumn("d", F.coalesce(own, F.when(group, with_mates).otherwise(alone)))
+    target = F.when(group & (accepted == 1), F.col("park_id")).otherwise(F.col("target_id"))
     return out.select("key", "d.outcome", "d.reason", F.when(F.col("d.outcome").isin("MATCH_EXISTING", "REJECT_DUPLICATE"), target).alias("target_id"), F.when(group, F.col("representative")).alias("representative"))
 
 

@@ -407,3 +407,4 @@ def sampled_parks(spark: SparkSession, d: str) -> DataFrame:
 
 from gridloom import queries_jobs  # noqa: E402, F401 (registers the queries of jobs and rules)
 from gridloom import queries_shapes  # noqa: E402, F401 (registers the queries over polygons)
+from gridloom import queries_review  # noqa: E402, F401 (registers the review of a backlog)

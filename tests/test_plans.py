@@ -92,11 +92,13 @@ def test_review_chain(spark):
     parks = registry(spark).withColumn("polys", F.lit(None).cast("array<array<array<array<double>>>>"))
     cand = V.review_candidates(rec, parks).cache()
     assert {(r["key"], r["park_id"], r["strong"]) for r in cand.collect()} == {("s:1", "o1", True), ("s:4", "o2", False)}
-    clusters = rec.groupBy("component").agg(F.count(F.lit(1)).alias("size")).join(rec.select("key", "component"), "component").withColumn("ambiguous", F.lit(False))
+    sizes = rec.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.min("order_id").alias("first_id"))
+    clusters = sizes.join(rec.select("key", "component"), "component").withColumn("ambiguous", F.lit(False)).withColumn("ambiguous_cluster", F.lit(False))
     ev = V.new_safe(V.review_evidence(rec.drop("component"), cand, clusters)).cache()
-    rivals = spark.createDataFrame([("s:4", "o2")], "key string, park_id string")
+    rivals = V.park_rivals(rec.drop("component"), parks, clusters)
+    assert [tuple(r) for r in rivals.collect()] == [("o2", "s", "s:4", 1)]
     targets = V.record_targets(ev, cand, rivals)
-    mates = spark.createDataFrame([], "component string, parks array<string>")
+    mates = V.accepted_mates(rec.withColumn("status", F.lit("review")).withColumn("canonical_id", F.lit(None).cast("string")))
     got = {r["key"]: (r["outcome"], r["target_id"]) for r in V.resolve_reviews(ev, targets, mates).collect()}
     assert got == {
         "s:1": ("MATCH_EXISTING", "o1"), "s:2": ("NEW_CANONICAL_SAFE", None), "s:3": ("REJECT_NON_PARK", None), "s:4": ("MATCH_EXISTING", "o2"),
