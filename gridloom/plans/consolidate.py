@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.rules import only_source
 from gridloom.functions.text import is_generic, name_key
 from gridloom.operators.polygons import flatten_aliases
-from gridloom.operators.regions import polygon_candidates, unique_containment
+from gridloom.operators.regions import contained_in, polygon_candidates, unique_containment
 from gridloom.operators.spatial import unique_point_match, within_radius
 from gridloom.operators.tables import signal_fractions, unique_key_match
 from gridloom.plans.registry import exploded_refs, with_refs
@@ -118,20 +118,37 @@ def rescue_by_name(clusters: DataFrame, anchors: DataFrame, metres: float = 150)
     return facts.where("n = 1").drop("n")
 
 
-def enrich_catalog(parks: DataFrame, polygons: DataFrame, named_points: DataFrame, districts: DataFrame, addresses: DataFrame) -> DataFrame:
-    """Parks with names from a unique polygon or point, districts from unique containment, addresses from a unique key.
-    ``polygons``/``districts``: edge tables whose region is the name."""
-    district = unique_district(parks, districts)
-    poly = unique_containment(parks, polygons).select("id", F.col("region").alias("_poly"))
-    point = unique_point_match(named_points.select("id", "name", "latitude", "longitude"), parks.select("id", "name", "latitude", "longitude")).select(F.col("b.id").alias("id"), F.col("a.name").alias("_point"))
-    out = parks.join(district, "id", "left").join(poly, "id", "left").join(point, "id", "left")
-    out = out.withColumn("name", F.when(is_generic("name"), F.coalesce("_poly", "_point", "name")).otherwise(F.col("name"))).withColumn("district", F.coalesce(F.nullif("district", F.lit("")), "_district")).drop("_poly", "_point", "_district")
-    found = unique_key_match(out, addresses, ["name", "district"]).select(F.col("a.id").alias("id"), F.col("b.address").alias("address_label"))
-    return out.drop("address_label").join(found, "id", "left")
+def enrich_catalog(parks: DataFrame, polygons: DataFrame, polygon_names: DataFrame, named_points: DataFrame, districts: DataFrame, addresses: DataFrame, source: tuple[str, str] = ("", "")) -> DataFrame:
+    """Parks with what official data adds; nothing known is replaced.
+
+    An unnamed park takes the name of the polygon (``polygons``: edges of regions, ``polygon_names``: region, name) that holds it
+    alone and that it lies in alone, unless a reciprocal point has another name: such a conflict is left to people. Only where no
+    polygon holds the park does it take the point's name. ``named_points``: (id, name, neighborhood, latitude, longitude).
+    Districts come from unique containment; addresses from the point's neighborhood, if the park has no name or the point's,
+    else from ``addresses`` (name, district, address) by a key that one park and one address have. ``source``: name and URL."""
+    sole = unique_containment(parks, polygons).join(polygon_names, "region").select("id", F.col("name").alias("_poly"))
+    held = contained_in(parks, polygons).select("id").distinct().withColumn("_held", F.lit(True))
+    pairs = unique_point_match(named_points.select("id", "name", "neighborhood", "latitude", "longitude"), parks.select("id", "name", "latitude", "longitude"))
+    point = pairs.select(F.col("b.id").alias("id"), F.col("a.name").alias("_point"), F.nullif("a.neighborhood", F.lit("")).alias("_hood"))
+    out = parks.join(sole, "id", "left").join(held, "id", "left").join(point, "id", "left").join(unique_district(parks, districts), "id", "left")
+    same = name_key("_poly") == name_key("_point")
+    found = F.when(F.col("_poly").isNotNull() & (F.col("_point").isNull() | same), F.col("_poly")).when(F.col("_held").isNull(), F.col("_point"))
+    unnamed, own_point = is_generic("name"), name_key("name") == name_key("_point")
+    hood = F.when(F.col("_hood").isNotNull() & (unnamed | own_point), F.concat("_hood", F.lit(" Mahallesi")))
+    named = unnamed & (F.coalesce(found, F.lit("")) != "")
+    new = {
+        "name": F.when(named, found).otherwise(F.col("name")), "district": F.coalesce(F.nullif("district", F.lit("")), F.col("_district"), F.col("district")),
+        "name_status": F.when(named, "municipal").otherwise(F.col("name_status") if "name_status" in parks.columns else F.lit(None)),
+        "name_source": F.when(named, source[0]).otherwise(F.col("name_source") if "name_source" in parks.columns else F.lit(None)),
+        "name_source_url": F.when(named, source[1]).otherwise(F.col("name_source_url") if "name_source_url" in parks.columns else F.lit(None)),
+    }
+    kept = F.nullif("address_label", F.lit("")) if "address_label" in parks.columns else F.lit(None).cast("string")
+    fields = [c for c in parks.columns if c != "address_label"]
+    out = out.select(*(new[c].alias(c) if c in new else F.col(c) for c in fields), F.coalesce(kept, hood).alias("_label"))
+    by_key = unique_key_match(out, addresses, ["name", "district"]).select(F.col("a.id").alias("id"), F.col("b.address").alias("_address"))
+    return out.join(by_key, "id", "left").select(*fields, F.coalesce("_label", "_address").alias("address_label"))
 
 
 def unique_district(parks: DataFrame, districts: DataFrame) -> DataFrame:
     """(id, _district) of parks in exactly one district."""
-    from gridloom.operators.regions import contained_in
-
     return contained_in(parks, districts).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.first("region").alias("_district")).where("n = 1").drop("n")

@@ -187,3 +187,44 @@ def nearest_regions_far(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("id")
     far = V.parks(spark, d).select("id", (F.col("latitude") + k % 3 * 0.5).alias("latitude"), (F.col("longitude") + k % 4 * 0.3).alias("longitude"))
     return R.nearest_region_any(far, V.region_edges(spark, d))
+
+
+# Every third park has a box of its own, every twelfth of them two; every other park has a named point 11 m north of it.
+ENRICH = V.heads("parks") + f""", pk as (select id, name, case when id % 4 = 0 then '' else district end as district, latitude, longitude, id % 5 = 0 as unnamed, case when id % 9 = 0 then 'Eski adres' else '' end as label from parks),
+bx as (select id, 'Poly ' || id % 50 as name, longitude as x, latitude as y from parks where id % 3 = 1 union all select id + 10000000, 'Ikinci ' || id % 50, longitude, latitude from parks where id % 12 = 1),
+inb as (select pk.id, bx.id as box, bx.name from pk join bx on abs(pk.longitude - x) < 5e-4 and abs(pk.latitude - y) < 5e-4),
+sole as (select id, name as poly from (select *, count(*) over (partition by id) as p, count(*) over (partition by box) as b from inb) where p = 1 and b = 1),
+pt as (select id, case when id % 8 = 1 then 'Poly ' || id % 50 else 'Nokta ' || id % 30 end as name, case when id % 5 <> 2 then 'Mah' || id % 6 else '' end as hood, latitude + 1e-4 as latitude, longitude from parks where id % 2 = 1),
+pp as (select a.id as pid, b.id as id, a.name as point, a.hood from pt a join parks b on {V.haversine_sql('a', 'b')} <= 25 and abs(a.latitude - b.latitude) < 1e-3),
+rp as (select id, point, hood from (select *, count(*) over (partition by pid) as p, count(*) over (partition by id) as b from pp) where p = 1 and b = 1),
+ds as (select * from (values ('Kuzey', 38e0, 38.1e0), ('Güney', 38.1e0, 39e0), ('Üst', 38.15e0, 39e0)) t(district, low, high)),
+di as (select pk.id, min(ds.district) as found from pk join ds on latitude >= low and latitude < high and longitude > 26 and longitude < 44 group by pk.id having count(*) = 1),
+en as (
+  select pk.id, label, unnamed, point, hood, pk.name as old, case when district = '' then coalesce(di.found, '') else district end as district,
+    case when unnamed then coalesce(case when poly is not null and (point is null or {V.key_sql('point')} = {V.key_sql('poly')}) then poly when pk.id not in (select id from inb) then point end, pk.name) else pk.name end as name
+  from pk left join sole using (id) left join rp using (id) left join di using (id)),
+ad as (select {V.key_sql('name')} as k, {V.key_sql('district')} as e, 'Adres ' || id as address from en where id % 7 = 2),
+ak as (select k, e, min(address) as address from ad group by k, e having count(*) = 1),
+ek as (select {V.key_sql('name')} as k, {V.key_sql('district')} as e, min(id) as id from en group by 1, 2 having count(*) = 1)"""
+
+
+@query(ENRICH + f""" select en.id, en.name, en.district, case when en.name <> old then 'municipal' else 'source' end as name_status,
+  coalesce(nullif(label, ''), case when hood <> '' and (unnamed or {V.key_sql('old')} = {V.key_sql('point')}) then hood || ' Mahallesi' end, ak.address) as address_label
+from en left join ek using (id) left join ak on ak.k = ek.k and ak.e = ek.e and ek.k <> ''""")
+def enriched_catalog(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("id")
+    base = V.parks(spark, d)
+    parks = base.select("id", "name", F.when(k % 4 == 0, "").otherwise(F.col("district")).alias("district"), "latitude", "longitude", F.lit("source").alias("name_status"), F.when(k % 9 == 0, "Eski adres").otherwise("").alias("address_label"))
+    boxes = base.where("id % 3 = 1").select(k.alias("region"), F.concat(F.lit("Poly "), (k % 50).cast("string")).alias("name"), "latitude", "longitude")
+    boxes = boxes.union(base.where("id % 12 = 1").select(k + 10_000_000, F.concat(F.lit("Ikinci "), (k % 50).cast("string")), "latitude", "longitude"))
+    west, south = F.col("longitude") - 5e-4, F.col("latitude") - 5e-4
+    ring = F.array(*(F.array(west + x, south + y) for x, y in ((0.0, 0.0), (1e-3, 0.0), (1e-3, 1e-3), (0.0, 1e-3), (0.0, 0.0))))
+    edges = R.region_edges(boxes.select("region", F.array(F.array(ring)).alias("polys")))
+    point = F.when(k % 8 == 1, F.concat(F.lit("Poly "), (k % 50).cast("string"))).otherwise(F.concat(F.lit("Nokta "), (k % 30).cast("string")))
+    points = base.where("id % 2 = 1").select("id", point.alias("name"), F.when(k % 5 != 2, F.concat(F.lit("Mah"), (k % 6).cast("string"))).otherwise("").alias("neighborhood"), (F.col("latitude") + 1e-4).alias("latitude"), "longitude")
+    bands = [("Kuzey", 38.0, 38.1), ("Güney", 38.1, 39.0), ("Üst", 38.15, 39.0)]
+    corners = lambda low, high: [(26.0, low), (44.0, low), (44.0, high), (26.0, high), (26.0, low)]
+    districts = spark.createDataFrame([(n, *a, *b) for n, low, high in bands for a, b in zip(corners(low, high), corners(low, high)[1:])], "region string, x1 double, y1 double, x2 double, y2 double")
+    named = C.enrich_catalog(parks, edges, boxes.select("region", "name"), points, districts, parks.select("name", "district", F.lit("").alias("address")).limit(0))
+    addresses = named.where("id % 7 = 2").select("name", "district", F.concat(F.lit("Adres "), k.cast("string")).alias("address"))
+    return C.enrich_catalog(parks, edges, boxes.select("region", "name"), points, districts, addresses).select("id", "name", "district", "name_status", "address_label")

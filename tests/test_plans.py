@@ -205,3 +205,24 @@ def test_readiness_helpers(spark):
 def test_official_clusters(spark):
     m = spark.createDataFrame([("a", "o1", False), ("a", None, False), ("b", "o1", False), ("b", "o2", False), ("c", None, False), ("d", "o3", True)], "component string, anchor_id string, needs_review boolean")
     assert {r["component"]: r["decision"] for r in C.anchor_clusters(m).collect()} == {"a": "attach", "b": "review", "c": "official_only", "d": "review"}
+
+
+def test_enrichment_leaves_conflicts_to_people(spark):
+    def square(region, x, y):
+        c = [(x, y), (x + 0.001, y), (x + 0.001, y + 0.001), (x, y + 0.001), (x, y)]
+        return [(region, *a, *b) for a, b in zip(c, c[1:])]
+
+    at = [(i, "İsimsiz park", "", 38.0005, 27.0005 + 0.01 * i, "") for i in range(5)]
+    parks = spark.createDataFrame(at + [(9, "Zafer Parkı", "D", 38.0005, 27.2, "")], "id int, name string, district string, latitude double, longitude double, address_label string")
+    edges = spark.createDataFrame([e for r, i in (("a", 0), ("b", 1), ("c", 3), ("d", 3)) for e in square(r, 27.0 + 0.01 * i, 38.0)], "region string, x1 double, y1 double, x2 double, y2 double")
+    names = spark.createDataFrame([(r, f"Poly {r}") for r in "abcd"], "region string, name string")
+    points = spark.createDataFrame([("1", "Poly a", "Yeni", 38.00051, 27.0005), ("2", "Other", "", 38.00051, 27.0105), ("3", "Point", "", 38.00051, 27.0205), ("4", "Point d", "", 38.00051, 27.0305), ("5", "Başka", "Eski", 38.00051, 27.2)], "id string, name string, neighborhood string, latitude double, longitude double")
+    addresses = spark.createDataFrame([("Zafer Parkı", "D", "Sokak 1"), ("Point", "", "Sokak 2")], "name string, district string, address string")
+    told = {r["id"]: (r["name"], r["address_label"]) for r in C.enrich_catalog(parks, edges, names, points, edges.limit(0), addresses).collect()}
+    assert told == {
+        0: ("Poly a", "Yeni Mahallesi"),  # polygon and point agree
+        1: ("İsimsiz park", None),  # polygon and point have different names
+        2: ("Point", "Sokak 2"),  # no polygon holds it
+        3: ("İsimsiz park", None),  # two polygons
+        4: ("İsimsiz park", None), 9: ("Zafer Parkı", "Sokak 1"),
+    }
