@@ -34,18 +34,49 @@ def latest_per(df: DataFrame, key: str, time: str, id_col: str) -> DataFrame:
     return df.groupBy(F.col(key).alias("_key")).agg(row.alias("_row")).select("_row.*")
 
 
-def trailing_count_audit(df: DataFrame, keys: list[str], time: str, seconds: int, limit: int) -> DataFrame:
-    """Rows with ``in_window``, the rows of the key in the interval up to and with them, and ``over_limit``. An audit: it
-    counts refused rows too, unlike enforcement (streaming.events.rate_limited)."""
-    stamp = F.unix_micros(F.col(time).cast("timestamp"))
-    w = Window.partitionBy(*keys).orderBy(stamp).rangeBetween(-seconds * 1_000_000, 0)
-    return df.withColumn("in_window", F.count(F.lit(1)).over(w)).withColumn("over_limit", F.col("in_window") > limit)
+#: Seconds of a time slice: rows of one key are sorted within a slice, and slices of a key are joined by their totals.
+SLICE_S = 6 * 3600
+
 
+def _key(keys: list[str]) -> Column:
+    """The key columns as one text that tells nulls apart, so that it can be joined on."""
+    return F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
 
-def cooldown_audit(df: DataFrame, keys: list[str], time: str, minutes: int) -> DataFrame:
-    """Rows with ``too_soon``: less than so long after the row before of the same keys."""
-    w = Window.partitionBy(*keys).orderBy(time)
-    return df.withColumn("too_soon", F.coalesce(F.col(time) < F.lag(time).over(w) + F.expr(f"interval {minutes} minutes"), F.lit(False)))
+
+def trailing_count_audit(df: DataFrame, keys: list[str], time: str, seconds: int, limit: int, slice_s: int = SLICE_S) -> DataFrame:
+    """Rows with ``in_window``, the rows of the key in the interval up to and with them, and ``over_limit``. An audit: it
+    counts refused rows too, unlike enforcement (streaming.events.rate_limited_batch).
+
+    A count is the difference of two running counts of the key, up to the row's time and to the interval's begin. Each is one
+    within its time slice and the total of the slices before, so no task takes more than a slice of a key, however many rows
+    the key has. Rows of one time have one count; rows without a time are counted among themselves."""
+    wide, width = seconds * 1_000_000, slice_s * 1_000_000
+    marked = df.withColumn("_key", _key(keys)).withColumn("_t", F.unix_micros(F.col(time).cast("timestamp")))
+    times = marked.groupBy("_key", "_t").agg(F.count(F.lit(1)).alias("_n"))
+    end = F.struct(F.col("_t").alias("x"), F.lit(1).alias("sign"), F.col("_n").alias("n"))
+    begin = F.struct((F.col("_t") - wide).alias("x"), F.lit(-1).alias("sign"), F.lit(0).cast("bigint").alias("n"))
+    points = times.where("_t is not null").select("_key", "_t", F.explode(F.array(end, begin)).alias("e")).select("_key", "_t", "e.*").withColumn("slice", F.floor(F.col("x") / width))
+    # a row a slice: as many as the key's time has slices
+    earlier = Window.partitionBy("_key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    base = points.groupBy("_key", "slice").agg(F.sum("n").alias("total")).select("_key", "slice", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("base"))
+    # an interval's begin comes before a row of that very time, which is inside
+    so_far = F.sum("n").over(Window.partitionBy("_key", "slice").orderBy("x", "sign").rowsBetween(Window.unboundedPreceding, 0))
+    counts = points.withColumn("so_far", so_far).join(base, ["_key", "slice"]).groupBy("_key", "_t").agg(F.sum(F.col("sign") * (F.col("so_far") + F.col("base"))).alias("in_window"))
+    counts = counts.unionByName(times.where("_t is null").select("_key", "_t", F.col("_n").alias("in_window")))
+    told = counts.select(F.col("_key").alias("_of"), F.col("_t").alias("_at"), "in_window")
+    joined = marked.join(told, (F.col("_key") == F.col("_of")) & F.col("_t").eqNullSafe(F.col("_at")))
+    return joined.select(*df.columns, "in_window", (F.col("in_window") > limit).alias("over_limit"))
+
+
+def cooldown_audit(df: DataFrame, keys: list[str], time: str, minutes: int, slice_s: int = SLICE_S) -> DataFrame:
+    """Rows with ``too_soon``: less than so long after the row before of the same keys. A row looks back within its time slice,
+    the first of a slice at the last time of the slices before. Rows without a time are not too soon."""
+    marked = df.withColumn("_key", _key(keys)).withColumn("_t", F.unix_micros(F.col(time).cast("timestamp"))).withColumn("_slice", F.floor(F.col("_t") / (slice_s * 1_000_000)))
+    ends = marked.where("_t is not null").groupBy("_key", "_slice").agg(F.max("_t").alias("last"))
+    ends = ends.select(F.col("_key").alias("_of"), F.col("_slice").alias("_nth"), F.lag("last").over(Window.partitionBy("_key").orderBy("_slice")).alias("_before"))
+    joined = marked.join(ends, (F.col("_key") == F.col("_of")) & (F.col("_slice") == F.col("_nth")), "left")
+    last = F.coalesce(F.lag("_t").over(Window.partitionBy("_key", "_slice").orderBy("_t")), F.col("_before"))
+    return joined.withColumn("too_soon", F.coalesce(F.col("_t") - last < minutes * 60_000_000, F.lit(False))).select(*df.columns, "too_soon")
 
 
 def shared_targets(pairs: DataFrame, claimant: str, target: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -161,3 +162,26 @@ def test_windows(spark):
     assert found == {1: None, 2: "duplicate_id", 3: "missing_id", 4: "invalid_geometry"}
     bad_first = spark.createDataFrame([("k", 1, None), ("k", 2, "x")], "id string, pos int, g string")
     assert {r["pos"]: r["reject"] for r in T.first_valid_by_id(bad_first, "id", "pos", F.col("g").isNotNull()).collect()} == {1: "invalid_geometry", 2: None}
+
+
+def test_audits_of_a_hot_user_equal_the_window_form(spark):
+    from pyspark.sql import Window
+
+    from gridloom.operators import tables as T
+
+    r = random.Random(6)
+    at = lambda m: NOW + dt.timedelta(seconds=m)
+    rows = [(i, "hot" if i % 3 == 0 else r.choice(["a", "b", None]), r.choice(["p", "q", None]), at(r.randrange(40_000) * 30)) for i in range(900)]
+    rows += [(1000, "hot", "p", None), (1001, "hot", "p", None), (1002, "edge", "p", at(0)), (1003, "edge", "p", at(86_400)), (1004, "edge", "p", at(86_401)), (1005, "edge", "p", at(600)), (1006, "edge", "p", at(600))]
+    df = spark.createDataFrame(rows, "id int, user string, point string, at timestamp")
+    stamp = F.unix_micros("at")
+    w = Window.partitionBy("user").orderBy(stamp).rangeBetween(-86_400_000_000, 0)
+    want = {x["id"]: x["n"] for x in df.withColumn("n", F.count(F.lit(1)).over(w)).collect()}
+    for slice_s in (900, 6 * 3600, 10**9):
+        got = T.trailing_count_audit(df, ["user"], "at", 86_400, 20, slice_s).collect()
+        assert {x["id"]: x["in_window"] for x in got} == want and len(got) == len(rows)
+        assert all(x["over_limit"] == (x["in_window"] > 20) for x in got)
+        v = Window.partitionBy("user", "point").orderBy("at")
+        soon = lambda d: sorted((x["user"] or "", x["point"] or "", x["at"] or NOW, x["s"]) for x in d.collect())
+        plain = df.withColumn("s", F.coalesce(F.col("at") < F.lag("at").over(v) + F.expr("interval 30 minutes"), F.lit(False)))
+        assert soon(T.cooldown_audit(df, ["user", "point"], "at", 30, slice_s).withColumnRenamed("too_soon", "s")) == soon(plain)
