@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.text import has_park_word, source_name
 from gridloom.operators.regions import region_boxes, region_edges
+from gridloom.sources.split_json import split_features
 
 FEATURES = "features array<struct<type string, id string, properties map<string,string>, geometry struct<type string, coordinates string>>>"
 RING = "array<array<double>>"
@@ -24,10 +25,18 @@ def geometry_columns(kind: Column, coordinates: Column) -> dict[str, Column]:
     }
 
 
-def read_features(spark: SparkSession, path: str) -> DataFrame:
-    """(properties, geom_type, longitude, latitude, polys, position) of GeoJSON FeatureCollections, a row for each feature."""
-    raw = spark.read.schema(FEATURES).json(path, multiLine=True)
-    rows = raw.select(F.col("_metadata.file_path").alias("file"), F.posexplode("features").alias("position", "f"))
+FEATURE = "type string, id string, properties map<string,string>, geometry struct<type string, coordinates string>"
+
+
+def read_features(spark: SparkSession, path: str, range_bytes: int | None = None) -> DataFrame:
+    """(file, position, properties, geom_type, longitude, latitude, polys) of GeoJSON FeatureCollections, a row for each feature.
+    With ``range_bytes``, files are cut and read by several tasks each (``split_json``); without, a file is one task's, which
+    does for files that fit it."""
+    if range_bytes is None:
+        raw = spark.read.schema(FEATURES).json(path, multiLine=True)
+        rows = raw.select(F.col("_metadata.file_path").alias("file"), F.posexplode("features").alias("position", "f"))
+    else:
+        rows = split_features(spark, path, range_bytes).select("file", "position", F.from_json("feature", FEATURE).alias("f"))
     cols = geometry_columns(F.col("f.geometry.type"), F.col("f.geometry.coordinates"))
     return rows.select("file", "position", "f.properties", F.col("f.geometry.type").alias("geom_type"), *(c.alias(n) for n, c in cols.items()))
 
@@ -93,7 +102,8 @@ def read_coordinate_csv(spark: SparkSession, path: str, swapped: bool = False) -
 
 
 def read_places(spark: SparkSession, path: str, bbox: tuple[float, float, float, float], hierarchy: str) -> DataFrame:
-    """Places whose box overlaps (west, south, east, north) and whose taxonomy has a value in its hierarchy."""
+    """Places whose box overlaps (west, south, east, north) and whose taxonomy has a value in its hierarchy. Of a table of
+    ``sinks.write_places``, only files and row groups near the box are read."""
     west, south, east, north = bbox
     df = spark.read.parquet(path)
     overlap = (F.col("bbox.xmin") <= east) & (F.col("bbox.xmax") >= west) & (F.col("bbox.ymin") <= north) & (F.col("bbox.ymax") >= south)

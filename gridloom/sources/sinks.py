@@ -103,3 +103,26 @@ def visible_boundaries(parks: DataFrame, south: float, north: float, west: float
     tiles = tile_key("latitude", "longitude").isin(tiles_of_viewport(south, north, west, east))
     chosen = F.col("id") == selected if selected is not None else F.lit(False)
     return parks.where(F.col("polys").isNotNull() & (tiles | chosen)).withColumn("selected", chosen)
+
+
+def curve(lon, lat, bits: int = 16):
+    """A number whose order keeps near places together: the bits of both coordinates by turns."""
+    unit = lambda c, low, span: F.least(F.lit((1 << bits) - 1), F.greatest(F.lit(0), F.floor((c - low) / span * (1 << bits)))).cast("bigint")
+
+    def spread(x):
+        # bits apart by doubling gaps
+        for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+            x = x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(F.lit(mask).cast("bigint"))
+        return x
+
+    return F.shiftleft(spread(unit(lat, -90.0, 180.0)), 1).bitwiseOR(spread(unit(lon, -180.0, 360.0)))
+
+
+def write_places(places: DataFrame, path: str, files: int = 64, group_rows: int = 20_000) -> None:
+    """Places (with ``bbox``: xmin, xmax, ymin, ymax) dealt to files and sorted in them along a space-filling curve of their
+    boxes' centres. So the least and greatest coordinates of a file and of its row groups span little, and a reader with a box
+    skips the others."""
+    key = curve((F.col("bbox.xmin") + F.col("bbox.xmax")) / 2, (F.col("bbox.ymin") + F.col("bbox.ymax")) / 2)
+    dealt = places.withColumn("_curve", key).repartitionByRange(files, "_curve").sortWithinPartitions("_curve").drop("_curve")
+    rows = str(group_rows)
+    dealt.write.option("parquet.block.row.count.limit", rows).option("parquet.page.row.count.limit", rows).parquet(path)

@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -94,3 +95,57 @@ def test_tile_query_gathers_no_features(spark, data):
 
     plan = QUERIES["tiles"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan
+
+
+def test_features_are_the_same_for_any_split(spark, tmp_path):
+    from gridloom.sources import split_json as J
+
+    odd = ['a "quoted" {brace', "back\\slash\\", "] } [ {", "ünïcode ş", "", '{"type":"Feature"}', "\\" * 5]
+    features = [
+        {"type": "Feature", "id": str(i), "properties": {"name": odd[i % len(odd)], "n": i, "sub": {"type": "Feature", "x": [1, {"y": "}"}]}}, "geometry": {"type": "Point", "coordinates": [27 + i / 100, 38.0]} if i % 3 else {"type": "Polygon", "coordinates": [SQUARE[0]]}}
+        for i in range(60)
+    ]
+    folder = tmp_path / "fc"
+    folder.mkdir()
+    whole = {"type": "FeatureCollection", "name": 'x"{', "links": [{"type": "self"}], "features": features}
+    (folder / "a.json").write_text(json.dumps(whole), encoding="utf-8")
+    (folder / "b.json").write_text(json.dumps(whole | {"features": features[:7]}, indent=2, ensure_ascii=False), encoding="utf-8")
+    (folder / "c.json").write_text(json.dumps({"features": []}))
+    told = lambda df: sorted(map(str, df.collect()))
+    want = told(R.read_features(spark, str(folder)))
+    assert len(want) == 67
+    for size in (97, 1000, 1 << 20):
+        got = R.read_features(spark, str(folder), size)
+        plain = lambda rows: [re.sub(r"\s|\\n", "", w.replace("file:///", "file:/")) for w in rows]  # noqa: E731  objects within properties may be spaced otherwise
+        assert set(plain(told(got))) - set(plain(want)) == set() and len(told(got)) == len(want)
+    raw = (folder / "a.json").read_bytes()
+    read = lambda at, n: raw[at : at + n]
+    for size in (1, 7, 64):
+        state, depth, out = J.OUTSIDE, 0, []
+        for a in range(0, len(raw), size):
+            b = min(a + size, len(raw))
+            out += J.elements(read, len(raw), a, b, state, depth, 13)
+            state, more = J.passes(raw[a:b], state)
+            depth += more
+        assert [json.loads(x) for x in out] == [{"type": "self"}, *features] and (state, depth) == (J.OUTSIDE, 0)
+
+
+def test_places_layout_prunes(spark, tmp_path):
+    import pyarrow.dataset as ds
+
+    n = 40_000
+    x, y = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(10_000)) / 10_000, F.pmod(F.xxhash64("id", F.lit(2)), F.lit(10_000)) / 10_000
+    df = spark.range(n).select("id", (26 + 18 * x).alias("x"), (36 + 6 * y).alias("y"))
+    df = df.select("id", F.struct(F.col("x").alias("xmin"), (F.col("x") + 0.001).alias("xmax"), F.col("y").alias("ymin"), (F.col("y") + 0.001).alias("ymax")).alias("bbox"), F.struct(F.array(F.lit("park")).alias("hierarchy")).alias("taxonomy"))
+    S.write_places(df, str(tmp_path / "places"), 16, 500)
+    box = (29.0, 39.0, 29.5, 39.5)
+    near = lambda d: {r["id"] for r in d.where("bbox.xmin <= 29.5 and bbox.xmax >= 29 and bbox.ymin <= 39.5 and bbox.ymax >= 39").collect()}
+    assert {r["id"] for r in R.read_places(spark, str(tmp_path / "places"), box, "park").collect()} == near(df)
+    groups = [g for f in ds.dataset(str(tmp_path / "places"), format="parquet").get_fragments() for g in f.split_by_row_group()]
+
+    def spans(g) -> bool:
+        s = {c["path_in_schema"]: c["statistics"] for c in g.metadata.row_group(g.row_groups[0].id).to_dict()["columns"] if c["statistics"]}
+        return s["bbox.xmin"]["min"] <= 29.5 and s["bbox.xmax"]["max"] >= 29 and s["bbox.ymin"]["min"] <= 39.5 and s["bbox.ymax"]["max"] >= 39
+
+    hit = [g for g in groups if spans(g)]
+    assert len(groups) >= 64 and len(hit) <= len(groups) / 10
