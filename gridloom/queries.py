@@ -123,10 +123,22 @@ def resolved_ids(spark: SparkSession, d: str) -> DataFrame:
 @query(V.heads("parks", "feedings") + f""", {LIFECYCLE}, fav as (select user_id, park_id, min(occurred_at) as created_at from feedings group by 1, 2)
 select user_id, coalesce(a.survivor_id, park_id) as park_id, min(created_at) as created_at from fav left join aliases a on a.retired_id = park_id group by 1, 2""")
 def rekeyed_favorites(spark: SparkSession, d: str) -> DataFrame:
+    return _rekeyed_lists(spark, d)[0]
+
+
+def _rekeyed_lists(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Favorites and suggestions: one of either a user and park; every third suggestion is pending."""
     f = V.feedings(spark, d)
     fav = f.groupBy("user_id", "park_id").agg(F.min("occurred_at").alias("created_at"))
-    none = f.where("false").select("user_id", "park_id", F.lit("pending").alias("status"))
-    return A.rekey_favorites(fav, none, _lifecycle(spark, d)[0])[0]
+    made = f.select("user_id", "park_id").distinct().withColumn("status", F.when((F.col("user_id") + F.col("park_id")) % 3 == 0, "pending").otherwise("approved"))
+    return A.rekey_favorites(fav, made, _lifecycle(spark, d)[0])
+
+
+@query(V.heads("parks", "feedings") + f""", {LIFECYCLE}, sug as (select distinct user_id, park_id as was, case when (user_id + park_id) % 3 = 0 then 'pending' else 'approved' end as status from feedings),
+mv as (select sug.*, coalesce(a.survivor_id, was) as goes from sug left join aliases a on a.retired_id = was)
+select user_id, case when status = 'pending' and not exists (select 1 from sug o where o.status = 'pending' and o.user_id = mv.user_id and o.was = goes) then goes else was end as park_id, status from mv""")
+def rekeyed_suggestions(spark: SparkSession, d: str) -> DataFrame:
+    return _rekeyed_lists(spark, d)[1].select("user_id", "park_id", "status")
 
 
 # --- text and ids -----------------------------------------------------------------------------------------------------

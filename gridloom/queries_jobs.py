@@ -225,17 +225,26 @@ POINTS = "points as (select cast(id as varchar) as id, id as park_id, 'Genel' as
 @query(V.heads("parks") + f""", {ALIASES}, {POINTS} select p.id, coalesce(a.survivor_id, p.park_id) as park_id, name from points p left join aliases a on a.retired_id = p.park_id
   where a.retired_id is null or name <> 'Genel'""")
 def rekeyed_points(spark: SparkSession, d: str) -> DataFrame:
+    return _rekeyed(spark, d)[0]
+
+
+@query(V.heads("parks", "observations") + f""", {ALIASES} select o.id, case when o.id % 2 = 0 and park_id % 2 = 0 then 'g' || park_id else cast(coalesce(a.survivor_id, park_id) as varchar) end as point_id
+  from observations o left join aliases a on a.retired_id = o.park_id""")
+def rekeyed_observations(spark: SparkSession, d: str) -> DataFrame:
+    return _rekeyed(spark, d)[2].select("id", "point_id")
+
+
+def _rekeyed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Points, feedings and observations after rekeying; every other row of an even park is of its second point."""
     p = V.parks(spark, d)
-    none = p.where("false").select(s("id").alias("id"), s("id").alias("point_id"))
-    return A.rekey_activity(_points(p), none, none, _lifecycle(p)[0])[0]
+    point = F.when(F.expr("id % 2 = 0 and park_id % 2 = 0"), tag("g", "park_id")).otherwise(s("park_id")).alias("point_id")
+    return A.rekey_activity(_points(p), V.feedings(spark, d).select("id", point, "park_id"), V.observations(spark, d).select("id", point), _lifecycle(p)[0])
 
 
 @query(V.heads("parks", "feedings") + f""", {ALIASES} select f.id, coalesce(a.survivor_id, f.park_id) as park_id, case when f.id % 2 = 0 and f.park_id % 2 = 0 then 'g' || f.park_id else cast(coalesce(a.survivor_id, f.park_id) as varchar) end as point_id
   from feedings f left join aliases a on a.retired_id = f.park_id""")
 def rekeyed_feedings(spark: SparkSession, d: str) -> DataFrame:
-    p, f = V.parks(spark, d), V.feedings(spark, d)
-    events = f.select("id", F.when(F.expr("id % 2 = 0 and park_id % 2 = 0"), tag("g", "park_id")).otherwise(s("park_id")).alias("point_id"), "park_id")
-    return A.rekey_activity(_points(p), events, events.select("id", "point_id"), _lifecycle(p)[0])[1]
+    return _rekeyed(spark, d)[1]
 
 
 @query(V.heads("parks", "feedings") + f""", {ALIASES} select f.id, coalesce(a.survivor_id, f.park_id) as park_id, case when f.id % 2 = 1 then -1 else coalesce(a.survivor_id, f.park_id) end as point_id,
@@ -256,12 +265,13 @@ def favorites_shown(spark: SparkSession, d: str) -> DataFrame:
     return A.favorite_view(fav, A.resolve_ids(f.select(F.col("park_id").alias("id")), p, *_lifecycle(p)))
 
 
-@query(V.heads("feedings") + """, u as (select distinct user_id from feedings union select distinct user_id + 1000000 from feedings)
-select u.user_id, cast(coalesce(sum(case when status = 'published' then 10 end), 0) as bigint) as points from u left join feedings f on f.user_id = u.user_id group by 1""")
+@query(V.heads("feedings", "observations") + """, u as (select distinct user_id from feedings union select distinct user_id + 1000000 from feedings),
+l as (select user_id, 10 as points from feedings where status = 'published' union all select user_id, 2 from observations)
+select u.user_id, cast(coalesce(sum(points), 0) as bigint) as points from u left join l on l.user_id = u.user_id group by 1""")
 def points_of_users(spark: SparkSession, d: str) -> DataFrame:
     f = V.feedings(spark, d)
     users = f.select("user_id").union(f.select(F.col("user_id") + 1_000_000)).distinct()
-    ledger = A.points_active(A.post_points(f, V.observations(spark, d).where("false")), f)
+    ledger = A.points_active(A.post_points(f, V.observations(spark, d)), f)
     return A.points_of(ledger, users)
 
 
@@ -580,11 +590,6 @@ def normalized_regions(spark: SparkSession, d: str) -> DataFrame:
     return R.normalize_region(strange, e, e.select("region").distinct(), 3000)[0].select("id", "city")
 
 
-@query(V.heads("parks", "edges") + f""", {INSIDE}, few as (select * from inside where id % 40 = 1) select id, region from few where region in (select region from few group by 1 having count(*) = 1)""")
-def uniquely_contained(spark: SparkSession, d: str) -> DataFrame:
-    return R.unique_containment(V.parks(spark, d).where("id % 40 = 1"), V.region_edges(spark, d))
-
-
 @query(V.heads("parks", "edges") + f""", {INSIDE}, {SEGMENT}, c as (select id, region, min(raw) as raw from (select id, region, 0e0 as raw from inside union all select id, region, raw from dist where raw <= 300) group by 1, 2)
 select id, region, {tenths('raw')} as dm, row_number() over (partition by id order by raw, region) as rank from c""")
 def region_candidates(spark: SparkSession, d: str) -> DataFrame:
@@ -593,10 +598,12 @@ def region_candidates(spark: SparkSession, d: str) -> DataFrame:
     return R.polygon_candidates(V.parks(spark, d), e, same).select("id", "region", metres("distance_m").alias("dm"), F.col("rank").cast("long").alias("rank"))
 
 
-@query(V.heads("edges") + """ select 'd' || region as district, region as province from (select distinct region from edges where x1 < 27.25 and y1 < 38.25) r""")
+@query(V.heads("edges") + """ select distinct 'd' || name as district, name as province from (
+  select region || '/' || cast(floor((x1 - 27 + 1e-9) / 25e-2) as bigint) || '/' || cast(floor((y1 - 38 + 1e-9) / 25e-2) as bigint) as name from edges) r""")
 def districts_in_provinces(spark: SparkSession, d: str) -> DataFrame:
-    """The lower left quarter of each region of the first block."""
-    e = V.region_edges(spark, d).where("x1 < 27.25 and y1 < 38.25")
+    """The lower left quarter of each region of each block."""
+    block = lambda c, low: F.floor((F.col(c) - low + 1e-9) / 0.25).cast("string")
+    e = V.region_edges(spark, d).withColumn("region", F.concat_ws("/", "region", block("x1", 27), block("y1", 38)))
     lower = R.region_boxes(e)
     x, y = F.col("west") + 0.01, F.col("south") + 0.01
     corners = [(F.col("west"), F.col("south")), (x, F.col("south")), (x, y), (F.col("west"), y)]
@@ -761,13 +768,6 @@ def multi_anchors(spark: SparkSession, d: str) -> DataFrame:
     return C.multi_anchor_groups(V.source(spark, d).select(F.when(k % 3 == 0, tag("o", k % 97)).alias("anchor_id"), s(k).alias("region"))).select("anchor_id", F.size("polygons").cast("long").alias("polygons"))
 
 
-@query(V.heads("parks", "edges") + f""", {INSIDE}, {SEGMENT}, c as (select id, region, min(raw) as raw from (select id, region, 0e0 as raw from inside union all select id, region, raw from dist where raw <= 300) where id % 30 = 1 group by 1, 2),
-f as (select region, count(*) filter (raw = 0) as i, count(*) as n from c group by 1) select r.region, case when i = 1 then 'contained_single' when i > 1 then 'multiple_contained' when n > 0 then 'named_near' else 'unanchored' end as klass from (select distinct region from edges) r left join f using (region)""")
-def classified_polygons(spark: SparkSession, d: str) -> DataFrame:
-    e = V.region_edges(spark, d)
-    return C.classify_polygons(V.parks(spark, d).where("id % 30 = 1"), e, e.select("region", tag("Ad ", "region").alias("name")).distinct())
-
-
 @query(V.heads("parks", "source") + f""", p as (select a.id, b.id as anchor from source a join parks b on {NEAR} and {KEY('a.name')} = {KEY('b.name')} where {H('a', 'b')} <= 150 and {KEY('a.name')} <> '') select 'c' || id as component, min(anchor) as anchor_id from p group by 1 having count(*) = 1""")
 def rescued_clusters(spark: SparkSession, d: str) -> DataFrame:
     return C.rescue_by_name(V.source(spark, d).withColumn("component", tag("c", "id")), V.parks(spark, d)).select("component", "anchor_id")
@@ -1043,10 +1043,10 @@ def taxonomy_shares(spark: SparkSession, d: str) -> DataFrame:
     return Y.taxonomy_profile(p).select("dataset_id", "value", "n", F.floor(F.col("park_share") * 1000 + 0.5).cast("long").alias("share"))
 
 
-@query(V.heads("source") + """ select id, name, latitude > 38.1 as north from source where id % 2 = 0""")
+@query(V.heads("source") + """ select id, name, latitude > 38.1 as north from source""")
 def staged_records(spark: SparkSession, d: str) -> DataFrame:
-    """Records as the JSON array of a text column."""
-    docs = V.source(spark, d).where("id % 2 = 0").groupBy((F.col("id") % 64).alias("g")).agg(F.to_json(F.collect_list(F.struct("id", "name", "latitude"))).alias("body"))
+    """Records as the JSON array of a text column, a hundred each."""
+    docs = V.source(spark, d).groupBy(F.expr("id div 100").alias("g")).agg(F.to_json(F.collect_list(F.struct("id", "name", "latitude"))).alias("body"))
     return readers.stage_records(docs, "body", "id bigint, name string, latitude double").select("id", "name", (F.col("latitude") > 38.1).alias("north"))
 
 

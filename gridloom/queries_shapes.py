@@ -25,7 +25,7 @@ def _size(k: Column) -> Column:
 
 
 def _triangle(lon: Column, lat: Column, wide: Column, high: Column) -> Column:
-    corners = [(lon, lat), (lon + wide, lat + high * 0.2), (lon + wide * 0.3, lat + high), (lon, lat)]
+    corners = [(lon, lat), (lon + wide, lat + high * 0.217), (lon + wide * 0.3, lat + high), (lon, lat)]
     return F.array(F.array(F.array(*(F.array(x, y) for x, y in corners))))
 
 
@@ -42,7 +42,7 @@ def corners_sql(source: str, lon: str, lat: str, wide: str, high: str) -> str:
     """v (id, i, x, y): three corners a shape."""
     return (
         f"v as (select id, i, case i when 0 then {lon} when 1 then {lon} + {wide} else {lon} + {wide} * 3e-1 end as x, "
-        f"case i when 0 then {lat} when 1 then {lat} + {high} * 2e-1 else {lat} + {high} end as y from {source}, range(0, 3) t(i))"
+        f"case i when 0 then {lat} when 1 then {lat} + {high} * 2.17e-1 else {lat} + {high} end as y from {source}, range(0, 3) t(i))"
     )
 
 
@@ -228,3 +228,29 @@ def enriched_catalog(spark: SparkSession, d: str) -> DataFrame:
     named = C.enrich_catalog(parks, edges, boxes.select("region", "name"), points, districts, parks.select("name", "district", F.lit("").alias("address")).limit(0))
     addresses = named.where("id % 7 = 2").select("name", "district", F.concat(F.lit("Adres "), k.cast("string")).alias("address"))
     return C.enrich_catalog(parks, edges, boxes.select("region", "name"), points, districts, addresses).select("id", "name", "district", "name_status", "address_label")
+
+
+# Records of the source as points against the triangles of the parks.
+POINTS = f"""e as (select p.id, p.i, p.x as ax, p.y as ay, q.x as cx, q.y as cy from v p join v q on q.id = p.id and q.i = (p.i + 1) % 3),
+es as (select id, i, struct_pack(x := ax, y := ay) as ea, struct_pack(x := cx, y := cy) as eb from e),
+box as (select id, min(x) as w, max(x) as e, min(y) as s, max(y) as n from v group by id),
+pt as (select id, longitude as x, latitude as y, 111320 * cos(radians(latitude)) as k from source),
+pn as (
+  select pt.id, box.id as region, bool_and({_side('es.ea', 'es.eb', 'pt')} > 0) as held, min({_gap_sql('pt', 'es.ea', 'es.eb', 'pt.k')}) as gap
+  from pt join box on pt.x between w - 5e-3 and e + 5e-3 and pt.y between s - 5e-3 and n + 5e-3 join es on es.id = box.id group by 1, 2)"""
+
+
+@query(SHAPES.replace("parks as (", V.SQL["source"] + ", parks as (", 1) + f""", {POINTS}, h as (select id, region, count(*) over (partition by id) as p, count(*) over (partition by region) as r from pn where held)
+select id, region from h where p = 1 and r = 1""")
+def uniquely_contained(spark: SparkSession, d: str) -> DataFrame:
+    edges = R.region_edges(shapes(spark, d).where("polys is not null").select(F.col("id").alias("region"), "polys"))
+    return R.unique_containment(V.source(spark, d), edges)
+
+
+@query(SHAPES.replace("parks as (", V.SQL["source"] + ", parks as (", 1) + f""", {POINTS},
+f as (select region, count(*) filter (held) as inside, count(*) filter (held or gap <= 30) as close, count(*) filter (held or gap <= 300) as near from pn group by region)
+select sh.id as region, case when inside = 1 then 'contained_single' when inside > 1 then 'multiple_contained' when id % 5 = 0 and close = 1 then 'generic_fragment' when id % 5 = 0 and close > 1 then 'generic_multiple'
+  when id % 5 <> 0 and near > 0 then 'named_near' else 'unanchored' end as klass from sh left join f on f.region = sh.id where has""")
+def classified_polygons(spark: SparkSession, d: str) -> DataFrame:
+    t = shapes(spark, d).where("polys is not null").withColumnRenamed("id", "region")
+    return C.classify_polygons(V.source(spark, d), R.region_edges(t.select("region", "polys")), t.select("region", "name"))
