@@ -73,9 +73,9 @@ def companion_coverage(features: DataFrame, companion: DataFrame, least: float =
 
 def package_scope_proof(upstream: DataFrame, loaded: DataFrame) -> DataFrame:
     """(package_uuid, proven, missing_resources, collisions): serials may be package-scoped if every upstream resource was
-    loaded and no serial is in two rows."""
+    loaded and no serial is in two rows; a missing serial is none."""
     missing = upstream.join(loaded.select(*KEY[:2]).distinct(), KEY[:2], "left_anti").groupBy("package_uuid").agg(F.count(F.lit(1)).alias("missing_resources"))
-    serials = loaded.groupBy("package_uuid", "serial").agg(F.count(F.lit(1)).alias("n")).groupBy("package_uuid").agg(F.sum(F.col("n") - 1).alias("collisions"))
+    serials = loaded.where("serial is not null").groupBy("package_uuid", "serial").agg(F.count(F.lit(1)).alias("n")).groupBy("package_uuid").agg(F.sum(F.col("n") - 1).alias("collisions"))
     rows = upstream.select("package_uuid").distinct().join(missing, "package_uuid", "left").join(serials, "package_uuid", "left").na.fill(0)
     return rows.withColumn("proven", (F.col("missing_resources") == 0) & (F.col("collisions") == 0))
 

@@ -979,9 +979,9 @@ def serial_resources(spark: SparkSession, d: str) -> DataFrame:
     return told.select("resource_uuid", "status", F.array_join("failed", ",").alias("failed"))
 
 
-@query(V.heads("source") + f""" select '{PKG}' as package_uuid, cast(1 as bigint) as missing_resources, (select count(*) - count(distinct external_id) from (select case when id % 20 = 1 then '1' else external_id end as external_id from source where id % 5 <> 2)) as collisions, false as proven""")
+@query(V.heads("source") + f""" select '{PKG}' as package_uuid, cast(1 as bigint) as missing_resources, (select count(*) - count(distinct external_id) from (select case when id % 20 = 1 then '1' else external_id end as external_id from source where id % 15 <> 2)) as collisions, false as proven""")
 def package_scope(spark: SparkSession, d: str) -> DataFrame:
-    x = _serials(spark, d).where("id % 5 <> 2")
+    x = _serials(spark, d)
     upstream = x.select("package_uuid", "resource_uuid").distinct()
     return Z.package_scope_proof(upstream.union(upstream.limit(1).withColumn("resource_uuid", F.lit("absent"))), x)
 
@@ -990,7 +990,7 @@ def package_scope(spark: SparkSession, d: str) -> DataFrame:
 def snapshot_blockers(spark: SparkSession, d: str) -> DataFrame:
     """Some serials go to another resource, others turn up far away."""
     k = F.col("id")
-    before = _serials(spark, d).where("id % 5 in (0, 4)")
+    before = _serials(spark, d)
     after = before.withColumn("resource_uuid", F.when(k % 20 == 5, F.lit(RES + "e4")).otherwise(F.col("resource_uuid"))).withColumn("latitude", F.when(k % 20 == 4, F.col("latitude") + 1).otherwise(F.col("latitude")))
     changes = saved(Z.compare_snapshots(before, after), "changes")
     return Z.blockers(changes, Z.snapshot_flags(before, after, changes))
