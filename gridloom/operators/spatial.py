@@ -160,13 +160,17 @@ def cross_resource_duplicates(records: DataFrame, close_m: float = 30, strong_m:
 
 
 def duplicate_guard(candidates: DataFrame, metres: float, id_col: str = "external_id") -> DataFrame:
-    """New records of a source that have an equal or nested specific name nearby: (external_id, others)."""
-    named = candidates.where(~is_generic("name")).withColumn("_key", name_key("name"))
-    pairs = self_pairs(named, metres, id_col)
+    """New records of a source that have an equal or nested specific name nearby: (external_id, others), with how many. Records
+    of one name and place count as one in the distance join, so a crowd at a place makes no pairs."""
+    named = candidates.where(~is_generic("name")).withColumn("_key", name_key("name")).withColumn("_place", F.xxhash64("_key", "latitude", "longitude"))
+    places = named.groupBy("_place").agg(F.first("_key").alias("_key"), F.first("latitude").alias("latitude"), F.first("longitude").alias("longitude"), F.count(F.lit(1)).alias("n"))
+    pairs = self_pairs(places, metres, "_place")
     pairs = pairs.where(F.contains("a._key", F.col("b._key")) | F.contains("b._key", F.col("a._key")))
-    both = pairs.select(F.col(f"a.{id_col}").alias(id_col), F.col(f"b.{id_col}").alias("other"))
-    both = both.union(both.select("other", id_col))
-    return both.groupBy(id_col).agg(F.array_sort(F.collect_set("other")).alias("others"))
+    ends = F.explode(F.array(F.struct(F.col("a._place").alias("_place"), F.col("b.n").alias("n")), F.struct(F.col("b._place").alias("_place"), F.col("a.n").alias("n"))))
+    near = pairs.select(ends.alias("e")).groupBy(F.col("e._place").alias("_place")).agg(F.sum("e.n").alias("near"))
+    sound = in_bounds("latitude", "longitude", WORLD)
+    own = places.where(sound).join(near, "_place", "left").select("_place", (F.col("n") - 1 + F.coalesce("near", F.lit(0))).alias("others"))
+    return named.join(own.where("others > 0"), "_place").select(id_col, "others")
 
 
 def vets_within(vets: DataFrame, lat: float | None, lon: float | None, radius_m: float | None, most_m: float = 50_000) -> DataFrame:

@@ -80,9 +80,10 @@ def cooldown_audit(df: DataFrame, keys: list[str], time: str, minutes: int, slic
 
 
 def shared_targets(pairs: DataFrame, claimant: str, target: str) -> DataFrame:
-    """Adds ``claims`` and ``others``, the other claimants of a shared target (empty for a sole one)."""
-    groups = pairs.groupBy(target).agg(F.count(F.lit(1)).alias("claims"), F.array_sort(F.collect_set(claimant)).alias("_all"))
-    return pairs.join(groups, target).withColumn("others", F.array_except("_all", F.array(claimant))).drop("_all")
+    """Adds ``claims``, how many claimants a target has. The claimants of a target are the rows that name it: nothing is
+    gathered, so a target of any number of claimants makes no row grow."""
+    groups = pairs.groupBy(target).agg(F.count(F.lit(1)).alias("claims"))
+    return pairs.join(groups, target)
 
 
 def largest_member(df: DataFrame, key: str, area: str, id_col: str = "id") -> DataFrame:
@@ -181,14 +182,22 @@ def signal_fractions(members: DataFrame, key: str, flags: list[str], least: floa
     return members.groupBy(key).agg(*((F.avg(F.coalesce(F.col(f), F.lit(False)).cast("double")) >= least).alias(f) for f in flags))
 
 
+def cluster_values(members: DataFrame, column: str, key: str = "component") -> DataFrame:
+    """(component, value, n): the values of a column in each cluster, a row each."""
+    return members.where(F.col(column).isNotNull()).groupBy(key, F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def cluster_summary(members: DataFrame, links: DataFrame, key: str = "component") -> DataFrame:
-    """(component, size, names, targets, max_gap_m, statuses). ``members``: (id, component, name, status, canonical_id);
-    ``links``: (a, b, gap_m) within components."""
+    """(component, size, names, targets, max_gap_m, statuses): counts of members, of different names and of different targets,
+    the widest gap, and counts by status. ``members``: (id, component, name, status, canonical_id); ``links``: (a, b, gap_m)
+    within components. The names and targets themselves are rows of ``cluster_values``."""
     counts = members.groupBy(key, "status").agg(F.count(F.lit(1)).alias("n"))
-    statuses = counts.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("status", "n")))).alias("statuses"))
+    # a status each, of a handful
+    statuses = counts.groupBy(key).agg(F.sum("n").alias("size"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("status", "n")))).alias("statuses"))
     gaps = links.join(members.select(F.col("id").alias("a"), key), "a").groupBy(key).agg(F.max("gap_m").alias("max_gap_m"))
-    own = members.groupBy(key).agg(F.count(F.lit(1)).alias("size"), F.array_sort(F.collect_set("name")).alias("names"), F.array_sort(F.collect_set("canonical_id")).alias("targets"))
-    return own.join(statuses, key).join(gaps, key, "left").withColumn("max_gap_m", F.coalesce("max_gap_m", F.lit(0.0)))
+    different = lambda c, name: cluster_values(members, c, key).groupBy(key).agg(F.count(F.lit(1)).alias(name))
+    told = statuses.join(different("name", "names"), key, "left").join(different("canonical_id", "targets"), key, "left").join(gaps, key, "left")
+    return told.select(key, "size", F.coalesce("names", F.lit(0)).alias("names"), F.coalesce("targets", F.lit(0)).alias("targets"), F.coalesce("max_gap_m", F.lit(0.0)).alias("max_gap_m"), "statuses")
 
 
 def profile_fields(df: DataFrame, fields: list[str]) -> DataFrame:

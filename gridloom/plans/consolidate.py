@@ -105,8 +105,10 @@ def anchor_clusters(members: DataFrame) -> DataFrame:
 
 
 def multi_anchor_groups(classified: DataFrame) -> DataFrame:
-    """(anchor_id, polygons): anchors with more than one official polygon."""
-    return classified.where("anchor_id is not null").groupBy("anchor_id").agg(F.array_sort(F.collect_set("region")).alias("polygons")).where("size(polygons) > 1").orderBy(F.desc(F.size("polygons")), "anchor_id")
+    """(anchor_id, polygons): anchors with more than one official polygon, and how many. The polygons are the rows that name
+    the anchor."""
+    pairs = classified.where("anchor_id is not null").select("anchor_id", "region").distinct()
+    return pairs.groupBy("anchor_id").agg(F.count(F.lit(1)).alias("polygons")).where("polygons > 1").orderBy(F.desc("polygons"), "anchor_id")
 
 
 def rescue_by_name(clusters: DataFrame, anchors: DataFrame, metres: float = 150) -> DataFrame:

@@ -38,7 +38,7 @@ class SourceConfig:
 
 
 def _outcome(df: DataFrame, outcome: str, reason: str | None, *more) -> DataFrame:
-    wanted = {"target_id": "string", "others": "array<string>"}
+    wanted = {"target_id": "string", "others": "bigint"}
     have = {c.split(" as ")[-1] for c in more}
     rest = [F.lit(None).cast(t).alias(c) for c, t in wanted.items() if c not in have]
     return df.select("external_id", F.lit(outcome).alias("outcome"), F.lit(reason).cast("string").alias("reason"), *(F.expr(c) for c in more), *rest).select("external_id", "outcome", "reason", *wanted)
@@ -50,7 +50,7 @@ def candidates(features: DataFrame, provinces: DataFrame, cfg: SourceConfig, dis
     if cfg.license_status != "SAFE_OPEN":
         raise ValueError(f"{cfg.source_code}: license {cfg.license_status} is not open")
     marked = first_valid_by_id(features, "external_id", "position", F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
-    invalid = marked.where("reject is not null").select("external_id", F.lit("INVALID").alias("outcome"), F.col("reject").alias("reason"), F.lit(None).cast("string").alias("target_id"), F.lit(None).cast("array<string>").alias("others"))
+    invalid = marked.where("reject is not null").select("external_id", F.lit("INVALID").alias("outcome"), F.col("reject").alias("reason"), F.lit(None).cast("string").alias("target_id"), F.lit(None).cast("bigint").alias("others"))
     rows = marked.where("reject is null").drop("reject").withColumn("source_name", F.col("name")).withColumn("external_id", F.col("external_id").cast("string"))
     if cfg.name_is_evidence:
         park = has_park_word("name")
@@ -70,7 +70,8 @@ def candidates(features: DataFrame, provinces: DataFrame, cfg: SourceConfig, dis
 
 
 def ingest(features: DataFrame, registry: DataFrame, provinces: DataFrame, cfg: SourceConfig, districts: DataFrame | None = None) -> DataFrame:
-    """(external_id, outcome, reason, target_id, others) of every feature. ``registry``: parks (id, osm_id, name, city,
+    """(external_id, outcome, reason, target_id, others) of every feature; ``others``: how many more share the target, or
+    are possible duplicates. ``registry``: parks (id, osm_id, name, city,
     district, latitude, longitude, source_refs)."""
     good, rejected = candidates(features, provinces, cfg, districts)
     osm = registry.where(F.col("osm_id").isNotNull() & (F.col("city") == cfg.province)).select("id", "osm_id", "name", "latitude", "longitude")
@@ -82,7 +83,7 @@ def ingest(features: DataFrame, registry: DataFrame, provinces: DataFrame, cfg:
     conflict = ~is_generic("name") & ~is_generic("target_name") & (name_key("name") != name_key("target_name"))
     single = single.withColumn("conflict", conflict)
     asks = single.where("not conflict") if cfg.name_conflict_first else single
-    shared = shared_targets(asks, "external_id", "target_id")
+    shared = shared_targets(asks, "external_id", "target_id").withColumn("others", F.col("claims") - 1)
     clash = _outcome(shared.where("claims > 1"), "REVIEW", "shared_osm_target_conflict", "target_id", "others")
     sole = shared.where("claims = 1")
     named = single if cfg.name_conflict_first else sole

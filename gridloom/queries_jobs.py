@@ -450,9 +450,9 @@ def near_duplicate_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(V.heads("source") + f""", k as (select *, {KEY('name')} as key from source), p as (select a.external_id as a, b.external_id as b from k a join k b on a.external_id <> b.external_id and {NEAR}
-  where {H('a', 'b')} <= 300 and (contains(a.key, b.key) or contains(b.key, a.key))) select a as external_id, string_agg(b, ',' order by b) as others from p group by a""")
+  where {H('a', 'b')} <= 300 and (contains(a.key, b.key) or contains(b.key, a.key))) select a as external_id, count(*) as others from p group by a""")
 def guarded_duplicates(spark: SparkSession, d: str) -> DataFrame:
-    return S.duplicate_guard(V.source(spark, d), 300).select("external_id", F.array_join("others", ",").alias("others"))
+    return S.duplicate_guard(V.source(spark, d), 300)
 
 
 @query(V.heads("parks", "source") + f""", p as (select a.external_id, b.id as park_id, {H('a', 'b')} as m from source a join parks b on {NEAR} where {H('a', 'b')} <= 250 and {EVIDENCE} and a.id % 7 = b.id % 7)
@@ -490,10 +490,10 @@ def valid_records(spark: SparkSession, d: str) -> DataFrame:
     return T.first_valid_by_id(rows, "eid", "position", F.col("id") % 9 != 0).select("position", "reject")
 
 
-@query(V.heads("source") + """, x as (select external_id as c, id % 700 as t from source) select c, count(*) over (partition by t) as claims, (select coalesce(string_agg(y.c, ',' order by y.c), '') from x y where y.t = x.t and y.c <> x.c) as others from x""")
+@query(V.heads("source") + """, x as (select external_id as c, id % 700 as t from source) select c, count(*) over (partition by t) as claims from x""")
 def shared_targets(spark: SparkSession, d: str) -> DataFrame:
     x = V.source(spark, d).select(F.col("external_id").alias("c"), (F.col("id") % 700).alias("t"))
-    return T.shared_targets(x, "c", "t").select("c", "claims", F.array_join("others", ",").alias("others"))
+    return T.shared_targets(x, "c", "t").select("c", "claims")
 
 
 @query(V.heads("source") + " select taxonomy, arg_min(id, struct_pack(a := -(id * 7919 % 1000), i := id)) as id from source group by 1")
@@ -556,14 +556,15 @@ MEMBERS = "m as (select id, taxonomy as component, case when id % 4 = 0 then 'ac
 
 
 @query(V.heads("source") + f""", {MEMBERS}, c as (select component, status, count(*) as n from m group by 1, 2)
-select component, (select count(*) from m x where x.component = c.component) as size, string_agg(status || '=' || n, ',' order by status) as statuses, (select max(id % 90) from m x where x.component = c.component and id % 2 = 0) as max_gap from c group by component""")
+select component, (select count(*) from m x where x.component = c.component) as size, string_agg(status || '=' || n, ',' order by status) as statuses, (select max(id % 90) from m x where x.component = c.component and id % 2 = 0) as max_gap,
+  (select count(distinct name) from m x where x.component = c.component) as names, (select count(distinct id) from m x where x.component = c.component) as targets from c group by component""")
 def cluster_facts(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("id")
     m = V.source(spark, d).select("id", F.col("taxonomy").alias("component"), "name", F.when(k % 4 == 0, "accepted_osm_matched").otherwise("accepted_municipal_new").alias("status"), s(k).alias("canonical_id"))
     links = m.where("id % 2 = 0").select(k.alias("a"), k.alias("b"), (k % 90).cast("double").alias("gap_m"))
     told = T.cluster_summary(m, links)
     pairs = F.transform(F.array_sort(F.map_entries("statuses")), lambda e: F.concat_ws("=", e["key"], s(e["value"])))
-    return told.select("component", "size", F.array_join(pairs, ",").alias("statuses"), F.col("max_gap_m").cast("long").alias("max_gap"))
+    return told.select("component", "size", F.array_join(pairs, ",").alias("statuses"), F.col("max_gap_m").cast("long").alias("max_gap"), "names", "targets")
 
 
 # --- regions ----------------------------------------------------------------------------------------------------------
@@ -765,7 +766,7 @@ def anchored_clusters(spark: SparkSession, d: str) -> DataFrame:
 @query(V.heads("source") + " select 'o' || id % 97 as anchor_id, count(*) as polygons from source where id % 3 = 0 group by 1 having count(*) > 1")
 def multi_anchors(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("id")
-    return C.multi_anchor_groups(V.source(spark, d).select(F.when(k % 3 == 0, tag("o", k % 97)).alias("anchor_id"), s(k).alias("region"))).select("anchor_id", F.size("polygons").cast("long").alias("polygons"))
+    return C.multi_anchor_groups(V.source(spark, d).select(F.when(k % 3 == 0, tag("o", k % 97)).alias("anchor_id"), s(k).alias("region")))
 
 
 @query(V.heads("parks", "source") + f""", p as (select a.id, b.id as anchor from source a join parks b on {NEAR} and {KEY('a.name')} = {KEY('b.name')} where {H('a', 'b')} <= 150 and {KEY('a.name')} <> '') select 'c' || id as component, min(anchor) as anchor_id from p group by 1 having count(*) = 1""")

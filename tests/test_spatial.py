@@ -127,7 +127,9 @@ def test_pair_evidence_and_edges(spark):
 
 def test_guard_and_vets(spark):
     c = spark.createDataFrame([("1", "Gazi Parkı", 38.0, 27.0), ("2", "Gazi Parkı", 38.0001, 27.0), ("3", "Park", 38.0, 27.0), ("4", "Zafer Parkı", 38.0, 27.0)], "external_id string, name string, latitude double, longitude double")
-    assert {x["external_id"]: x["others"] for x in S.duplicate_guard(c, 50).collect()} == {"1": ["2"], "2": ["1"]}
+    assert {x["external_id"]: x["others"] for x in S.duplicate_guard(c, 50).collect()} == {"1": 1, "2": 1}
+    crowd = c.union(spark.createDataFrame([(f"c{i}", "Gazi Parkı", 38.0, 27.0) for i in range(5)], c.schema))
+    assert {x["external_id"]: x["others"] for x in S.duplicate_guard(crowd, 50).collect()} == {i: 6 for i in ("1", "2", "c0", "c1", "c2", "c3", "c4")}
     v = spark.createDataFrame([("a", 38.0, 27.0, True), ("b", 39.0, 27.0, True), ("c", 38.0, 27.0, False)], "id string, latitude double, longitude double, active boolean")
     assert {x["id"] for x in S.vets_within(v, 38.0, 27.0, 1e9).collect()} == {"a"}
     assert S.vets_within(v, None, 27.0, 5).count() == 2
