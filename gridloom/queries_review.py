@@ -14,7 +14,7 @@ from gridloom.functions.session import saved
 from gridloom.plans import review as B
 from gridloom.plans.registry import REF
 from gridloom.queries_shapes import WORDS
-from gridloom.registered import NEAR, H, query
+from gridloom.registered import NEAR, H, metres, query, tenths
 
 REVIEW_SQL = V.heads("parks", "source") + f""",
 placed as (
@@ -31,7 +31,7 @@ named as (select *, case when variant in (4, 5) then (w + 3) % 7 end as x, not w
 sized as (select *, count(*) over (partition by component) as size, min(id) over (partition by component) as first_id from named),
 pk as (select id, latitude, longitude, id % 5 = 3 as weak, id * id % 31 % 7 as w, id % 2 = 0 as has, id % 7 as district, id % 10 = 7 as same_source from parks),
 pairs as (
-  select a.id, b.id as park_id, {H('a', 'b')} as d, greatest(0e0, abs(a.longitude - b.longitude) - 6e-4) * 111320 * cos(radians(a.latitude)) as dx, greatest(0e0, abs(a.latitude - b.latitude) - 4e-4) * 110540 as dy
+  select a.id, b.id as park_id, {H('a', 'b')} as d, greatest(0e0, abs(a.longitude - b.longitude) - 6.1e-4) * 111320 * cos(radians(a.latitude)) as dx, greatest(0e0, abs(a.latitude - b.latitude) - 4.1e-4) * 110540 as dy
   from sized a join pk b on {NEAR} where {H('a', 'b')} <= 700),
 eff as (select pairs.*, case when pk.has then sqrt(dx * dx + dy * dy) else d end as m, pk.has from pairs join pk on pk.id = park_id),
 rel as (
@@ -44,13 +44,14 @@ rel as (
 cand as (select *, not conflict and (relation in ('OVERLAP', 'ADJACENT') or m <= 100 or strong) as plausible, relation = 'OVERLAP' or m <= 30 as close from rel),
 falls as (
   select pk.id as park_id, a.id, a.component from sized a join pk on abs(a.longitude - pk.longitude) <= 2e-3 and abs(a.latitude - pk.latitude) <= 2e-3
-  where case when pk.has then abs(a.longitude - pk.longitude) < 6e-4 and abs(a.latitude - pk.latitude) < 4e-4 else {H('a', 'pk')} <= 30 end),
+  where case when pk.has then abs(a.longitude - pk.longitude) < 6.1e-4 and abs(a.latitude - pk.latitude) < 4.1e-4 else {H('a', 'pk')} <= 30 end),
 flags as (
   select a.id, count(*) filter (plausible) as plausible, count(*) filter (plausible and strong) as n_strong, count(*) filter (plausible and relation = 'OVERLAP') as n_over,
     count(*) filter (plausible and m <= 30) as n_very, count(*) filter (plausible and close) as n_close,
     count(*) filter (plausible and shares and close and not same_source) as n_part,
-    coalesce(bool_or(strong and not conflict), false) or coalesce(bool_or(relation in ('OVERLAP', 'ADJACENT')), false) or coalesce(bool_or(m <= 30), false)
-      or coalesce(bool_or(plausible and (other_number or shares)), false) or coalesce(bool_or(plausible and relation = 'POINT_DISTANCE' and park_weak and m <= 100), false) as taken
+    coalesce(bool_or(strong and not conflict), false) as namesake, coalesce(bool_or(relation in ('OVERLAP', 'ADJACENT')), false) as touches, coalesce(bool_or(m <= 30), false) as very_close,
+    coalesce(bool_or(plausible and other_number), false) as variant_near, coalesce(bool_or(plausible and shares), false) as shared,
+    coalesce(bool_or(plausible and relation = 'POINT_DISTANCE' and park_weak and m <= 100), false) as unseparated, min(m) as nearest
   from sized a left join cand c on c.id = a.id group by a.id),
 choice as (
   select a.id, f.*exclude (id), a.weak, a.ambiguous, c.park_id, c.same_source, c.park_weak,
@@ -61,12 +62,15 @@ choice as (
       else f.n_close = 1 and c.close end as it
   from sized a join flags f on f.id = a.id join cand c on c.id = a.id and c.plausible),
 target as (
-  select id, park_id, n_strong = 1 as by_name from choice
+  select id, park_id, n_strong = 1 as by_name, case when n_strong = 1 then 'NAME_DRIVEN' when weak then 'SPATIAL_DRIVEN' when n_part = 1 and n_close = 1 and not ambiguous then 'NAME_PARTIAL_SPATIAL' else 'NAME_UPGRADE_SPATIAL' end as mode
+  from choice
   where it and case when n_strong = 1 then not same_source when weak then not ambiguous and not contested when n_part = 1 and n_close = 1 and not ambiguous then true
     else park_weak and not ambiguous and not contested end),
 back as (
-  select a.*, t.park_id as target, coalesce(t.by_name, false) as by_name,
-    a.trustworthy and a.gate not in ('NON_PARK', 'TAXONOMY_AMBIGUOUS') and not a.weak and not f.taken and not a.ambiguous as safe
+  select a.*, t.park_id as target, t.mode, coalesce(t.by_name, false) as by_name, f.nearest,
+    concat_ws(',', case when not a.trustworthy then 'no_park_evidence' end, case when a.gate <> 'PARK_CONFIRMED' then 'taxonomy_gate' end, case when a.weak then 'generic_name' end,
+      case when namesake then 'namesake_nearby' end, case when touches then 'geometry_touches_park' end, case when very_close then 'very_close_park' end, case when variant_near then 'numeric_variant' end,
+      case when a.ambiguous then 'ambiguous_neighbour' end, case when shared then 'shared_token' end, case when unseparated then 'unseparated_generic' end) as unsafe, unsafe = '' as safe
   from sized a join flags f on f.id = a.id left join target t on t.id = a.id where a.status = 'review'),
 mates as (select component, count(distinct id) as parks, min(cast(id as varchar)) as park from sized where status = 'accepted' group by component),
 both as (
@@ -115,8 +119,8 @@ def review_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Da
         F.when(clustered, F.concat(F.lit("c"), group.cast("string"))).otherwise(F.concat(F.lit("s:"), k.cast("string"))).alias("component"), (k % 9 == 0).alias("ambiguous"),
     )
     records = saved(records, "review-source")
-    west, south = F.col("longitude") - 6e-4, F.col("latitude") - 4e-4
-    ring = F.array(*(F.array(west + x, south + y) for x, y in ((0.0, 0.0), (1.2e-3, 0.0), (1.2e-3, 8e-4), (0.0, 8e-4), (0.0, 0.0))))
+    west, south = F.col("longitude") - 6.1e-4, F.col("latitude") - 4.1e-4
+    ring = F.array(*(F.array(west + x, south + y) for x, y in ((0.0, 0.0), (1.22e-3, 0.0), (1.22e-3, 8.2e-4), (0.0, 8.2e-4), (0.0, 0.0))))
     refs = F.when(k % 10 == 7, F.array(F.struct(F.lit("s").alias("source_code"), F.lit("x").alias("external_id"), F.lit(None).cast("string").alias("source_url")))).otherwise(F.array()).cast(f"array<{REF}>")
     parks = V.parks(spark, d).select(
         k.cast("string").alias("id"), F.when(k % 5 == 3, "İsimsiz park").otherwise(F.concat(_word(k * k % 31 % 7), F.lit(" Parkı"))).alias("name"), F.lit("P").alias("city"),
@@ -128,12 +132,43 @@ def review_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Da
     return records, parks, clusters
 
 
-@query(REVIEW_SQL + """select 's:' || id as key, split_part(said, '/', 1) as outcome, split_part(said, '/', 2) as reason,
-  case when said like 'MATCH%' or said like '%DUPLICATE%' then case when size > 1 and parks = 1 then park else cast(target as varchar) end end as target_id, case when size > 1 then first_id end as representative from said""")
-def review_decisions(spark: SparkSession, d: str) -> DataFrame:
+def _review(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(all records, evidence of the backlog, its candidates, its targets)."""
     records, parks, clusters = review_tables(spark, d)
     backlog = records.where("status = 'review'").drop("component", "ambiguous", "status", "canonical_id")
     candidates = saved(B.review_candidates(backlog, parks), "review-candidates")
     evidence = B.new_safe(B.review_evidence(backlog, candidates, clusters))
-    targets = saved(B.record_targets(evidence, candidates, B.park_rivals(records, parks, clusters)), "review-targets")
+    return records, evidence, candidates, saved(B.record_targets(evidence, candidates, B.park_rivals(records, parks, clusters)), "review-targets")
+
+
+@query(REVIEW_SQL + f"""select 's:' || rel.id as key, cast(park_id as varchar) as park_id, relation, {tenths('m')} as dm, strong, shares as shares_token, other_number, plausible
+from cand rel join back on back.id = rel.id""")
+def review_distances(spark: SparkSession, d: str) -> DataFrame:
+    """Records and parks with the distance between point and polygon where the park has one."""
+    c = _review(spark, d)[2]
+    return c.select("key", "park_id", "relation", metres("distance_m").alias("dm"), "strong", F.col("rel.shares_distinctive_token").alias("shares_token"), F.col("rel.numeric_conflict").alias("other_number"), "plausible")
+
+
+@query(REVIEW_SQL + "select 's:' || id as key, cast(target as varchar) as target_id, mode from back")
+def review_targets(spark: SparkSession, d: str) -> DataFrame:
+    return _review(spark, d)[3].select("key", "target_id", "mode")
+
+
+@query(REVIEW_SQL + "select 's:' || id as key, unsafe from back")
+def review_safety(spark: SparkSession, d: str) -> DataFrame:
+    """Why a record may not become a new park, in the order of the rules."""
+    return _review(spark, d)[1].select("key", F.array_join("unsafe", ",").alias("unsafe"))
+
+
+@query(REVIEW_SQL + """select split_part(said, '/', 1) as outcome, count(*) as n, cast(floor(floor(avg(nearest) * 10 + 0.5) / 10 + 0.5) as bigint) as nearest from said group by 1""")
+def review_report(spark: SparkSession, d: str) -> DataFrame:
+    records, evidence, _, targets = _review(spark, d)
+    told = B.decision_report(B.resolve_reviews(evidence, targets, B.accepted_mates(records)), evidence)
+    return told.select("outcome", "n", F.floor(F.col("nearest_m") + 0.5).cast("bigint").alias("nearest"))
+
+
+@query(REVIEW_SQL + """select 's:' || id as key, split_part(said, '/', 1) as outcome, split_part(said, '/', 2) as reason,
+  case when said like 'MATCH%' or said like '%DUPLICATE%' then case when size > 1 and parks = 1 then park else cast(target as varchar) end end as target_id, case when size > 1 then first_id end as representative from said""")
+def review_decisions(spark: SparkSession, d: str) -> DataFrame:
+    records, evidence, _, targets = _review(spark, d)
     return B.resolve_reviews(evidence, targets, B.accepted_mates(records))
