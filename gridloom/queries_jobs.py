@@ -20,7 +20,8 @@ from gridloom.plans import release as L
 from gridloom.plans import review as B
 from gridloom.plans import serials as Z
 from gridloom.registered import KEY, NEAR, ORACLE_SQL, H, metres, query, tenths
-from gridloom.sources import readers
+from gridloom.sources import readers, sinks
+from gridloom.views import plain_sql
 
 AT = "2024-01-30 12:00:00"
 def no_refs() -> Column:
@@ -997,6 +998,34 @@ def snapshot_blockers(spark: SparkSession, d: str) -> DataFrame:
     return Z.blockers(changes, Z.snapshot_flags(before, after, changes))
 
 
+@query(V.heads("source") + f""", res as (select distinct id % 5 as r from source where id % 5 <> 3)
+select '{RES}e' || r as resource_uuid, 'RESOURCE_MOVED' as blocker from res where r in (0, 4) and exists (select 1 from source where id % 20 = 5)
+union all select '{RES}e4', 'SERIAL_REUSED' from res where r = 4 and exists (select 1 from source where id % 20 = 4)
+union all select '{RES}e1', 'SERIAL_REUSED' from res where r = 1 and (select count(*) from source where id % 20 = 1) > 1""")
+def resource_blockers(spark: SparkSession, d: str) -> DataFrame:
+    """What blocks each resource's part of the comparison of ``snapshot_blockers``."""
+    k = F.col("id")
+    before = _serials(spark, d)
+    after = before.withColumn("resource_uuid", F.when(k % 20 == 5, F.lit(RES + "e4")).otherwise(F.col("resource_uuid"))).withColumn("latitude", F.when(k % 20 == 4, F.col("latitude") + 1).otherwise(F.col("latitude")))
+    changes = saved(Z.compare_snapshots(before, after), "changes")
+    flags = saved(Z.snapshot_flags(before, after, changes), "flags")
+    told = [Z.blockers(changes, flags, RES + f"e{r}").select(F.lit(RES + f"e{r}").alias("resource_uuid"), "blocker") for r in (0, 1, 2, 4)]
+    return T.union_branches(*told)
+
+
+@query(V.heads("parks") + f""" select id from parks where contains(trim(regexp_replace({plain_sql("name || ' ' || city || ' ' || district")}, '[^a-z0-9]+', ' ', 'g')), 'isimsiz park r1')""")
+def searched_parks(spark: SparkSession, d: str) -> DataFrame:
+    """Accent-free search over name, city and district together."""
+    return V.parks(spark, d).where(text.matches_query(["name", "city", "district"], "İSİMSİZ  park-R1")).select("id")
+
+
+@query(V.heads("parks") + """ select id, id = 7 as selected from parks where id % 4 <> 1 and (id = 7 or (floor(longitude / 25e-2) in (108, 109) and floor(latitude / 25e-2) in (152, 153)))""")
+def boundaries_in_view(spark: SparkSession, d: str) -> DataFrame:
+    """Boundaries of the viewport's tiles and of the selected park; every fourth park has none."""
+    p = V.parks(spark, d).withColumn("polys", F.when(F.col("id") % 4 != 1, _box("longitude", "latitude", 0.001, 0.001)))
+    return sinks.visible_boundaries(p, 38.1, 38.4, 27.1, 27.3, 7).select("id", "selected")
+
+
 @query(V.heads("source") + """ select external_id as serial from source where id % 3 = 0""")
 def companion_numbers(spark: SparkSession, d: str) -> DataFrame:
     x = V.source(spark, d).select(F.when(F.col("id") % 3 == 0, F.concat(F.lit(" "), "external_id")).otherwise("n/a").alias("no"))

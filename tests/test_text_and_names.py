@@ -103,3 +103,21 @@ def test_sql_functions_equal_the_columns(spark):
     for row in df.select(*(F.struct(F.expr(k).alias("a"), c.alias("b")).alias(f"c{i}") for i, (k, c) in enumerate(pairs.items()))).collect():
         for got, call in zip(row, pairs):
             assert got["a"] == pytest.approx(got["b"]), call
+
+
+def test_sql_functions_of_evidence_and_rings(spark):
+    from gridloom.functions import geo as G
+    from gridloom.functions.names import name_evidence, parse_name
+    from gridloom.functions.sql import register
+
+    register(spark, "gl_")
+    names = ["Gazi Parkı", "GAZİ PARKI", "Gazi Çocuk Parkı", "Menekşeler Bahçesi", "Menekşeler Bahcesı", "Menekşelar Bahçesi", "İsimsiz park", "", None, "Zafer 2"]
+    df = spark.createDataFrame([(a, b) for a in names for b in names], "a string, b string")
+    want = df.withColumn("k", name_evidence(parse_name("a"), parse_name("b"))["kind"])
+    told = df.selectExpr("a", "b", "gl_name_evidence(a, b) as k")
+    assert sorted(map(str, told.collect())) == sorted(map(str, want.collect()))
+    assert {r["k"] for r in told.collect()} == {"exact_normalized_name", "same_core_name", "high_similarity", None}
+    rings = [[[0.0, 0.0], [4.0, 0.0], [4.0, 4.0], [0.0, 4.0], [0.0, 0.0]], [[1.0, 1.0], [2.0, 1.0], [2.0, 2.0], [1.0, 2.0], [1.0, 1.0]]]
+    points = spark.createDataFrame([(x / 2, y / 2, rings) for x in range(-1, 10) for y in range(-1, 10)] + [(1.0, 1.0, []), (1.0, 1.0, [[]])], "lon double, lat double, rings array<array<array<double>>>")
+    got = points.select(F.expr("gl_point_in_rings(lon, lat, rings)").alias("s"), G.in_rings_even_odd("lon", "lat", "rings").alias("c")).collect()
+    assert all(r["s"] == r["c"] for r in got) and {r["s"] for r in got} == {True, False}
