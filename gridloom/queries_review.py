@@ -181,19 +181,19 @@ INGEST_SQL = V.heads("parks", "source") + f""",
 fe as (
   select position, case when id % 23 = 3 then null when id % 29 = 5 then cast(id - 1 as varchar) else cast(id as varchar) end as eid,
     case when id % 31 = 7 then null when id % 37 = 8 then 5e0 when id % 41 = 9 then 42.5e0 else latitude end as latitude, longitude, taxonomy = 'Brand#11' as shop,
-    case when id % 5 = 0 then 'İsimsiz park' else ({WORDS!r})[id * id % 31 % 7 + 1] || ' Parkı' end as name from source),
+    case when id % 5 = 0 then 'İsimsiz park' when id % 3 = 1 then 'Bülbül Parkı' else ({WORDS!r})[id * id % 31 % 7 + 1] || ' Parkı' end as name from source),
 marked as (
   select *, case when eid is null then 'missing_id' when coalesce(bool_or(latitude is not null) over (partition by eid order by position rows between unbounded preceding and 1 preceding), false) then 'duplicate_id'
     when latitude is null then 'invalid_geometry' end as reject from fe),
 good as (select * from marked where reject is null and not shop and latitude between 35 and 42),
 pk as (select id, latitude, longitude, case when id % 7 = 2 then 'İsimsiz park' else ({WORDS!r})[(id * id % 31 + case when id % 10 = 4 then 1 else 0 end) % 7 + 1] || ' Parkı' end as name from parks),
-pairs as (select a.eid, b.id as pid, a.name, b.name as park, {H('a', 'b')} as m from good a join pk b on {NEAR} where {H('a', 'b')} <= 600),
+pairs as (select a.eid, b.id as pid, a.name, b.name as park, {H('a', 'b')} as m from good a join pk b on {NEAR} where {H('a', 'b')} <= 310),
 tier as (select *, count(*) over (partition by eid) as n from (select *, min(m) over (partition by eid) as least from pairs where m <= 300) where least > 100 or m <= 100),
 single as (select *, name <> 'İsimsiz park' and park <> 'İsimsiz park' and name <> park as conflict from tier where n = 1),
 ask as (select *, count(*) over (partition by pid) as claims from single where not conflict),
 far as (select eid, arg_min(pid, struct_pack(m := m, p := cast(pid as varchar))) as pid from pairs where eid not in (select eid from tier) and name <> 'İsimsiz park' and name = park group by eid),
 rest as (select * from good where eid not in (select eid from tier) and eid not in (select eid from far)),
-twin as (select a.eid, count(*) as others from rest a join rest b on a.eid <> b.eid and a.name = b.name and {NEAR} where a.name <> 'İsimsiz park' and {H('a', 'b')} <= 250 group by a.eid)
+twin as (select a.eid, count(*) as others from rest a join rest b on a.eid <> b.eid and a.name = b.name and {NEAR} where a.name <> 'İsimsiz park' and {H('a', 'b')} <= 800 group by a.eid)
 select eid as external_id, 'INVALID' as outcome, reject as reason, null as target_id, cast(null as bigint) as others from marked where reject is not null
 union all select eid, 'REJECTED_NON_PARK', 'taxonomy', null, null from marked where reject is null and shop
 union all select eid, 'INVALID', 'invalid_coordinate', null, null from marked where reject is null and not shop and latitude < 35
@@ -213,11 +213,11 @@ def ingested_outcomes(spark: SparkSession, d: str) -> DataFrame:
     k, lat = F.col("id"), F.col("latitude")
     eid = F.when(k % 23 == 3, None).when(k % 29 == 5, (k - 1).cast("string")).otherwise(k.cast("string"))
     place = F.when(k % 31 == 7, None).when(k % 37 == 8, 5.0).when(k % 41 == 9, 42.5).otherwise(lat)
-    name = F.when(k % 5 == 0, "İsimsiz park").otherwise(F.concat(_word(k * k % 31 % 7), F.lit(" Parkı")))
+    name = F.when(k % 5 == 0, "İsimsiz park").when(k % 3 == 1, "Bülbül Parkı").otherwise(F.concat(_word(k * k % 31 % 7), F.lit(" Parkı")))
     features = V.source(spark, d).select(eid.alias("external_id"), name.alias("name"), F.when(F.col("taxonomy") == "Brand#11", "shop").otherwise("park").alias("taxonomy"), place.alias("latitude"), "longitude", "position")
     called = F.when(k % 7 == 2, "İsimsiz park").otherwise(F.concat(_word((k * k % 31 + F.when(k % 10 == 4, 1).otherwise(0)) % 7), F.lit(" Parkı")))
     parks = V.parks(spark, d).select(k.cast("string").alias("id"), "osm_id", called.alias("name"), F.lit("P").alias("city"), "district", "latitude", "longitude", F.array().cast(f"array<{REF}>").alias("source_refs"))
     corners = [(25.0, 36.0), (45.0, 36.0), (45.0, 42.0), (25.0, 42.0), (25.0, 36.0)]
     province = spark.createDataFrame([("P", *a, *b) for a, b in zip(corners, corners[1:])], "region string, x1 double, y1 double, x2 double, y2 double")
-    cfg = I.SourceConfig("src", "Source", "https://example.org/d", "ns", "P", allowed_taxonomy=("park",), tiers_m=(100, 300), extended_m=600, duplicate_guard_m=250)
+    cfg = I.SourceConfig("src", "Source", "https://example.org/d", "ns", "P", allowed_taxonomy=("park",), tiers_m=(100, 300), extended_m=310, duplicate_guard_m=800)
     return I.ingest(features, parks, province, cfg)
