@@ -74,7 +74,7 @@ back as (
       case when a.ambiguous then 'ambiguous_neighbour' end, case when shared then 'shared_token' end, case when unseparated then 'unseparated_generic' end) as unsafe, unsafe = '' as safe
   from sized a join flags f on f.id = a.id left join target t on t.id = a.id where a.status = 'review'),
 mates as (select component, count(distinct id) as parks, min(cast(id as varchar)) as park from sized where status = 'accepted' group by component),
-both as (
+mated as (
   select b.*, coalesce(parks, 0) as parks, mates.park, count(*) over c as members, count(target) over c as with_target, min(target) over c = max(target) over c as same, bool_and(safe) over c as all_safe
   from back b left join mates on mates.component = b.component window c as (partition by b.component)),
 said as (
@@ -89,9 +89,8 @@ said as (
     when with_target = members and same then case when id = first_id then 'MATCH_EXISTING/representative' else 'REJECT_DUPLICATE/representative_matches' end
     when with_target = 0 and all_safe then case when id = first_id then 'NEW_CANONICAL_SAFE/representative' else 'REJECT_DUPLICATE/representative_is_new' end
     else 'KEEP_REVIEW/members_disagree' end as said
-  from both)
+  from mated)
 """
-REVIEW_SQL = REVIEW_SQL.replace("from both)\n", "from mated)\n").replace("both as (\n", "mated as (\n")
 
 
 def _word(k: Column) -> Column:
