@@ -32,14 +32,15 @@ def _celled(df: DataFrame, name: str, metres: float, most_lat: float, around: bo
 
 def within_radius(a: DataFrame, b: DataFrame, metres: float, by: list[str] | None = None, most_lat: float = 43.0, distance=haversine_m) -> DataFrame:
     """Pairs (a struct, b struct, distance_m) within a radius; ``by``: columns that must be equal. Latitudes beyond
-    ``most_lat`` need a larger value there."""
+    ``most_lat`` need a larger value there. Cells always meet by a shuffle: the optimizer's estimate of a side knows neither
+    its nine copies nor how well its file is compressed, so a broadcast could be any size."""
     by = by or []
     left, right = _celled(a, "a", metres, most_lat, True, by), _celled(b, "b", metres, most_lat, False, by)
     same = (left["_row"] == right["_row"]) & (left["_column"] == right["_column"])
     for k in by:
         same = same & (left[f"_a_{k}"] == right[f"_b_{k}"])
     d = distance(F.col("a.latitude"), F.col("a.longitude"), F.col("b.latitude"), F.col("b.longitude"))
-    return left.join(right, same).select("a", "b", d.alias("distance_m")).where(F.col("distance_m") <= metres)
+    return left.join(right.hint("merge"), same).select("a", "b", d.alias("distance_m")).where(F.col("distance_m") <= metres)
 
 
 def self_pairs(df: DataFrame, metres: float, id_col: str = "id", by: list[str] | None = None, **options) -> DataFrame:

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gridloom import views as V
 from gridloom.functions import geo as G
 from gridloom.functions.geo import lat_step, lon_step
 from gridloom.operators import polygons as P
@@ -204,3 +205,20 @@ def test_nearest_region_without_a_cap(spark):
     found = {x["id"]: (x["region"], x["distance_m"]) for x in R.nearest_region_any(points, edges, 50).collect()}
     assert found[1] == ("A", 11) and found[2][0] == "B" and found[3] == ("A", round(8 * 110540)) and 4 not in found
     assert R.nearest_region_any(points, edges.limit(0)).collect() == [] and R.nearest_region_any(points.limit(0), edges).collect() == []
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cells_are_never_broadcast(spark):
+    rows = spark.range(50).selectExpr("id", "38 + id * 1e-4 as latitude", "27d as longitude")
+    assert "Broadcast" not in plan_of(S.within_radius(rows, rows, 100)) and S.self_pairs(rows, 12).count() == 49
+
+
+def test_parks_broadcast_the_names_alone(spark, tmp_path):
+    """Customers by far the smaller file, as compressed keys are: still the 200 names go round, and parks keep their partitions."""
+    spark.range(40).selectExpr("id as c_custkey", "cast(id % 25 as int) as c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(20000).selectExpr("id as p_partkey", "sha2(cast(id as string), 512) as p_name").write.parquet(f"{tmp_path}/part.parquet")
+    parks = V.parks(spark, str(tmp_path))
+    assert "BuildRight" in plan_of(parks) and "hashpartitioning(c_custkey" in plan_of(parks) and parks.count() == 40
