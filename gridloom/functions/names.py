@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gridloom.functions.text import WEAK_WORDS, clean, is_placeholder, name_key, text, tokens
+from gridloom.functions.text import WEAK_WORDS, clean, is_placeholder, let, name_key, text, tokens
 
 STRONG = 0.88
 
@@ -15,11 +15,6 @@ def rounded(c: Column, digits: int) -> Column:
     return F.floor(c * 10**digits + 0.5) / 10**digits
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once, however often the body uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def similarity(a: Column, b: Column) -> Column:
     """1 - edits / longer length; 0 if either is empty."""
     longest = F.greatest(F.length(a), F.length(b))

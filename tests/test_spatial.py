@@ -222,3 +222,9 @@ def test_parks_broadcast_the_names_alone(spark, tmp_path):
     spark.range(20000).selectExpr("id as p_partkey", "sha2(cast(id as string), 512) as p_name").write.parquet(f"{tmp_path}/part.parquet")
     parks = V.parks(spark, str(tmp_path))
     assert "BuildRight" in plan_of(parks) and "hashpartitioning(c_custkey" in plan_of(parks) and parks.count() == 40
+
+
+def test_rings_are_tidied_once(spark):
+    df = spark.range(3).select(F.expr("array(array(array(array(27d, 38d), array(27.1d, 38d), array(27.1d, 38.1d), array(27d, 38d))))").alias("polys"))
+    told = df.repartition(1).select(P.clean_geometry("polys").alias("p"))
+    assert told._jdf.queryExecution().logical().toString().lower().count("round(") <= 4 and told.where("p is not null").count() == 3
