@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.functions.geo import COUNTRY, crosses, lat_step, lon_step, segment_distance_m
+from gridloom.functions.geo import COUNTRY, LAT_M, LON_M, crosses, lat_step, lon_step, segment_distance_at, segment_distance_m
 from gridloom.functions.session import saved
 
 BAND = 0.02
@@ -45,17 +45,49 @@ def nearest_region(points: DataFrame, edges: DataFrame, max_m: float, id_col: st
     """(id, region, distance_m) of the nearest boundary within the cap, in whole metres; the first region wins ties."""
     rows, columns = lat_step(max_m), lon_step(max_m, most_lat)
     places = points.select(F.col(id_col).alias("id"), "longitude", "latitude", F.floor(F.col("latitude") / rows).alias("row"), F.floor(F.col("longitude") / columns).alias("column"))
+    return _nearest_of(places.join(_around(edges, rows, columns).hint("merge"), ["row", "column"]), max_m)
+
+
+def _around(edges: DataFrame, rows: float, columns: float) -> DataFrame:
+    """Edges in the cells of their boxes and those around."""
     spread = edges.select(
         "region", "x1", "y1", "x2", "y2",
         F.expr(f"explode(sequence(floor(least(y1, y2) / {rows!r}) - 1, floor(greatest(y1, y2) / {rows!r}) + 1))").alias("row"),
-    ).select("*", F.expr(f"explode(sequence(floor(least(x1, x2) / {columns!r}) - 1, floor(greatest(x1, x2) / {columns!r}) + 1))").alias("column"))
-    near = places.join(spread, ["row", "column"]).withColumn("d", segment_distance_m("longitude", "latitude", "x1", "y1", "x2", "y2"))
+    )
+    return spread.select("*", F.expr(f"explode(sequence(floor(least(x1, x2) / {columns!r}) - 1, floor(greatest(x1, x2) / {columns!r}) + 1))").alias("column"))
+
+
+def _nearest_of(pairs: DataFrame, max_m: float) -> DataFrame:
+    near = pairs.withColumn("d", segment_distance_m("longitude", "latitude", "x1", "y1", "x2", "y2"))
     metre = F.floor(F.min("d") + 0.5)
     by_region = near.where(F.col("d") <= max_m).groupBy("id", "region").agg(metre.alias("distance_m"))
     best = F.min(F.struct("distance_m", "region"))
     return by_region.groupBy("id").agg(best.alias("b")).select("id", "b.region", "b.distance_m")
 
 
+def _nearest_by_parts(points: DataFrame, edges: DataFrame, max_m: float, most_lat: float, parts: int = 16) -> DataFrame:
+    """``nearest_region`` for wide caps. Edges are first told apart for whole parts of a cell: an edge stays if from the part's
+    centre it may be nearest, to the metre, for some point of the part. So a point meets only edges about as near as its
+    nearest, and a part meets the many around it."""
+    rows, columns = lat_step(max_m), lon_step(max_m, most_lat)
+    spread = _around(edges, rows, columns).hint("merge")
+    fine = [F.floor(F.col("latitude") / (rows / parts)).alias("_r"), F.floor(F.col("longitude") / (columns / parts)).alias("_c")]
+    places = points.select("id", "longitude", "latitude", *fine)
+    low, high = F.col("_r") * (rows / parts), (F.col("_r") + 1) * (rows / parts)
+    degree = lambda lat: LON_M * F.cos(F.radians(F.least(lat, F.lit(90.0))))
+    least, most = degree(F.greatest(F.abs(low), F.abs(high))), degree(F.least(F.abs(low), F.abs(high)))
+    # half a diagonal, and a little for rounding at the borders of parts
+    reach = F.sqrt(F.pow(most * (columns / parts / 2), 2) + F.pow(F.lit(LAT_M * rows / parts / 2), 2)) + 0.01
+    cells = places.select("_r", "_c").distinct().select(
+        "_r", "_c", F.floor(F.col("_r") / parts).alias("row"), F.floor(F.col("_c") / parts).alias("column"), ((F.col("_c") + 0.5) * (columns / parts)).alias("_lon"),
+        ((F.col("_r") + 0.5) * (rows / parts)).alias("_lat"), least.alias("_least"), most.alias("_most"), reach.alias("_reach"),
+    )
+    far = lambda k: segment_distance_at(F.col(k), "_lon", "_lat", "x1", "y1", "x2", "y2")
+    bounds = cells.join(spread, ["row", "column"]).groupBy(*cells.columns).agg(F.min(far("_most") + F.col("_reach")).alias("_bound"))
+    kept = bounds.join(spread, ["row", "column"]).where(far("_least") - F.col("_reach") <= F.col("_bound") + 1).select("_r", "_c", "region", "x1", "y1", "x2", "y2")
+    return _nearest_of(places.join(kept.hint("merge"), ["_r", "_c"]), max_m)
+
+
 def nearest_region_any(points: DataFrame, edges: DataFrame, first_m: float = 1000, wider: float = 8, id_col: str = "id", most_lat: float = COUNTRY[1]) -> DataFrame:
     """(id, region, distance_m) of the nearest boundary, however far: rings of cells, each ``wider`` times the one before.
     A point leaves once what it found is nearer than the ring, so only far points, against ever coarser cells, go on."""
@@ -65,9 +97,10 @@ def nearest_region_any(points: DataFrame, edges: DataFrame, first_m: float = 100
         left = saved(left, "points-left")
         if left.isEmpty() or edges.isEmpty():
             break
-        near = saved(nearest_region(left, edges, ring, most_lat=most_lat).where(F.col("distance_m") < int(ring)), "nearest")
+        near = nearest_region(left, edges, ring, most_lat=most_lat) if ring == first_m else _nearest_by_parts(left, edges, ring, most_lat)
+        near = saved(near.where(F.col("distance_m") < int(ring)), "nearest")
         found.append(near)
-        left, ring = left.join(near, "id", "left_anti"), ring * wider
+        left, ring = left.join(near.hint("merge"), "id", "left_anti"), ring * wider
     told = points.select(F.col(id_col).alias("id"), F.lit(None).cast("string").alias("region"), F.lit(None).cast("bigint").alias("distance_m")).limit(0)
     for near in found:
         told = told.unionByName(near)

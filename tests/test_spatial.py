@@ -244,3 +244,12 @@ def test_shared_claimants_are_listed(spark):
     pairs = spark.createDataFrame([("a", 1), ("b", 1), ("c", 1), ("d", 2)], "c string, t int")
     told = {x["c"]: (x["claims"], x["others"]) for x in T.shared_claimants(pairs, "c", "t").collect()}
     assert told == {"a": (3, ["b", "c"]), "b": (3, ["a", "c"]), "c": (3, ["a", "b"]), "d": (1, [])}
+
+
+def test_far_points_meet_few_edges(spark):
+    """What a wide ring leaves of a field of edges for a point is what is about as near as its nearest."""
+    edges = spark.range(2500).selectExpr("concat('R', id % 7) as region", "27 + id % 50 * 1e-2 as x1", "38 + id div 50 * 1e-2 as y1", "27.005 + id % 50 * 1e-2 as x2", "38.003 + id div 50 * 1e-2 as y2")
+    points = spark.range(40).selectExpr("id", "38.6 + id % 8 * 5e-2 as latitude", "26.7 + id div 8 * 2e-1 as longitude")
+    want = {tuple(r) for r in R.nearest_region(points, edges, 64_000).collect()}
+    assert len(want) == 40 and {tuple(r) for r in R._nearest_by_parts(points, edges, 64_000, 43.0).collect()} == want
+    assert {tuple(r) for r in R.nearest_region_any(points, edges).collect()} == want
