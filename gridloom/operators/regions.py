@@ -33,11 +33,20 @@ def _bands(low, high, size: float):
 
 
 def contained_in(points: DataFrame, edges: DataFrame, id_col: str = "id", band: float = BAND) -> DataFrame:
-    """(id, region) for every region that contains the point."""
-    places = points.select(F.col(id_col).alias("id"), "longitude", "latitude", F.floor(F.col("latitude") / band).alias("band")).where("longitude is not null and latitude is not null")
+    """(id, region) for every region that contains the point. A region's edges lie in columns at least as wide as the region,
+    two at most, and points ask in the columns of each width in use, so what lies east or west of a region doesn't meet it."""
+    boxes = edges.groupBy("region").agg(F.min(F.least("x1", "x2")).alias("_west"), F.max(F.greatest("x1", "x2")).alias("_east"))
+    level = F.greatest(F.lit(0), F.ceil(F.log2((F.col("_east") - F.col("_west")) / band))).cast("int")
+    levels = boxes.where("_west is not null").select("region", "_west", level.alias("level"))
+    used = sorted(r["level"] for r in levels.select("level").distinct().collect())  # some twenty: each is twice the one before
+    wide = lambda k: F.pow(F.lit(2.0), k) * band
+    asks = F.transform(F.array(*map(F.lit, used or [0])), lambda k: F.struct(k.alias("level"), F.floor(F.col("longitude") / wide(k)).alias("column")))
+    places = points.select(F.col(id_col).alias("id"), "longitude", "latitude", F.floor(F.col("latitude") / band).alias("band"), F.inline(asks)).where("longitude is not null and latitude is not null")
     low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
-    banded = edges.where("y1 <> y2").select("region", "x1", "y1", "x2", "y2", _bands(low, high, band).alias("band"))
-    hits = places.join(banded, "band").where(crosses("longitude", "latitude", "x1", "y1", "x2", "y2"))
+    banded = edges.where("y1 <> y2").join(levels, "region").select("region", "x1", "y1", "x2", "y2", "_west", "level", _bands(low, high, band).alias("band"))
+    columns = F.sequence(F.floor(F.col("_west") / wide(F.col("level"))), F.floor(F.greatest("x1", "x2") / wide(F.col("level"))))
+    filed = banded.select("region", "x1", "y1", "x2", "y2", "level", "band", F.explode(columns).alias("column"))
+    hits = places.join(filed.hint("merge"), ["band", "level", "column"]).where(crosses("longitude", "latitude", "x1", "y1", "x2", "y2"))
     return hits.groupBy("id", "region").count().where("count % 2 = 1").select("id", "region")
 
 

@@ -253,3 +253,15 @@ def test_far_points_meet_few_edges(spark):
     want = {tuple(r) for r in R.nearest_region(points, edges, 64_000).collect()}
     assert len(want) == 40 and {tuple(r) for r in R._nearest_by_parts(points, edges, 64_000, 43.0).collect()} == want
     assert {tuple(r) for r in R.nearest_region_any(points, edges).collect()} == want
+
+
+def test_regions_far_east_and_west_do_not_meet_points(spark):
+    corner = "explode(array(struct(0d as ax, 0d as ay, 1d as bx, 0d as by), struct(1d as ax, 0d as ay, 0d as bx, 1d as by), struct(0d as ax, 1d as ay, 0d as bx, 0d as by))) as e"
+    sized = spark.range(300).selectExpr("id as region", "if(id % 60 = 0, 3d, 0.01d) as s", "26 + id * 5e-2 as x", "38 + id % 3 * 5e-3 as y", corner)
+    edges = sized.selectExpr("region", "x + s * e.ax as x1", "y + s * e.ay as y1", "x + s * e.bx as x2", "y + s * e.by as y2")
+    points = spark.range(900).selectExpr("id", "26.00123 + id * 16e-3 as longitude", "38.00137 + id % 5 * 3e-3 as latitude")
+    rows = [tuple(r) for r in sized.select("region", "s", "x", "y").distinct().collect()]
+    inside = lambda p, s, x, y: p["longitude"] > x and p["latitude"] > y and (p["longitude"] - x) + (p["latitude"] - y) < s
+    want = {(p["id"], r) for p in points.collect() for r, *at in rows if inside(p, *at)}
+    found = R.contained_in(points, edges)
+    assert {tuple(r) for r in found.collect()} == want and len(want) > 300 and "column" in plan_of(found)
