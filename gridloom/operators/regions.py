@@ -1,7 +1,7 @@
 """Points and regions: containment, nearest boundary, assignment (SPJ-1..6, SPJ-10, SPJ-11, PRJ-1).
 
 A region is edges (region, x1, y1, x2, y2), holes included. Points meet a region's edges by an equi-join on latitude bands
-below the region's box, so only edges near the point's latitude are looked at; an odd count of crossings is inside.
+and on columns as wide as the region, so only edges near the point are looked at; an odd count of crossings is inside.
 Nearest boundaries use cells as wide as a cap; without one, rings of cells grow until every point has found its boundary.
 """
 
