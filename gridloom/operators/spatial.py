@@ -16,12 +16,14 @@ from gridloom.functions.rules import district_match
 from gridloom.functions.text import is_generic, is_placeholder, name_key
 
 WORLD = (-85.0, 85.0, -180.0, 180.0)
+#: Any finite numbers, so that wrong coordinates still equal themselves.
+ANYWHERE = (-1e9, 1e9, -1e9, 1e9)
 
 
-def _celled(df: DataFrame, name: str, metres: float, most_lat: float, around: bool, by: list[str]) -> DataFrame:
+def _celled(df: DataFrame, name: str, metres: float, most_lat: float, around: bool, by: list[str], box=WORLD) -> DataFrame:
     row = F.floor(F.col("latitude") / lat_step(metres))
     column = F.floor(F.col("longitude") / lon_step(metres, most_lat))
-    keep = df.where(in_bounds("latitude", "longitude", WORLD))
+    keep = df.where(in_bounds("latitude", "longitude", box))
     keys = [F.col(k).alias(f"_{name}_{k}") for k in by]
     if not around:
         return keep.select(F.struct(*df.columns).alias(name), row.alias("_row"), column.alias("_column"), *keys)
@@ -30,12 +32,12 @@ def _celled(df: DataFrame, name: str, metres: float, most_lat: float, around: bo
     return spread.select(name, (F.col("_r") + F.col("_s.r")).alias("_row"), (F.col("_c") + F.col("_s.c")).alias("_column"), *(f"_{name}_{k}" for k in by))
 
 
-def within_radius(a: DataFrame, b: DataFrame, metres: float, by: list[str] | None = None, most_lat: float = 43.0, distance=haversine_m) -> DataFrame:
+def within_radius(a: DataFrame, b: DataFrame, metres: float, by: list[str] | None = None, most_lat: float = 43.0, distance=haversine_m, box=WORLD) -> DataFrame:
     """Pairs (a struct, b struct, distance_m) within a radius; ``by``: columns that must be equal. Latitudes beyond
-    ``most_lat`` need a larger value there. Cells always meet by a shuffle: the optimizer's estimate of a side knows neither
+    ``most_lat`` need a larger value there, and rows outside ``box`` find nothing. Cells always meet by a shuffle: the optimizer's estimate of a side knows neither
     its nine copies nor how well its file is compressed, so a broadcast could be any size."""
     by = by or []
-    left, right = _celled(a, "a", metres, most_lat, True, by), _celled(b, "b", metres, most_lat, False, by)
+    left, right = _celled(a, "a", metres, most_lat, True, by, box), _celled(b, "b", metres, most_lat, False, by, box)
     same = (left["_row"] == right["_row"]) & (left["_column"] == right["_column"])
     for k in by:
         same = same & (left[f"_a_{k}"] == right[f"_b_{k}"])

@@ -7,30 +7,55 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.functions.geo import haversine_m
 from gridloom.functions.ids import encode_serial, is_uuid
-from gridloom.operators.spatial import cross_resource_duplicates, within_radius
+from gridloom.functions.session import saved
+from gridloom.operators.spatial import ANYWHERE, cross_resource_duplicates, within_radius
 
 KEY = ["package_uuid", "resource_uuid", "serial"]
+SAME_M = 0.5
 
 
 def compare_snapshots(before: DataFrame, after: DataFrame, reuse_m: float = 200, remap_m: float = 10) -> DataFrame:
-    """(package, resource, serial, status) of resources that both snapshots have: ADDED, UNCHANGED, REMAPPED (now where
-    another serial of the resource was), SERIAL_REUSED (far off), NORMAL_ATTRIBUTE_CHANGE, REMOVED."""
+    """(package, resource, serial, status, n) of resources that both snapshots have: ADDED, UNCHANGED, REMAPPED (now where
+    another serial of the resource was), SERIAL_REUSED (far off), NORMAL_ATTRIBUTE_CHANGE, REMOVED. Each row of a serial is
+    compared with each of its rows in the other snapshot, and ``n`` says how many pairs (or rows without any) have the
+    status. Only pairs within ``reuse_m`` are looked at; the others follow from the numbers of rows."""
     both = before.select(*KEY[:2]).distinct().join(after.select(*KEY[:2]).distinct(), KEY[:2])
-    b, a = before.join(both, KEY[:2], "left_semi"), after.join(both, KEY[:2], "left_semi")
-    pairs = within_radius(a, b, remap_m, KEY[:2]).where("a.serial <> b.serial")
-    remapped = pairs.select(*(F.col(f"a.{k}").alias(k) for k in KEY)).distinct().withColumn("_remap", F.lit(True))
-    j = b.alias("b").join(a.alias("a"), [F.col(f"a.{k}") == F.col(f"b.{k}") for k in KEY], "full_outer")
-    d = haversine_m("a.latitude", "a.longitude", "b.latitude", "b.longitude")
-    rows = j.select(*(F.coalesce(f"a.{k}", f"b.{k}").alias(k) for k in KEY), F.col("a.serial").isNotNull().alias("_in"), F.col("b.serial").isNotNull().alias("_had"),
-                    F.coalesce("a.name", F.lit("")).eqNullSafe(F.coalesce("b.name", F.lit(""))).alias("_name"), d.alias("_d"), F.col("a.latitude").eqNullSafe(F.col("b.latitude")).alias("_lat"))
-    same = F.col("_name") & F.when(F.col("_d").isNull(), F.col("_lat")).otherwise(F.col("_d") <= 0.5)
-    status = (
-        F.when(~F.col("_had"), "ADDED").when(~F.col("_in"), "REMOVED").when(same, "UNCHANGED").when(F.col("_remap"), "REMAPPED")
-        .when(F.col("_d") > reuse_m, "SERIAL_REUSED").otherwise("NORMAL_ATTRIBUTE_CHANGE")
+    b, a = (saved(_places(df.join(both, KEY[:2], "left_semi")), name) for df, name in ((before, "before"), (after, "after")))
+    held = b.groupBy(*KEY[:2], "latitude", "longitude").agg(F.min("serial").alias("least"), F.max("serial").alias("most"))
+    moved = within_radius(a.select(*KEY, "latitude", "longitude").distinct(), held, remap_m, KEY[:2]).where("a.serial <> b.least or a.serial <> b.most")
+    remapped = moved.select(*(F.col(f"a.{k}").alias(k) for k in KEY)).distinct().withColumn("_remap", F.lit(True))
+    d, pairs = F.col("distance_m"), F.col("a.n") * F.col("b.n")
+    same = (F.col("a.name") == F.col("b.name")) & (d <= SAME_M)
+    near = within_radius(a, b, max(reuse_m, SAME_M), KEY, most_lat=85.0, box=ANYWHERE).groupBy(*(F.col(f"a.{k}").alias(k) for k in KEY)).agg(
+        F.sum(F.when(same, pairs).otherwise(0)).alias("_same"), F.sum(F.when(~same & (d <= reuse_m), pairs).otherwise(0)).alias("_near")
+    )
+    # without a distance, rows of equal name and latitude are the same
+    level = [*KEY, "name", "latitude"]
+    x, y = _sums(a, level, "a").alias("x"), _sums(b, level, "b").alias("y")
+    flat = x.join(y, [F.col(f"x.{k}") == F.col(f"y.{k}") for k in level[:-1]] + [F.col("x.latitude").eqNullSafe(F.col("y.latitude"))])
+    flat = flat.groupBy(*(F.col(f"x.{k}").alias(k) for k in KEY)).agg(F.sum(F.expr("_na * _nb - _la * _lb")).alias("_flat"))
+    rows = _sums(b, KEY, "b").join(_sums(a, KEY, "a"), KEY, "full_outer").join(near, KEY, "left").join(flat, KEY, "left").join(remapped, KEY, "left")
+    rows = rows.na.fill(0, ["_na", "_nb", "_la", "_lb", "_same", "_near", "_flat"])
+    unchanged, far = F.expr("_same + _flat"), F.expr("_la * _lb - _same - _near")
+    told = lambda **n: F.array(*(F.struct(F.lit(status).alias("status"), c.alias("n")) for status, c in n.items()))
+    counts = (
+        F.when(F.expr("serial is null or _nb = 0"), told(ADDED=F.expr("_na + _nb"))).when(F.col("_na") == 0, told(REMOVED=F.col("_nb")))
+        .when(F.col("_remap"), told(UNCHANGED=unchanged, REMAPPED=F.expr("_na * _nb") - unchanged))
+        .otherwise(told(UNCHANGED=unchanged, SERIAL_REUSED=far, NORMAL_ATTRIBUTE_CHANGE=F.expr("_na * _nb") - unchanged - far))
     )
-    return rows.join(remapped, KEY, "left").select(*KEY, status.alias("status"))
+    return rows.select(*KEY, F.inline(counts)).where("n > 0")
+
+
+def _places(df: DataFrame) -> DataFrame:
+    """(package, resource, serial, name, latitude, longitude, n): equal rows once."""
+    return df.select(*KEY, F.coalesce("name", F.lit("")).alias("name"), "latitude", "longitude").groupBy(*KEY, "name", "latitude", "longitude").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _sums(places: DataFrame, by: list[str], side: str) -> DataFrame:
+    """Rows of each key (_n), and those with coordinates (_l)."""
+    located = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
+    return places.groupBy(*by).agg(F.sum("n").alias(f"_n{side}"), F.sum(F.when(located, F.col("n")).otherwise(0)).alias(f"_l{side}"))
 
 
 def snapshot_flags(before: DataFrame, after: DataFrame, records: DataFrame, mass: float = 0.2, remap_m: float = 10) -> DataFrame:
@@ -39,10 +64,9 @@ def snapshot_flags(before: DataFrame, after: DataFrame, records: DataFrame, mass
     gone, added = res(before).join(res(after), KEY[:2], "left_anti"), res(after).join(res(before), KEY[:2], "left_anti")
     none = F.lit(None).cast("string")
     replaced = gone.join(added.select("package_uuid", F.col("resource_uuid").alias("other")), "package_uuid").select(F.lit("RESOURCE_REPLACED").alias("flag"), *KEY[:2], none.alias("serial"), "other")
-    lost = before.join(after, KEY, "left_anti").alias("b")
-    moved = lost.join(after.alias("a"), (F.col("a.package_uuid") == F.col("b.package_uuid")) & (F.col("a.serial") == F.col("b.serial")) & (F.col("a.resource_uuid") != F.col("b.resource_uuid")))
-    moved = moved.where(haversine_m("a.latitude", "a.longitude", "b.latitude", "b.longitude") <= remap_m).select(F.lit("RESOURCE_MOVED").alias("flag"), "b.package_uuid", "b.resource_uuid", "b.serial", F.col("a.resource_uuid").alias("other"))
-    share = records.where("status <> 'REMOVED'").groupBy(*KEY[:2]).agg(F.count_if(F.col("status") == "REMAPPED").alias("n"), F.count(F.lit(1)).alias("total"))
+    lost = before.join(after, KEY, "left_anti")
+    moved = within_radius(after, lost, remap_m, ["package_uuid", "serial"], most_lat=85.0, box=ANYWHERE).where("a.resource_uuid <> b.resource_uuid").select(F.lit("RESOURCE_MOVED").alias("flag"), "b.package_uuid", "b.resource_uuid", "b.serial", F.col("a.resource_uuid").alias("other"))
+    share = records.where("status <> 'REMOVED'").groupBy(*KEY[:2]).agg(F.sum(F.when(F.col("status") == "REMAPPED", F.col("n")).otherwise(0)).alias("n"), F.sum("n").alias("total"))
     renumbered = share.where((F.col("n") > 0) & (F.col("n") / F.col("total") >= mass)).select(F.lit("MASS_RENUMBERING").alias("flag"), *KEY[:2], none.alias("serial"), none.alias("other"))
     return replaced.unionByName(moved).unionByName(renumbered)
 
@@ -52,7 +76,7 @@ def blockers(records: DataFrame, flags: DataFrame, resource: str | None = None,
     if resource is not None:
         records = records.where(F.col("resource_uuid") == resource)
         flags = flags.where((F.col("resource_uuid") == resource) | (F.col("other") == resource))
-    reused = records.where("status = 'SERIAL_REUSED'").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_reused).select(F.lit("SERIAL_REUSED").alias("blocker"))
+    reused = records.where("status = 'SERIAL_REUSED'").agg(F.sum("n").alias("n")).where(F.col("n") > max_reused).select(F.lit("SERIAL_REUSED").alias("blocker"))
     return flags.select(F.col("flag").alias("blocker")).distinct().unionByName(reused)
 
 

@@ -193,6 +193,49 @@ def test_serials(spark):
     assert reports["resources"].first()["failed"] == ["F"] and reports["scope"].first()["proven"]
 
 
+def test_repeated_serials_are_counted_not_paired(spark):
+    import math
+    import random
+    from collections import Counter
+
+    kind = "package_uuid string, resource_uuid string, serial string, name string, latitude double, longitude double"
+    dice = random.Random(3)
+    place = lambda: (dice.choice([38.0, 38.0 + 3e-6, 38.0005, 38.01, 38.5, None, 95.0, math.nan]), dice.choice([27.0, 27.0 + 2e-6, 27.001, 27.2, None]))
+    rows = lambda n, serials: [("p", dice.choice("rs"), dice.choice(serials), dice.choice(["A", "B", "", None]), *place()) for _ in range(n)]
+    b, a = rows(120, ["1", "2", "3", None]), rows(110, ["1", "2", "4", None]) + [("p", "t", "1", "A", 38.0, 27.0)]
+    b += [("p", "r", "7", "A", 39.0, 28.0)] * 2 + [("p", "r", "8", "A", 39.3, 28.0)]
+    a += [("p", "r", "7", "A", 39.3, 28.0)] * 3 + [("p", "r", "8", "B", 39.5, 28.0)] * 2
+
+    def metres(x, y):
+        if None in (*x[4:], *y[4:]):
+            return None
+        p, q = math.radians(x[4]), math.radians(y[4])
+        h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(y[5] - x[5]) / 2) ** 2
+        return 2 * 6371000 * math.asin(min(1.0, math.sqrt(h))) if h == h else math.nan
+
+    told = Counter()
+    a, b = [r for r in a if r[1] in "rs"], [r for r in b if r[1] in "rs"]
+    bounded = lambda r: r[4] is not None and abs(r[4]) <= 85 and r[5] is not None
+    remapped = {x[:3] for x in a for y in b if x[:2] == y[:2] and x[2] and y[2] and x[2] != y[2] and bounded(x) and bounded(y) and metres(x, y) <= 10}
+    for x in a:
+        told[(*x[:3], "ADDED")] += x[2] is None or not any(x[:3] == y[:3] for y in b)
+        for y in b:
+            if x[:3] == y[:3] and x[2]:
+                d = metres(x, y)
+                same = (x[3] or "") == (y[3] or "") and (x[4] == y[4] or x[4] != x[4] and y[4] != y[4] if d is None else d <= 0.5)
+                told[(*x[:3], "UNCHANGED" if same else "REMAPPED" if x[:3] in remapped else "SERIAL_REUSED" if d is not None and not d <= 200 else "NORMAL_ATTRIBUTE_CHANGE")] += 1
+    for y in b:
+        told[(*y[:3], "ADDED" if y[2] is None else "REMOVED")] += y[2] is None or not any(x[:3] == y[:3] for x in a)
+    found = Counter()
+    for r in Z.compare_snapshots(spark.createDataFrame(b, kind), spark.createDataFrame(a, kind)).collect():
+        found[tuple(r)[:4]] += r["n"]
+    assert found == Counter({k: n for k, n in told.items() if n})
+
+    many = spark.range(4000).select(F.lit("p").alias("package_uuid"), F.lit("r").alias("resource_uuid"), F.lit("1").alias("serial"), F.lit("A").alias("name"), (35 + F.col("id") * 1e-3).alias("latitude"), F.lit(27.0).alias("longitude"))
+    shifted = many.withColumn("latitude", F.col("latitude") + 1e-3)
+    assert {tuple(r)[3:] for r in Z.compare_snapshots(many, shifted).collect()} == {("UNCHANGED", 3999), ("NORMAL_ATTRIBUTE_CHANGE", 7998), ("SERIAL_REUSED", 16_000_000 - 3999 - 7998)}
+
+
 def test_readiness_helpers(spark):
     orgs = spark.createDataFrame([("İzmir Belediyesi",), ("Konya",), ("Van",)], "org string")
     ev = spark.createDataFrame([("izmir belediyesi", "SAFE_OPEN", "CC-BY", 1), ("Konya", "SAFE_OPEN", "genel", 1), ("Van", "SAFE_OPEN", "CC0", 1)], "org string, status string, label string, priority int")
