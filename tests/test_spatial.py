@@ -265,3 +265,13 @@ def test_regions_far_east_and_west_do_not_meet_points(spark):
     want = {(p["id"], r) for p in points.collect() for r, *at in rows if inside(p, *at)}
     found = R.contained_in(points, edges)
     assert {tuple(r) for r in found.collect()} == want and len(want) > 300 and "column" in plan_of(found)
+
+
+def test_areas_keep_their_digits():
+    """A sliver far from the origin: products of whole coordinates are off by some 1e-14 square degrees."""
+    from fractions import Fraction
+
+    ring = np.array([[27.123451, 41.234567], [27.123851, 41.234569], [27.123571, 41.234577], [27.123451, 41.234567]])
+    x, y = [[Fraction(v) for v in ring[:, k]] for k in (0, 1)]
+    exact = sum(x[i] * y[i + 1] - x[i + 1] * y[i] for i in range(3)) / 2
+    assert abs(Fraction(P._area(ring)) - exact) < exact / 10**12
