@@ -169,18 +169,18 @@ def unique_containment(points: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def polygon_candidates(points: DataFrame, edges: DataFrame, names: DataFrame, metres: float = 300, most_lat: float = COUNTRY[1]) -> DataFrame:
-    """(id, region, distance_m, similarity, rank): polygons within a distance of a point (0 inside), ranked by distance,
-    then name similarity. ``names``: (region, name)."""
+    """(id, region, inside, distance_m, similarity, rank): polygons within a distance of a point (0 inside). ``names``:
+    (region, name). ``inside`` follows the half-open rule: of the boundary, at distance 0, only a part is inside."""
     from gridloom.functions.names import similarity
     from gridloom.functions.text import name_key
 
     rows, columns = lat_step(metres), lon_step(metres, most_lat)
-    inside = contained_in(points, edges).withColumn("distance_m", F.lit(0.0))
+    inside = contained_in(points, edges).withColumn("inside", F.lit(True)).withColumn("distance_m", F.lit(0.0))
     spread = edges.select("region", "x1", "y1", "x2", "y2", F.expr(f"explode(sequence(floor(least(y1, y2) / {rows!r}) - 1, floor(greatest(y1, y2) / {rows!r}) + 1))").alias("row"))
     spread = spread.select("*", F.expr(f"explode(sequence(floor(least(x1, x2) / {columns!r}) - 1, floor(greatest(x1, x2) / {columns!r}) + 1))").alias("column"))
     places = points.select("id", "longitude", "latitude", F.floor(F.col("latitude") / rows).alias("row"), F.floor(F.col("longitude") / columns).alias("column"))
-    near = places.join(spread, ["row", "column"]).select("id", "region", segment_distance_m("longitude", "latitude", "x1", "y1", "x2", "y2").alias("distance_m")).where(F.col("distance_m") <= metres)
-    best = inside.unionByName(near).groupBy("id", "region").agg(F.min("distance_m").alias("distance_m"))
+    near = places.join(spread, ["row", "column"]).select("id", "region", F.lit(False).alias("inside"), segment_distance_m("longitude", "latitude", "x1", "y1", "x2", "y2").alias("distance_m")).where(F.col("distance_m") <= metres)
+    best = inside.unionByName(near).groupBy("id", "region").agg(F.bool_or("inside").alias("inside"), F.min("distance_m").alias("distance_m"))
     named = best.join(points.select("id", name_key("name").alias("_a")), "id").join(names.select("region", name_key("name").alias("_b")), "region")
     ranked = named.withColumn("similarity", similarity(F.col("_a"), F.col("_b"))).drop("_a", "_b")
     order = Window.partitionBy("id").orderBy("distance_m", F.desc("similarity"), "region")

@@ -85,7 +85,7 @@ def classify_polygons(points: DataFrame, edges: DataFrame, names: DataFrame, gen
     multiple_contained, generic_fragment, generic_multiple, named_near, unanchored."""
     pairs = polygon_candidates(points, edges, names, near_m)
     facts = pairs.groupBy("region").agg(
-        F.count_if(F.col("distance_m") == 0).alias("inside"), F.count_if(F.col("distance_m") <= generic_m).alias("close"), F.count(F.lit(1)).alias("near")
+        F.count_if("inside").alias("inside"), F.count_if(F.col("distance_m") <= generic_m).alias("close"), F.count(F.lit(1)).alias("near")
     )
     rows = names.select("region", "name").join(facts, "region", "left").na.fill(0)
     vague = is_generic("name")

@@ -275,3 +275,14 @@ def test_areas_keep_their_digits():
     x, y = [[Fraction(v) for v in ring[:, k]] for k in (0, 1)]
     exact = sum(x[i] * y[i + 1] - x[i + 1] * y[i] for i in range(3)) / 2
     assert abs(Fraction(P._area(ring)) - exact) < exact / 10**12
+
+
+def test_a_point_on_a_corner_is_near_but_not_inside(spark):
+    """Ray casting is half-open: the corner's distance is 0, yet the triangle does not contain it."""
+    from gridloom.plans.consolidate import classify_polygons
+
+    triangle = [[[[27.0, 38.0], [27.02, 38.005], [27.006, 38.02], [27.0, 38.0]]]]
+    edges = R.region_edges(spark.createDataFrame([(1, triangle)], f"region long, polys {POLY}"))
+    names = spark.createDataFrame([(1, "İsimsiz park")], "region long, name string")
+    klass = lambda *at: [r["klass"] for r in classify_polygons(spark.createDataFrame([(7, "a", *at)], "id long, name string, longitude double, latitude double"), edges, names).collect()]
+    assert klass(27.0, 38.0) == ["generic_fragment"] and klass(27.008, 38.008) == ["contained_single"]
