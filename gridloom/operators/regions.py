@@ -170,7 +170,8 @@ def unique_containment(points: DataFrame, edges: DataFrame) -> DataFrame:
 
 def polygon_candidates(points: DataFrame, edges: DataFrame, names: DataFrame, metres: float = 300, most_lat: float = COUNTRY[1]) -> DataFrame:
     """(id, region, inside, distance_m, similarity, rank): polygons within a distance of a point (0 inside). ``names``:
-    (region, name). ``inside`` follows the half-open rule: of the boundary, at distance 0, only a part is inside."""
+    (region, name). ``inside`` follows the half-open rule: of the boundary, at distance 0, only a part is inside. Ranks go by
+    distance in whole millimetres, then name similarity, then region: a border that regions share is as near to each."""
     from gridloom.functions.names import similarity
     from gridloom.functions.text import name_key
 
@@ -183,7 +184,7 @@ def polygon_candidates(points: DataFrame, edges: DataFrame, names: DataFrame, me
     best = inside.unionByName(near).groupBy("id", "region").agg(F.bool_or("inside").alias("inside"), F.min("distance_m").alias("distance_m"))
     named = best.join(points.select("id", name_key("name").alias("_a")), "id").join(names.select("region", name_key("name").alias("_b")), "region")
     ranked = named.withColumn("similarity", similarity(F.col("_a"), F.col("_b"))).drop("_a", "_b")
-    order = Window.partitionBy("id").orderBy("distance_m", F.desc("similarity"), "region")
+    order = Window.partitionBy("id").orderBy(F.floor(F.col("distance_m") * 1000 + 0.5), F.desc("similarity"), "region")
     return ranked.withColumn("rank", F.row_number().over(order))
 
 

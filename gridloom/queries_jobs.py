@@ -593,7 +593,7 @@ def normalized_regions(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(V.heads("parks", "edges") + f""", {INSIDE}, {SEGMENT}, c as (select id, region, min(raw) as raw from (select id, region, 0e0 as raw from inside union all select id, region, raw from dist where raw <= 300) group by 1, 2)
-select id, region, {tenths('raw')} as dm, row_number() over (partition by id order by raw, region) as rank from c""")
+select id, region, {tenths('raw')} as dm, row_number() over (partition by id order by floor(raw * 1000 + 0.5), region) as rank from c""")
 def region_candidates(spark: SparkSession, d: str) -> DataFrame:
     e = V.region_edges(spark, d)
     same = e.select("region", F.lit("Aynı").alias("name")).distinct()

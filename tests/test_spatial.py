@@ -286,3 +286,13 @@ def test_a_point_on_a_corner_is_near_but_not_inside(spark):
     names = spark.createDataFrame([(1, "İsimsiz park")], "region long, name string")
     klass = lambda *at: [r["klass"] for r in classify_polygons(spark.createDataFrame([(7, "a", *at)], "id long, name string, longitude double, latitude double"), edges, names).collect()]
     assert klass(27.0, 38.0) == ["generic_fragment"] and klass(27.008, 38.008) == ["contained_single"]
+
+
+def test_regions_that_share_a_border_are_equally_near(spark):
+    """The sides of a border differ by rounding; the first region wins, not the one that rounding favours."""
+    low, high = box(27.0, 38.0, 0.01, 0.01), box(27.0, 38.01 + 1e-12, 0.01, 0.01)
+    for names in ("ab", "ba"):
+        regions = spark.createDataFrame([(names[0], low), (names[1], high)], f"region string, polys {POLY}")
+        point = spark.createDataFrame([(1, "p", 27.005, 38.01 - 1e-10)], "id long, name string, longitude double, latitude double")
+        ranked = R.polygon_candidates(point, R.region_edges(regions), regions.select("region", F.lit("q").alias("name"))).orderBy("rank").collect()
+        assert [r["region"] for r in ranked] == ["a", "b"]
