@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.geo import haversine_m, in_bounds
 from gridloom.functions.names import similarity
-from gridloom.functions.text import is_generic, name_key
+from gridloom.functions.text import is_generic, let, name_key
 from gridloom.operators.spatial import possible_duplicates
 
 REF = "struct<source_code:string,external_id:string,source_url:string>"
@@ -30,8 +30,10 @@ def attach_refs(registry: DataFrame, refs: DataFrame) -> DataFrame:
     """Adds refs to their parks; parks without new ones keep their row."""
     own = refs.groupBy("id").agg(F.collect_set(F.struct("source_code", "external_id", "source_url")).alias("_new"))
     joined = registry.join(own, "id", "left")
-    have = F.coalesce("source_refs", F.array().cast(f"array<{REF}>"))
-    return joined.withColumn("source_refs", F.array_sort(F.array_union(have, F.coalesce("_new", F.array().cast(f"array<{REF}>"))))).drop("_new")
+    both = F.concat(*(F.coalesce(c, F.array().cast(f"array<{REF}>")) for c in ("source_refs", "_new")))
+    # equal ones lie side by side: array_union would compare each ref with all others
+    once = let(F.array_sort(both), lambda refs: F.filter(refs, lambda r, i: (i == 0) | ~r.eqNullSafe(F.get(refs, i - 1))))
+    return joined.withColumn("source_refs", once).drop("_new")
 
 
 def merge(registry: DataFrame, matched_refs: DataFrame, new_parks: DataFrame) -> DataFrame:

@@ -236,6 +236,23 @@ def test_repeated_serials_are_counted_not_paired(spark):
     assert {tuple(r)[3:] for r in Z.compare_snapshots(many, shifted).collect()} == {("UNCHANGED", 3999), ("NORMAL_ATTRIBUTE_CHANGE", 7998), ("SERIAL_REUSED", 16_000_000 - 3999 - 7998)}
 
 
+def test_a_park_of_many_refs_holds_each_once(spark):
+    """Time grows with the refs, not with their square: 60,000 of one park."""
+    import time
+
+    from gridloom.plans.registry import REF, attach_refs
+
+    ref = lambda k: F.struct(F.lit("s").alias("source_code"), k.cast("string").alias("external_id"), F.lit(None).cast("string").alias("source_url"))
+    held = spark.range(40_000).groupBy(F.lit("p").alias("id")).agg(F.collect_list(ref(F.col("id"))).alias("source_refs"))
+    registry = held.unionByName(spark.createDataFrame([("q", None), ("r", [("s", "2", None), ("s", "1", None), ("s", "2", None)])], f"id string, source_refs array<{REF}>"))
+    began = time.time()
+    told = attach_refs(registry, spark.range(20_000, 60_000).select(F.lit("p").alias("id"), ref(F.col("id")).alias("r")).select("id", "r.*")).cache()
+    assert {r["id"]: r["n"] for r in told.select("id", F.size("source_refs").alias("n")).collect()} == {"p": 60_000, "q": 0, "r": 2}
+    assert time.time() - began < 20
+    assert [x["external_id"] for x in told.where("id = 'r'").first()["source_refs"]] == ["1", "2"]
+    told.unpersist()
+
+
 def test_readiness_helpers(spark):
     orgs = spark.createDataFrame([("İzmir Belediyesi",), ("Konya",), ("Van",)], "org string")
     ev = spark.createDataFrame([("izmir belediyesi", "SAFE_OPEN", "CC-BY", 1), ("Konya", "SAFE_OPEN", "genel", 1), ("Van", "SAFE_OPEN", "CC0", 1)], "org string, status string, label string, priority int")
