@@ -296,3 +296,12 @@ def test_regions_that_share_a_border_are_equally_near(spark):
         point = spark.createDataFrame([(1, "p", 27.005, 38.01 - 1e-10)], "id long, name string, longitude double, latitude double")
         ranked = R.polygon_candidates(point, R.region_edges(regions), regions.select("region", F.lit("q").alias("name"))).orderBy("rank").collect()
         assert [r["region"] for r in ranked] == ["a", "b"]
+
+
+def test_pairs_of_shapes_are_dealt_to_all_cores(spark):
+    """A few kilobytes of pairs, but each is measured: one task would do them one by one."""
+    rows = [(i, 38.0, 27.0 + i * 1e-4, box(27.0 + i * 1e-4, 38.0, 1e-4, 1e-4)) for i in range(120)]
+    pairs = P.near_pairs(spark.createDataFrame(rows, f"id long, latitude double, longitude double, polys {POLY}"), 100)
+    tasks = pairs.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(tasks) >= 8 and sum(t["count"] for t in tasks) > 1000
+    assert max(t["count"] for t in tasks) < sum(t["count"] for t in tasks) / 3
