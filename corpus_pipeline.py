@@ -31,7 +31,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that with the least id. Near means SimHashes of the distinct
-    five-word shingles with at most 24 of 128 bits apart, so a similarity of some 0.8; README has the recall."""
+    five-word shingles with at most 24 of 128 bits apart, so a similarity of some 0.8; all such pairs count. README has the
+    recall."""
     return simhash.keep_one_of_each(docs, **simhash.SIMILAR)
 
 

@@ -2,9 +2,10 @@
 
 Fingerprints of 64 bits, or of several such words, are cut into blocks of 16. Two fingerprints link if they differ in at
 most ``bits`` bits, and in at most ``radius`` of some block. With 64 bits and a radius of ``bits // 4`` the second follows
-from the first. Wider fingerprints take more distant pairs at a radius of one bit: with 128 bits, 24 of which differ, a
-block is that close by chance in one pair of four thousand, but one of eight blocks is in nine similar pairs of ten.
-Each block has a vantage-point tree over the values that the fingerprints have there, weighed by how many have them: a
+from the first. Wider fingerprints without a radius are compared in tiles: they are dealt to groups by hash, and each pair
+of groups is a shard that compares all its pairs, so no pair within ``bits`` is left out. (24 of 128 bits leave three for each
+block; balls that wide overlap most leaves of a tree of 16 bits, so trees would prune nothing.)
+With a radius each block has a vantage-point tree over the values that the fingerprints have there, weighed by how many have them: a
 node's vantage value sends values within the median distance to one side and the others to the other side, until a leaf
 has few fingerprints or one value. So depth follows the data. A leaf is a shard. Every fingerprint is filed in one shard a
 block, and also asks the later shards that its ball overlaps, found by descending with the triangle bounds. Inside a shard
@@ -49,6 +50,10 @@ VALUES = 1 << WIDTH
 CHUNK = 1 << 15
 #: Comparisons made at a time, and up to which a shard is compared by a matrix.
 CELLS = 1 << 22
+#: Comparisons of a tile made at a time: their buffers fit a core's cache.
+TILE_CELLS = 1 << 16
+#: Groups of fingerprints that tiles pair, unless that makes them smaller or larger than leaves may be.
+TILE_GROUPS = 8
 #: Fingerprints of a leaf: a 256th of all, but no fewer and no more than these.
 LEAF = (2_000, 200_000)
 #: Dropped rows up to which their keys are broadcast (some 60 bytes each).
@@ -69,8 +74,8 @@ class Fingerprint:
         return _kind(self.words)
 
 
-#: Texts that share some four fifths of their five-word shingles: such fingerprints, this many bits and this radius.
-SIMILAR = {"how": Fingerprint(words_per_shingle=5, words=2, distinct=True), "bits": 24, "radius": 1}
+#: Texts that share some four fifths of their five-word shingles: all pairs of such fingerprints within this many bits.
+SIMILAR = {"how": Fingerprint(words_per_shingle=5, words=2, distinct=True), "bits": 24}
 
 
 def _kind(words: int) -> str:
@@ -216,9 +221,9 @@ def _masks(radius: int) -> np.ndarray:
 
 class Shard:
     """The fingerprints filed in a shard of a block, and the forest of their labels. ``labels``: fingerprints already known to
-    be connected have the same (by default each is its own)."""
+    be connected have the same (by default each is its own). Without a block it is a tile: near over all words is enough."""
 
-    def __init__(self, filed: np.ndarray, bits: int, block: int, radius: int | None = None, labels: np.ndarray | None = None):
+    def __init__(self, filed: np.ndarray, bits: int, block: int | None, radius: int | None = None, labels: np.ndarray | None = None):
         self.filed, self.bits, self.block = filed, bits, block
         if labels is None:
             self.labels, self.group = filed, np.arange(len(filed))
@@ -230,7 +235,7 @@ class Shard:
         self.radius = bits // BLOCKS if radius is None else radius
         narrow = filed.shape[1] == 1
         self.reach = bits // (BLOCKS - 1) if narrow else self.radius
-        if len(filed) > 4096:
+        if len(filed) > 4096 and block is not None:
             for b in range(BLOCKS) if narrow else [block]:
                 if b != block or not narrow:
                     v = _block(filed, b)
@@ -245,6 +250,9 @@ class Shard:
 
     def linked(self, asking: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Links of ``asking`` with filed fingerprints, in bounded pieces: index of each."""
+        if self.block is None:
+            yield from self._tile(asking)
+            return
         if not self.index:
             step = max(1, CELLS // max(1, len(self.filed)))
             for at in range(0, len(asking), step):
@@ -264,6 +272,30 @@ class Shard:
                     yield self._near(asking, q, h)
                     at = to
 
+    def _tile(self, asking: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Links of all pairs; those of the filed with themselves once each. A pair within ``bits`` has its share or less of
+        them in some word, which hardly any other pair has, so whole words are compared only then."""
+        words = self.filed.shape[1]
+        mine, theirs = np.ascontiguousarray(self.filed.T), np.ascontiguousarray(asking.T)
+        step = max(1, TILE_CELLS // max(1, len(self.filed)))
+        found, pairs = [], 0
+        for at in range(0, len(asking), step):
+            first = at if asking is self.filed else 0
+            near = np.zeros((len(asking[at : at + step]), len(self.filed) - first), bool)
+            for a, b in zip(theirs, mine):
+                near |= np.bitwise_count(a[at : at + step, None] ^ b[None, first:]) <= self.bits // words
+            hit = np.flatnonzero(near)
+            if len(hit):
+                q, h = hit // near.shape[1] + at, hit % near.shape[1] + first
+                whole = np.bitwise_count(asking[q] ^ self.filed[h]).sum(axis=1, dtype=np.int64) <= self.bits
+                found.append((q[whole], h[whole]))
+                pairs += len(hit)
+            if pairs > CELLS // 4:
+                yield tuple(map(np.concatenate, zip(*found)))
+                found, pairs = [], 0
+        if found:
+            yield tuple(map(np.concatenate, zip(*found)))
+
     def _near(self, asking: np.ndarray, q: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Those of the pairs that are near over all words, and in the shard's block."""
         near = np.bitwise_count(asking[q] ^ self.filed[h]).sum(axis=1, dtype=np.int64) <= self.bits
@@ -344,16 +376,21 @@ def _filing(prints: np.ndarray, trees: list[BlockTree], splits: dict[int, int],
         first += len(t.sizes)
 
 
-def fingerprint_links(
-    prints: DataFrame, bits: int = 4, shard_limit: int = 200_000, leaf: int | None = None, words: int = 1, radius: int | None = None
-) -> DataFrame:
-    """Links (a, b) between the distinct fingerprints of ``words`` words in column ``fp`` that differ in 1 to ``bits`` bits,
-    and in ``radius`` bits at most of some block (by default a part of ``bits`` that makes this true of all, for one word), or
-    between ones that are connected through others: few, but with the components of all links. ``shard_limit``: fingerprints filed in one task; larger shards are cut into parts.
-    ``leaf``: fingerprints up to which a tree's node is a leaf, by default as ``LEAF`` says."""
+def _tiling(prints: np.ndarray, parts: int, asking: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """As ``_filing``, of tiles: a fingerprint belongs to one of ``parts`` groups by its hash and is filed in its group's own
+    tile or, ``asking``, filed in the tiles with later groups, where it meets those that ask from them."""
+    home = (((prints[:, -1] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
+    if not asking:
+        yield home * parts + home, np.zeros(len(home), np.int8), np.arange(len(home))
+        return
+    for other in range(parts):
+        at = np.nonzero(home != other)[0]
+        low, high = np.minimum(home[at], other), np.maximum(home[at], other)
+        yield low * parts + high, (home[at] == high).astype(np.int8), at
 
-    blocks, kind = BLOCKS * words, _kind(words)
-    radius = bits // blocks if radius is None else radius
+
+def _tree_filing(prints: DataFrame, blocks: int, radius: int, leaf: int | None, shard_limit: int, words: int):
+    """``_filing`` by the trees of the fingerprints, and where each block's shards end."""
 
     def count(batches):
         total = np.zeros(blocks * VALUES, np.int64)
@@ -364,22 +401,42 @@ def fingerprint_links(
         some = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["slot", "n"])
 
-    prints = prints.select("fp")
     # as many rows at most as the blocks have values, whatever the data
     histogram = prints.mapInArrow(count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).orderBy("slot").toArrow()
     trees = block_trees(histogram["slot"].to_numpy(), histogram["n"].to_numpy(), blocks, radius, leaf)
     sizes = np.concatenate([t.sizes for t in trees])
     splits = {int(s): -(-int(sizes[s]) // shard_limit) for s in np.nonzero(sizes > shard_limit)[0]}
-    ends = np.cumsum([len(t.sizes) for t in trees])
     shared = prints.sparkSession.sparkContext.broadcast((trees, splits))  # some megabytes at most, see above
+    return (lambda some, asking: _filing(some, *shared.value, asking)), np.cumsum([len(t.sizes) for t in trees])
+
+
+def fingerprint_links(
+    prints: DataFrame, bits: int = 4, shard_limit: int = 200_000, leaf: int | None = None, words: int = 1, radius: int | None = None
+) -> DataFrame:
+    """Links (a, b) between the distinct fingerprints of ``words`` words in column ``fp`` that differ in 1 to ``bits`` bits,
+    and, with a ``radius``, in so many bits at most of some block, or between ones that are connected through others: few, but
+    with the components of all links. ``shard_limit``: fingerprints filed in one task; larger shards are cut into parts.
+    ``leaf``: fingerprints up to which a tree's node is a leaf, by default as ``LEAF`` says."""
+
+    blocks, kind = BLOCKS * words, _kind(words)
+    tiled = words > 1 and radius is None
+    radius = bits // blocks if radius is None else radius
+    prints = prints.select("fp")
+    if tiled:
+        n = prints.count()
+        parts = max(1, -(-n // max(1, min(max(n // TILE_GROUPS, LEAF[0]), shard_limit))))
+        # tiles cost time, not bytes, so they are dealt by number
+        tasks = min(max(parts * (parts + 1) // 2, int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))), 20_000)
+        filing, ends = (lambda some, asking: _tiling(some, parts, asking)), None
+    else:
+        filing, ends = _tree_filing(prints, blocks, radius, leaf, shard_limit, words)
 
     def file(asking):
         def run(batches):
-            trees, splits = shared.value
             for batch in batches:
                 for at in range(0, len(batch), 4096):
                     some = batch.slice(at, 4096)
-                    for shard, role, own in _filing(_prints(some.column(0), words), trees, splits, asking):
+                    for shard, role, own in filing(_prints(some.column(0), words), asking):
                         taken = [some.column(c).take(pa.array(own)) for c in (0, 1)]
                         yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(role), *taken], ["shard", "role", "fp", "label"])
 
@@ -388,9 +445,10 @@ def fingerprint_links(
     def search(asking):
         def whole(filed, shard):
             prints, labels = (np.concatenate(x) for x in zip(*filed))
-            block = int(np.searchsorted(ends, shard >> 20, "right"))
+            block = None if tiled else int(np.searchsorted(ends, shard >> 20, "right"))
             made = Shard(prints, bits, block, radius, labels if asking else None)
-            made.join_filed()
+            if not (tiled and asking):  # what a group's own tile found are labels by then
+                made.join_filed()
             return made
 
         def done(shard, filed, now):
@@ -428,7 +486,8 @@ def fingerprint_links(
 
     def searched(labelled: DataFrame, asking: bool) -> DataFrame:
         filed = labelled.mapInArrow(file(asking), f"shard bigint, role tinyint, fp {kind}, label {kind}")
-        return filed.repartition(F.col("shard")).sortWithinPartitions("shard", "role", "fp").mapInArrow(search(asking), f"a {kind}, b {kind}")
+        dealt = filed.repartition(tasks, F.col("shard")) if tiled else filed.repartition(F.col("shard"))
+        return dealt.sortWithinPartitions("shard", "role", "fp").mapInArrow(search(asking), f"a {kind}, b {kind}")
 
     alone = prints.withColumn("label", F.lit(None).cast(kind))
     labels = saved(searched(alone, False).groupBy("a").agg(F.min("b").alias("b")), "simhash-labels")

@@ -121,6 +121,32 @@ def test_planted_wide_links(spark, limit, leaf):
     assert {i: find(i) for i in own} == components_by_hand(list(own), own, 24, 8, 1)
 
 
+@pytest.mark.parametrize("limit", [200_000, 60, 9])
+def test_wide_links_need_no_near_block(spark, limit):
+    """Pairs of up to 24 of 128 bits whose blocks all differ in two bits or more, and pairs just beyond."""
+    r = random.Random(limit)
+    prints = set()
+    for i in range(150):
+        p = r.getrandbits(128)
+        prints.add(p)
+        for flips in ([3] * 8, [2] * 8, [2, 2, 4, 4, 2, 2, 4, 4], [3] * 7 + [4])[i % 4 :: 2]:
+            for block, n in enumerate(flips):
+                for b in r.sample(range(16), n):
+                    p ^= 1 << 16 * block + b
+            prints.add(p)
+    own = dict(enumerate(sorted(prints)))
+    want = components_by_hand(list(own), own, 24, 8)
+    assert len(set(want.values())) < len(set(components_by_hand(list(own), own, 24, 8, 1).values())) - 100
+    df = spark.createDataFrame([(i, p.to_bytes(16, "little")) for i, p in own.items()], "doc_id long, fp binary")
+    how = {k: v for k, v in simhash.SIMILAR.items() if k != "how"}
+    nodes = simhash.star_components(simhash.fingerprint_links(df, shard_limit=limit, words=2, **how))
+    number = {p.to_bytes(16, "little"): i for i, p in own.items()}
+    groups = {}
+    for node, component in nodes.collect():
+        groups.setdefault(bytes(component), []).append(number[bytes(node)])
+    assert {i: i for i in own} | {i: min(members) for members in groups.values() for i in members} == want
+
+
 @pytest.mark.parametrize("large", [False, True])
 def test_wide_shards_are_searched_exactly(large):
     rng = np.random.default_rng(5)

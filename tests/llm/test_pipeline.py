@@ -50,7 +50,7 @@ def test_stages(spark, data):
             keep.append(i)
     assert ids[2] == Counter(keep)
 
-    component = components_by_hand(sorted(ids[2]), {i: wide_by_hand(text[i]) for i in ids[2]}, 24, 8, 1)
+    component = components_by_hand(sorted(ids[2]), {i: wide_by_hand(text[i]) for i in ids[2]}, 24, 8)
     assert ids[3] == Counter(set(component.values()))
 
     source = {r["doc_id"]: r["source"] for r in rows[3]}
