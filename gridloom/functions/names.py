@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gridloom.functions.text import WEAK_WORDS, clean, is_placeholder, let, name_key, text, tokens
+from gridloom.functions.text import WEAK_WORDS, clean, is_placeholder, let, plain, plain_key, plain_tokens, text, written_out
 
 STRONG = 0.88
 
@@ -47,9 +47,10 @@ def _weak(word: Column) -> Column:
 
 
 def _near_weak(word: Column) -> Column:
-    """A misspelt weak word is still weak."""
+    """A misspelt weak word is still weak. Of two words three quarters alike, the shorter is at least three quarters as long."""
     long = F.array(*(F.lit(w) for w in WEAK_WORDS if len(w) >= 4))
-    return _weak(word) | ((F.length(word) >= 4) & F.exists(long, lambda w: similarity(word, w) >= 0.75))
+    as_long = lambda w: F.length(w).between(F.length(word) * 0.75 - 0.01, F.length(word) / 0.75 + 0.01)
+    return _weak(word) | ((F.length(word) >= 4) & F.exists(long, lambda w: as_long(w) & (similarity(word, w) >= 0.75)))
 
 
 def _number(word: Column) -> Column:
@@ -59,12 +60,14 @@ def _number(word: Column) -> Column:
 def parse_name(c) -> Column:
     """struct<key, words, core, plain_core, numbers, generic, placeholder> of a name."""
     c = text(c)
-    parts = F.struct(
-        name_key(c).alias("key"),
-        tokens(c, expand=True).alias("words"),
-        F.array_join(F.filter(tokens(c), lambda t: ~_weak(t)), "").alias("plain_core"),
-        is_placeholder(c).alias("placeholder"),
-    )
+    read = F.struct(plain(c).alias("plain"), is_placeholder(c).alias("placeholder"))
+    split = let(read, lambda r: F.struct(plain_key(r["plain"]).alias("key"), plain_tokens(r["plain"]).alias("tokens"), r["placeholder"].alias("placeholder")))
+    parts = let(split, lambda s: F.struct(
+        s["key"].alias("key"),
+        written_out(s["tokens"]).alias("words"),
+        F.array_join(F.filter(s["tokens"], lambda t: ~_weak(t)), "").alias("plain_core"),
+        s["placeholder"].alias("placeholder"),
+    ))
 
     def finished(p: Column) -> Column:
         core = F.filter(p["words"], lambda t: ~_weak(t))

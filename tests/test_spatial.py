@@ -1,7 +1,9 @@
+import json
 import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -305,3 +307,46 @@ def test_pairs_of_shapes_are_dealt_to_all_cores(spark):
     tasks = pairs.groupBy(F.spark_partition_id().alias("task")).count().collect()
     assert len(tasks) >= 8 and sum(t["count"] for t in tasks) > 1000
     assert max(t["count"] for t in tasks) < sum(t["count"] for t in tasks) / 3
+
+
+def test_polygons_of_pairs_are_measured_once(spark, capsys):
+    """A filter on a measured distance must not measure below the projection too, and pairs that boxes tell apart reach no Python."""
+    from gridloom.operators.cover import with_box
+
+    rng = random.Random(4)
+    rows = []
+    for i in range(60):
+        x, y, s = 27 + rng.random() / 50, 38 + rng.random() / 50, rng.choice([6e-4, 4e-3])
+        rows.append((i, y, x, None if i % 5 == 0 else [[[[x, y], [x + s, y + s / 4], [x + s / 3, y + s], [x, y]]]]))
+    records = with_box(spark.createDataFrame(rows, "id int, latitude double, longitude double, polys array<array<array<array<double>>>>"))
+    pairs = P.near_pairs(records, 800)
+    point = G.haversine_m("a.latitude", "a.longitude", "b.latitude", "b.longitude")
+    both = F.col("a.polys").isNotNull() & F.col("b.polys").isNotNull()
+    gap = F.when(both, P.polygon_relation("a.polys", "b.polys")["boundary_gap_m"]).otherwise(
+        F.coalesce(P.point_polygon_m("b.longitude", "b.latitude", "a.polys"), P.point_polygon_m("a.longitude", "a.latitude", "b.polys"), point))
+    told = pairs.select(P.least_gap_m("a", "b", point).alias("least"), gap.alias("gap"), both.alias("both")).where("gap < 500")
+    told.explain()
+    assert capsys.readouterr().out.count("ArrowEvalPython [") == 1
+    found = told.collect()
+    assert {r["both"] for r in found} == {True, False} and max(r["least"] for r in found) > 100
+    assert all(r["least"] <= r["gap"] + 0.01 for r in found)
+
+
+def test_point_to_polygon_of_several_parts(spark, monkeypatch):
+    """Holes, parts, and no polygon, in pieces of any size, against one pair at a time."""
+    square = lambda x, y, s: [[x, y], [x + s, y], [x + s, y + s], [x, y + s], [x, y]]
+    polys = [[[square(27.0, 38.0, 0.01), square(27.002, 38.002, 0.006)], [square(27.004, 38.004, 0.001)]], None, [[square(27.0, 38.0, 0.002)]]]
+    points = [(27.001, 38.001), (27.0045, 38.0045), (27.003, 38.005), (27.02, 38.0), (27.0, 38.02)]
+    rows = [(x, y, p) for p in polys for x, y in points]
+    for held in (1, 200_000):
+        monkeypatch.setattr(P, "EDGES_HELD", held)
+        got = P._point_polygon.func(*(pd.Series(c) for c in zip(*((x, y, None if p is None else json.dumps(p)) for x, y, p in rows))))
+        for d, (x, y, p) in zip(got, rows):
+            if p is None:
+                assert d != d
+                continue
+            parts = P._parts(p)
+            k = np.array([G.LON_M * np.cos(np.radians(y)), G.LAT_M])
+            edges = np.concatenate([np.concatenate([r[:-1] * k, r[1:] * k], axis=1) for part in parts for r in part])
+            want = 0.0 if P.inside(np.array([[x, y]]), parts)[0] else P._point_gap(np.array([[x, y]]) * k, edges)
+            assert abs(d - want) < 1e-6
