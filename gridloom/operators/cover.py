@@ -42,7 +42,7 @@ def box_pairs(boxes: DataFrame, metres: float, id_col: str = "id", by: list[str]
     own = filed.select(F.struct("id", "level", "w", "s", "e", "n").alias("b"), *(F.col(k).alias(f"b_{k}") for k in by), F.explode(cells(F.col("level"))).alias("c"))
     coarser = F.filter(F.array(*map(F.lit, levels or [0])), lambda v: v >= F.col("level"))
     asked = filed.select(F.struct("id", "level", "w", "s", "e", "n").alias("a"), *(F.col(k).alias(f"a_{k}") for k in by), F.explode(F.flatten(F.transform(coarser, cells))).alias("c"))
-    met = asked.join(own, ["c"]).where((F.col("a.level") < F.col("b.level")) | ((F.col("a.level") == F.col("b.level")) & (F.col("a.id") < F.col("b.id"))))
+    met = asked.join(own.hint("merge"), ["c"]).where((F.col("a.level") < F.col("b.level")) | ((F.col("a.level") == F.col("b.level")) & (F.col("a.id") < F.col("b.id"))))
     for k in by:
         met = met.where(F.col(f"a_{k}") == F.col(f"b_{k}"))
     west, south = F.greatest("a.w", "b.w"), F.greatest("a.s", "b.s")

@@ -1,7 +1,7 @@
 """Distance joins over grid cells (SPJ-7..12, SPJ-16..21).
 
-Pairs come from an equi-join on cells at least a radius wide: one side is exploded to the nine cells around it, the other
-keeps its own. So no plan compares everything with everything, and a dense cell is a skewed join key, which adaptive
+Pairs come from an equi-join on cells two radii wide: one side is exploded to the cells within a radius, four at most, the
+other keeps its own. So no plan compares everything with everything, and a dense cell is a skewed join key, which adaptive
 execution splits. Both sides need latitude and longitude; rows without them find nothing.
 """
 
@@ -21,21 +21,22 @@ ANYWHERE = (-1e9, 1e9, -1e9, 1e9)
 
 
 def _celled(df: DataFrame, name: str, metres: float, most_lat: float, around: bool, by: list[str], box=WORLD) -> DataFrame:
-    row = F.floor(F.col("latitude") / lat_step(metres))
-    column = F.floor(F.col("longitude") / lon_step(metres, most_lat))
+    """Rows with their cell, or with those (four at most) that come within a radius of them. Cells are two radii wide."""
+    high, wide = lat_step(metres), lon_step(metres, most_lat)
+    row = lambda shift: F.floor((F.col("latitude") + shift) / (2 * high))
+    column = lambda shift: F.floor((F.col("longitude") + shift) / (2 * wide))
     keep = df.where(in_bounds("latitude", "longitude", box))
     keys = [F.col(k).alias(f"_{name}_{k}") for k in by]
     if not around:
-        return keep.select(F.struct(*df.columns).alias(name), row.alias("_row"), column.alias("_column"), *keys)
-    steps = F.array(*(F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r in (-1, 0, 1) for c in (-1, 0, 1)))
-    spread = keep.select(F.struct(*df.columns).alias(name), row.alias("_r"), column.alias("_c"), F.explode(steps).alias("_s"), *keys)
-    return spread.select(name, (F.col("_r") + F.col("_s.r")).alias("_row"), (F.col("_c") + F.col("_s.c")).alias("_column"), *(f"_{name}_{k}" for k in by))
+        return keep.select(F.struct(*df.columns).alias(name), row(0.0).alias("_row"), column(0.0).alias("_column"), *keys)
+    cells = F.array(*(F.struct(row(r).alias("_row"), column(c).alias("_column")) for r in (-high, high) for c in (-wide, wide)))
+    return keep.select(F.struct(*df.columns).alias(name), *keys, F.inline(F.array_distinct(cells)))
 
 
 def within_radius(a: DataFrame, b: DataFrame, metres: float, by: list[str] | None = None, most_lat: float = 43.0, distance=haversine_m, box=WORLD) -> DataFrame:
     """Pairs (a struct, b struct, distance_m) within a radius; ``by``: columns that must be equal. Latitudes beyond
     ``most_lat`` need a larger value there, and rows outside ``box`` find nothing. Cells always meet by a shuffle: the optimizer's estimate of a side knows neither
-    its nine copies nor how well its file is compressed, so a broadcast could be any size."""
+    its copies nor how well its file is compressed, so a broadcast could be any size."""
     by = by or []
     left, right = _celled(a, "a", metres, most_lat, True, by, box), _celled(b, "b", metres, most_lat, False, by, box)
     same = (left["_row"] == right["_row"]) & (left["_column"] == right["_column"])

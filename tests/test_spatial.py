@@ -350,3 +350,39 @@ def test_point_to_polygon_of_several_parts(spark, monkeypatch):
             edges = np.concatenate([np.concatenate([r[:-1] * k, r[1:] * k], axis=1) for part in parts for r in part])
             want = 0.0 if P.inside(np.array([[x, y]]), parts)[0] else P._point_gap(np.array([[x, y]]) * k, edges)
             assert abs(d - want) < 1e-6
+
+
+def test_dealt_rows_stay_dealt(spark):
+    """Also where rows are partitioned by the key already, in fewer tasks than there are cores."""
+    from gridloom.functions.session import dealt
+
+    most = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = spark.range(100).repartition(most, "id").withColumn("x", F.col("id") + 1)
+    plan = dealt(rows, "id")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
+    shapes = spark.range(64).select("id", F.lit("c").alias("component"), F.array(F.array(F.array(*(F.array(F.col("id") + x, F.lit(y)) for x, y in ((0.0, 0.0), (1.0, 0.0), (0.0, 1.0), (0.0, 0.0)))))).alias("polys"))
+    assert [round(r["area_m2"] / P.LON_M / P.LAT_M) for r in P.shape_metrics(shapes).collect()] == [32]
+
+
+def test_cells_of_a_distance_join(spark):
+    """Four copies of a place at most, and no pair lost at any place within a cell."""
+    from gridloom.operators.spatial import _celled, within_radius
+
+    at = spark.range(400).select("id", (F.lit(38.0) + F.expr("id div 20") * 0.0007).alias("latitude"), (F.lit(27.0) + F.col("id") % 20 * 0.0009).alias("longitude"))
+    assert max(r["count"] for r in _celled(at, "a", 150, 43.0, True, []).groupBy("a.id").count().collect()) <= 4
+    rows = [(r["id"], r["latitude"], r["longitude"]) for r in at.collect()]
+    told = {(r["a"], r["b"]) for r in within_radius(at, at, 150).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).collect()}
+
+    def metres(p, q):
+        (y1, x1), (y2, x2) = map(lambda v: (math.radians(v[1]), math.radians(v[2])), (p, q))
+        return 2 * 6371000 * math.asin(math.sqrt(math.sin((y2 - y1) / 2) ** 2 + math.cos(y1) * math.cos(y2) * math.sin((x2 - x1) / 2) ** 2))
+
+    assert told == {(p[0], q[0]) for p in rows for q in rows if metres(p, q) <= 150}
+
+
+def test_gap_alone_is_that_of_the_relation(spark):
+    turn = random.Random(7)
+    shape = lambda: [[[[x, y], [x + s, y], [x, y + s], [x, y]]] for x, y, s in [(27 + turn.random() * 0.003, 38 + turn.random() * 0.003, 0.0002 + turn.random() * 0.002)]]
+    df = spark.createDataFrame([(shape(), shape()) for _ in range(60)] + [(None, shape())], f"a {POLY}, b {POLY}")
+    told = df.select(P.polygon_gap_m("a", "b").alias("gap"), P.polygon_relation("a", "b")["boundary_gap_m"].alias("whole")).collect()
+    assert [r["gap"] for r in told] == [r["whole"] for r in told] and told[-1]["gap"] is None and {r["gap"] == 0 for r in told[:-1]} == {True, False}
