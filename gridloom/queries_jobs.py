@@ -890,22 +890,24 @@ def _alone(records: DataFrame) -> DataFrame:
     return records.select("key", F.col("key").alias("component"), F.lit(1).alias("size"), F.lit(False).alias("ambiguous"), F.lit(False).alias("ambiguous_cluster"), F.col("order_id").alias("first_id"))
 
 
-def _candidates(spark: SparkSession, d: str) -> DataFrame:
+def _candidates(spark: SparkSession, d: str, records: DataFrame | None = None) -> DataFrame:
     p = V.parks(spark, d).select(s("id").alias("id"), "name", F.lit("P").alias("city"), "district", "latitude", "longitude", F.lit(None).cast("array<array<array<array<double>>>>").alias("polys"), no_refs().alias("source_refs"))
-    return B.review_candidates(_records(spark, d), p)
+    return B.review_candidates(_records(spark, d) if records is None else records, p)
 
 
 @query(V.heads("parks", "source") + f""", p as (select a.id, b.id as park_id, {H('a', 'b')} as m from source a join parks b on {NEAR} where {H('a', 'b')} <= 250), f as (select id, min(m) as m, bool_or(id % 7 = park_id % 7) as same, bool_or(id % 7 <> park_id % 7) as other from p group by 1)
 select 's:' || source.id as key, {tenths('m')} as dm, coalesce(same, false) as same_district, coalesce(other, false) as district_conflict, coalesce(m <= 30, false) as very_close, coalesce(m <= 100, false) as primary_radius, coalesce(m > 100, false) as extended_radius from source left join f using (id)""")
 def review_flags(spark: SparkSession, d: str) -> DataFrame:
-    e = B.review_evidence(_records(spark, d), _candidates(spark, d), _alone(_records(spark, d)))
+    rec = B.parsed_records(_records(spark, d))
+    e = B.review_evidence(rec, _candidates(spark, d, rec), _alone(rec))
     return e.select("key", metres("nearest_m").alias("dm"), "same_district", "district_conflict", "very_close", "primary_radius", "extended_radius")
 
 
 @query(V.heads("parks", "source") + f""", n as (select distinct a.id from source a join parks b on {NEAR} where {H('a', 'b')} <= 250), d as (select * from source where id not in (select id from n)) select 's:' || id as key, 'NEW_CANONICAL_SAFE' as outcome, 'safe' as reason from d""")
 def safe_reviews(spark: SparkSession, d: str) -> DataFrame:
     """Decisions of the records that have no park near them."""
-    rec, cand = _records(spark, d), saved(_candidates(spark, d), "candidates")
+    rec = B.parsed_records(_records(spark, d))
+    cand = _candidates(spark, d, rec)
     e = B.new_safe(B.review_evidence(rec, cand, _alone(rec)))
     targets = B.record_targets(e, cand, cand.select("park_id", F.lit("s").alias("source_code"), F.col("key").alias("component"), F.lit(1).alias("n")))
     mates = B.accepted_mates(rec.select(F.col("key").alias("component"), F.lit("review").alias("status"), F.col("external_id").alias("canonical_id")))

@@ -132,37 +132,48 @@ def review_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Da
     return records, parks, clusters
 
 
-def _review(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(all records, evidence of the backlog, its candidates, its targets)."""
+def _candidates(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(all records, parks, clusters, the backlog, its candidates)."""
     records, parks, clusters = review_tables(spark, d)
-    backlog = records.where("status = 'review'").drop("component", "ambiguous", "status", "canonical_id")
-    candidates = saved(B.review_candidates(backlog, parks), "review-candidates")
-    evidence = B.new_safe(B.review_evidence(backlog, candidates, clusters))
-    return records, evidence, candidates, saved(B.record_targets(evidence, candidates, B.park_rivals(records, parks, clusters)), "review-targets")
+    backlog = B.parsed_records(records.where("status = 'review'").drop("component", "ambiguous", "status", "canonical_id"))
+    return records, parks, clusters, backlog, B.review_candidates(backlog, parks)
+
+
+def _evidence(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(all records, parks, clusters, evidence of the backlog, its candidates)."""
+    records, parks, clusters, backlog, candidates = _candidates(spark, d)
+    return records, parks, clusters, B.new_safe(B.review_evidence(backlog, candidates, clusters)), candidates
+
+
+def _targets(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(all records, evidence of the backlog, its targets)."""
+    records, parks, clusters, evidence, candidates = _evidence(spark, d)
+    return records, evidence, B.record_targets(evidence, candidates, B.park_rivals(records, parks, clusters))
 
 
 @query(REVIEW_SQL + f"""select 's:' || rel.id as key, cast(park_id as varchar) as park_id, relation, {tenths('m')} as dm, strong, shares as shares_token, other_number, plausible
 from cand rel join back on back.id = rel.id""")
 def review_distances(spark: SparkSession, d: str) -> DataFrame:
     """Records and parks with the distance between point and polygon where the park has one."""
-    c = _review(spark, d)[2]
+    c = _candidates(spark, d)[4]
     return c.select("key", "park_id", "relation", metres("distance_m").alias("dm"), "strong", F.col("rel.shares_distinctive_token").alias("shares_token"), F.col("rel.numeric_conflict").alias("other_number"), "plausible")
 
 
 @query(REVIEW_SQL + "select 's:' || id as key, cast(target as varchar) as target_id, mode from back")
 def review_targets(spark: SparkSession, d: str) -> DataFrame:
-    return _review(spark, d)[3].select("key", "target_id", "mode")
+    return _targets(spark, d)[2].select("key", "target_id", "mode")
 
 
 @query(REVIEW_SQL + "select 's:' || id as key, unsafe from back")
 def review_safety(spark: SparkSession, d: str) -> DataFrame:
     """Why a record may not become a new park, in the order of the rules."""
-    return _review(spark, d)[1].select("key", F.array_join("unsafe", ",").alias("unsafe"))
+    return _evidence(spark, d)[3].select("key", F.array_join("unsafe", ",").alias("unsafe"))
 
 
 @query(REVIEW_SQL + """select split_part(said, '/', 1) as outcome, count(*) as n, cast(floor(floor(avg(nearest) * 10 + 0.5) / 10 + 0.5) as bigint) as nearest from said group by 1""")
 def review_report(spark: SparkSession, d: str) -> DataFrame:
-    records, evidence, _, targets = _review(spark, d)
+    records, evidence, targets = _targets(spark, d)
+    targets = saved(targets, "review-targets")
     told = B.decision_report(B.resolve_reviews(evidence, targets, B.accepted_mates(records)), evidence)
     return told.select("outcome", "n", F.floor(F.col("nearest_m") + 0.5).cast("bigint").alias("nearest"))
 
@@ -170,7 +181,8 @@ def review_report(spark: SparkSession, d: str) -> DataFrame:
 @query(REVIEW_SQL + """select 's:' || id as key, split_part(said, '/', 1) as outcome, split_part(said, '/', 2) as reason,
   case when said like 'MATCH%' or said like '%DUPLICATE%' then case when size > 1 and parks = 1 then park else cast(target as varchar) end end as target_id, case when size > 1 then first_id end as representative from said""")
 def review_decisions(spark: SparkSession, d: str) -> DataFrame:
-    records, evidence, _, targets = _review(spark, d)
+    records, evidence, targets = _targets(spark, d)
+    targets = saved(targets, "review-targets")
     return B.resolve_reviews(evidence, targets, B.accepted_mates(records))
 
 

@@ -286,3 +286,33 @@ def test_enrichment_leaves_conflicts_to_people(spark):
         3: ("İsimsiz park", None),  # two polygons
         4: ("İsimsiz park", None), 9: ("Zafer Parkı", "Sokak 1"),
     }
+
+
+def test_review_parses_names_once(spark):
+    """Records that are parsed already are taken as they are, and tell the same candidates and evidence."""
+    rec = review_inputs(spark).drop("component")
+    parks = registry(spark).withColumn("polys", F.lit(None).cast("array<array<array<array<double>>>>"))
+    parsed = V.parsed_records(rec)
+    assert V.parsed_records(parsed) is parsed
+    clusters = rec.select("key", F.col("key").alias("component"), F.lit(1).alias("size"), F.lit(False).alias("ambiguous"), F.lit(False).alias("ambiguous_cluster"), F.col("order_id").alias("first_id"))
+    by_row, V.NAMES_HELD = V.NAMES_HELD, 0
+    try:
+        plain = V.review_candidates(rec, parks)
+    finally:
+        V.NAMES_HELD = by_row
+    told = V.review_candidates(parsed, parks)
+    assert sorted(map(repr, plain.collect())) == sorted(map(repr, told.select(*plain.columns).collect())) != []
+    of = lambda r, c: sorted(map(repr, V.review_evidence(r, c, clusters).drop("polys").collect()))
+    assert of(parsed, told) == of(rec, plain)
+
+
+def test_catalog_joins_keep_tasks_small(spark):
+    """Rows are spread by number, not by bytes: as many partitions as rows need, and more than the session's own number."""
+    from gridloom.functions.session import spread
+
+    own, cores = int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
+    rows = spark.range(1000).withColumn("x", F.col("id") * 0)
+    assert spread(rows, "id", 10).rdd.getNumPartitions() == 100
+    assert spread(rows, "id").rdd.getNumPartitions() in (4 * cores, 4 * cores + 1)
+    joined = spread(rows, "id", 10).join(spark.range(1000).hint("merge"), "id")
+    assert joined.rdd.getNumPartitions() == 100 and joined.count() == 1000 and own != 100
