@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.functions.session import dealt
 from gridloom.functions.text import name_key, tokens
 
 
@@ -102,7 +103,8 @@ def unique_key_match(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Pairs (a, b) with equal folded keys, each key held by one row on either side."""
     def single(df: DataFrame, name: str) -> DataFrame:
         folded = [name_key(k).alias(f"k{i}") for i, k in enumerate(keys)]
-        rows = df.select(F.struct(*df.columns).alias(name), *folded).where("k0 <> ''")
+        # dealt, for what is sorted before a count should not be as much as one task of a join before has
+        rows = dealt(df.select(F.struct(*df.columns).alias(name), *folded).where("k0 <> ''"), name)
         ks = [f"k{i}" for i in range(len(keys))]
         return rows.groupBy(*ks).agg(F.count(F.lit(1)).alias("n"), F.first(name).alias(name)).where("n = 1").drop("n")
 

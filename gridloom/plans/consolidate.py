@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.rules import only_source
+from gridloom.functions.session import spread
 from gridloom.functions.text import is_generic, name_key
 from gridloom.operators.polygons import flatten_aliases
 from gridloom.operators.regions import contained_in, polygon_candidates, unique_containment
@@ -128,6 +129,7 @@ def enrich_catalog(parks: DataFrame, polygons: DataFrame, polygon_names: DataFra
     polygon holds the park does it take the point's name. ``named_points``: (id, name, neighborhood, latitude, longitude).
     Districts come from unique containment; addresses from the point's neighborhood, if the park has no name or the point's,
     else from ``addresses`` (name, district, address) by a key that one park and one address have. ``source``: name and URL."""
+    parks = spread(parks, "id")
     sole = unique_containment(parks, polygons).join(polygon_names, "region").select("id", F.col("name").alias("_poly"))
     held = contained_in(parks, polygons).select("id").distinct().withColumn("_held", F.lit(True))
     pairs = unique_point_match(named_points.select("id", "name", "neighborhood", "latitude", "longitude"), parks.select("id", "name", "latitude", "longitude"))
@@ -147,7 +149,8 @@ def enrich_catalog(parks: DataFrame, polygons: DataFrame, polygon_names: DataFra
     kept = F.nullif("address_label", F.lit("")) if "address_label" in parks.columns else F.lit(None).cast("string")
     fields = [c for c in parks.columns if c != "address_label"]
     out = out.select(*(new[c].alias(c) if c in new else F.col(c) for c in fields), F.coalesce(kept, hood).alias("_label"))
-    by_key = unique_key_match(out, addresses, ["name", "district"]).select(F.col("a.id").alias("id"), F.col("b.address").alias("_address"))
+    keyed = unique_key_match(out.select("id", "name", "district"), addresses.select("name", "district", "address"), ["name", "district"])
+    by_key = keyed.select(F.col("a.id").alias("id"), F.col("b.address").alias("_address"))
     return out.join(by_key, "id", "left").select(*fields, F.coalesce("_label", "_address").alias("address_label"))
 
 
