@@ -1,7 +1,7 @@
 """Distance joins over grid cells (SPJ-7..12, SPJ-16..21).
 
-Pairs come from an equi-join on cells two radii wide: one side is exploded to the cells within a radius, four at most, the
-other keeps its own. So no plan compares everything with everything, and a dense cell is a skewed join key, which adaptive
+Pairs come from an equi-join on cells two radii wide: one side is exploded to the cells within a radius, four but for rounding,
+the other keeps its own. So no plan compares everything with everything, and a dense cell is a skewed join key, which adaptive
 execution splits. Both sides need latitude and longitude; rows without them find nothing.
 """
 
@@ -21,7 +21,8 @@ ANYWHERE = (-1e9, 1e9, -1e9, 1e9)
 
 
 def _celled(df: DataFrame, name: str, metres: float, most_lat: float, around: bool, by: list[str], box=WORLD) -> DataFrame:
-    """Rows with their cell, or with those (four at most) that come within a radius of them. Cells are two radii wide."""
+    """Rows with their cell, or with those that come within a radius of them. Cells are two radii wide, so these are two in
+    each direction at most, or three where a row lies in the middle of its cell and rounding moves both ends outward."""
     high, wide = lat_step(metres), lon_step(metres, most_lat)
     row = lambda shift: F.floor((F.col("latitude") + shift) / (2 * high))
     column = lambda shift: F.floor((F.col("longitude") + shift) / (2 * wide))
@@ -29,8 +30,9 @@ def _celled(df: DataFrame, name: str, metres: float, most_lat: float, around: bo
     keys = [F.col(k).alias(f"_{name}_{k}") for k in by]
     if not around:
         return keep.select(F.struct(*df.columns).alias(name), row(0.0).alias("_row"), column(0.0).alias("_column"), *keys)
-    cells = F.array(*(F.struct(row(r).alias("_row"), column(c).alias("_column")) for r in (-high, high) for c in (-wide, wide)))
-    return keep.select(F.struct(*df.columns).alias(name), *keys, F.inline(F.array_distinct(cells)))
+    columns = F.sequence(column(-wide), column(wide))
+    cells = F.transform(F.sequence(row(-high), row(high)), lambda r: F.transform(columns, lambda c: F.struct(r.alias("_row"), c.alias("_column"))))
+    return keep.select(F.struct(*df.columns).alias(name), *keys, F.inline(F.flatten(cells)))
 
 
 def within_radius(a: DataFrame, b: DataFrame, metres: float, by: list[str] | None = None, most_lat: float = 43.0, distance=haversine_m, box=WORLD) -> DataFrame:

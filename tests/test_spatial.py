@@ -218,6 +218,17 @@ def test_cells_are_never_broadcast(spark):
     assert "Broadcast" not in plan_of(S.within_radius(rows, rows, 100)) and S.self_pairs(rows, 12).count() == 49
 
 
+def test_rows_in_the_middle_of_a_cell_find_their_own_cell(spark):
+    """A radius south and north of such a row lie on the cell's borders, where rounding may put both outside of it."""
+    high, wide = lat_step(700), lon_step(700)
+    rows = [(i, (2 * k + 1) * high, 27.0) for i, k in enumerate(range(2750, 3350))] + [(1000 + i, 38.0, (2 * k + 1) * wide) for i, k in enumerate(range(1350, 2250))]
+    df = spark.createDataFrame([*rows, (5000, 38.15, 27.3674)], "id int, latitude double, longitude double")
+    own = S.within_radius(df, df, 700).where("a.id = b.id and distance_m = 0")
+    assert own.count() == len(rows) + 1
+    park = spark.createDataFrame([(1, 38.14939, 27.36739)], "id int, latitude double, longitude double")
+    assert [round(x["distance_m"]) for x in S.within_radius(df.where("id = 5000"), park, 700).collect()] == [68]
+
+
 def test_parks_broadcast_the_names_alone(spark, tmp_path):
     """Customers by far the smaller file, as compressed keys are: still the 200 names go round, and parks keep their partitions."""
     spark.range(40).selectExpr("id as c_custkey", "cast(id % 25 as int) as c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
