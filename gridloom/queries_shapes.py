@@ -116,28 +116,41 @@ ju as (select *, coalesce(case when two then gap = 0 else d <= 60 end, false) as
 wh as (select a, b, case when overlap then case when agree or weak then 'one' else 'overlap_with_other_name' end when agree and gap <= 30 then 'one' when agree and gap <= 150 then 'namesake_nearby' end as why from ju),
 lw as (select a, b from wh where why = 'one'), {REACH.format('lw')}, am as (select a as id, why from wh where why <> 'one' union all select b, why from wh where why <> 'one')"""
 
+#: The same without a bound on the points of a pair: all pairs whose boxes come near, so that large shapes lose no link.
+WHOLE_SOURCE_CLUSTERS = (
+    SOURCE_CLUSTERS.replace("pts as (", "bx as (select * from box union all select id, longitude, longitude, latitude, latitude from sh where not has),\npts as (")
+    .replace(
+        "from sh a join sh b on a.id < b.id and abs(a.latitude - b.latitude) <= 0.004 and abs(a.longitude - b.longitude) <= 0.006",
+        "from bx p join bx q on p.id < q.id and p.w <= q.e + 3e-3 and q.w <= p.e + 3e-3 and p.s <= q.n + 3e-3 and q.s <= p.n + 3e-3 join sh a on a.id = p.id join sh b on b.id = q.id",
+    )
+    .replace(" where d <= 600", "")
+)
+
 
-def _clusters(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return P.source_clusters(shapes(spark, d), same_point_m=60)
+def _clusters(spark: SparkSession, d: str, reach_m: float | None = None) -> tuple[DataFrame, DataFrame]:
+    return P.source_clusters(shapes(spark, d), same_point_m=60, reach_m=reach_m)
 
 
-@query(RECURSIVE + f""", {SOURCE_CLUSTERS}, sz as (select component, count(*) as size, bool_or(id in (select id from am)) as any_near from comp group by 1)
+@query(RECURSIVE + f""", {WHOLE_SOURCE_CLUSTERS}, sz as (select component, count(*) as size, bool_or(id in (select id from am)) as any_near from comp group by 1)
 select id, component, size, case when size < 2 then 'SINGLETON' when any_near then 'AMBIGUOUS' else 'FRAGMENTED' end as cluster_class, id in (select id from am) as ambiguous from comp join sz using (component)""")
 def source_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """Clusters of polygons and points of one source; points within 60 m count as one place here."""
+    """Clusters of polygons and points of one source, however far apart their reference points are; points within 60 m count
+    as one place here."""
     return P.cluster_classes(*_clusters(spark, d))
 
 
 @query(RECURSIVE + f", {SOURCE_CLUSTERS} select a, b, why from wh where why <> 'one'")
 def ambiguous_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    return _clusters(spark, d)[1]
+    """Of records whose points are within 600 m."""
+    return _clusters(spark, d, 600)[1]
 
 
 @query(RECURSIVE + f""", {SOURCE_CLUSTERS}
 select {V.key_sql('name')} as key, count(*) as records, case when count(distinct component) = 1 then 'FRAGMENTED' when bool_or(id in (select id from am where why = 'namesake_nearby')) then 'AMBIGUOUS' else 'DISTINCT' end as group_class
 from sh join comp using (id) where not weak group by 1 having count(*) > 1""")
 def namesakes(spark: SparkSession, d: str) -> DataFrame:
-    components, ambiguous = _clusters(spark, d)
+    """By the clusters of records whose points are within 600 m."""
+    components, ambiguous = _clusters(spark, d, 600)
     return P.namesake_groups(components, shapes(spark, d), ambiguous)
 
 

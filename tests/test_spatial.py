@@ -201,6 +201,48 @@ def test_source_clusters_follow_names_and_overlap(spark):
     assert groups == {"denizparki": "FRAGMENTED", "gunesparki": "AMBIGUOUS"}
 
 
+def test_gaps_alone_equal_those_of_whole_relations():
+    """Apart, crossing, one in the other, in a hole, touching, thin, and of several parts."""
+    r = random.Random(7)
+
+    def ring(x, y, s, n, digits):
+        turns = [(r.uniform(0.3, 1) * s, 2 * math.pi * i / n) for i in range(n)]
+        pts = [[round(x + far * math.cos(t), digits), round(y + far * math.sin(t) * (0.02 if n == 5 else 1), digits)] for far, t in turns]
+        return pts + pts[:1]
+
+    def shape():
+        parts = []
+        for _ in range(r.choice([1, 1, 2])):
+            x, y, s, digits = 27 + r.random() * 0.02, 38 + r.random() * 0.02, r.choice([2e-3, 1e-2]), r.choice([3, 12])
+            parts.append([ring(x, y, s, r.choice([3, 5, 9]), digits)] + [ring(x, y, s * 0.3, 4, 12)] * r.choice([0, 1]))
+        return P._Shape(parts)
+
+    shapes = [shape() for _ in range(60)]
+    told = [(P._related(a, b)["boundary_gap_m"], P._gap(a, b)) for a in shapes for b in shapes]
+    assert all(x == y for x, y in told) and 300 < sum(x == 0 for x, _ in told) < 3300
+
+
+def test_source_clusters_of_large_shapes_whose_points_are_far_apart(spark):
+    d = 1e-2  # some 900 m: reference points are the lower left corners
+    rows = [
+        ("1", "Zafer Parkı", box(27, 38, 2 * d, 2 * d)), ("2", "İsimsiz park", box(27 + d, 38 + d, 1e-4, 1e-4)),  # one in the other, generic: one
+        ("3", "Güneş Parkı", box(27.1, 38, d, d)), ("4", "Güneş Parkı", box(27.1 + d + 2e-4, 38, d, d)),  # namesakes 18 m apart: one
+        ("5", "Kavak Parkı", box(27.2, 38, d, d)), ("6", "Kavak Parkı", box(27.2 + d + 1e-3, 38, d, d)),  # namesakes 88 m apart: ambiguous
+        ("7", "Deniz Parkı", box(27.3, 38, d, d)), ("8", "Bülbül Parkı", box(27.3, 38 + d / 2, d, d)), ("9", "Deniz Parkı", None),  # 7 and 8 overlap: ambiguous; 9 is 11 m from 7: one
+        ("10", "Çınar Parkı", box(27.4, 38, d, d)), ("11", "Çınar Parkı", box(27.4 + d + 2e-3, 38, d, d)),  # namesakes 175 m apart: nothing
+    ]
+    at = lambda p: (p[0][0][0][1], p[0][0][0][0]) if p else (38 - 1e-4, 27.3 + 0.9 * d)
+    df = spark.createDataFrame([(i, n, *at(p), p) for i, n, p in rows], f"id string, name string, latitude double, longitude double, polys {POLY}")
+    components, ambiguous = P.source_clusters(df)
+    assert sorted(tuple(x) for x in ambiguous.collect()) == [("5", "6", "namesake_nearby"), ("7", "8", "overlap_with_other_name")]
+    groups = {}
+    for x in components.collect():
+        groups.setdefault(x["component"], set()).add(x["id"])
+    assert sorted(map(sorted, groups.values())) == [["1", "2"], ["10"], ["11"], ["3", "4"], ["5"], ["6"], ["7", "9"], ["8"]]
+    near = P.source_clusters(df, reach_m=600)
+    assert near[1].isEmpty() and near[0].where("id <> component").isEmpty()
+
+
 def test_nearest_region_without_a_cap(spark):
     edges = spark.createDataFrame([("A", 27.0, 38.0, 27.1, 38.0), ("B", 27.0, 39.0, 27.1, 39.0)], "region string, x1 double, y1 double, x2 double, y2 double")
     points = spark.createDataFrame([(1, 38.0001, 27.05), (2, 38.7, 27.05), (3, 30.0, 27.0), (4, None, 27.0)], "id int, latitude double, longitude double")
